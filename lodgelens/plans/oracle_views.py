@@ -143,4 +143,9 @@ def with_views(sql: str) -> str:
     if not needed:
         return sql.strip()
     ctes = ",\n".join(f"{v} AS ({VIEWS[v].strip()})" for v in needed)
-    return f"WITH {ctes}\n{sql.strip()}"
+    body = sql.strip()
+    m = re.match(r"(?is)^with\s+(recursive\s+)?", body)
+    if m:
+        rec = "RECURSIVE " if m.group(1) else ""
+        return f"WITH {rec}{ctes},\n{body[m.end():]}"
+    return f"WITH {ctes}\n{body}"
