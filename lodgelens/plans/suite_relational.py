@@ -441,3 +441,286 @@ SELECT count(*) AS n, round(corr(a, b), 4) AS pearson, round(corr(ra, rb), 4) AS
 def correlate_pair(spark, sf):
     """Pearson and Spearman of price and rating."""
     return R.pearson_spearman(listing_base(spark, sf), "price_numeric", "review_scores_rating")
+
+
+_CORR_COLS = ["price_numeric", "accommodates", "amenity_count", "availability_365", "estimated_revenue"]
+
+
+def _pairs(cols):
+    return [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+
+
+@query("corr_matrix", " UNION ALL ".join(f"""
+SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS r FROM listing_base""" for a, b in _pairs(_CORR_COLS)))
+def corr_matrix(spark, sf):
+    """A27 Pearson: all pairs in one aggregate, then long form."""
+    df = listing_base(spark, sf)
+    pairs = _pairs(_CORR_COLS)
+    wide = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    long = wide.unpivot([], [f"`{a}|{b}`" for a, b in pairs], "pair", "r")
+    return long.select(F.split("pair", r"\|")[0].alias("col_a"), F.split("pair", r"\|")[1].alias("col_b"),
+                       F.round("r", 6).alias("r"))
+
+
+def _rank_sql(cols, src):
+    rk = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2E0 AS {c}" for c in cols)
+    return f"SELECT {rk} FROM {src}"
+
+
+@query("spearman_matrix", f"WITH rk AS ({_rank_sql(_CORR_COLS, 'listing_base')})\n" + " UNION ALL ".join(f"""
+SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS r FROM rk""" for a, b in _pairs(_CORR_COLS)))
+def spearman_matrix(spark, sf):
+    """A27 Spearman: average ranks per column (distributed), then Pearson."""
+    df = listing_base(spark, sf).select(*_CORR_COLS).withColumn("_row", F.monotonically_increasing_id())
+    ranked = df
+    for c in _CORR_COLS:
+        ranked = R.average_rank(ranked, c, f"_r_{c}")
+    pairs = _pairs(_CORR_COLS)
+    wide = ranked.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"{a}|{b}") for a, b in pairs])
+    long = wide.unpivot([], [f"`{a}|{b}`" for a, b in pairs], "pair", "r")
+    return long.select(F.split("pair", r"\|")[0].alias("col_a"), F.split("pair", r"\|")[1].alias("col_b"),
+                       F.round("r", 6).alias("r"))
+
+
+_TARGET_COLS = ["accommodates", "amenity_count", "availability_365", "estimated_revenue", "number_of_reviews",
+                "estimated_occupancy", "minimum_nights"]
+
+
+@query("corr_with_target",
+       f"WITH rk AS ({_rank_sql(_TARGET_COLS + ['price_numeric'], 'listing_base')}),\n c AS ("
+       + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, price_numeric)) AS abs_r FROM rk"
+                            for c in _TARGET_COLS)
+       + ")\nSELECT feature, round(abs_r, 6) AS abs_r FROM c ORDER BY abs_r DESC, feature LIMIT 20")
+def corr_with_target(spark, sf):
+    """|Spearman| of every feature with the target, top 20."""
+    cols = _TARGET_COLS + ["price_numeric"]
+    ranked = listing_base(spark, sf).select(*cols)
+    for c in cols:
+        ranked = R.average_rank(ranked, c, f"_r_{c}")
+    wide = ranked.agg(*[F.abs(F.corr(f"_r_{c}", "_r_price_numeric")).alias(c) for c in _TARGET_COLS])
+    long = wide.unpivot([], _TARGET_COLS, "feature", "abs_r")
+    return long.orderBy(F.desc("abs_r"), "feature").limit(20).withColumn("abs_r", F.round("abs_r", 6))
+
+
+_CONTRIB = ["c_discount", "c_tax", "c_quantity"]
+
+
+@query("mean_abs_ranked", " UNION ALL ".join(f"""
+SELECT '{c}' AS feature, round(avg(abs({c})), 9) AS mean_abs FROM fx_contributions""" for c in _CONTRIB))
+def mean_abs_ranked(spark, sf):
+    """Mean |contribution| per feature, ranked."""
+    return R.mean_abs_ranked(catalog.fx_contributions(spark, sf), _CONTRIB)
+
+
+# ------------------------------------------------------------------ windows
+
+_SHARE_SQL = """
+WITH c AS (SELECT listing_id, topic, count(*) AS n FROM fx_comment_topics GROUP BY ALL)
+SELECT listing_id, topic, n, n / sum(n) OVER (PARTITION BY listing_id) AS share FROM c
+"""
+
+
+@query("topic_proportions", _SHARE_SQL)
+def topic_proportions(spark, sf):
+    """Share of each topic in a listing's comments."""
+    c = catalog.fx_comment_topics(spark, sf).groupBy("listing_id", "topic").agg(F.count(F.lit(1)).alias("n"))
+    return R.share_of_group(c, "listing_id", "n")
+
+
+@query("top3_topics", f"""
+WITH s AS ({_SHARE_SQL.strip()}),
+r AS (SELECT listing_id, topic, share, row_number() OVER (PARTITION BY listing_id ORDER BY share DESC, topic) AS rank
+      FROM s)
+SELECT listing_id, CAST(rank AS INTEGER) AS rank, topic, round(share, 9) AS prob FROM r WHERE rank <= 3
+""")
+def top3_topics(spark, sf):
+    """Three most probable topics per listing (ties: smaller topic)."""
+    s = topic_proportions(spark, sf)
+    top = R.top_per_group(s, "listing_id", [F.desc("share"), F.asc("topic")], 3)
+    return top.select("listing_id", F.col("rank").cast("int").alias("rank"), "topic",
+                      F.round("share", 9).alias("prob"))
+
+
+@query("first_per_id", """
+SELECT id, arg_min(month, month) AS month, arg_min(price_numeric, month) AS price_numeric
+FROM fx_monthly_prices GROUP BY id
+""")
+def first_per_id(spark, sf):
+    """First row per id by an explicit order (earliest month)."""
+    return R.first_per_key(catalog.fx_monthly_prices(spark, sf), "id", [F.col("month")])
+
+
+@query("last_turns", """
+WITH l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations),
+     k AS (SELECT * FROM l WHERE rn <= 6),
+     fu AS (SELECT conv_id, min(turn) AS fu FROM k WHERE role = 'user' GROUP BY conv_id)
+SELECT k.conv_id, k.turn, k.role, CAST(length(k.text) AS INTEGER) AS n_chars FROM k JOIN fu ON k.conv_id = fu.conv_id
+WHERE k.turn >= fu.fu
+""")
+def last_turns(spark, sf):
+    """Last 6 turns of each conversation, starting at a user turn."""
+    from lodgelens.sources.tables import table
+    c = table(spark, sf, "conversations")
+    return R.last_turns(c, "conv_id", "turn", "role", 6).select(
+        "conv_id", "turn", "role", F.length("text").alias("n_chars"))
+
+
+# ---------------------------------------------------------- sorts and limits
+
+@query("top_n", """
+SELECT id, borough, estimated_revenue FROM listing_base
+ORDER BY estimated_revenue DESC NULLS LAST, id LIMIT 5
+""")
+def top_n(spark, sf):
+    """L1/Q5."""
+    return R.top_n(listing_base(spark, sf), "estimated_revenue", 5).select("id", "borough", "estimated_revenue")
+
+
+@query("bottom_n", """
+SELECT id, review_scores_rating FROM listing_base
+ORDER BY review_scores_rating ASC NULLS LAST, id LIMIT 20
+""")
+def bottom_n(spark, sf):
+    """L1 ascending, n above the cap of 20."""
+    return R.top_n(listing_base(spark, sf), "review_scores_rating", 50, ascending=True).select(
+        "id", "review_scores_rating")
+
+
+@query("top_groups", """
+SELECT neighbourhood, quantile_cont(price_numeric, 0.5) AS median_price FROM listing_base
+WHERE neighbourhood IS NOT NULL GROUP BY neighbourhood ORDER BY median_price DESC, neighbourhood LIMIT 10
+""")
+def top_groups(spark, sf):
+    """L2."""
+    g = R.group_agg(listing_base(spark, sf), "neighbourhood", F.median("price_numeric").alias("median_price"))
+    return g.orderBy(F.desc("median_price"), "neighbourhood").limit(10)
+
+
+@query("head_complete_rows", """
+SELECT ref_id, domain, latitude, longitude FROM fx_points
+WHERE latitude IS NOT NULL AND longitude IS NOT NULL ORDER BY ref_id LIMIT 200
+""")
+def head_complete_rows(spark, sf):
+    """L3."""
+    return R.drop_missing(catalog.fx_points(spark, sf), ["latitude", "longitude"]).orderBy("ref_id").limit(200)
+
+
+@query("seeded_sample", """
+SELECT id, price_numeric FROM listing_base ORDER BY (id * 7919 + 42 * 104729) % 1000003, id LIMIT 50
+""")
+def seeded_sample(spark, sf):
+    """L4."""
+    return R.seeded_sample(listing_base(spark, sf).select("id", "price_numeric"), 50, 42)
+
+
+@query("distinct_values", """
+SELECT DISTINCT neighbourhood FROM listing_base WHERE neighbourhood IS NOT NULL
+""")
+def distinct_values(spark, sf):
+    """L5."""
+    return R.distinct_values(listing_base(spark, sf), "neighbourhood")
+
+
+# ------------------------------------------------------ sets and reshaping
+
+@query("union_slices", """
+SELECT id, month, price_numeric FROM fx_monthly_prices WHERE month = 4
+UNION ALL SELECT id, month, price_numeric FROM fx_monthly_prices WHERE month = 5
+""")
+def union_slices(spark, sf):
+    """U1."""
+    p = catalog.fx_monthly_prices(spark, sf)
+    return p.filter("month = 4").unionByName(p.filter("month = 5").select("price_numeric", "id", "month"))
+
+
+@query("union_distinct", """
+SELECT room_type AS word FROM fx_listings UNION SELECT property_type FROM fx_listings
+""")
+def union_distinct(spark, sf):
+    """Set union of two word lists."""
+    lst = catalog.fx_listings(spark, sf)
+    return lst.select(F.col("room_type").alias("word")).union(lst.select("property_type")).distinct()
+
+
+@query("except_rows", """
+SELECT id FROM fx_listings EXCEPT SELECT id FROM listing_base
+""")
+def except_rows(spark, sf):
+    """Set difference."""
+    return catalog.fx_listings(spark, sf).select("id").exceptAll(listing_base(spark, sf).select("id")).distinct()
+
+
+_TOPICS = [-1, 0, 1, 2, 3]
+_TNAME = {-1: "t_outlier", 0: "t0", 1: "t1", 2: "t2", 3: "t3"}
+
+
+@query("pivot_counts", "SELECT listing_id, " + ", ".join(
+    f"count(*) FILTER (WHERE topic = {t}) AS {_TNAME[t]}" for t in _TOPICS) + " FROM fx_comment_topics GROUP BY listing_id")
+def pivot_counts(spark, sf):
+    """Topic counts per listing as columns, fill 0."""
+    p = R.pivot_counts(catalog.fx_comment_topics(spark, sf), "listing_id", "topic", _TOPICS)
+    return p.select("listing_id", *[F.col(str(t)).alias(_TNAME[t]) for t in _TOPICS])
+
+
+_ROOMS = ["Shared room", "Hotel room", "Private room", "Entire home/apt"]
+_RNAME = ["shared", "hotel", "private", "entire"]
+
+
+@query("crosstab_share", "SELECT borough, " + ", ".join(
+    f"round(count(*) FILTER (WHERE room_type = '{r}') / count(*), 9) AS {n}" for r, n in zip(_ROOMS, _RNAME))
+    + " FROM listing_base WHERE borough IS NOT NULL GROUP BY borough")
+def crosstab_share(spark, sf):
+    """R2: borough x room type, row-normalised."""
+    lb = listing_base(spark, sf).withColumn("rt", F.regexp_replace(F.lower(F.split("room_type", " ")[0]), "/apt", ""))
+    ct = R.crosstab_share(lb, "borough", "rt", _RNAME)
+    return ct.select("borough", *[F.round(n, 9).alias(n) for n in _RNAME])
+
+
+@query("unpivot_ratios", " UNION ALL ".join(
+    f"SELECT id, '{c}' AS score, {c} AS value FROM listing_base" for c in _SCORES))
+def unpivot_ratios(spark, sf):
+    """R3."""
+    return listing_base(spark, sf).select("id", *_SCORES).unpivot("id", _SCORES, "score", "value")
+
+
+_REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
+def _boro(v):
+    return "boro_" + v.replace(" ", "_")
+
+
+@query("one_hot", "SELECT id, " + ", ".join(
+    f"CAST(coalesce(borough = '{v}', false) AS INTEGER) AS {_boro(v)}" for v in _REGIONS) + " FROM listing_base")
+def one_hot(spark, sf):
+    """One column per value from an explicit list (no data pass)."""
+    oh = R.one_hot(listing_base(spark, sf).select("id", "borough"), "borough", _REGIONS, "boro")
+    return oh.select("id", *[F.col(f"`boro_{v}`").alias(_boro(v)) for v in _REGIONS])
+
+
+@query("un_one_hot", "SELECT id, CASE " + " ".join(
+    f"WHEN borough = '{v}' THEN '{_boro(v)[5:]}'" for v in _REGIONS) + " END AS borough FROM listing_base")
+def un_one_hot(spark, sf):
+    """Name of the first maximal one-hot column, prefix stripped."""
+    from lodgelens.functions import scalar as S
+    oh = one_hot(spark, sf)
+    cols = [_boro(v) for v in _REGIONS]
+    return oh.select("id", S.strip_prefix(S.first_max_label(cols), "boro_").alias("borough"))
+
+
+@query("topic_mass", f"""
+WITH s AS ({_SHARE_SQL.strip()}),
+w AS (SELECT listing_id, """ + ", ".join(
+    f"coalesce(sum(share) FILTER (WHERE topic = {t}), 0) AS {_TNAME[t]}" for t in _TOPICS) + """ FROM s GROUP BY listing_id)
+SELECT listing_id, round(t0 + t1 + t2, 9) AS mass_012,
+       CAST((t0 > 0.2)::INTEGER + (t1 > 0.2)::INTEGER + (t2 > 0.2)::INTEGER + (t3 > 0.2)::INTEGER AS INTEGER) AS n_above
+FROM w
+""")
+def topic_mass(spark, sf):
+    """Row-wise sum and count-above-threshold over topic columns."""
+    from lodgelens.functions import scalar as S
+    s = topic_proportions(spark, sf)
+    wide = s.groupBy("listing_id").pivot("topic", _TOPICS).agg(F.first("share")).fillna(0.0)
+    wide = wide.select("listing_id", *[F.col(str(t)).alias(_TNAME[t]) for t in _TOPICS])
+    return wide.select("listing_id", F.round(S.row_sum(["t0", "t1", "t2"]), 9).alias("mass_012"),
+                       S.row_count_above(["t0", "t1", "t2", "t3"], 0.2).alias("n_above"))
