@@ -27,4 +27,4 @@ def query(key: str, oracle: str | None = None):
 
 
 def load_all() -> None:
-    from lodgelens.plans import suite_relational, suite_scalar  # noqa: F401
+    from lodgelens.plans import suite_relational, suite_scalar, suite_spatial  # noqa: F401
