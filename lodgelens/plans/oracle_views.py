@@ -117,6 +117,16 @@ SELECT o_custkey AS id, CAST(date_trunc('month', o_orderdate) AS DATE) AS snapsh
 FROM orders
 """
 
+VIEWS["fx_arrests"] = """
+SELECT l_orderkey * 10 + l_linenumber AS ref_id, l_returnflag AS offense,
+       CASE l_linenumber % 6 WHEN 0 THEN 'B' WHEN 1 THEN 'M' WHEN 2 THEN 'Q' WHEN 3 THEN 'K' WHEN 4 THEN 'S'
+                             ELSE 'X' END AS boro_letter,
+       CASE WHEN l_orderkey % 23 = 0 THEN NULL
+            ELSE 40.5E0 + ((l_orderkey * 31 + l_linenumber * 7919) % 10007) / 10007E0 * 0.4E0 END AS latitude,
+       -74.2E0 + ((l_orderkey * 17 + l_linenumber * 104729) % 10009) / 10009E0 * 0.5E0 AS longitude
+FROM lineitem
+"""
+
 
 def register(name: str, sql: str) -> None:
     """Add a derived view (must only use views registered before it)."""

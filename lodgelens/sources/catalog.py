@@ -161,3 +161,17 @@ def fx_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("price_numeric"),
         ((F.col("o_orderkey") * 7) % 60).cast("int").alias("minimum_nights"),
     )
+
+
+def fx_arrests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A large point set (one point per line item) for density counts."""
+    li = table(spark, sf_dir, "lineitem")
+    k, ln = F.col("l_orderkey"), F.col("l_linenumber")
+    return li.select(
+        (k * 10 + ln).alias("ref_id"),
+        F.col("l_returnflag").alias("offense"),
+        _case(ln % 6, {0: "B", 1: "M", 2: "Q", 3: "K", 4: "S"}, "X").alias("boro_letter"),
+        F.when(k % 23 == 0, F.lit(None).cast("double")).otherwise(
+            F.lit(40.5) + ((k * 31 + ln * 7919) % 10007) / F.lit(10007.0) * F.lit(0.4)).alias("latitude"),
+        (F.lit(-74.2) + ((k * 17 + ln * 104729) % 10009) / F.lit(10009.0) * F.lit(0.5)).alias("longitude"),
+    )
