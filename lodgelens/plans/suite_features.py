@@ -228,7 +228,7 @@ def listing_level_q(spark, sf):
 SELECT l.id, l.borough, l.room_type, l.neighbourhood, p.month, p.price_numeric
 FROM parsed_listings l JOIN fx_monthly_prices p ON l.id = p.id
 WHERE p.month = 7 AND l.borough IN ('ASIA', 'EUROPE') AND l.room_type IN ('Private room', 'Entire home/apt')
-  AND l.neighbourhood IN ('CHINA', 'FRANCE', 'GERMANY', 'JAPAN')
+  AND l.neighbourhood IN ('NATION_2', 'NATION_3', 'NATION_12', 'NATION_13')
 """)
 def dashboard_filter(spark, sf):
     """Month, boroughs, rooms and optional neighbourhoods."""
@@ -236,4 +236,4 @@ def dashboard_filter(spark, sf):
     l = parsed_listings(spark, sf).select("id", "borough", "room_type", "neighbourhood")
     p = l.join(catalog.fx_monthly_prices(spark, sf), "id")
     return R.dashboard_filter(p, 7, ["ASIA", "EUROPE"], ["Private room", "Entire home/apt"],
-                              ["CHINA", "FRANCE", "GERMANY", "JAPAN"])
+                              ["NATION_2", "NATION_3", "NATION_12", "NATION_13"])
