@@ -237,3 +237,21 @@ def dashboard_filter(spark, sf):
     p = l.join(catalog.fx_monthly_prices(spark, sf), "id")
     return R.dashboard_filter(p, 7, ["ASIA", "EUROPE"], ["Private room", "Entire home/apt"],
                               ["NATION_2", "NATION_3", "NATION_12", "NATION_13"])
+
+
+@query("listing_summary_by_borough", """
+SELECT borough, count(*) AS n, quantile_cont(price_numeric, 0.5) AS median_price,
+       round(avg(review_scores_rating), 6) AS mean_rating, round(avg(dist_subway_km), 6) AS mean_dist_subway_km,
+       round(avg(poi_count_500m), 6) AS mean_poi_500m, round(avg(crime_count_500m), 6) AS mean_crime_500m,
+       round(avg(subway_lines_500m), 6) AS mean_subway_lines
+FROM feature_matrix WHERE borough IS NOT NULL GROUP BY borough
+""")
+def listing_summary_by_borough(spark, sf):
+    """Flagship: the full feature pipeline summarised by borough."""
+    fm = feature_matrix(spark, sf)
+    return R.group_agg(fm, "borough", F.count(F.lit(1)).alias("n"), F.median("price_numeric").alias("median_price"),
+                       F.round(F.avg("review_scores_rating"), 6).alias("mean_rating"),
+                       F.round(F.avg("dist_subway_km"), 6).alias("mean_dist_subway_km"),
+                       F.round(F.avg("poi_count_500m"), 6).alias("mean_poi_500m"),
+                       F.round(F.avg("crime_count_500m"), 6).alias("mean_crime_500m"),
+                       F.round(F.avg("subway_lines_500m"), 6).alias("mean_subway_lines"))
