@@ -139,34 +139,57 @@ def radius_distinct_tokens(left: DataFrame, right: DataFrame, token_col: str, ra
     return pairs.groupBy(left_id).agg(F.count_distinct("_tok").cast("int").alias(out))
 
 
+def lat_bound(*pairs) -> float:
+    """Largest |latitude| over several (DataFrame, lat column) pairs, in one
+    aggregate job per table; pass it as ``max_abs_lat`` to reuse it."""
+    return _max_abs_lat(*pairs)
+
+
 def nearest(left: DataFrame, right: DataFrame, *, right_id="ref_id", attrs: list[str] | None = None,
-            left_id="id", lat="latitude", lon="longitude", start_radius_km: float = 1.0,
-            growth: float = 4.0, **kw) -> DataFrame:
+            left_id="id", lat="latitude", lon="longitude", start_radius_km: float = 0.25,
+            growth: float = 4.0, max_abs_lat: float | None = None, **kw) -> DataFrame:
     """Distance to, id and attributes of the nearest reference point.
 
     Ties go to the smallest ``right_id``.  Probes with a null coordinate get
     nulls.  Each ring round is a grid join on the still-unresolved probes.
+    The first radius is twice the mean spacing of the reference points (from
+    one aggregate over them, at least ``start_radius_km``), so most probes
+    resolve in the first round.
     """
     attrs = attrs or []
     spark = left.sparkSession
     ensure_checkpoint_dir(spark)
     probes = left.select(left_id, lat, lon)
     valid_right = right.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    max_lat = _max_abs_lat((probes, lat), (valid_right, lat))
-    remaining = probes.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).checkpoint()
+    st = valid_right.agg(F.count(F.lit(1)).alias("n"), F.min(lat).alias("a0"), F.max(lat).alias("a1"),
+                         F.min(lon).alias("o0"), F.max(lon).alias("o1"), F.max(F.abs(F.col(lat))).alias("m")).first()
     results = []
-    r = start_radius_km
-    if not valid_right.isEmpty():
-        while not remaining.isEmpty():
+    if st["n"]:
+        if max_abs_lat is None:
+            max_abs_lat = max(_max_abs_lat((probes, lat)), float(st["m"]))
+        km_lat = (st["a1"] - st["a0"]) * 111.2
+        km_lon = (st["o1"] - st["o0"]) * 111.2 * math.cos(math.radians(min(float(st["m"]), MAX_ABS_LAT)))
+        area = max(km_lat, 1e-3) * max(km_lon, 1e-3)
+        r = max(start_radius_km, 2.0 * math.sqrt(area / (math.pi * st["n"])))
+        remaining = probes.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+        while True:
             pairs = candidate_pairs(remaining, valid_right, r, left_id=left_id, lat=lat, lon=lon,
-                                    right_cols=[right_id] + attrs, max_abs_lat=max_lat, **kw)
+                                    right_cols=[right_id] + attrs, max_abs_lat=max_abs_lat, **kw)
             best = pairs.groupBy(left_id).agg(F.min_by(F.struct(F.col("dist_km"), F.col(right_id), *attrs),
                                                        F.struct(F.col("dist_km"), F.col(right_id))).alias("_b"))
-            best = best.select(left_id, "_b.*").checkpoint()
-            results.append(best)
-            remaining = remaining.join(best.select(left_id), left_id, "left_anti").checkpoint()
+            best = best.select(left_id, "_b.*")
             if r >= math.pi * EARTH_RADIUS_KM:
+                results.append(best)
+                break
+            left_over = remaining.join(best.select(left_id), left_id, "left_anti")
+            if left_over.isEmpty():
+                # common case: one ring resolved every probe; stays lazy
+                results.append(best)
                 break
+            # another ring is needed: freeze this round (shared folder) so
+            # the next round does not recompute it
+            results.append(best.checkpoint())
+            remaining = left_over.checkpoint()
             r *= growth
     found = None
     for b in results:

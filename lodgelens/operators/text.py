@@ -101,28 +101,41 @@ def ngrams_1_2(tok: Column) -> Column:
     return F.concat(tok, F.when(F.size(tok) >= 2, bigrams(tok)).otherwise(F.array().cast("array<string>")))
 
 
-def document_frequency(df: DataFrame, doc: str, terms: str) -> DataFrame:
-    """Number of documents per term and total occurrences."""
-    ex = df.select(doc, F.explode(terms).alias("term"))
-    per = ex.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
+def doc_terms(df: DataFrame, doc: str, terms: str, keys: list[str] | None = None) -> DataFrame:
+    """(doc, keys..., term, n): one row per distinct term of a document.
 
+    Build it once per corpus: vocabulary, bag of words, class TF-IDF and
+    coherence all derive from it, so the tokeniser runs once and the shuffle
+    is shared (Spark reuses the identical exchange); at scale write it to the
+    shared folder and reuse the table.
+    """
+    keys = list(keys or [])
+    ex = df.select(doc, *keys, F.explode(terms).alias("term"))
+    return ex.groupBy(doc, *keys, "term").agg(F.count(F.lit(1)).alias("n"))
 
-def vocabulary(df: DataFrame, doc: str, terms: str, no_below: int, no_above: float) -> DataFrame:
+
+def vocabulary_from(dt: DataFrame, doc: str, no_below: int, no_above: float) -> DataFrame:
     """Terms in at least ``no_below`` documents and at most a share
-    ``no_above`` of documents (documents without terms not counted)."""
-    d = df.filter(F.size(terms) > 0)
-    n_docs = d.agg(F.count(F.lit(1)).alias("_nd"))
-    dfreq = document_frequency(d, doc, terms)
+    ``no_above`` of the documents that have terms."""
+    n_docs = dt.select(doc).distinct().agg(F.count(F.lit(1)).alias("_nd"))
+    dfreq = dt.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
     return dfreq.crossJoin(F.broadcast(n_docs)).filter(
         (F.col("df") >= no_below) & (F.col("df") <= F.col("_nd") * no_above)).drop("_nd")
 
 
-def bag_of_words(df: DataFrame, doc: str, terms: str, vocab: DataFrame) -> DataFrame:
+def vocabulary(df: DataFrame, doc: str, terms: str, no_below: int, no_above: float) -> DataFrame:
+    """X9 from a table of term arrays."""
+    return vocabulary_from(doc_terms(df, doc, terms), doc, no_below, no_above)
+
+
+def bag_of_words_from(dt: DataFrame, doc: str, vocab: DataFrame) -> DataFrame:
     """(doc, term, count) over the vocabulary; empty documents drop out."""
-    ex = df.select(doc, F.explode(terms).alias("term"))
-    return ex.join(vocab.select("term"), "term", "left_semi").groupBy(doc, "term").agg(
-        F.count(F.lit(1)).alias("count"))
+    return dt.join(vocab.select("term"), "term", "left_semi").select(doc, "term", F.col("n").alias("count"))
+
+
+def bag_of_words(df: DataFrame, doc: str, terms: str, vocab: DataFrame) -> DataFrame:
+    """X10 from a table of term arrays."""
+    return bag_of_words_from(doc_terms(df, doc, terms), doc, vocab)
 
 
 def char_trigrams(c) -> Column:
@@ -133,16 +146,23 @@ def char_trigrams(c) -> Column:
     return F.regexp_extract_all(t, F.lit("(?s)(?=(.{3}))"), 1)
 
 
-def train_language_profiles(df: DataFrame, text: str, lang: str) -> DataFrame:
-    """X3 training: Laplace-smoothed log P(trigram | language) and log prior."""
-    lab = df.filter(F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0))
-    tri = lab.select(lang, F.explode(char_trigrams(text)).alias("tri"))
-    counts = tri.groupBy(lang, "tri").agg(F.count(F.lit(1)).alias("c"))
+def trigram_counts(df: DataFrame, doc: str, text: str, lang: str) -> DataFrame:
+    """(doc, lang, trigram, n) - the one pass over the text that both
+    training and scoring use."""
+    tri = df.select(doc, lang, F.explode(char_trigrams(text)).alias("tri"))
+    return tri.groupBy(doc, lang, "tri").agg(F.count(F.lit(1)).alias("n"))
+
+
+def language_profiles(per: DataFrame, docs: DataFrame, lang: str, text: str) -> DataFrame:
+    """X3 training: Laplace-smoothed log P(trigram | language) (as the gain
+    over the unseen floor), the floor itself and the log prior."""
+    counts = per.filter(F.col(lang).isNotNull()).groupBy(lang, "tri").agg(F.sum("n").alias("c"))
     per_lang = counts.groupBy(lang).agg(F.sum("c").alias("n_lang"))
     vocab = counts.agg(F.count_distinct("tri").alias("v"))
-    docs = lab.groupBy(lang).agg(F.count(F.lit(1)).alias("d"))
-    tot = docs.agg(F.sum("d").alias("dt"))
-    pl = (per_lang.join(docs, lang).crossJoin(F.broadcast(vocab)).crossJoin(F.broadcast(tot))
+    lab = docs.filter(F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0))
+    dcount = lab.groupBy(lang).agg(F.count(F.lit(1)).alias("d"))
+    tot = dcount.agg(F.sum("d").alias("dt"))
+    pl = (per_lang.join(dcount, lang).crossJoin(F.broadcast(vocab)).crossJoin(F.broadcast(tot))
           .select(lang, "n_lang", "v", F.log(F.col("d") / F.col("dt")).alias("log_prior")))
     return counts.join(pl, lang).select(
         lang, "tri", (F.log((F.col("c") + 1) / (F.col("n_lang") + F.col("v")))
@@ -150,23 +170,29 @@ def train_language_profiles(df: DataFrame, text: str, lang: str) -> DataFrame:
         F.log(1 / (F.col("n_lang") + F.col("v"))).alias("unseen"), "log_prior")
 
 
-def detect_language(df: DataFrame, doc: str, text: str, profiles: DataFrame, lang: str = "lang",
+def score_languages(per: DataFrame, docs: DataFrame, doc: str, profiles: DataFrame, lang: str = "lang",
                     out: str = "language") -> DataFrame:
     """X3 scoring: per document, the language with the highest
     log prior + sum of trigram log-probabilities (unseen trigrams get the
-    smoothed floor); empty text -> 'unknown'.  Ties -> smallest language."""
-    tri = df.select(doc, F.explode(char_trigrams(text)).alias("tri"))
-    per = tri.groupBy(doc, "tri").agg(F.count(F.lit(1)).alias("n"))
-    ntot = per.groupBy(doc).agg(F.sum("n").alias("n_tri"))
-    seen = per.join(profiles.select(lang, "tri", "gain"), "tri").groupBy(doc, lang).agg(
+    smoothed floor); documents without any trigram -> 'unknown'.  Ties ->
+    smallest language."""
+    p = per.groupBy(doc, "tri").agg(F.sum("n").alias("n"))
+    ntot = p.groupBy(doc).agg(F.sum("n").alias("n_tri"))
+    seen = p.join(profiles.select(lang, "tri", "gain"), "tri").groupBy(doc, lang).agg(
         F.sum(F.col("n") * F.col("gain")).alias("g"))
     lang_consts = profiles.groupBy(lang).agg(F.first("unseen").alias("unseen"), F.first("log_prior").alias("lp"))
     sc = seen.join(F.broadcast(lang_consts), lang).join(ntot, doc).select(
         doc, lang, (F.col("lp") + F.col("n_tri") * F.col("unseen") + F.col("g")).alias("score"))
     best = sc.groupBy(doc).agg(F.min_by(lang, F.struct(-F.col("score"), F.col(lang))).alias(out))
-    empty = F.length(normalise_ws(text)) == 0
-    return df.select(doc, empty.alias("_e")).join(best, doc, "left").select(
-        doc, F.when(F.col("_e"), F.lit("unknown")).otherwise(F.coalesce(F.col(out), F.lit("unknown"))).alias(out))
+    return docs.select(doc).join(best, doc, "left").select(doc, F.coalesce(F.col(out), F.lit("unknown")).alias(out))
+
+
+def detect_languages(docs: DataFrame, doc: str, text: str, lang: str = "lang", out: str = "language") -> DataFrame:
+    """X3 end to end: train on the labelled rows, score every row, one
+    trigram pass shared by both."""
+    per = trigram_counts(docs, doc, text, lang)
+    prof = language_profiles(per, docs, lang, text)
+    return score_languages(per, docs, doc, prof, lang, out)
 
 
 def sentiment_scores(df: DataFrame, doc: str, text: str, lexicon: DataFrame) -> DataFrame:
@@ -188,12 +214,12 @@ def sentiment_scores(df: DataFrame, doc: str, text: str, lexicon: DataFrame) ->
     return df.select(doc).join(score, doc, "left").select(doc, F.coalesce("s", F.lit(0.0)).alias("sentiment_score"))
 
 
-def ctfidf(df: DataFrame, cls: str, terms: str, top: int = 10) -> DataFrame:
-    """V7: class-based TF-IDF, weight = tf(t, c) * log(1 + A / f(t)) with A the
-    average number of terms per class and f(t) the term's total frequency
-    (Grootendorst 2022); top words per class (ties by word)."""
-    ex = df.select(cls, F.explode(terms).alias("term"))
-    tf = ex.groupBy(cls, "term").agg(F.count(F.lit(1)).alias("tf"))
+def ctfidf(dt: DataFrame, cls: str, top: int = 10) -> DataFrame:
+    """V7: class-based TF-IDF from a doc-term table carrying a class key:
+    weight = tf(t, c) * log(1 + A / f(t)), A the average number of terms per
+    class, f(t) the term's total frequency (Grootendorst 2022); top words per
+    class (ties by word)."""
+    tf = dt.groupBy(cls, "term").agg(F.sum("n").alias("tf"))
     f = tf.groupBy("term").agg(F.sum("tf").alias("f"))
     a = tf.groupBy(cls).agg(F.sum("tf").alias("w")).agg(F.avg("w").alias("A"))
     w = tf.join(f, "term").crossJoin(F.broadcast(a)).withColumn(
@@ -203,13 +229,15 @@ def ctfidf(df: DataFrame, cls: str, terms: str, top: int = 10) -> DataFrame:
         cls, "term", F.col("rank").cast("int").alias("rank"), "weight")
 
 
-def npmi_coherence(docs: DataFrame, doc: str, terms: str, topic_words: DataFrame, topic: str) -> DataFrame:
+def npmi_coherence(dt: DataFrame, doc: str, n_docs: DataFrame, topic_words: DataFrame, topic: str) -> DataFrame:
     """X18 (document variant): mean NPMI over pairs of a topic's top words,
-    probabilities from document co-occurrence.  Only (doc, word) pairs for
-    top words are kept, so the self-join is bounded by top-k^2 per doc."""
-    n = docs.agg(F.count(F.lit(1)).alias("_n"))
+    probabilities from document co-occurrence (``n_docs``: 1-row count of all
+    documents).  Only (doc, word) rows for top words are kept, so the
+    per-document self-join is bounded by the top-word set, not by the
+    document."""
+    n = n_docs.toDF("_n")
     words = topic_words.select("term").distinct()
-    dw = docs.select(doc, F.explode(F.array_distinct(terms)).alias("term")).join(words, "term", "left_semi")
+    dw = dt.select(doc, "term").distinct().join(F.broadcast(words), "term", "left_semi")
     p1 = dw.groupBy("term").agg(F.count(F.lit(1)).alias("d1"))
     tw = topic_words.select(topic, "term")
     pairs = tw.alias("a").join(tw.alias("b"), (F.col(f"a.{topic}") == F.col(f"b.{topic}"))

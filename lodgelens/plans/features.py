@@ -82,18 +82,25 @@ def encoded_listings(lst: DataFrame) -> DataFrame:
 
 
 def spatial_features(probes: DataFrame, stations: DataFrame, points: DataFrame, arrests: DataFrame) -> DataFrame:
-    """J6-J11 for the probe table (id, latitude, longitude)."""
-    subway = G.nearest(probes, stations, attrs=["cbd", "ada"], start_radius_km=0.5).select(
+    """J6-J11 for the probe table (id, latitude, longitude).
+
+    The narrow probe table is checkpointed once (it feeds eight grid joins)
+    and the latitude bound is computed once for all joins.
+    """
+    probes = probes.checkpoint()
+    pts = points.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    lirr = stations.filter(F.col("cbd") == LIRR_FLAG)
+    bound = G.lat_bound((probes, "latitude"), (stations, "latitude"), (pts, "latitude"), (arrests, "latitude"))
+    kw = {"max_abs_lat": bound}
+    subway = G.nearest(probes, stations, attrs=["cbd", "ada"], **kw).select(
         "id", F.col("dist_km").alias("dist_subway_km"), F.col("cbd").alias("nearest_subway_cbd"),
         F.col("ada").alias("nearest_subway_ada"))
-    lines = G.radius_distinct_tokens(probes, stations, "routes", 0.5, "subway_lines_500m")
-    lirr = stations.filter(F.col("cbd") == LIRR_FLAG)
-    lirr_d = G.nearest(probes, lirr, start_radius_km=1.60934).select("id", F.col("dist_km").alias("dist_lirr_km"))
-    lirr_c = G.radius_counts(probes, lirr, {"lirr_count_1mi": 1.60934})
-    pts = points.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    poi = G.radius_counts(probes, pts, {"poi_count_500m": 0.5, "poi_count_1km": 1.0})
-    tour = G.radius_counts(probes, pts.filter(F.col("domain").isin(TOURIST_DOMAINS)), {"tourist_poi_500m": 0.5})
-    crime = G.radius_counts(probes, arrests, {"crime_count_500m": 0.5})
+    lines = G.radius_distinct_tokens(probes, stations, "routes", 0.5, "subway_lines_500m", **kw)
+    lirr_d = G.nearest(probes, lirr, **kw).select("id", F.col("dist_km").alias("dist_lirr_km"))
+    lirr_c = G.radius_counts(probes, lirr, {"lirr_count_1mi": 1.60934}, **kw)
+    poi = G.radius_counts(probes, pts, {"poi_count_500m": 0.5, "poi_count_1km": 1.0}, **kw)
+    tour = G.radius_counts(probes, pts.filter(F.col("domain").isin(TOURIST_DOMAINS)), {"tourist_poi_500m": 0.5}, **kw)
+    crime = G.radius_counts(probes, arrests, {"crime_count_500m": 0.5}, **kw)
     out = reduce(lambda a, b: a.join(b, "id"), [subway, lines, lirr_d, lirr_c, poi, tour, crime])
     return out.withColumn("near_subway", (F.col("dist_subway_km") <= 0.5).cast("int"))
 

@@ -12,7 +12,7 @@ from lodgelens.operators import text as T
 from lodgelens.plans import oracle_views as V
 from lodgelens.plans.registry import query
 from lodgelens.sources import catalog
-from lodgelens.sources.tables import table
+from lodgelens.sources.tables import spread, table
 
 _STOPS_SQL = "[" + ", ".join(f"'{s}'" for s in T.CUSTOM_STOPS) + "]"
 _CLEAN_SQL = ("trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({c}, '')), "
@@ -40,7 +40,7 @@ V.register("txt_lexicon", f"SELECT term AS word, CAST({_LEX_SQL} AS DOUBLE) AS p
 
 
 def cleaned(spark, sf):
-    return catalog.fx_comments(spark, sf).select("review_id", "listing_id", "language",
+    return spread(catalog.fx_comments(spark, sf)).select("review_id", "listing_id", "language",
                                                  T.clean_text("comments").alias("clean"))
 
 
@@ -48,9 +48,14 @@ def tokenised(spark, sf):
     return cleaned(spark, sf).select("review_id", "listing_id", "language", T.tokens("clean").alias("toks"))
 
 
-def vocab(spark, sf):
-    d = tokenised(spark, sf).filter(F.col("language") == "en")
-    return T.vocabulary(d, "review_id", "toks", 5, 0.5)
+def doc_terms(spark, sf):
+    """The shared (review, listing, language, term, n) table."""
+    return T.doc_terms(tokenised(spark, sf), "review_id", "toks", ["listing_id", "language"])
+
+
+def vocab(spark, sf, dt=None):
+    dt = doc_terms(spark, sf) if dt is None else dt
+    return T.vocabulary_from(dt.filter(F.col("language") == "en"), "review_id", 5, 0.5)
 
 
 def lexicon(spark, sf):
@@ -110,8 +115,8 @@ SELECT review_id, term, count(*) AS count FROM e WHERE term IN (SELECT term FROM
 """)
 def bag_of_words(spark, sf):
     """X10."""
-    d = tokenised(spark, sf).filter(F.col("language") == "en")
-    return T.bag_of_words(d, "review_id", "toks", vocab(spark, sf))
+    dt = doc_terms(spark, sf)
+    return T.bag_of_words_from(dt.filter(F.col("language") == "en"), "review_id", vocab(spark, sf, dt))
 
 
 @query("ngram_counts", f"""
@@ -126,7 +131,7 @@ HAVING count(*) >= 5 AND count(*) <= (SELECT count(*) FROM d) * 0.5
 def ngram_counts(spark, sf):
     """X11: unigrams + bigrams, min 5 documents, max 50 % of documents."""
     d = tokenised(spark, sf).filter(F.col("language") == "en").select("review_id", T.ngrams_1_2(F.col("toks")).alias("g"))
-    return T.vocabulary(d, "review_id", "g", 5, 0.5)
+    return T.vocabulary_from(T.doc_terms(d, "review_id", "g"), "review_id", 5, 0.5)
 
 
 @query("token_docs", """
@@ -196,9 +201,8 @@ FROM documents d LEFT JOIN best ON d.doc_id = best.doc_id
 def detect_language(spark, sf):
     """Character-trigram naive Bayes trained on the labelled documents,
     applied to every document."""
-    docs = table(spark, sf, "documents")
-    prof = T.train_language_profiles(docs, "text", "lang")
-    pred = T.detect_language(docs, "doc_id", "text", prof)
+    docs = spread(table(spark, sf, "documents"))
+    pred = T.detect_languages(docs, "doc_id", "text", "lang")
     return docs.select("doc_id", "lang").join(pred, "doc_id")
 
 
@@ -320,9 +324,9 @@ SELECT cls, term, CAST(rank AS INTEGER) AS rank, weight FROM r WHERE rank <= 10
 """)
 
 
-def ctfidf_table(spark, sf):
-    t = tokenised(spark, sf).withColumnRenamed("language", "cls")
-    return T.ctfidf(t, "cls", "toks", 10)
+def ctfidf_table(spark, sf, dt=None):
+    dt = doc_terms(spark, sf) if dt is None else dt
+    return T.ctfidf(dt.withColumnRenamed("language", "cls"), "cls", 10)
 
 
 @query("ctfidf_words", "SELECT cls, term, rank, round(weight, 9) AS weight FROM txt_ctfidf")
@@ -372,6 +376,7 @@ FROM j GROUP BY cls
 """)
 def topic_coherence(spark, sf):
     """Document-level NPMI coherence of each class's top words."""
-    t = tokenised(spark, sf)
-    co = T.npmi_coherence(t, "review_id", "toks", ctfidf_table(spark, sf), "cls")
+    dt = doc_terms(spark, sf)
+    n_docs = catalog.fx_comments(spark, sf).agg(F.count(F.lit(1)))
+    co = T.npmi_coherence(dt, "review_id", n_docs, ctfidf_table(spark, sf, dt), "cls")
     return co.withColumn("coherence", F.round("coherence", 9))
