@@ -255,3 +255,16 @@ def listing_summary_by_borough(spark, sf):
                        F.round(F.avg("poi_count_500m"), 6).alias("mean_poi_500m"),
                        F.round(F.avg("crime_count_500m"), 6).alias("mean_crime_500m"),
                        F.round(F.avg("subway_lines_500m"), 6).alias("mean_subway_lines"))
+
+
+@query("stack_months", """
+SELECT l.id, p.month, l.accommodates, p.price_numeric, s.seasonal_index, ln(1 + p.price_numeric) AS log_price
+FROM listing_base l JOIN fx_monthly_prices p ON l.id = p.id JOIN season_idx s ON p.month = s.month
+WHERE p.month BETWEEN 4 AND 11 AND p.price_numeric IS NOT NULL AND p.price_numeric > 0 AND p.price_numeric <= 2000
+""")
+def stack_months_q(spark, sf):
+    """One join of features x monthly prices x the month's index."""
+    from lodgelens.plans.listing_tables import listing_base
+    feats = listing_base(spark, sf).select("id", "accommodates", "price_numeric")
+    return FE.stack_months(feats, catalog.fx_monthly_prices(spark, sf), season(spark, sf)).select(
+        "id", "month", "accommodates", "price_numeric", "seasonal_index", "log_price")

@@ -724,3 +724,19 @@ def topic_mass(spark, sf):
     wide = wide.select("listing_id", *[F.col(str(t)).alias(_TNAME[t]) for t in _TOPICS])
     return wide.select("listing_id", F.round(S.row_sum(["t0", "t1", "t2"]), 9).alias("mass_012"),
                        S.row_count_above(["t0", "t1", "t2", "t3"], 0.2).alias("n_above"))
+
+
+@query("topic_diversity", f"""
+WITH s AS ({_SHARE_SQL.strip()}),
+w AS (SELECT listing_id, """ + ", ".join(
+    f"coalesce(sum(share) FILTER (WHERE topic = {t}), 0) AS {_TNAME[t]}" for t in _TOPICS) + """ FROM s GROUP BY listing_id)
+SELECT listing_id, CAST((t0 > 0.05)::INTEGER + (t1 > 0.05)::INTEGER + (t2 > 0.05)::INTEGER + (t3 > 0.05)::INTEGER
+       AS INTEGER) AS n_topics_above_5pct FROM w
+""")
+def topic_diversity(spark, sf):
+    """Number of topics above 5 % per listing."""
+    from lodgelens.functions import scalar as S
+    s = topic_proportions(spark, sf)
+    wide = s.groupBy("listing_id").pivot("topic", _TOPICS).agg(F.first("share")).fillna(0.0)
+    wide = wide.select("listing_id", *[F.col(str(t)).alias(_TNAME[t]) for t in _TOPICS])
+    return wide.select("listing_id", S.row_count_above(["t0", "t1", "t2", "t3"], 0.05).alias("n_topics_above_5pct"))

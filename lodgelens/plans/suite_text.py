@@ -380,3 +380,52 @@ def topic_coherence(spark, sf):
     n_docs = catalog.fx_comments(spark, sf).agg(F.count(F.lit(1)))
     co = T.npmi_coherence(dt, "review_id", n_docs, ctfidf_table(spark, sf, dt), "cls")
     return co.withColumn("coherence", F.round("coherence", 9))
+
+
+@query("listing_sentiment", "SELECT listing_id, num_reviews, segment, " + ", ".join(
+    f"round({c}, 9) AS {c}" for c in _LS_COLS) + " FROM txt_listing_sentiment")
+def listing_sentiment_q(spark, sf):
+    """Named per-listing sentiment aggregates with label ratios."""
+    return sentiment_segments(spark, sf)
+
+
+@query("determinants", f"""
+SELECT id AS listing_id, round(avg(review_scores_cleanliness), 9) AS cleaning_score,
+       round(avg(review_scores_communication), 9) AS communication_score,
+       round(avg(review_scores_location), 9) AS location_score,
+       max(coalesce(CASE WHEN json_valid(amenities) THEN CAST(json_array_length(amenities) AS INTEGER) END, 0)) AS amenities,
+       quantile_cont({_DET_ROOM}, 0.5) AS room_type,
+       quantile_cont(CASE instant_bookable WHEN 't' THEN 1 WHEN 'f' THEN 0 END, 0.5) AS instant_bookable,
+       round(avg(TRY_CAST(trim(replace(host_response_rate, '%', '')) AS DOUBLE) / 100E0), 9) AS response_rate
+FROM fx_listings GROUP BY id
+""")
+def determinants(spark, sf):
+    """Mixed mean / max / median aggregate per listing."""
+    lst = catalog.fx_listings(spark, sf)
+    return lst.groupBy(F.col("id").alias("listing_id")).agg(
+        F.round(F.avg("review_scores_cleanliness"), 9).alias("cleaning_score"),
+        F.round(F.avg("review_scores_communication"), 9).alias("communication_score"),
+        F.round(F.avg("review_scores_location"), 9).alias("location_score"),
+        F.max(S.json_array_len("amenities")).alias("amenities"),
+        F.median(S.lookup("room_type", S.ROOM_TYPE_DETERMINANT_MAP)).alias("room_type"),
+        F.median(S.tf_map("instant_bookable")).alias("instant_bookable"),
+        F.round(F.avg(S.parse_percent("host_response_rate")), 9).alias("response_rate"))
+
+
+_SEL_LISTINGS = ["src1", "src3", "src7", "src99"]
+_RATIOS = ["positive_ratio", "negative_ratio", "neutral_ratio"]
+
+
+@query("sentiment_breakdown", "WITH sel AS (SELECT * FROM (VALUES " + ", ".join(f"('{x}')" for x in _SEL_LISTINGS)
+       + ") t(listing_id)),\nj AS (SELECT sel.listing_id, s.listing_id IS NULL AS no_data, " + ", ".join(
+           f"coalesce(s.{c}, 0.0) AS {c}" for c in _RATIOS)
+       + " FROM sel LEFT JOIN txt_listing_sentiment s ON sel.listing_id = s.listing_id)\n" + " UNION ALL ".join(
+           f"SELECT listing_id, no_data, '{c}' AS ratio, round({c}, 9) AS value FROM j" for c in _RATIOS))
+def sentiment_breakdown(spark, sf):
+    """Q21: sentiment ratios of selected listings, long form; listings with no
+    reviews are kept with zeros and flagged (J5)."""
+    sel = spark.createDataFrame([(x,) for x in _SEL_LISTINGS], "listing_id string")
+    ls = listing_sentiment(spark, sf).select("listing_id", *_RATIOS).withColumn("_has", F.lit(True))
+    j = sel.join(ls, "listing_id", "left").select(
+        "listing_id", F.col("_has").isNull().alias("no_data"), *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in _RATIOS])
+    return j.unpivot(["listing_id", "no_data"], _RATIOS, "ratio", "value").withColumn("value", F.round("value", 9))
