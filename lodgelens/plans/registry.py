@@ -27,4 +27,4 @@ def query(key: str, oracle: str | None = None):
 
 
 def load_all() -> None:
-    from lodgelens.plans import suite_relational, suite_scalar, suite_spatial, suite_features, suite_questions, suite_quality, suite_model, suite_text, suite_topics, suite_streaming, suite_ml  # noqa: F401
+    from lodgelens.plans import suite_relational, suite_scalar, suite_spatial, suite_features, suite_questions, suite_quality, suite_model, suite_text, suite_topics, suite_streaming, suite_ml, suite_extra  # noqa: F401
