@@ -74,6 +74,14 @@ def tokens(c, stops: list[str] | None = None, min_len: int = 3) -> Column:
     return F.filter(raw, lambda t: (F.length(t) >= min_len) & ~F.array_contains(st, t))
 
 
+def explode_terms(arr, alias: str = "term"):
+    """Rows for the elements of an array column, without the inferred
+    ``size(arr) > 0`` filter that Catalyst adds under a plain ``explode``
+    (that filter would re-run the whole tokeniser a second time): an outer
+    explode keeps empty arrays as one null row, dropped right after."""
+    return F.explode_outer(arr).alias(alias)
+
+
 def lemmatise(df: DataFrame, doc: str, tok_col: str, lemmas: DataFrame | None) -> DataFrame:
     """Optional lemma mapping from a caller-supplied (form, lemma) table."""
     if lemmas is None:
@@ -110,7 +118,7 @@ def doc_terms(df: DataFrame, doc: str, terms: str, keys: list[str] | None = None
     shared folder and reuse the table.
     """
     keys = list(keys or [])
-    ex = df.select(doc, *keys, F.explode(terms).alias("term"))
+    ex = df.select(doc, *keys, explode_terms(terms)).filter(F.col("term").isNotNull())
     return ex.groupBy(doc, *keys, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -149,7 +157,7 @@ def char_trigrams(c) -> Column:
 def trigram_counts(df: DataFrame, doc: str, text: str, lang: str) -> DataFrame:
     """(doc, lang, trigram, n) - the one pass over the text that both
     training and scoring use."""
-    tri = df.select(doc, lang, F.explode(char_trigrams(text)).alias("tri"))
+    tri = df.select(doc, lang, explode_terms(char_trigrams(text), "tri")).filter(F.col("tri").isNotNull())
     return tri.groupBy(doc, lang, "tri").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -176,7 +184,8 @@ def score_languages(per: DataFrame, docs: DataFrame, doc: str, profiles: DataFra
     log prior + sum of trigram log-probabilities (unseen trigrams get the
     smoothed floor); documents without any trigram -> 'unknown'.  Ties ->
     smallest language."""
-    p = per.groupBy(doc, "tri").agg(F.sum("n").alias("n"))
+    # (doc, tri) is already unique in ``per`` (one language tag per document)
+    p = per.select(doc, "tri", "n")
     ntot = p.groupBy(doc).agg(F.sum("n").alias("n_tri"))
     seen = p.join(profiles.select(lang, "tri", "gain"), "tri").groupBy(doc, lang).agg(
         F.sum(F.col("n") * F.col("gain")).alias("g"))
@@ -203,9 +212,10 @@ def sentiment_scores(df: DataFrame, doc: str, text: str, lexicon: DataFrame) ->
     """
     toks = F.filter(F.split(_c(text), " "), lambda t: t != "")
     d = df.select(doc, toks.alias("_t"))
-    ex = d.select(doc, F.posexplode("_t").alias("pos", "word"),
+    ex = d.select(doc, F.posexplode_outer("_t").alias("pos", "word"),
                   F.col("_t")).select(doc, "pos", "word",
-                                      F.when(F.col("pos") > 0, F.element_at("_t", F.col("pos"))).alias("prev"))
+                                      F.when(F.col("pos") > 0, F.element_at("_t", F.col("pos"))).alias("prev")
+                                      ).filter(F.col("word").isNotNull())
     inten = F.create_map(*[F.lit(x) for kv in INTENSIFIERS.items() for x in kv])
     hit = ex.join(lexicon.select(F.col("word"), F.col("polarity")), "word")
     adj = F.col("polarity") * F.when(F.col("prev").isin(NEGATORS), F.lit(-0.5)).otherwise(

@@ -67,7 +67,8 @@ def stream_avg_embedding(spark: SparkSession, src_glob: str, schema: str) -> Dat
 def stream_vocabulary(spark: SparkSession, src_glob: str, schema: str, lang: str = "en") -> DataFrame:
     """Running document frequency per term."""
     s = spark.readStream.schema(schema).parquet(src_glob).filter(F.col("lang") == lang)
-    terms = s.select("doc_id", F.explode(F.array_distinct(T.tokens(T.clean_text("text")))).alias("term"))
+    terms = s.select("doc_id", T.explode_terms(F.array_distinct(T.tokens(T.clean_text("text"))))).filter(
+        F.col("term").isNotNull())
     agg = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def build(out, ckpt):
