@@ -17,7 +17,7 @@ def kpi_row(preds: DataFrame, season: DataFrame, month: int) -> DataFrame:
     """Q12: n, median listed, median predicted, delta and its label, index."""
     k = preds.agg(F.count(F.lit(1)).alias("n"), F.median("price_numeric").alias("median_listed"),
                   F.median("pred_price").alias("median_pred"))
-    idx = season.filter(F.col("month") == month).select("seasonal_index")
+    idx = season.filter(F.col("month") == month).agg(F.max("seasonal_index").alias("seasonal_index"))
     delta = F.col("median_pred") - F.col("median_listed")
     return k.crossJoin(F.broadcast(idx)).select(
         "n", F.round("median_listed", 6).alias("median_listed"), F.round("median_pred", 6).alias("median_pred"),
