@@ -156,6 +156,8 @@ def cross_validate(train: DataFrame, features: list[str], k: int = 5, seed: int
     """M4: k folds by id hash; each fold trains with the fold's rows as the
     early-stopping validation set and is scored on them.  Returns the fold
     metric table (one small aggregate per fold, unioned) and tree counts."""
+    from lodgelens.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(train.sparkSession)
     data = assemble(train, features).withColumn("_fold", fold_of("id", k, seed)).checkpoint()
     rows, n_trees = [], []
     for f in range(k):

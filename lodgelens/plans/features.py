@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lodgelens.functions import scalar as S
 from lodgelens.operators import relational as R
 from lodgelens.operators import spatial as G
+from lodgelens.session import ensure_checkpoint_dir
 from lodgelens.sources import catalog
 
 REVIEW_COLS = ["review_scores_rating", "review_scores_accuracy", "review_scores_cleanliness",
@@ -87,6 +88,7 @@ def spatial_features(probes: DataFrame, stations: DataFrame, points: DataFrame,
     The narrow probe table is checkpointed once (it feeds eight grid joins)
     and the latitude bound is computed once for all joins.
     """
+    ensure_checkpoint_dir(probes.sparkSession)
     probes = probes.checkpoint()
     pts = points.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     lirr = stations.filter(F.col("cbd") == LIRR_FLAG)

@@ -9,17 +9,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import functools
+
 from lodgelens.plans.oracle_views import with_views
+from lodgelens.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _with_checkpoint_dir(fn: Callable) -> Callable:
+    """Iterative queries cut lineage with checkpoint(): make sure the session
+    names a checkpoint folder (the cluster's setting is used when present)."""
+    @functools.wraps(fn)
+    def run(spark, sf_dir):
+        ensure_checkpoint_dir(spark)
+        return fn(spark, sf_dir)
+    return run
+
+
 def query(key: str, oracle: str | None = None):
     def deco(fn: Callable) -> Callable:
         if key in QUERIES:
             raise ValueError(f"duplicate key {key}")
-        QUERIES[key] = fn
+        QUERIES[key] = _with_checkpoint_dir(fn)
         if oracle is not None:
             ORACLES[key] = with_views(oracle)
         return fn
