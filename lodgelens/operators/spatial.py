@@ -68,50 +68,82 @@ def _cell(lat: str, lon: str, dlat: float, dlon: float) -> tuple[Column, Column]
 def candidate_pairs(left: DataFrame, right: DataFrame, radius_km: float, *, left_id="id",
                     lat="latitude", lon="longitude", right_cols: list[str] | None = None,
                     how: str = "inner", max_abs_lat: float | None = None,
-                    salt: int = 16, hot_fraction: float = 0.01) -> DataFrame:
+                    salt: int = 16, hot_fraction: float = 0.01, replicate: str = "auto") -> DataFrame:
     """All (left, right) pairs within ``radius_km`` (haversine, inclusive).
 
     ``left`` needs ``left_id, lat, lon``; ``right`` needs ``lat, lon`` plus
-    ``right_cols``.  Output: left columns + ``right_cols`` + ``dist_km``.  With
-    ``how='left'`` probes without any partner are kept once with nulls.
-    Rows with a null coordinate never match (and are kept with ``how='left'``).
+    ``right_cols``.  Output: left columns + ``right_cols`` + ``dist_km``.
+    One side is replicated to the 3x3 cell block (``replicate``: 'left',
+    'right', or 'auto' = the side with fewer rows, decided by two counts);
+    the other stays in its own cell and is the one salted in hot cells.
+    With ``how='left'`` every left row appears at least once (with nulls when
+    it has no partner; when the left side is the replicated one an unmatched
+    row can appear once per cell copy) - callers aggregate per left id.
+    Rows with a null coordinate never match.
     """
     right_cols = right_cols or []
-    if max_abs_lat is None:
-        max_abs_lat = _max_abs_lat((left, lat), (right, lat))
-    dlat, dlon = cell_size(radius_km, max_abs_lat)
-    gy, gx = _cell(lat, lon, dlat, dlon)
-    L = left.select(*left.columns, gy, gx)
-    Rt = right.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
-        F.col(lat).alias("_rlat"), F.col(lon).alias("_rlon"), *right_cols,
-        F.floor(F.col(lat) / dlat).alias("_cy"), F.floor(F.col(lon) / dlon).alias("_cx"))
-    offs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    Rt = Rt.select("*", F.explode(offs).alias("_o")).select(
-        *[c for c in Rt.columns if c not in ("_cy", "_cx")],
-        (F.col("_cy") + F.col("_o.a")).alias("_gy_r"), (F.col("_cx") + F.col("_o.b")).alias("_gx_r"))
     overlap = set(right_cols) & set(left.columns)
     if overlap:
         raise ValueError(f"rename right columns first: {sorted(overlap)}")
+    valid_right = right.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    if max_abs_lat is None:
+        max_abs_lat = _max_abs_lat((left, lat), (valid_right, lat))
+    if replicate == "auto":
+        replicate = "left" if left.count() < valid_right.count() else "right"
+    dlat, dlon = cell_size(radius_km, max_abs_lat)
+    offs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+
+    L = left.select(*left.columns, F.floor(F.col(lat) / dlat).alias("_cy"), F.floor(F.col(lon) / dlon).alias("_cx"))
+    Rt = valid_right.select(F.col(lat).alias("_rlat"), F.col(lon).alias("_rlon"), *right_cols,
+                            F.floor(F.col(lat) / dlat).alias("_cy_r"), F.floor(F.col(lon) / dlon).alias("_cx_r"))
+
+    def blocks(df, cy, cx, gy, gx):
+        return df.select("*", F.explode(offs).alias("_o")).select(
+            *[c for c in df.columns if c not in (cy, cx)],
+            (F.col(cy) + F.col("_o.a")).alias(gy), (F.col(cx) + F.col("_o.b")).alias(gx))
+
+    if replicate == "right":
+        L = L.withColumnRenamed("_cy", "_gy").withColumnRenamed("_cx", "_gx")
+        Rt = blocks(Rt, "_cy_r", "_cx_r", "_gy_r", "_gx_r")
+        stay, stay_keys, stay_hash = "L", ("_gy", "_gx"), F.xxhash64(F.col(left_id))
+    else:
+        L = blocks(L, "_cy", "_cx", "_gy", "_gx")
+        Rt = Rt.withColumnRenamed("_cy_r", "_gy_r").withColumnRenamed("_cx_r", "_gx_r")
+        stay, stay_keys = "R", ("_gy_r", "_gx_r")
+        stay_hash = F.xxhash64(F.col("_rlat"), F.col("_rlon"), *[F.col(c) for c in right_cols])
 
     keys = [("_gy", "_gy_r"), ("_gx", "_gx_r")]
     if salt and salt > 1:
-        # hot cells: at most 1/hot_fraction of them exist, so the list is small
-        n_total = L.agg(F.count(F.lit(1)).alias("_n"))
-        hot = (L.filter(F.col("_gy").isNotNull()).groupBy("_gy", "_gx").agg(F.count(F.lit(1)).alias("_c"))
+        # hot cells of the non-replicated side: at most 1/hot_fraction exist,
+        # so the list has a proven bound and is broadcast
+        sdf = L if stay == "L" else Rt
+        n_total = sdf.agg(F.count(F.lit(1)).alias("_n"))
+        hot = (sdf.filter(F.col(stay_keys[0]).isNotNull()).groupBy(*stay_keys).agg(F.count(F.lit(1)).alias("_c"))
                .crossJoin(F.broadcast(n_total)).filter(F.col("_c") > F.col("_n") * hot_fraction)
-               .select("_gy", "_gx", F.lit(True).alias("_hot")))
-        L = (L.join(F.broadcast(hot), ["_gy", "_gx"], "left")
-             .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(F.col(left_id)), F.lit(salt)))
-                         .otherwise(F.lit(0)).cast("int")).drop("_hot"))
-        hot_r = hot.select(F.col("_gy").alias("_gy_r"), F.col("_gx").alias("_gx_r"), "_hot")
-        Rt = (Rt.join(F.broadcast(hot_r), ["_gy_r", "_gx_r"], "left")
-              .withColumn("_salt_r", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt - 1)))
-                                               .otherwise(F.array(F.lit(0))))).drop("_hot"))
+               .select(F.col(stay_keys[0]).alias("_hy"), F.col(stay_keys[1]).alias("_hx"), F.lit(True).alias("_hot")))
+
+        def mark(df, ky, kx):
+            return df.join(F.broadcast(hot), (F.col(ky) == F.col("_hy")) & (F.col(kx) == F.col("_hx")), "left") \
+                .drop("_hy", "_hx")
+
+        if stay == "L":
+            L = mark(L, "_gy", "_gx").withColumn(
+                "_salt", F.when(F.col("_hot"), F.pmod(stay_hash, F.lit(salt))).otherwise(F.lit(0)).cast("int")
+            ).drop("_hot")
+            Rt = mark(Rt, "_gy_r", "_gx_r").withColumn(
+                "_salt_r", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt - 1)))
+                                     .otherwise(F.array(F.lit(0))))).drop("_hot")
+        else:
+            Rt = mark(Rt, "_gy_r", "_gx_r").withColumn(
+                "_salt_r", F.when(F.col("_hot"), F.pmod(stay_hash, F.lit(salt))).otherwise(F.lit(0)).cast("int")
+            ).drop("_hot")
+            L = mark(L, "_gy", "_gx").withColumn(
+                "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt - 1)))
+                                   .otherwise(F.array(F.lit(0))))).drop("_hot")
         keys.append(("_salt", "_salt_r"))
 
     dist = haversine_km(F.col(lat), F.col(lon), F.col("_rlat"), F.col("_rlon"))
-    cond = [F.col(a) == F.col(b) for a, b in keys]
-    cond = reduce(lambda x, y: x & y, cond)
+    cond = reduce(lambda x, y: x & y, [F.col(a) == F.col(b) for a, b in keys])
     joined = L.join(Rt, on=cond & (dist <= F.lit(radius_km)), how=how)
     return joined.select(*left.columns, *right_cols,
                          F.when(F.col("_rlat").isNotNull(), dist).alias("dist_km"))

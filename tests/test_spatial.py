@@ -28,14 +28,17 @@ def test_radius_counts_and_nearest(spark):
     right = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(ra, ro))],
                                   "ref_id long, latitude double, longitude double")
     d = _hav(la[:, None], lo[:, None], ra[None, :], ro[None, :])
-    got = {r["id"]: (r["c05"], r["c2"]) for r in
-           G.radius_counts(left, right, {"c05": 0.5, "c2": 2.0}, hot_fraction=0.05).collect()}
-    for i in range(len(la)):
-        assert got[i] == (int((d[i] <= 0.5).sum()), int((d[i] <= 2.0).sum()))
-    near = {r["id"]: (r["ref_id"], r["dist_km"]) for r in G.nearest(left, right).collect()}
-    for i in range(len(la)):
-        j = int(np.argmin(d[i]))
-        assert near[i][0] == j and abs(near[i][1] - d[i, j]) < 1e-9
+    for side in ("left", "right", "auto"):
+        got = {r["id"]: (r["c05"], r["c2"]) for r in
+               G.radius_counts(left, right, {"c05": 0.5, "c2": 2.0}, hot_fraction=0.05, replicate=side).collect()}
+        assert len(got) == len(la)
+        for i in range(len(la)):
+            assert got[i] == (int((d[i] <= 0.5).sum()), int((d[i] <= 2.0).sum()))
+    for side in ("left", "right"):
+        near = {r["id"]: (r["ref_id"], r["dist_km"]) for r in G.nearest(left, right, replicate=side).collect()}
+        for i in range(len(la)):
+            j = int(np.argmin(d[i]))
+            assert near[i][0] == j and abs(near[i][1] - d[i, j]) < 1e-9
 
 
 def test_nearest_far_points_resolve(spark):
