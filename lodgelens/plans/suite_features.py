@@ -124,7 +124,9 @@ JOIN panel f ON f.id = a.id AND f.month = a.m0
 # ------------------------------------------------------------ Spark tables
 
 def feature_matrix(spark, sf):
-    return FE.feature_matrix(spark, sf)
+    """The feature matrix, written once per application and reused."""
+    from lodgelens.plans.materialize import materialized
+    return materialized(spark, "feature_matrix", sf, lambda: FE.feature_matrix(spark, sf))
 
 
 def season(spark, sf):

@@ -237,7 +237,8 @@ FROM a
 """)
 def local_trend(spark, sf):
     """Q16: local linear trend of price on subway distance by borough."""
-    return Rp.local_trend(FE.feature_matrix(spark, sf), "dist_subway_km", "price_numeric", "borough", 20, 0.3)
+    from lodgelens.plans.suite_features import feature_matrix
+    return Rp.local_trend(feature_matrix(spark, sf), "dist_subway_km", "price_numeric", "borough", 20, 0.3)
 
 
 @query("season_rows", """

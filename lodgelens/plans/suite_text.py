@@ -49,8 +49,11 @@ def tokenised(spark, sf):
 
 
 def doc_terms(spark, sf):
-    """The shared (review, listing, language, term, n) table."""
-    return T.doc_terms(tokenised(spark, sf), "review_id", "toks", ["listing_id", "language"])
+    """The shared (review, listing, language, term, n) table, written once
+    per application and reused by vocabulary, TF-IDF and coherence jobs."""
+    from lodgelens.plans.materialize import materialized
+    return materialized(spark, "doc_terms", sf, lambda: T.doc_terms(
+        tokenised(spark, sf), "review_id", "toks", ["listing_id", "language"]))
 
 
 def vocab(spark, sf, dt=None):
