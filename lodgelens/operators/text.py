@@ -182,25 +182,42 @@ def score_languages(per: DataFrame, docs: DataFrame, doc: str, profiles: DataFra
                     out: str = "language") -> DataFrame:
     """X3 scoring: per document, the language with the highest
     log prior + sum of trigram log-probabilities (unseen trigrams get the
-    smoothed floor); documents without any trigram -> 'unknown'.  Ties ->
-    smallest language."""
-    # (doc, tri) is already unique in ``per`` (one language tag per document)
+    smoothed floor); only languages sharing at least one trigram with the
+    document compete; documents with none -> 'unknown'.  Ties -> smallest
+    language.
+
+    The profile is pivoted to one row per trigram with a gain column per
+    language (the language list is the label set, bounded metadata), so each
+    (document, trigram) row joins once instead of once per language.
+    """
+    langs = sorted(r[0] for r in profiles.select(lang).distinct().collect())
+    if not langs:
+        return docs.select(doc, F.lit("unknown").alias(out))
+    wide = profiles.groupBy("tri").pivot(lang, langs).agg(F.first("gain"))
+    consts = profiles.groupBy(lang).agg(F.first("unseen").alias("unseen"), F.first("log_prior").alias("lp")).collect()
+    cmap = {r[lang]: (r["unseen"], r["lp"]) for r in consts}
+    # (doc, tri) is unique in ``per`` (one language tag per document)
     p = per.select(doc, "tri", "n")
-    ntot = p.groupBy(doc).agg(F.sum("n").alias("n_tri"))
-    seen = p.join(profiles.select(lang, "tri", "gain"), "tri").groupBy(doc, lang).agg(
-        F.sum(F.col("n") * F.col("gain")).alias("g"))
-    lang_consts = profiles.groupBy(lang).agg(F.first("unseen").alias("unseen"), F.first("log_prior").alias("lp"))
-    sc = seen.join(F.broadcast(lang_consts), lang).join(ntot, doc).select(
-        doc, lang, (F.col("lp") + F.col("n_tri") * F.col("unseen") + F.col("g")).alias("score"))
-    best = sc.groupBy(doc).agg(F.min_by(lang, F.struct(-F.col("score"), F.col(lang))).alias(out))
+    j = p.join(wide, "tri", "left")
+    aggs = [F.sum("n").alias("_ntri")]
+    for i, l in enumerate(langs):
+        aggs += [F.sum(F.col("n") * F.col(f"`{l}`")).alias(f"_g{i}"), F.count(F.col(f"`{l}`")).alias(f"_c{i}")]
+    g = j.groupBy(doc).agg(*aggs)
+    cands = F.array(*[F.when(F.col(f"_c{i}") > 0, F.struct(
+        (-(F.lit(cmap[l][1]) + F.col("_ntri") * F.lit(cmap[l][0]) + F.col(f"_g{i}"))).alias("neg"),
+        F.lit(l).alias("l"))) for i, l in enumerate(langs)])
+    best = g.select(doc, F.array_sort(F.array_compact(cands))[0]["l"].alias(out))
     return docs.select(doc).join(best, doc, "left").select(doc, F.coalesce(F.col(out), F.lit("unknown")).alias(out))
 
 
 def detect_languages(docs: DataFrame, doc: str, text: str, lang: str = "lang", out: str = "language") -> DataFrame:
     """X3 end to end: train on the labelled rows, score every row, one
     trigram pass shared by both."""
-    per = trigram_counts(docs, doc, text, lang)
-    prof = language_profiles(per, docs, lang, text)
+    from lodgelens.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(docs.sparkSession)
+    # the one expensive pass over the text, written once to the shared folder
+    per = trigram_counts(docs, doc, text, lang).checkpoint()
+    prof = language_profiles(per, docs, lang, text).checkpoint()
     return score_languages(per, docs, doc, prof, lang, out)
 
 

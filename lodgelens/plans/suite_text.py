@@ -210,7 +210,8 @@ def detect_language(spark, sf):
 
 
 def sentiment(spark, sf):
-    c = cleaned(spark, sf).filter(F.col("language") == "en")
+    from lodgelens.plans.materialize import materialized
+    c = materialized(spark, "clean_en", sf, lambda: cleaned(spark, sf).filter(F.col("language") == "en"))
     s = T.sentiment_scores(c, "review_id", "clean", lexicon(spark, sf))
     return c.join(s, "review_id")
 
