@@ -172,9 +172,14 @@ def radius_distinct_tokens(left: DataFrame, right: DataFrame, token_col: str, ra
 
 
 def lat_bound(*pairs) -> float:
-    """Largest |latitude| over several (DataFrame, lat column) pairs, in one
-    aggregate job per table; pass it as ``max_abs_lat`` to reuse it."""
-    return _max_abs_lat(*pairs)
+    """Largest |latitude| over several (DataFrame, lat column) pairs in one
+    job; pass it as ``max_abs_lat`` to reuse it across joins."""
+    parts = [df.select(F.abs(F.col(c)).alias("_a")) for df, c in pairs]
+    v = reduce(lambda a, b: a.unionByName(b), parts).agg(F.max("_a")).first()[0]
+    m = float(v) if v is not None else 0.0
+    if m > MAX_ABS_LAT:
+        raise ValueError(f"latitude {m} beyond {MAX_ABS_LAT}: polar data is out of scope")
+    return m
 
 
 def nearest(left: DataFrame, right: DataFrame, *, right_id="ref_id", attrs: list[str] | None = None,

@@ -93,16 +93,23 @@ def spatial_features(probes: DataFrame, stations: DataFrame, points: DataFrame,
     pts = points.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     lirr = stations.filter(F.col("cbd") == LIRR_FLAG)
     bound = G.lat_bound((probes, "latitude"), (stations, "latitude"), (pts, "latitude"), (arrests, "latitude"))
+    # replicate the smaller side of each grid join; each table is counted once
+    n_probe = probes.count()
+
+    def side(ref):
+        return "left" if n_probe < ref.count() else "right"
+    st_side, pt_side, ar_side = side(stations), side(pts), side(arrests)
     kw = {"max_abs_lat": bound}
-    subway = G.nearest(probes, stations, attrs=["cbd", "ada"], **kw).select(
+    subway = G.nearest(probes, stations, attrs=["cbd", "ada"], replicate=st_side, **kw).select(
         "id", F.col("dist_km").alias("dist_subway_km"), F.col("cbd").alias("nearest_subway_cbd"),
         F.col("ada").alias("nearest_subway_ada"))
-    lines = G.radius_distinct_tokens(probes, stations, "routes", 0.5, "subway_lines_500m", **kw)
-    lirr_d = G.nearest(probes, lirr, **kw).select("id", F.col("dist_km").alias("dist_lirr_km"))
-    lirr_c = G.radius_counts(probes, lirr, {"lirr_count_1mi": 1.60934}, **kw)
-    poi = G.radius_counts(probes, pts, {"poi_count_500m": 0.5, "poi_count_1km": 1.0}, **kw)
-    tour = G.radius_counts(probes, pts.filter(F.col("domain").isin(TOURIST_DOMAINS)), {"tourist_poi_500m": 0.5}, **kw)
-    crime = G.radius_counts(probes, arrests, {"crime_count_500m": 0.5}, **kw)
+    lines = G.radius_distinct_tokens(probes, stations, "routes", 0.5, "subway_lines_500m", replicate=st_side, **kw)
+    lirr_d = G.nearest(probes, lirr, replicate=st_side, **kw).select("id", F.col("dist_km").alias("dist_lirr_km"))
+    lirr_c = G.radius_counts(probes, lirr, {"lirr_count_1mi": 1.60934}, replicate=st_side, **kw)
+    poi = G.radius_counts(probes, pts, {"poi_count_500m": 0.5, "poi_count_1km": 1.0}, replicate=pt_side, **kw)
+    tour = G.radius_counts(probes, pts.filter(F.col("domain").isin(TOURIST_DOMAINS)), {"tourist_poi_500m": 0.5},
+                           replicate=pt_side, **kw)
+    crime = G.radius_counts(probes, arrests, {"crime_count_500m": 0.5}, replicate=ar_side, **kw)
     out = reduce(lambda a, b: a.join(b, "id"), [subway, lines, lirr_d, lirr_c, poi, tour, crime])
     return out.withColumn("near_subway", (F.col("dist_subway_km") <= 0.5).cast("int"))
 
