@@ -283,8 +283,7 @@ def concat_in_order(df: DataFrame, key: str, order: str, text: str, sep: str = "
     """Texts of a key joined in order (optionally the first n)."""
     src = df
     if first_n:
-        w = Window.partitionBy(key).orderBy(order)
-        src = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= first_n)
+        src = top_per_group(df, key, [_c(order)], first_n, "_rn")
     agg = src.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(_c(order).alias("o"), _c(text).alias("t")))).alias("_l"))
     return agg.select(key, F.array_join(F.transform("_l", lambda s: s["t"]), sep).alias(out))
 
@@ -344,9 +343,21 @@ def pearson_spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def top_per_group(df: DataFrame, key: str, order: list[Column], n: int, rank_col: str = "rank") -> DataFrame:
-    """First n rows per key by an explicit order (with tie-break)."""
-    w = Window.partitionBy(key).orderBy(*order)
+def top_per_group(df: DataFrame, key, order: list[Column], n: int, rank_col: str = "rank",
+                  salt: int = 16) -> DataFrame:
+    """First n rows per key by an explicit, total order (tie-break included).
+
+    Two stages so that a hot key never sits whole in one task: rows are
+    spread over ``salt`` sub-groups by a hash of their content (stable under
+    recomputation), each sub-group keeps its own first n, and the final
+    window ranks at most n x salt rows per key.  Exact for a total order.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    if salt and salt > 1:
+        h = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt))
+        w1 = Window.partitionBy(*keys, h).orderBy(*order)
+        df = df.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= n).drop("_r1")
+    w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
 
 
@@ -367,8 +378,7 @@ def share_of_group(df: DataFrame, key: str, n_col: str, out: str = "share") -> D
 
 def last_turns(df: DataFrame, conv: str, turn: str, role: str, n: int) -> DataFrame:
     """The last n turns of each conversation, starting at a user turn."""
-    w = Window.partitionBy(conv).orderBy(F.desc(turn))
-    last = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    last = top_per_group(df, conv, [F.desc(turn), F.asc(role)], n, "_rn").drop("_rn")
     first_user = last.filter(F.col(role) == "user").groupBy(conv).agg(F.min(turn).alias("_fu"))
     return last.join(first_user, conv).filter(F.col(turn) >= F.col("_fu")).drop("_fu")
 

@@ -251,8 +251,8 @@ def ctfidf(dt: DataFrame, cls: str, top: int = 10) -> DataFrame:
     a = tf.groupBy(cls).agg(F.sum("tf").alias("w")).agg(F.avg("w").alias("A"))
     w = tf.join(f, "term").crossJoin(F.broadcast(a)).withColumn(
         "weight", F.col("tf") * F.log(1 + F.col("A") / F.col("f")))
-    win = Window.partitionBy(cls).orderBy(F.desc("weight"), "term")
-    return w.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= top).select(
+    from lodgelens.operators.relational import top_per_group
+    return top_per_group(w.select(cls, "term", "weight"), cls, [F.desc("weight"), F.asc("term")], top).select(
         cls, "term", F.col("rank").cast("int").alias("rank"), "weight")
 
 
