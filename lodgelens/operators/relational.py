@@ -83,8 +83,12 @@ def price_cap(df: DataFrame, col="price_numeric", cap: float = 2000.0) -> DataFr
 
 def percentile_cap(df: DataFrame, col: str, q: float = 0.99, keep_below: bool = False,
                    exact: bool = True) -> DataFrame:
-    """P7 (``<=`` p99) and P16 (``<`` p25, ``keep_below=True``)."""
-    t = attach_scalars(df, _cap=quantile(col, q, exact))
+    """P7 (``<=`` p99) and P16 (``<`` p25, ``keep_below=True``).  The exact
+    quantile is computed by ``exact_quantiles`` (bounded per task)."""
+    if exact:
+        t = df.crossJoin(F.broadcast(exact_quantiles(df, col, [q], "_cap").withColumnRenamed("_cap0", "_cap")))
+    else:
+        t = attach_scalars(df, _cap=quantile(col, q, exact))
     cond = (_c(col) < F.col("_cap")) if keep_below else (_c(col) <= F.col("_cap"))
     return t.filter(cond).drop("_cap")
 
@@ -330,6 +334,44 @@ def average_rank(df: DataFrame, value: str, out: str = "rank", n_parts: int | No
     return df.join(ranks, value, "left")
 
 
+def _value_positions(df: DataFrame, value: str, n_parts: int | None = None) -> DataFrame:
+    """Distinct values with their count and the number of smaller values
+    (``_before``): distinct counts (partial aggregation, so a hot value is one
+    row), range-partitioned and checkpointed, running sums per partition plus
+    the totals of earlier partitions (one row per partition)."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
+    ranged = counts.repartitionByRange(n_parts, value).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    tot = ranged.groupBy("_pid").agg(F.sum("_c").alias("_t"))
+    offs = tot.select("_pid", (F.sum("_t").over(Window.orderBy("_pid")) - F.col("_t")).alias("_off"))
+    w = Window.partitionBy("_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("_b", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    return local.join(F.broadcast(offs), "_pid").select(value, "_c", (F.col("_off") + F.col("_b")).alias("_before"))
+
+
+def exact_quantiles(df: DataFrame, value: str, qs: list[float], out_prefix: str = "q") -> DataFrame:
+    """Exact linear-interpolated quantiles of a whole column as one row
+    (same definition as ``percentile``), without one task holding every
+    distinct value: only the values at the needed positions are fetched."""
+    pos = _value_positions(df, value)
+    n = pos.agg(F.sum("_c").alias("_n"))
+    j = pos.crossJoin(F.broadcast(n))
+    aggs = []
+    for i, q in enumerate(qs):
+        h = (F.col("_n") - 1) * F.lit(float(q))
+        lo, hi = F.floor(h), F.ceil(h)
+        in_lo = (F.col("_before") <= lo) & (lo < F.col("_before") + F.col("_c"))
+        in_hi = (F.col("_before") <= hi) & (hi < F.col("_before") + F.col("_c"))
+        aggs += [F.max(F.when(in_lo, F.col(value).cast("double"))).alias(f"_lo{i}"),
+                 F.max(F.when(in_hi, F.col(value).cast("double"))).alias(f"_hi{i}"),
+                 F.max(h - lo).alias(f"_f{i}")]
+    a = j.agg(*aggs)
+    return a.select(*[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(
+        f"{out_prefix}{i}") for i in range(len(qs))])
+
+
 def pearson_spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """N, Pearson and Spearman (Pearson of average ranks) of a pair, rows
     with a null in either column dropped; fewer than 3 rows -> error row."""

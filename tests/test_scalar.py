@@ -78,3 +78,14 @@ def test_first_max_label(spark):
     df = spark.createDataFrame([(0, 1, 1)], "boro_a int, boro_b int, boro_c int")
     lab = df.select(S.strip_prefix(S.first_max_label(["boro_a", "boro_b", "boro_c"]), "boro_").alias("x")).first()
     assert lab["x"] == "b"
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(size=500), np.full(300, 0.25), rng.integers(0, 5, 200).astype(float)])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "x double")
+    qs = [0.0, 0.1, 0.25, 0.5, 0.77, 0.99, 1.0]
+    row = R.exact_quantiles(df, "x", qs).first()
+    for i, q in enumerate(qs):
+        assert abs(row[f"q{i}"] - np.quantile(v, q)) < 1e-12
