@@ -55,9 +55,10 @@ def placeholder_audit(df: DataFrame, col: str, qs=(0.97, 0.98, 0.99)) -> DataFra
     """Rows at the exact maximum and the jumps between high percentiles."""
     t = R.attach_scalars(df, _mx=F.max(col))
     a = t.agg(F.first("_mx").alias("max_value"), F.count_if(F.col(col) == F.col("_mx")).alias("n_at_max"),
-              R.quantile(col, list(qs)).alias("_q"), F.count(col).alias("n"))
-    return a.select("max_value", "n_at_max", "n", *[F.round(F.col("_q")[i], 6).alias(f"p{int(q * 100)}")
-                                                   for i, q in enumerate(qs)])
+              F.count(col).alias("n"))
+    q = R.exact_quantiles(df, col, list(qs), "_q")
+    return a.crossJoin(F.broadcast(q)).select(
+        "max_value", "n_at_max", "n", *[F.round(F.col(f"_q{i}"), 6).alias(f"p{int(x * 100)}") for i, x in enumerate(qs)])
 
 
 def missing_attribution(df: DataFrame, price: str, nights: str, threshold: int = 28) -> DataFrame:

@@ -105,10 +105,11 @@ def season_rows(season: DataFrame, month: int, months=(4, 11)) -> DataFrame:
 def map_rows(preds: DataFrame, lo_q: float = 0.05, hi_q: float = 0.95) -> DataFrame:
     """Q18: predicted prices with log price and a percentile color range."""
     d = preds.withColumn("log_pred_price", F.log("pred_price"))
-    t = R.attach_scalars(d, _q=R.quantile("log_pred_price", [lo_q, hi_q]))
+    qs = R.exact_quantiles(d, "log_pred_price", [lo_q, hi_q], "_q")
+    t = d.crossJoin(F.broadcast(qs))
     return t.select("id", "latitude", "longitude", "neighbourhood", "room_type",
                     F.round("pred_price", 6).alias("pred_price"), F.round("log_pred_price", 9).alias("log_pred_price"),
-                    F.round(F.col("_q")[0], 9).alias("color_min"), F.round(F.col("_q")[1], 9).alias("color_max"))
+                    F.round(F.col("_q0"), 9).alias("color_min"), F.round(F.col("_q1"), 9).alias("color_max"))
 
 
 def bounding_box(df: DataFrame) -> DataFrame:

@@ -297,9 +297,9 @@ _QS = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
     f"SELECT {q}E0 AS q, quantile_cont(price_numeric, {q}) AS value FROM listing_base" for q in _QS))
 def quantiles(spark, sf):
     """A quantile vector in one aggregate, returned long."""
-    one = listing_base(spark, sf).agg(R.quantile("price_numeric", _QS).alias("v"))
-    return one.select(F.posexplode("v").alias("i", "value")).select(
-        F.element_at(F.array(*[F.lit(q) for q in _QS]), F.col("i") + 1).alias("q"), "value")
+    one = R.exact_quantiles(listing_base(spark, sf), "price_numeric", _QS)
+    rows = [F.struct(F.lit(q).alias("q"), F.col(f"q{i}").alias("value")) for i, q in enumerate(_QS)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 _AUDIT = ["price", "bedrooms", "beds", "review_scores_rating", "host_response_rate", "host_is_superhost",
