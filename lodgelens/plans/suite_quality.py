@@ -134,10 +134,10 @@ def scan_csv(spark, sf):
     return io.scan_csv(spark, path, "doc_id long, text string, lang string")
 
 
-@query("scan_snapshots")
+@query("scan_snapshots", "SELECT snapshot, count(*) AS n FROM fx_snapshots GROUP BY snapshot")
 def scan_snapshots(spark, sf):
-    """Several snapshot files read in one scan; snapshot from file name
-    (rows-only: file names are not visible to SQL)."""
+    """Several snapshot files read in one scan; the snapshot date comes
+    from each file's name and must equal the snapshot it was written from."""
     snaps = catalog.fx_snapshots(spark, sf).withColumn("d", F.date_format("snapshot", "yyyy-MM-dd"))
     base = io.scratch_path(spark, "snapshots")
     (snaps.drop("snapshot").write.mode("overwrite").option("header", True).partitionBy("d").csv(base))
