@@ -58,3 +58,16 @@ def test_fold_assignment_is_stable(spark):
     b = df.repartition(3).select("id", M.fold_of("id").alias("f")).collect()
     assert sorted(a) == sorted(b)
     assert {r["f"] for r in a} == {0, 1, 2, 3, 4}
+
+
+def test_bag_vectors_and_lda_invariants(spark):
+    from lodgelens.operators import lda as L
+    rows = [("a", "x", 3), ("a", "y", 1), ("b", "x", 2), ("b", "z", 5), ("c", "y", 4), ("c", "z", 1)]
+    kt = spark.createDataFrame(rows, "k string, term string, n long")
+    bow, vocab = L.bag_vectors(kt, "k", min_df=1, max_df=1.0)
+    words = {r["term_index"]: r["word"] for r in vocab.collect()}
+    got = {r["k"]: {words[i]: v for i, v in zip(r["bow"].indices, r["bow"].values)} for r in bow.collect()}
+    assert got == {"a": {"x": 3.0, "y": 1.0}, "b": {"x": 2.0, "z": 5.0}, "c": {"y": 4.0, "z": 1.0}}
+    model = L.fit_lda_vectors(bow, 2, passes=1, seed=1)
+    dist = L.topic_distribution(model, bow, ["k"]).groupBy("k").agg(F.sum("prob").alias("s")).collect()
+    assert all(abs(r["s"] - 1.0) < 1e-9 for r in dist)
