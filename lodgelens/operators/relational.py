@@ -372,6 +372,48 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], out_prefix: str
         f"{out_prefix}{i}") for i in range(len(qs))])
 
 
+def group_quantiles(df: DataFrame, keys, value: str, qs: list[float], out_prefix: str = "q") -> DataFrame:
+    """Exact linear-interpolated quantiles per group (null keys dropped), one
+    row per group, without a task holding a hot group's value map: distinct
+    (group, value) counts are range-partitioned on (group, value), ranked
+    with running sums inside each partition plus per-group offsets of earlier
+    partitions, and only the rows at the needed positions are aggregated."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = _nonnull_keys(df, keys).filter(F.col(value).isNotNull())
+    counts = d.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranged = counts.repartitionByRange(n_parts, *keys, value).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    tot = ranged.groupBy(*keys, "_pid").agg(F.sum("_c").alias("_t"))
+    offs = tot.select(*keys, "_pid", (F.sum("_t").over(Window.partitionBy(*keys).orderBy("_pid")) - F.col("_t"))
+                      .alias("_off"))
+    n = tot.groupBy(*keys).agg(F.sum("_t").alias("_n"))
+    w = Window.partitionBy("_pid", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("_b", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    pos = local.join(offs, keys + ["_pid"]).join(n, keys).withColumn("_before", F.col("_off") + F.col("_b"))
+    aggs = []
+    for i, q in enumerate(qs):
+        h = (F.col("_n") - 1) * F.lit(float(q))
+        lo, hi = F.floor(h), F.ceil(h)
+        in_lo = (F.col("_before") <= lo) & (lo < F.col("_before") + F.col("_c"))
+        in_hi = (F.col("_before") <= hi) & (hi < F.col("_before") + F.col("_c"))
+        aggs += [F.max(F.when(in_lo, F.col(value).cast("double"))).alias(f"_lo{i}"),
+                 F.max(F.when(in_hi, F.col(value).cast("double"))).alias(f"_hi{i}"),
+                 F.max(h - lo).alias(f"_f{i}")]
+    a = pos.groupBy(*keys).agg(*aggs)
+    return a.select(*keys, *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(
+        f"{out_prefix}{i}") for i in range(len(qs))])
+
+
+def median_and_count(df: DataFrame, key: str, value: str, median_col: str = "median",
+                     count_col: str = "n") -> DataFrame:
+    """A1/A2: exact median (bounded per task) and row count per group."""
+    med = group_quantiles(df, key, value, [0.5], "_m").withColumnRenamed("_m0", median_col)
+    cnt = group_agg(df, key, F.count(F.lit(1)).alias(count_col))
+    return cnt.join(med, key, "left")
+
+
 def pearson_spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """N, Pearson and Spearman (Pearson of average ranks) of a pair, rows
     with a null in either column dropped; fewer than 3 rows -> error row."""

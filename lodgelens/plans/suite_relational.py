@@ -15,9 +15,9 @@ SELECT borough, quantile_cont(price_numeric, 0.5) AS median_price, count(*) AS n
 FROM listing_base WHERE borough IS NOT NULL GROUP BY borough
 """)
 def median_by_group(spark, sf):
-    """A1 (+P1, F1): median short-stay price by borough."""
-    return R.group_agg(listing_base(spark, sf), "borough",
-                       F.median("price_numeric").alias("median_price"), F.count(F.lit(1)).alias("n"))
+    """A1 (+P1, F1): median short-stay price by borough (exact, and no task
+    holds a hot borough's whole value map)."""
+    return R.median_and_count(listing_base(spark, sf), "borough", "price_numeric", "median_price", "n")
 
 
 # ----------------------------------------------------------------- filters
@@ -177,8 +177,7 @@ FROM listing_base WHERE room_type IS NOT NULL GROUP BY room_type
 """)
 def multi_agg_by_group(spark, sf):
     """A2."""
-    return R.group_agg(listing_base(spark, sf), "room_type",
-                       F.median("price_numeric").alias("median_price"), F.count(F.lit(1)).alias("n"))
+    return R.median_and_count(listing_base(spark, sf), "room_type", "price_numeric", "median_price", "n")
 
 
 @query("group_aggregate", """

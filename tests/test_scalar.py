@@ -89,3 +89,19 @@ def test_exact_quantiles_match_numpy(spark):
     row = R.exact_quantiles(df, "x", qs).first()
     for i, q in enumerate(qs):
         assert abs(row[f"q{i}"] - np.quantile(v, q)) < 1e-12
+
+
+def test_group_quantiles_match_pandas(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(9)
+    g = np.array(["hot"] * 700 + ["a"] * 50 + ["b"] * 3 + ["c"])
+    v = np.concatenate([rng.normal(size=400), np.full(300, 1.5), rng.random(54)])
+    pdf = pd.DataFrame({"g": g, "v": v})
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([(None, 1.0), ("a", None)], "g string, v double"))
+    qs = [0.25, 0.5, 0.9]
+    got = {r["g"]: [r[f"q{i}"] for i in range(3)] for r in R.group_quantiles(df, "g", "v", qs).collect()}
+    want = pdf.groupby("g")["v"].quantile(qs).unstack()
+    assert set(got) == set(want.index)
+    for k in got:
+        assert np.allclose(got[k], want.loc[k].to_numpy(), atol=1e-12)
