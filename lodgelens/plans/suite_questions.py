@@ -297,3 +297,50 @@ def explorer_table(spark, sf):
     """Q22: filtered rows sorted by price (describe is A10)."""
     return Rp.explorer_table(_sel_preds(spark, sf),
                              ["id", "borough", "room_type", "neighbourhood", "month", "price_numeric", "pred_price"])
+
+
+# ------------------------------------------- Q3-Q6 on the tools' own table
+
+@query("describe_column_tool", """
+SELECT count(review_scores_rating) AS count, round(avg(review_scores_rating), 3) AS mean,
+       round(stddev_samp(review_scores_rating), 3) AS std, round(min(review_scores_rating), 3) AS min,
+       round(quantile_cont(review_scores_rating, 0.25), 3) AS p25,
+       round(quantile_cont(review_scores_rating, 0.5), 3) AS median,
+       round(quantile_cont(review_scores_rating, 0.75), 3) AS p75, round(max(review_scores_rating), 3) AS max
+FROM qbase WHERE borough = 'EUROPE'
+""")
+def describe_column_tool(spark, sf):
+    """Q3: describe a column of the listing-level table under filters."""
+    return R.describe(R.common_filters(qbase(spark, sf), borough="EUROPE"), "review_scores_rating")
+
+
+@query("group_aggregate_tool", """
+SELECT room_type, round(avg(estimated_revenue), 3) AS value FROM qbase WHERE room_type IS NOT NULL GROUP BY room_type
+""")
+def group_aggregate_tool(spark, sf):
+    """Q4: chosen aggregate by a chosen dimension (decoded room labels)."""
+    return R.group_aggregate(qbase(spark, sf), "room_type", "estimated_revenue", "mean").withColumn(
+        "value", F.round("value", 3))
+
+
+@query("top_n_tool", """
+SELECT id, borough, round(price_numeric, 2) AS price, round(review_scores_rating, 2) AS rating FROM qbase
+WHERE review_scores_rating >= 4.0 ORDER BY price_numeric DESC NULLS LAST, id LIMIT 8
+""")
+def top_n_tool(spark, sf):
+    """Q5: top n listings by mean price after filters."""
+    d = R.common_filters(qbase(spark, sf), min_rating=4.0)
+    return R.top_n(d, "price_numeric", 8).select("id", "borough", F.round("price_numeric", 2).alias("price"),
+                                                 F.round("review_scores_rating", 2).alias("rating"))
+
+
+@query("correlate_tool", """
+WITH s AS (SELECT dist_subway_km AS a, price_numeric AS b FROM qbase
+           WHERE dist_subway_km IS NOT NULL AND price_numeric IS NOT NULL),
+     r AS (SELECT a, b, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2E0 AS ra,
+                  rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2E0 AS rb FROM s)
+SELECT count(*) AS n, round(corr(a, b), 4) AS pearson, round(corr(ra, rb), 4) AS spearman FROM r
+""")
+def correlate_tool(spark, sf):
+    """Q6: Pearson and Spearman of subway distance and mean price."""
+    return R.pearson_spearman(qbase(spark, sf), "dist_subway_km", "price_numeric")
