@@ -8,7 +8,6 @@ F7, F10) - the table the analytic questions run on.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodgelens.functions import scalar as S
 from lodgelens.operators import relational as R

@@ -141,14 +141,6 @@ def listing_level(spark, sf):
     return FE.listing_level(panel(spark, sf))
 
 
-def _round_doubles(df, digits=6):
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
-def _round_sql(view, cols_types, digits=6):
-    return ", ".join(f"round({c}, {digits}) AS {c}" if t == "double" else c for c, t in cols_types)
-
-
 # ------------------------------------------------------------------- keys
 
 @query("seasonal_index", "SELECT month, round(avg_reviews, 6) AS avg_reviews, seasonal_index FROM season_idx")
@@ -205,9 +197,6 @@ def median_impute(spark, sf):
     return FE.median_impute(enc, _IMP)
 
 
-_FM_TYPES = None
-
-
 @query("feature_matrix", "SELECT * FROM feature_matrix")
 def feature_matrix_q(spark, sf):
     """The full feature matrix."""
