@@ -9,7 +9,9 @@ is there and stops; a scheduler can re-run it for new files.
 State is bounded in every job: T1 is stateless; T2 keeps one running sum
 per (listing, position); T3 one count per term (each document contributes
 its distinct terms once, so no de-duplication state is needed); T4 one
-count per event-time window, with a watermark for late rows.
+count per event-time window, with a watermark for late rows.  T2-T4 run in
+update mode: each micro-batch appends only the keys it changed, tagged with
+the epoch, and readers keep each key's latest row.
 """
 
 from __future__ import annotations
@@ -30,11 +32,19 @@ def _run(query_builder, name: str, spark: SparkSession) -> str:
     return out
 
 
-def _overwrite_table(path: str):
-    """foreachBatch sink for complete-mode results: rewrite the table each
-    micro-batch (idempotent per epoch)."""
+def latest_per_key(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Collapse an epoch-tagged update log to each key's latest row (a
+    partial aggregate: one ``max_by`` per key)."""
+    others = [c for c in updates.columns if c not in keys and c != "_epoch"]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*others), "_epoch").alias("_r")).select(*keys, "_r.*")
+
+
+def _append_epoch(path: str):
+    """foreachBatch sink for update-mode results: append the batch's updated
+    rows tagged with the epoch (a retried epoch writes the same rows again,
+    which the reader collapses)."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.withColumn("_epoch", F.lit(epoch_id).cast("long")).write.mode("append").parquet(path)
     return write
 
 
@@ -57,33 +67,28 @@ def stream_avg_embedding(spark: SparkSession, src_glob: str, schema: str) -> Dat
                                         F.count(F.lit(1)).alias("n")))
 
     def build(out, ckpt):
-        return (agg.writeStream.foreachBatch(_overwrite_table(out)).option("checkpointLocation", ckpt)
-                .outputMode("complete").trigger(availableNow=True).start())
-    res = spark.read.parquet(_run(build, "avg-embedding", spark))
+        return (agg.writeStream.foreachBatch(_append_epoch(out)).option("checkpointLocation", ckpt)
+                .outputMode("update").trigger(availableNow=True).start())
+    res = latest_per_key(spark.read.parquet(_run(build, "avg-embedding", spark)), ["label", "pos"])
     return res.select("label", (F.col("pos") + 1).alias("pos"), (F.col("total") / F.col("n")).alias("mean"),
                       F.col("n").alias("n_docs"))
 
 
-def stream_vocabulary(spark: SparkSession, src_glob: str, schema: str, lang: str = "en") -> DataFrame:
+def stream_vocabulary(spark: SparkSession, src_glob: str, schema: str, lang: str = "en",
+                      max_files_per_trigger: int | None = None) -> DataFrame:
     """Running document frequency per term."""
-    s = spark.readStream.schema(schema).parquet(src_glob).filter(F.col("lang") == lang)
+    r = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    s = r.parquet(src_glob).filter(F.col("lang") == lang)
     terms = s.select("doc_id", T.explode_terms(F.array_distinct(T.tokens(T.clean_text("text"))))).filter(
         F.col("term").isNotNull())
     agg = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def build(out, ckpt):
-        return (agg.writeStream.foreachBatch(_overwrite_table(out)).option("checkpointLocation", ckpt)
-                .outputMode("complete").trigger(availableNow=True).start())
-    return spark.read.parquet(_run(build, "vocabulary", spark))
-
-
-def _append_epoch(path: str):
-    """foreachBatch sink for update-mode results: append the batch's updated
-    rows tagged with the epoch (a retried epoch writes the same rows again,
-    which the reader collapses)."""
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.withColumn("_epoch", F.lit(epoch_id).cast("long")).write.mode("append").parquet(path)
-    return write
+        return (agg.writeStream.foreachBatch(_append_epoch(out)).option("checkpointLocation", ckpt)
+                .outputMode("update").trigger(availableNow=True).start())
+    return latest_per_key(spark.read.parquet(_run(build, "vocabulary", spark)), ["term"])
 
 
 def stream_review_volume(spark: SparkSession, src_glob: str, schema: str, watermark: str = "30 days",
@@ -99,6 +104,5 @@ def stream_review_volume(spark: SparkSession, src_glob: str, schema: str, waterm
     def build(out, ckpt):
         return (agg.writeStream.foreachBatch(_append_epoch(out)).option("checkpointLocation", ckpt)
                 .outputMode("update").trigger(availableNow=True).start())
-    res = spark.read.parquet(_run(build, "review-volume", spark))
-    latest = res.groupBy(F.col("w.start").alias("window_start")).agg(F.max_by("n", "_epoch").alias("n"))
-    return latest
+    res = latest_per_key(spark.read.parquet(_run(build, "review-volume", spark)), ["w"])
+    return res.select(F.col("w.start").alias("window_start"), "n")

@@ -14,3 +14,18 @@ def test_stream_vocabulary_equals_batch(spark, sf):
     b = d.select("doc_id", F.explode(F.array_distinct(T.tokens(T.clean_text("text")))).alias("term")) \
         .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_stream_vocabulary_two_batches(spark, sf, tmp_path):
+    """Two files arrive as two micro-batches; the update log collapses to
+    the same document frequencies as one batch over both."""
+    docs = table(spark, sf, "documents")
+    for part in (0, 1):
+        docs.filter(F.col("doc_id") % 2 == part).coalesce(1).write.parquet(str(tmp_path / f"part{part}"))
+    s = J.stream_vocabulary(spark, str(tmp_path / "part*" / "*.parquet"),
+                            "doc_id long, text string, lang string, source string, n_chars long",
+                            max_files_per_trigger=1)
+    d = docs.filter(F.col("lang") == "en")
+    b = d.select("doc_id", F.explode(F.array_distinct(T.tokens(T.clean_text("text")))).alias("term")) \
+        .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.collect()))
