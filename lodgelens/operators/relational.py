@@ -195,14 +195,16 @@ def value_share(df: DataFrame, col: str) -> DataFrame:
 
 
 def describe(df: DataFrame, col: str, digits: int = 3) -> DataFrame:
-    """A10: count, mean, std, min, quartiles, max of one numeric column."""
-    q = F.percentile(_c(col), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(
+    """A10: count, mean, std, min, quartiles, max of one numeric column
+    (quartiles exact and bounded per task)."""
+    base = df.agg(
         F.count(col).alias("count"), F.round(F.avg(col), digits).alias("mean"),
         F.round(F.stddev_samp(col), digits).alias("std"), F.round(F.min(col).cast("double"), digits).alias("min"),
-        q.alias("_q"), F.round(F.max(col).cast("double"), digits).alias("max"),
-    ).select("count", "mean", "std", "min", F.round(F.col("_q")[0], digits).alias("p25"),
-             F.round(F.col("_q")[1], digits).alias("median"), F.round(F.col("_q")[2], digits).alias("p75"), "max")
+        F.round(F.max(col).cast("double"), digits).alias("max"))
+    q = exact_quantiles(df, col, [0.25, 0.5, 0.75], "_q")
+    return base.crossJoin(F.broadcast(q)).select(
+        "count", "mean", "std", "min", F.round("_q0", digits).alias("p25"), F.round("_q1", digits).alias("median"),
+        F.round("_q2", digits).alias("p75"), "max")
 
 
 def describe_table(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
@@ -242,14 +244,15 @@ def null_audit(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def summary_stats(df: DataFrame, price="price_numeric", rating="review_scores_rating",
                   revenue="estimated_revenue") -> DataFrame:
-    """N, median/mean price, mean rating, median revenue (2 dp); empty -> n = 0."""
-    return df.agg(
-        F.count(F.lit(1)).alias("count"),
-        F.round(F.median(price), 2).alias("price_median"),
-        F.round(F.avg(price), 2).alias("price_mean"),
-        F.round(F.avg(rating), 2).alias("rating_mean"),
-        F.round(F.median(revenue), 2).alias("revenue_median"),
-    )
+    """N, median/mean price, mean rating, median revenue (2 dp); empty -> n = 0.
+    Medians are exact and bounded per task (``exact_quantiles``)."""
+    base = df.agg(F.count(F.lit(1)).alias("count"), F.round(F.avg(price), 2).alias("price_mean"),
+                  F.round(F.avg(rating), 2).alias("rating_mean"))
+    mp = exact_quantiles(df, price, [0.5], "_mp")
+    mr = exact_quantiles(df, revenue, [0.5], "_mr")
+    return base.crossJoin(F.broadcast(mp)).crossJoin(F.broadcast(mr)).select(
+        "count", F.round("_mp0", 2).alias("price_median"), "price_mean", "rating_mean",
+        F.round("_mr0", 2).alias("revenue_median"))
 
 
 def mean_matrix(df: DataFrame, key: str | None, cols: list[str], digits: int = 6) -> DataFrame:
