@@ -27,49 +27,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodgelens.llm.bpe import WordEncoder
 from lodgelens.llm.shared import written
 
-CACHE_WORDS = 200_000  # word -> ids entries kept by a Python worker; refilled when full
-
-
-class WordEncoder:
-    """Whole-text encoding from cached blank-separated chunks.
-
-    The tokenizer's normaliser drops white space and its splitter never joins
-    across it, so a text's ids are its chunks' ids in order."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        need = {w for ws in split for w in ws}
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        cache = self.cache
-        new = [w for w in need if w not in cache]
-        for lo in range(0, len(new), 4096):
-            part = new[lo:lo + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return [b"".join([cache[w] for w in ws]) for ws in split]
-
 
 def _tokenised(path: str, seq_len: int, end_id: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     enc, end = WordEncoder(path), np.asarray([end_id], dtype="<u4").tobytes()
     for pdf in batches:
-        for lo in range(0, len(pdf), 256):
-            part = pdf.iloc[lo:lo + 256]
-            out = []
-            for doc, ids in zip(part["doc_id"], enc.encode_all([t or "" for t in part["text"]])):
-                ids += end
-                n = len(ids) // 4
+        for lo in range(0, len(pdf), 2000):
+            part = pdf.iloc[lo:lo + 2000]
+            ids, ends = enc.encode_all([t or "" for t in part["text"]])
+            out, at = [], 0
+            for doc, stop in zip(part["doc_id"], ends.tolist()):
+                raw = ids[at:stop].tobytes() + end
+                at, n = stop, len(raw) // 4
                 for s in range(0, n, seq_len):
-                    piece = ids[4 * s:4 * (s + seq_len)]
+                    piece = raw[4 * s:4 * (s + seq_len)]
                     short = len(piece) < 4 * seq_len
                     out.append((doc, n, s, len(piece) // 4, zlib.crc32(piece), piece if short else None))
             yield pd.DataFrame(out, columns=["doc_id", "doc_tokens", "start", "length", "crc", "ids"])
