@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgelens.llm import packing, warc
+from lodgelens.llm import langid, packing, toxicity, warc
+from lodgelens.llm.shared import text_mod
 from lodgelens.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +33,21 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), seq_len=2048, end_id=1)
 
 
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    train = toxicity.training_rows(docs, table(spark, sf_dir, "labels"), lambda i: text_mod(i, 5) != 0)
+    scored = toxicity.score(docs, toxicity.fit(train))
+    return scored.select("doc_id", (text_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op9_langid")
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(text_mod(F.col("doc_id"), 4) != 2))
+    return langid.predict(docs, model).select("doc_id", (text_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "share")
+
+
 @query("op8_warc", oracle="""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
