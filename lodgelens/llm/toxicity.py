@@ -105,8 +105,9 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 30, passes: int = 3) -> np.ndarray:
-    """Posterior of class 1 for each row of 0/1 votes; the true class is hidden.
+def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 30, passes: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of class 1 for each row of 0/1 votes, and each voter's log odds;
+    the true class is hidden.
 
     The given label is one more voter, of unknown accuracy on either class.
     Expectation maximisation estimates every voter's firing rates per class;
@@ -133,12 +134,12 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 30, passes:
         tied[tied < 0.1] = 0  # noise of the estimate
         np.fill_diagonal(tied, 1)
         keep = 1 / tied.sum(axis=1)
-    return post
+    return post, yes
 
 
-def logistic(n: int, m: int, text: np.ndarray, term: np.ndarray, target: np.ndarray, rounds: int = 300, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Full-batch logistic regression on 0/1 features with soft targets (Adam steps)."""
-    w, b = np.zeros(m), float(np.log((target.mean() + 1e-4) / (1 - target.mean() + 1e-4)))
+def logistic(n: int, m: int, text: np.ndarray, term: np.ndarray, target: np.ndarray, start: np.ndarray, rounds: int = 300, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Full-batch logistic regression on 0/1 features with soft targets (Adam steps), from ``start``."""
+    w, b = start.copy(), float(np.log((target.mean() + 1e-4) / (1 - target.mean() + 1e-4)))
     m1, m2, c1, c2 = np.zeros(m), np.zeros(m), 0.0, 0.0
     for step in range(1, rounds + 1):
         z = np.full(n, b) + np.bincount(text, weights=w[term], minlength=n)
@@ -200,8 +201,10 @@ def fit(train: DataFrame, fit_rows: int = 10_000, max_terms: int = 4000, max_vot
     term = np.array([t for x in lists for t in x], dtype=np.int64)
     votes = np.zeros((n, min(m, max_voters)))
     votes[text[term < votes.shape[1]], term[term < votes.shape[1]]] = 1
-    post = label_model(votes, given) if m else np.full(n, s1 / max(1, n))
-    w, b = logistic(n, m, text, term, post)
+    post, start = np.full(n, s1 / max(1, n)), np.zeros(m)
+    if m:
+        post, start[:votes.shape[1]] = label_model(votes, given)
+    w, b = logistic(n, m, text, term, post, start)
     return ToxicityModel(index, w, b)
 
 
