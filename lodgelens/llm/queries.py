@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgelens.llm import langid, packing, toxicity, warc
+from lodgelens.llm import langid, minhash, packing, toxicity, warc
 from lodgelens.llm.shared import text_mod
 from lodgelens.sources.tables import table
 
@@ -41,6 +41,24 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (text_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+@query("op6_minhash", oracle="""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct([array_to_string(ws[i:i+4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+f AS (SELECT g FROM e GROUP BY g HAVING count(*) > 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS k
+      FROM (SELECT e.* FROM e JOIN f USING (g)) x JOIN (SELECT e.* FROM e JOIN f USING (g)) y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * k >= 85 * (na + nb - k)),
+d AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(x, y) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.x, d.b FROM r JOIN d ON r.y = d.a),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT doc_id, len(sh) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)""")
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, words=5)
+
+
 @query("op9_langid")
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
