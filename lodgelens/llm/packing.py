@@ -31,11 +31,23 @@ from lodgelens.llm.bpe import WordEncoder
 from lodgelens.llm.shared import written
 
 
+def by_chars(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``chars`` characters."""
+    lo, n = 0, 0
+    for k, t in enumerate(texts):
+        n += len(t or "")
+        if n >= chars:
+            yield lo, k + 1
+            lo, n = k + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def _tokenised(path: str, seq_len: int, end_id: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     enc, end = WordEncoder(path), np.asarray([end_id], dtype="<u4").tobytes()
     for pdf in batches:
-        for lo in range(0, len(pdf), 2000):
-            part = pdf.iloc[lo:lo + 2000]
+        for lo, hi in by_chars(pdf["text"].tolist()):
+            part = pdf.iloc[lo:hi]
             ids, ends = enc.encode_all([t or "" for t in part["text"]])
             out, at = [], 0
             for doc, stop in zip(part["doc_id"], ends.tolist()):
@@ -239,12 +251,12 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
         "doc_id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id",
         F.coalesce(F.sum("length").over(in_order), F.lit(0)).cast("long").alias("offset"))
 
-    # what rounding left: bounded by patterns x their pieces, so one ordered pass over lengths is enough
+    # what rounding left: bounded by patterns x their pieces, so one ordered pass over lengths is enough and their places are sent to all tasks
     rest = placed.where("sequence_id < 0")
     total = rest.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     line = rest.select("row", F.coalesce(F.sum("length").over(Window.orderBy(F.desc("length"), "row").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0)).alias("at"))
-    cut = tokens.join(line, "row").select("doc_id", "doc_tokens", "start", "length", "at", "ids").mapInPandas(
+    cut = tokens.join(F.broadcast(line), "row").select("doc_id", "doc_tokens", "start", "length", "at", "ids").mapInPandas(
         lambda it: _cut(seq_len, total, base, it),
         f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return fitted.unionByName(cut)

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgelens.llm import langid, minhash, packing, toxicity, warc
+from lodgelens.llm import fingerprint, langid, minhash, packing, toxicity, warc
 from lodgelens.llm.shared import text_mod
 from lodgelens.sources.tables import table
 
@@ -82,3 +82,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          f"record_type string, refers_to {kind.simpleString()}")
     return back.select(F.col("page_id").try_cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                        F.col("refers_to").try_cast(kind).alias("refers_to"))
+
+
+@query("op10_fingerprint")
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents")).drop("edits")

@@ -10,8 +10,9 @@ revisit records that name it.
 
 Files are written with pyarrow's file systems to the shared folder under a
 name given by partition and serial number, first as a partial file that is
-then renamed, so a repeated task replaces its file by the same bytes. They
-are read with Spark's binaryFile reader. A file holds at most about
+then renamed, so a repeated task replaces its file by the same bytes.
+Monolithic archives and indexes are read with Spark's binaryFile reader,
+single records by seeking. A file holds at most about
 ``file_bytes`` of payload.
 
 Defined cases: null html is an empty payload, null url an empty target; the
@@ -123,24 +124,27 @@ def _normalise(uri: str, level: int, batches: Iterator[pd.DataFrame]) -> Iterato
             yield pd.DataFrame({"name": [name], "records": [len(index)]})
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read(uri: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    system, folder = _filesystem(uri)
     for pdf in batches:
-        rows = []
-        for content, index in zip(pdf["content"], pdf["index"]):
-            for at, length in struct.iter_unpack("<QI", index):
-                record = zlib.decompress(content[at:at + length], 31)
-                cut = record.index(b"\r\n\r\n")
-                h = _headers(record[:cut])
-                body = record[cut + 4:-4]
-                kind = h["WARC-Type"]
-                strip = lambda x: x[len("<urn:page:"):-1]
-                digest = h["WARC-Payload-Digest"].split(":")[1]
-                if kind == "response" and hashlib.sha256(body).hexdigest() != digest:
-                    raise ValueError(f"payload of {h['WARC-Record-ID']} does not have its digest")
-                rows.append((strip(h["WARC-Record-ID"]), unquote(h["WARC-Target-URI"]), kind, digest,
-                             int(h["X-Payload-Length"]) if kind == "revisit" else len(body),
-                             strip(h["WARC-Refers-To"]) if kind == "revisit" else None, body if kind == "response" else None))
-        yield pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"])
+        for stem, index in zip(pdf["stem"], pdf["index"]):
+            rows = []
+            with system.open_input_file(f"{folder}/members/{stem}.warc.gz") as archive:
+                for at, length in struct.iter_unpack("<QI", index):
+                    archive.seek(at)
+                    record = zlib.decompress(archive.read(length), 31)
+                    cut = record.index(b"\r\n\r\n")
+                    h = _headers(record[:cut])
+                    body = record[cut + 4:-4]
+                    kind = h["WARC-Type"]
+                    strip = lambda x: x[len("<urn:page:"):-1]
+                    digest = h["WARC-Payload-Digest"].split(":")[1]
+                    if kind == "response" and hashlib.sha256(body).hexdigest() != digest:
+                        raise ValueError(f"payload of {h['WARC-Record-ID']} does not have its digest")
+                    rows.append((strip(h["WARC-Record-ID"]), unquote(h["WARC-Target-URI"]), kind, digest,
+                                 int(h["X-Payload-Length"]) if kind == "revisit" else len(body),
+                                 strip(h["WARC-Refers-To"]) if kind == "revisit" else None, body if kind == "response" else None))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"])
 
 
 def with_refers(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
@@ -155,7 +159,7 @@ def with_refers(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     sizes = pages.select("page_id", F.sha2(html.cast("binary"), 256).alias("payload_digest"), F.octet_length(html).alias("n"))
     firsts = (sizes.where(F.col("n") >= min_bytes).groupBy("payload_digest")
               .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    return (p.join(firsts, "payload_digest", "left")
+    return (p.join(firsts.hint("merge"), "payload_digest", "left")
             .withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first"))).drop("first"))
 
 
@@ -174,13 +178,12 @@ def normalise(spark: SparkSession, source: str, target: str, level: int = 3) ->
 
 def read_records(spark: SparkSession, target: str) -> DataFrame:
     """page_id, url, record_type, payload_digest, payload_bytes, refers_to
-    (ids as text) and the payload of responses, read through the index."""
-    read = spark.read.format("binaryFile")
-    stem = F.regexp_extract("path", r"([^/]+)\.(?:warc\.gz|idx)$", 1).alias("stem")
-    files = read.load(f"{target}/members").select(stem, "content")
-    index = read.load(f"{target}/index").select(stem, F.col("content").alias("index"))
-    return files.join(index, "stem").select("content", "index").mapInPandas(
-        _read, "page_id string, url string, record_type string, payload_digest string, payload_bytes long, refers_to string, payload binary")
+    (ids as text) and the payload of responses: each index file is a row whose
+    task seeks its archive's records."""
+    stem = F.regexp_extract("path", r"([^/]+)\.idx$", 1).alias("stem")
+    index = spark.read.format("binaryFile").load(f"{target}/index").select(stem, F.col("content").alias("index"))
+    return index.mapInPandas(lambda it: _read(target, it),
+                             "page_id string, url string, record_type string, payload_digest string, payload_bytes long, refers_to string, payload binary")
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 100) -> DataFrame | None:
