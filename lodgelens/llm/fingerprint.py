@@ -34,13 +34,26 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
 
 
+def _places(key: str, side: str, attempt: int) -> str:
+    return "array(" + ", ".join(f"pmod(xxhash64({key}, {10 * attempt + j}), {side})" for j in range(3)) + ")"
+
+
+def _per_cell(entries: str, side: str, cell: str) -> str:
+    """SQL for an array with one entry per cell, parts one after another.
+
+    ``cell`` is SQL over v (the entries near the cell), j (part), g (block), w
+    (block width). Blocks of about the root of a part's size keep a text of u
+    paragraphs at about u times that root instead of u times all cells."""
+    return (f"transform(array(named_struct('e', {entries}, 'w', cast(ceil(sqrt({side})) as bigint))), q -> flatten(transform(sequence(0, 2), j -> "
+            f"flatten(transform(sequence(0L, ({side} - 1) div q.w), g -> transform(array(filter(q.e, x -> x.at[j] div q.w = g)), v -> {cell})[0])))))[0]")
+
+
 def _cells(units: str, side: str, attempt: int) -> str:
     """SQL for the sketch of an array of digests."""
-    placed = (f"transform({units}, d -> named_struct('d', d, 'c', hash(d, 7), 'at', array("
-              + ", ".join(f"pmod(xxhash64(d, {10 * attempt + j}), {side}) + {j} * {side}" for j in range(3)) + ")))")
-    return (f"transform(array({placed}), u -> transform(sequence(0L, 3 * {side} - 1), i -> aggregate("
-            f"filter(u, x -> x.at[cast(i div {side} as int)] = i), named_struct('n', 0, 'k', 0L, 'c', 0), "
-            "(a, x) -> named_struct('n', a.n + 1, 'k', a.k ^ x.d, 'c', a.c ^ x.c))))[0]")
+    placed = f"transform({units}, d -> named_struct('d', d, 'c', hash(d, 7), 'at', {_places('d', side, attempt)}))"
+    cell = (f"transform(sequence(g * q.w, least({side}, (g + 1) * q.w) - 1), i -> aggregate(filter(v, x -> x.at[j] = i), "
+            "named_struct('n', 0, 'k', 0L, 'c', 0), (a, x) -> named_struct('n', a.n + 1, 'k', a.k ^ x.d, 'c', a.c ^ x.c)))")
+    return _per_cell(placed, side, cell)
 
 
 def _minus(a: str, b: str) -> str:
@@ -49,15 +62,16 @@ def _minus(a: str, b: str) -> str:
 
 def _peel(cells: str, side: str, attempt: int) -> str:
     """SQL for (cells left, digests found with their sign)."""
-    at = "array(" + ", ".join(f"pmod(xxhash64(x.k, {10 * attempt + j}), {side}) + {j} * {side}" for j in range(3)) + ")"
     single = ("array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1 and x.c = hash(x.k, 7)), "
-              f"x -> named_struct('n', x.n, 'd', x.k, 'c', x.c, 'at', {at})))")
-    rest = (f"transform(s.cells, (x, i) -> aggregate(filter(p, y -> y.at[cast(i div {side} as int)] = i), x, "
-            "(a, y) -> named_struct('n', a.n - y.n, 'k', a.k ^ y.d, 'c', a.c ^ y.c)))")
-    step = (f"transform(array({single}), p -> if(size(p) = 0, s, named_struct('cells', {rest}, "
-            "'found', concat(s.found, transform(p, y -> named_struct('n', y.n, 'd', y.d))))))[0]")
+              f"x -> named_struct('n', x.n, 'd', x.k, 'c', x.c, 'at', {_places('x.k', side, attempt)})))")
+    block = f"slice(s.cells, cast(j * {side} + g * q.w + 1 as int), cast(least({side} - g * q.w, q.w) as int))"
+    cell = (f"if(size(v) = 0, {block}, transform({block}, (x, i) -> aggregate(filter(v, y -> y.at[j] = g * q.w + i), x, "
+            "(a, y) -> named_struct('n', a.n - y.n, 'k', a.k ^ y.d, 'c', a.c ^ y.c))))")
+    step = (f"if(s.go, transform(array({single}), p -> if(size(p) = 0, named_struct('cells', s.cells, 'found', s.found, 'go', false), "
+            f"named_struct('cells', {_per_cell('p', side, cell)}, "
+            "'found', concat(s.found, transform(p, y -> named_struct('n', y.n, 'd', y.d))), 'go', true)))[0], s)")
     return (f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'found', "
-            f"cast(array() as array<struct<n:int,d:bigint>>)), (s, r) -> {step})")
+            f"cast(array() as array<struct<n:int,d:bigint>>), 'go', true), (s, r) -> {step})")
 
 
 def _answer(peeled: str) -> str:
