@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgelens.llm import fingerprint, langid, minhash, packing, toxicity, warc
+from lodgelens.llm import ann, fingerprint, langid, linededup, minhash, packing, toxicity, warc
 from lodgelens.llm.shared import text_mod
 from lodgelens.sources.tables import table
 
@@ -33,6 +33,33 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), seq_len=2048, end_id=1)
 
 
+@query("op2_neighbours")
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op4_linededup", oracle="""
+WITH r AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS j FROM documents),
+v AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM r),
+a AS (SELECT *, (sum((w > 0)::INT) OVER (PARTITION BY doc_id ORDER BY j))::BIGINT AS i FROM v),
+l AS (SELECT doc_id, i, line, w, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM a WHERE w > 0),
+fw AS (SELECT x.doc_id, x.i AS s, min(y.i) AS e FROM l x JOIN l y ON x.doc_id = y.doc_id AND y.i BETWEEN x.i AND x.i + 49 AND y.c - x.c + x.w >= 50 GROUP BY ALL),
+bw AS (SELECT y.doc_id, max(x.i) AS s, y.i AS e FROM l x JOIN l y ON x.doc_id = y.doc_id AND x.i BETWEEN y.i - 49 AND y.i AND y.c - x.c + x.w >= 50 GROUP BY y.doc_id, y.i),
+win AS (SELECT * FROM fw UNION SELECT doc_id, s, e FROM bw),
+ls AS (SELECT doc_id, list(line ORDER BY i) AS lines FROM l GROUP BY doc_id),
+t AS (SELECT doc_id, s, e, array_to_string(lines[s:e], chr(10)) AS body FROM win JOIN ls USING (doc_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS n FROM t),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM o WHERE n > 1),
+k AS (SELECT a.doc_id, a.j, a.line, gone.i IS NOT NULL AS del FROM a LEFT JOIN gone ON a.doc_id = gone.doc_id AND a.i = gone.i)
+SELECT doc_id, count(*) AS n_lines, sum(del::INT)::BIGINT AS deleted_lines,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (WHERE NOT del), '')) AS kept_sha256
+FROM k GROUP BY doc_id""")
+def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup(table(spark, sf_dir, "documents"), min_words=50)
+    return kept.select("doc_id", F.greatest(F.col("__lines"), F.lit(1)).cast("long").alias("n_lines"), F.col("__deleted").cast("long").alias("deleted_lines"),
+                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
