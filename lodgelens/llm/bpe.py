@@ -18,9 +18,11 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class PairTable:
-    """(left id, right id) -> rank, and rank -> merged id."""
+    """(left id, right id) -> rank, and rank -> merged id.
 
-    def __init__(self, left, right, merged):
+    Pairs have ranks of their own unless ``rank`` gives pairs a common one."""
+
+    def __init__(self, left, right, merged, rank=None):
         key = (np.asarray(left, dtype=np.uint64) << np.uint64(32)) | np.asarray(right, dtype=np.uint64)
         bits = max(4, int(len(key) * 8).bit_length())
         self.shift, size = np.uint64(64 - bits), 1 << bits
@@ -28,7 +30,7 @@ class PairTable:
         self.rank = np.full(size + 64, NONE, dtype=np.int32)
         self.merged = np.asarray(merged, dtype=np.int32)
         self.probes = 1
-        for r, (k, slot) in enumerate(zip(key.tolist(), ((key * _MIX) >> self.shift).tolist())):
+        for r, k, slot in zip(range(len(key)) if rank is None else rank, key.tolist(), ((key * _MIX) >> self.shift).tolist()):
             step = 0
             while self.rank[slot + step] != NONE:
                 step += 1

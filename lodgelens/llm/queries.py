@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgelens.llm import ann, fingerprint, langid, linededup, minhash, packing, toxicity, warc
-from lodgelens.llm.shared import text_mod
+from lodgelens.llm import ann, fingerprint, langid, linededup, minhash, packing, pieces, tokencount, toxicity, warc
+from lodgelens.llm.shared import shared_dir, text_mod, written
 from lodgelens.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +39,25 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+@query("op3_tokencount")
+def op3_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "token-files")
+    end = 49407  # the tokenizer's end-of-text id, which no text encodes to
+    placed = written(tokencount.write_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end), "token-places")
+    counted = tokencount.count_tokens(spark, folder, end) if not placed.isEmpty() else None
+    if counted is None:
+        return placed.selectExpr("doc_id", "file", "ordinal", "ordinal AS start", "ordinal AS n_tokens")
+    return counted.join(placed, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+
+
+@query("op7_pieces")
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    back = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return back.select("doc_id", "n_pieces", "ids_crc32", F.length("text").cast("long").alias("n_chars"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 @query("op4_linededup", oracle="""
 WITH r AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS j FROM documents),
 v AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM r),
@@ -114,3 +134,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_fingerprint")
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents")).drop("edits")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

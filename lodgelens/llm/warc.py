@@ -34,28 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodgelens.llm.files import filesystem, new_file
 from lodgelens.llm.shared import shared_dir
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"  # fixed, so that a repeated task writes the same bytes
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
-
-
-def _store(uri: str, name: str, data: bytes) -> None:
-    """Write the whole file beside its place, then rename it there."""
-    system, folder = _filesystem(uri)
-    system.create_dir(folder, recursive=True)
-    context = TaskContext.get()
-    part = f"{folder}/_part-{name}-{context.taskAttemptId() if context else 0}"
-    with system.open_output_stream(part) as out:
-        out.write(data)
-    system.move(part, f"{folder}/{name}")
-
-
 def record_bytes(page_id: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One WARC record: a response with its payload, or a revisit without."""
     body = b"" if refers_to is not None else payload
@@ -93,7 +78,8 @@ def _write(uri: str, file_bytes: int, level: int, batches: Iterator[pd.DataFrame
 
     def close():
         name = f"pages-{part:06d}-{serial:05d}.warc.gz"
-        _store(uri, name, b"".join([*chunks, packer.flush()]))
+        with new_file(uri, name) as out:
+            out.write(b"".join([*chunks, packer.flush()]))
         return pd.DataFrame({"name": [name]})
 
     for pdf in batches:
@@ -119,13 +105,15 @@ def _normalise(uri: str, level: int, batches: Iterator[pd.DataFrame]) -> Iterato
                 members.append(member)
                 at += len(member)
             name = path.rsplit("/", 1)[-1]
-            _store(f"{uri}/members", name, b"".join(members))
-            _store(f"{uri}/index", name.replace(".warc.gz", ".idx"), b"".join(struct.pack("<QI", *x) for x in index))
+            with new_file(f"{uri}/members", name) as out:
+                out.write(b"".join(members))
+            with new_file(f"{uri}/index", name.replace(".warc.gz", ".idx")) as out:
+                out.write(b"".join(struct.pack("<QI", *x) for x in index))
             yield pd.DataFrame({"name": [name], "records": [len(index)]})
 
 
 def _read(uri: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    system, folder = _filesystem(uri)
+    system, folder = filesystem(uri)
     for pdf in batches:
         for stem, index in zip(pdf["stem"], pdf["index"]):
             rows = []
