@@ -58,11 +58,10 @@ def letter_stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     c = np.where(is_letter, cps, np.uint32(32))
     follows = np.concatenate([[False], is_letter[:-1]])  # a letter stands before
     keep = is_letter | follows | end
-    after_end = np.concatenate([[True], end[:-1]])
     out = c[keep].astype(np.uint64)
     ends = end[keep]
     # a text's last character gives "blank" and its end falls on the same entry: widen it to " \0 "
-    first = after_end[keep] & ~ends
+    first = np.concatenate([[True], ends[:-1]]) & ~ends
     reps = 1 + first.astype(np.int64) + ends
     at = np.cumsum(reps) - 1
     wide = np.repeat(out, reps)
