@@ -180,9 +180,9 @@ def class_components(docs: DataFrame, percent: int, words: int, bands: int, rows
         F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     if both.isEmpty():
         return sketches.drop("bands"), roots
-    joined = components(both, "a", "b", "minhash-cross").withColumnsRenamed({"node": "root", "root": "top"})
+    joined = written(components(both, "a", "b", "minhash-cross").select(F.col("node").alias("root"), F.col("root").alias("top")), "minhash-joined")
     nodes = roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    single = joined.join(roots, joined["root"] == roots["node"], "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    single = joined.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots.select("node"), "node", "left_anti")
     return sketches.drop("bands"), written(nodes.unionByName(single), "minhash-all-roots")
 
 

@@ -246,6 +246,21 @@ def test_near_duplicates_equal_brute_force(spark, odd_docs, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
 
 
+def test_links_beside_the_centre(spark):
+    """All in one bucket, whose centre (most copies) is near, but not near enough: the others' links still count."""
+    w = [f"w{k}" for k in range(300)]
+    far = [f"z{k}" if k % 30 == 29 else x for k, x in enumerate(w)]  # ten words from the centre, 0.71
+    docs = [(k, " ".join(w)) for k in range(10, 14)]
+    for n in range(6):
+        one = list(far)
+        one[5 + n] = "other"
+        docs.append((20 + n, " ".join(one)))
+    docs += [(40, " ".join(w[:299])), (41, " ".join(far[:298]))]
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=85, bands=1, rows=1, cross_bands=1)
+    want = brute_groups(docs, 85)
+    assert len({c for _, _, c, _ in want}) == 2 and rows_of(got) == want
+
+
 def test_keep_first(odd_docs):
     got = minhash.keep_first(odd_docs)
     assert got.columns == odd_docs.columns
