@@ -256,7 +256,7 @@ def test_links_beside_the_centre(spark):
         one[5 + n] = "other"
         docs.append((20 + n, " ".join(one)))
     docs += [(40, " ".join(w[:299])), (41, " ".join(far[:298]))]
-    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=85, bands=1, rows=1, cross_bands=1)
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=85, bands=4, rows=1, cross_bands=1)
     want = brute_groups(docs, 85)
     assert len({c for _, _, c, _ in want}) == 2 and rows_of(got) == want
 
