@@ -45,7 +45,7 @@ def leakage_check(df: DataFrame, target: str, ratios: dict[str, tuple[str, str]]
 def fold_of(id_col: str, k: int = 5, seed: int = 42) -> Column:
     """M3: shuffled k-fold assignment from the id alone (independent of row
     order and partitioning)."""
-    return F.pmod(F.pmod(F.col(id_col) * 7919 + F.lit(seed) * 104729, F.lit(1000003)), F.lit(k)).cast("int")
+    return F.pmod(F.pmod(F.pmod(F.col(id_col), F.lit(1000003)) * 7919 + F.lit(seed) * 104729, F.lit(1000003)), F.lit(k)).cast("int")
 
 
 def regression_metrics(df: DataFrame, true_col: str, pred_col: str, by: list[str] | None = None,

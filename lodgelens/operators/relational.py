@@ -419,14 +419,15 @@ def median_and_count(df: DataFrame, key: str, value: str, median_col: str = "med
 
 def pearson_spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """N, Pearson and Spearman (Pearson of average ranks) of a pair, rows
-    with a null in either column dropped; fewer than 3 rows -> error row."""
+    with a null in either column dropped; null coefficients below 3 rows."""
     sub = df.select(a, b).dropna()
     # ranks are attached by value, so the pair table is ranked per column
     ranked = average_rank(average_rank(sub, a, "_ra"), b, "_rb")
+    enough = F.count(F.lit(1)) >= 3
     return ranked.agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.corr(a, b), 4).alias("pearson"),
-        F.round(F.corr("_ra", "_rb"), 4).alias("spearman"),
+        F.when(enough, F.round(F.corr(a, b), 4)).alias("pearson"),
+        F.when(enough, F.round(F.corr("_ra", "_rb"), 4)).alias("spearman"),
     )
 
 
@@ -472,18 +473,18 @@ def last_turns(df: DataFrame, conv: str, turn: str, role: str, n: int) -> DataFr
 
 # ------------------------------------------------------------- sorts/limits
 
-def top_n(df: DataFrame, metric: str, n: int = 5, ascending: bool = False, cap: int = 20,
-          id_col: str = "id") -> DataFrame:
-    """L1: top (or bottom) n by a metric, nulls last, ties by id; n capped."""
+def top_n(df: DataFrame, metric: str, n: int = 5, ascending: bool = False, id_col: str = "id") -> DataFrame:
+    """L1: top (or bottom) n by a metric, nulls last, ties by id."""
     if metric not in df.columns:
         raise ValueError(f"Column '{metric}' not found")
     o = F.asc_nulls_last(metric) if ascending else F.desc_nulls_last(metric)
-    return df.orderBy(o, F.asc(id_col)).limit(min(n, cap))
+    return df.orderBy(o, F.asc(id_col)).limit(n)
 
 
 def seeded_order(id_col: str, seed: int) -> Column:
     """L4: a portable pseudo-random order, independent of partitioning."""
-    return F.pmod(F.col(id_col) * 7919 + F.lit(seed) * 104729, F.lit(1000003))
+    # reduced first: ids of 18 or 19 digits would overflow
+    return F.pmod(F.pmod(F.col(id_col), F.lit(1000003)) * 7919 + F.lit(seed) * 104729, F.lit(1000003))
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") -> DataFrame:

@@ -17,8 +17,6 @@ from lodgelens.operators import relational as R
 from lodgelens.plans import features as FE
 
 PRICE, RATING, REVENUE, OCCUPANCY = "price_numeric", "review_scores_rating", "estimated_revenue", "estimated_occupancy"
-MAX_ROWS_RETURNED = 20
-MAX_LOCATION_ROWS = 15
 
 
 def decode_panel(df: DataFrame) -> DataFrame:
@@ -133,10 +131,10 @@ def location_search(df: DataFrame, **kw) -> DataFrame:
 
 
 def location_search_top(df: DataFrame, top_n: int, sort_by: str = REVENUE, **kw) -> DataFrame:
-    """Q9: the optional top matches (at most 15) by a sort column."""
+    """Q9: the optional top matches by a sort column."""
     _require(df, sort_by)
     d = _location_filtered(df, **kw)
-    return R.top_n(d, sort_by, top_n, cap=MAX_LOCATION_ROWS).select(
+    return R.top_n(d, sort_by, top_n).select(
         "id", "borough", "property_type", "room_type", "bedrooms", F.round(PRICE, 2).alias("price"),
         F.round(RATING, 2).alias("rating"), F.round(REVENUE, 2).alias("revenue"), "dist_subway_km",
         "subway_lines_500m", "crime_count_500m")

@@ -147,16 +147,14 @@ def scan_snapshots(spark, sf):
 
 @query("decode_words", """
 WITH t AS (SELECT doc_id, '[' || array_to_string(list_transform(
-             list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), ' +'), lambda x: x <> '')[1:3],
+             list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), ' +'), lambda x: x <> ''),
              lambda w: '''' || w || ''''), ', ') || ']' AS words FROM documents)
 SELECT doc_id, words, array_to_string(CAST(json(replace(words, '''', '"')) AS VARCHAR[]), '|') AS decoded FROM t
 """)
 def decode_words(spark, sf):
-    """List text "['a', 'b']" decoded to an array (built from the first
-    three words of each document)."""
+    """List text "['a', 'b']" decoded to an array (built from the words of each document)."""
     d = table(spark, sf, "documents")
-    words = F.slice(F.filter(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", " ")), " +"),
-                             lambda w: w != ""), 1, 3)
+    words = F.filter(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", " ")), " +"), lambda w: w != "")
     t = d.select("doc_id", F.concat(F.lit("["), F.array_join(F.transform(words, lambda w: F.concat(
         F.lit("'"), w, F.lit("'"))), ", "), F.lit("]")).alias("words"))
     return t.select("doc_id", "words", F.array_join(io.decode_list_text("words"), "|").alias("decoded"))

@@ -139,10 +139,10 @@ SELECT id, borough, property_type, room_type, bedrooms, round(price_numeric, 2)
        round(review_scores_rating, 2) AS rating, round(estimated_revenue, 2) AS revenue, dist_subway_km,
        subway_lines_500m, crime_count_500m
 FROM qbase WHERE dist_subway_km <= 3.0 AND subway_lines_500m >= 0 AND crime_count_500m <= 200 AND poi_count_500m >= 0
-ORDER BY estimated_revenue DESC NULLS LAST, id LIMIT 15
+ORDER BY estimated_revenue DESC NULLS LAST, id LIMIT 40
 """)
 def location_search_top(spark, sf):
-    """Q9: top matches (n capped at 15)."""
+    """Q9: top matches."""
     return Qs.location_search_top(qbase(spark, sf), 40, **_LOC_KW)
 
 

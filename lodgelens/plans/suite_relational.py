@@ -577,10 +577,10 @@ def top_n(spark, sf):
 
 @query("bottom_n", """
 SELECT id, review_scores_rating FROM listing_base
-ORDER BY review_scores_rating ASC NULLS LAST, id LIMIT 20
+ORDER BY review_scores_rating ASC NULLS LAST, id LIMIT 50
 """)
 def bottom_n(spark, sf):
-    """L1 ascending, n above the cap of 20."""
+    """L1 ascending."""
     return R.top_n(listing_base(spark, sf), "review_scores_rating", 50, ascending=True).select(
         "id", "review_scores_rating")
 

@@ -61,5 +61,6 @@ def decode_list_text(c) -> "F.Column":
     """Python-literal list text "['a', 'b']" -> array<string>; null or
     unparsable -> empty array."""
     col = F.col(c) if isinstance(c, str) else c
-    as_json = F.regexp_replace(col, "'", '"')
-    return F.coalesce(F.from_json(as_json, "array<string>"), F.array().cast("array<string>"))
+    quoted = F.regexp_extract_all(col, F.lit(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""), F.lit(0))
+    bare = F.transform(quoted, lambda x: F.regexp_replace(x.substr(F.lit(2), F.length(x) - 2), r"\\(.)", "$1"))
+    return F.coalesce(bare, F.array().cast("array<string>"))
