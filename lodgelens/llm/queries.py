@@ -47,7 +47,7 @@ def op3_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokencount.count_tokens(spark, folder, end) if not placed.isEmpty() else None
     if counted is None:
         return placed.selectExpr("doc_id", "file", "ordinal", "ordinal AS start", "ordinal AS n_tokens")
-    return counted.join(placed, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    return counted.join(placed.hint("merge"), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
 
 
 @query("op7_pieces")
