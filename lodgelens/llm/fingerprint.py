@@ -122,8 +122,8 @@ def with_next(docs: DataFrame, rows: int = 2000, most: int = 4096) -> DataFrame:
     parts = max(1, min(most, -(-n // rows)))
     bounds = sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).where("d is not null").approxQuantile(
         "d", [k / parts for k in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
-    edges = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else None
-    place = F.size(F.filter(edges, lambda e: e > F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))) if bounds else F.lit(0)
+    edges = F.array(*[F.lit(float(b)) for b in bounds or [float("-inf")]])
+    place = F.size(F.filter(edges, lambda e: e > F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))))
     rows_ = docs.withColumn("b", place).withColumn("o", F.xxhash64("text"))
     firsts = rows_.groupBy("b").agg(F.max_by("text", F.struct("doc_id", "o")).alias("head"))
     ranges = firsts.select("b").withColumn("after", F.coalesce(F.lead("b").over(Window.orderBy("b")), F.min("b").over(
