@@ -9,12 +9,10 @@ bin copies the first filled one in its own fixed random order of bins
 Texts with equal sets form one class first, so copies never meet in a bucket.
 In a bucket every class is joined to one centre only (the class with most
 copies), so a bucket of n classes gives n - 1 candidate edges. Edges are
-confirmed on full sets. A class that a bucket's centre doesn't reach might
-still be linked to another one in there: for such classes, and only those,
-the pairs with the bucket's classes of other components are also compared
-(kept to pairs that share ``cross_bands`` bands, which a pair at the
-threshold misses with a chance below 1e-4). With 25 bands of 5 bins a pair at
-0.85 shares no band with a chance of about 4e-7.
+confirmed on full sets. Classes of a bucket that its centre doesn't reach may
+still be linked to others in there; such links are found exactly, by the
+classes' differences from the centre (``unreached_links``). With 25 bands of
+5 bins a pair at 0.85 shares no band with a chance of about 4e-7.
 
 Defined cases: a null text, an empty one or one without words has an empty
 set and is linked with nothing; fewer words than a shingle are one shingle;
@@ -31,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgelens.llm.shared import components, written
@@ -129,26 +127,113 @@ def _confirmed(percent: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.Dat
         yield pdf.loc[ok, ["a", "b"]]
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """Pairs of classes whose full sets are alike enough.
+def class_sets(needed: DataFrame, docs: DataFrame, reps: DataFrame, words: int, name: str) -> DataFrame:
+    """(cls, shingles) of the ``needed`` classes, made again from one document
+    of each, so only their texts move."""
+    ids = reps.join(needed, "cls").select("doc_id").distinct()
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
+    return written(texts.mapInPandas(lambda it: _sets(words, it), "cls binary, shingles binary").dropDuplicates(["cls"])
+                   .join(needed, "cls", "left_semi"), f"{name}-sets")
+
 
-    Sizes alone rule out pairs first. The sets of the classes still in
-    question are made again from one document of each, so only their texts move."""
+def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+    """Pairs of classes whose full sets are alike enough; sizes alone rule out pairs first."""
     known = reps.select("cls", "n")
     near = (pairs.join(known.withColumnsRenamed({"cls": "a", "n": "na"}), "a").join(known.withColumnsRenamed({"cls": "b", "n": "nb"}), "b")
             .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"))
     near = written(near, f"{name}-near")
     needed = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct()
-    ids = reps.join(needed, "cls").select("doc_id").distinct()
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
-    sets = written(texts.mapInPandas(lambda it: _sets(words, it), "cls binary, shingles binary").dropDuplicates(["cls"])
-                   .join(needed, "cls", "left_semi"), f"{name}-sets")
+    sets = class_sets(needed, docs, reps, words, name)
     full = (near.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b"))
     return written(full.select("a", "b", "sa", "sb").mapInPandas(lambda it: _confirmed(percent, it), "a binary, b binary"), f"{name}-links")
 
 
-def class_components(docs: DataFrame, percent: int, words: int, bands: int, rows: int, cross_bands: int) -> tuple[DataFrame, DataFrame]:
+def _differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for own, hub in zip(pdf["s"], pdf["sh"]):
+            x, y = np.frombuffer(own, dtype=np.int64), np.frombuffer(hub, dtype=np.int64)
+            out.append(np.concatenate([np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)]))
+        yield pd.DataFrame({"centre": pdf["centre"], "cls": pdf["cls"], "n": pdf["n"], "diff": out})
+
+
+def differences(edges: DataFrame, docs: DataFrame, reps: DataFrame, words: int, name: str) -> DataFrame:
+    """(centre, cls, n, diff): the shingles that only one of the two has, those of
+    ``cls`` in front of those of the centre, each part in ascending order."""
+    needed = edges.select("cls").unionByName(edges.select(F.col("centre").alias("cls"))).distinct()
+    sets = class_sets(needed, docs, reps, words, name)
+    full = (edges.join(sets.withColumnsRenamed({"shingles": "s"}), "cls").join(reps.select("cls", "n"), "cls")
+            .join(sets.select(F.col("cls").alias("centre"), F.col("shingles").alias("sh")), "centre"))
+    return written(full.select("centre", "cls", "n", "s", "sh").mapInPandas(_differences, "centre binary, cls binary, n long, diff array<long>"), f"{name}-differences")
+
+
+def alike(percent: int) -> Column:
+    """Whether rows with (n, diff) and (n2, diff2), differences from the same
+    centre, are linked: the difference of two sets is that of their differences."""
+    apart = F.size("diff") + F.size("diff2") - 2 * F.size(F.array_intersect("diff", "diff2"))
+    return (100 - percent) * (F.col("n") + F.col("n2")) >= (100 + percent) * apart
+
+
+def merged_roots(roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``roots`` (node, root) after further links (a, b) between roots."""
+    joined = written(components(links, "a", "b", name).select(F.col("node").alias("root"), F.col("root").alias("top")), f"{name}-joined")
+    nodes = roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    single = joined.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots.select("node"), "node", "left_anti")
+    return written(nodes.unionByName(single), f"{name}-roots")
+
+
+def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots.withColumnsRenamed({"node": "cls"}), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
+def several_roots(rows: DataFrame) -> DataFrame:
+    """Rows of those (centre, shingle) buckets that hold more than one component."""
+    some = rows.groupBy("centre", "shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("centre", "shingle")
+    return rows.join(some, ["centre", "shingle"], "left_semi")
+
+
+def unreached_links(members: DataFrame, docs: DataFrame, classes: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame:
+    """``roots`` after the links between classes of a bucket that its centre doesn't reach.
+
+    Let D be a class's difference from the centre. If a isn't linked to the
+    centre, then any b of the bucket linked to a has a shingle of D(a) in D(b),
+    and the first common one stands within the first few of both (prefix
+    filter, exact: at most as many shingles may stand before it as the
+    threshold lets the two sets differ on that side). So classes meet only
+    under such a shingle, first with one hub each, then those still in
+    different components with each other."""
+    near = rooted(members.where("size > 2 and cls != centre").select("centre", "cls").distinct(), roots)
+    hubs = rooted(near.select(F.col("centre").alias("cls")).distinct(), roots).select(F.col("cls").alias("centre"), F.col("root").alias("centre_root"))
+    near = written(near.join(hubs, "centre"), "minhash-unreached")
+    odd = near.where("root != centre_root").select("centre").distinct()
+    edges = near.join(odd, "centre", "left_semi").select("centre", "cls")
+    diffs = differences(edges, docs, classes, words, "minhash-cross")
+    most = F.expr(f"cast(({100 - percent} * (n + (100 * n) div {percent})) div {100 + percent} + 1 as int)")
+    keyed = diffs.select("centre", "cls", F.posexplode(F.slice("diff", F.lit(1), most)).alias("pos", "shingle"))
+    keyed = written(several_roots(rooted(keyed, roots)), "minhash-shingles")
+    # a bucket's hub is its class with the fewest differences from the centre
+    sized = written(keyed.join(diffs, ["centre", "cls"]), "minhash-shingled")
+    hub = sized.groupBy("centre", "shingle").agg(F.min(F.struct(F.size("diff").alias("d"), "cls")).alias("h")).select("centre", "shingle", F.col("h.cls").alias("hub"))
+    hubbed = sized.join(hub, ["centre", "shingle"]).dropDuplicates(["centre", "hub", "cls"])
+    mate = sized.select("centre", F.col("cls").alias("hub"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("diff").alias("diff2")).dropDuplicates(["centre", "hub"])
+    found = written(hubbed.join(mate, ["centre", "hub"]).where((F.col("root") != F.col("root2")) & alike(percent))
+                    .select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct(), "minhash-hub-links")
+    if not found.isEmpty():
+        roots = merged_roots(roots, found, "minhash-hub")
+        sized = written(several_roots(rooted(sized.drop("root"), roots)), "minhash-left")
+    left = sized.withColumn("d", F.size("diff"))
+    right = left.select("centre", "shingle", *[F.col(c).alias(f"{c}2") for c in ("cls", "root", "n", "pos", "d", "diff")])
+    gap = F.expr(f"({100 - percent} * (n + n2)) div {100 + percent}")
+    first = F.col("cls") < F.col("cls2")
+    placed = (2 * F.col("pos") <= F.col("d") - F.col("d2") + gap) & (2 * F.col("pos2") <= F.col("d2") - F.col("d") + gap)
+    pairs = left.join(right, (left["centre"] == right["centre"]) & (left["shingle"] == right["shingle"]) & first & (F.col("root") != F.col("root2"))
+                      & placed & alike(percent))
+    more = written(pairs.select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct(), "minhash-cross-links")
+    return roots if more.isEmpty() else merged_roots(roots, more, "minhash-cross")
+
+
+def class_components(docs: DataFrame, percent: int, words: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, cls) of every row, and (cls, root) of the linked classes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketches = written(docs.mapInPandas(lambda it: _sketched(words, bands, rows, it), f"doc_id {kind}, n long, cls binary, bands array<long>"), "minhash-sketches")
@@ -161,56 +246,34 @@ def class_components(docs: DataFrame, percent: int, words: int, bands: int, rows
     star = members.where("cls != centre").select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
     links = confirmed(star, docs, classes, words, percent, "minhash-star")
     roots = written(components(links, "a", "b", "minhash-star"), "minhash-roots")
-
-    # classes that a bucket's centre didn't reach, against the bucket's other components
-    tagged = (members.where("size > 2").join(roots.withColumnsRenamed({"node": "cls"}), "cls", "left")
-              .select("key", "cls", "centre", F.coalesce("root", "cls").alias("root")))
-    centre_root = tagged.where("cls = centre").select("key", F.col("root").alias("centre_root"))
-    tagged = written(tagged.join(centre_root, "key").join(classes.select("cls", "bands", "n"), "cls"), "minhash-tagged")
-    odd = tagged.where("root != centre_root").select("key", F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("bands").alias("ba"), F.col("n").alias("na"))
-    rest = tagged.where("cls != centre").select("key", F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("bands").alias("bb"), F.col("n").alias("nb"),
-                                               (F.col("root") != F.col("centre_root")).alias("odd"))
-    cross = odd.join(rest, (odd["key"] == rest["key"]) & (F.col("ra") != F.col("rb")) & (~F.col("odd") | (F.col("a") < F.col("b")))
-                     & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-                     & (F.size(F.array_intersect("ba", "bb")) >= cross_bands))
-    pairs = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirmed(pairs, docs, classes, words, percent, "minhash-cross")
-    both = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
-        roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").select(
-        F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    if both.isEmpty():
-        return sketches.drop("bands"), roots
-    joined = written(components(both, "a", "b", "minhash-cross").select(F.col("node").alias("root"), F.col("root").alias("top")), "minhash-joined")
-    nodes = roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    single = joined.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots.select("node"), "node", "left_anti")
-    return sketches.drop("bands"), written(nodes.unionByName(single), "minhash-all-roots")
+    return sketches.drop("bands"), unreached_links(members, docs, classes, roots, words, percent)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = 25, rows: int = 5, cross_bands: int = 3,
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = 25, rows: int = 5,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (smallest id of the component), kept
     (id = component_id), for texts linked at ``percent`` / 100 or more."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    grouped = grouped_rows(own, percent, words, bands, rows, cross_bands)
+    grouped = grouped_rows(own, percent, words, bands, rows)
     least = grouped.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = grouped.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def grouped_rows(own: DataFrame, percent: int, words: int, bands: int, rows: int, cross_bands: int) -> DataFrame:
+def grouped_rows(own: DataFrame, percent: int, words: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, n, root) of every row; the root is null for empty sets."""
-    sketched, roots = class_components(own, percent, words, bands, rows, cross_bands)
+    sketched, roots = class_components(own, percent, words, bands, rows)
     return sketched.join(roots.withColumnsRenamed({"node": "cls"}), "cls", "left").select("doc_id", "n", F.coalesce("root", "cls").alias("root"))
 
 
-def keep_first(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = 25, rows: int = 5, cross_bands: int = 3,
+def keep_first(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = 25, rows: int = 5,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates (the smallest
     id; of rows that repeat it, one) and all rows with an empty set."""
     numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "minhash-docs")
     own = numbered.select(F.col("__row").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    roots = grouped_rows(own, percent, words, bands, rows, cross_bands).select(F.col("doc_id").alias("__row"), "root")
+    roots = grouped_rows(own, percent, words, bands, rows).select(F.col("doc_id").alias("__row"), "root")
     first = F.min(F.struct(F.col("__id"), F.col("__row"))).alias("first")
     ids = numbered.select("__row", F.col(id_col).alias("__id")).join(roots, "__row")
     stay = (ids.where("root is not null").groupBy("root").agg(first).select(F.col("first.__row").alias("__row"))

@@ -256,11 +256,28 @@ def test_links_beside_the_centre(spark):
         one[5 + n] = "other"
         docs.append((20 + n, " ".join(one)))
     docs += [(40, " ".join(w[:299])), (41, " ".join(far[:298]))]
-    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=85, bands=4, rows=1, cross_bands=1)
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=85, bands=4, rows=1)
     want = brute_groups(docs, 85)
     assert len({c for _, _, c, _ in want}) == 2 and rows_of(got) == want
 
 
+def test_links_within_a_group_of_near_copies(spark):
+    """One text many times over with more or fewer edits, cuts and passages put in: every link counts, whichever centre its buckets have."""
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(90)]
+    docs = [(k, " ".join(base)) for k in range(5)]
+    for i in range(140):
+        w = list(base)
+        for at in rng.integers(0, 90, int(rng.integers(1, 6))):
+            w[int(at)] = f"x{rng.integers(0, 4)}"
+        lo, hi = int(rng.integers(0, 12)), 90 - int(rng.integers(0, 12))
+        w = w[lo:hi] if i % 3 == 0 else w[:40] + [f"p{i % 2}{k}" for k in range(14)] + w[40:] if i % 3 == 1 else w
+        docs.append((100 + i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for percent in (80, 85, 90):
+        assert rows_of(minhash.near_duplicates(df, percent=percent, bands=30, rows=1)) == brute_groups(docs, percent)
+
+
 def test_keep_first(odd_docs):
     got = minhash.keep_first(odd_docs)
     assert got.columns == odd_docs.columns
