@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 
 from lodgelens.llm.shared import components, written
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+TEXT_BATCH = 1_000  # rows of texts or sets sent to Python at once
+PARITY = 16  # longs of a set's parity bits, a power of two
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -133,46 +135,53 @@ def class_sets(needed: DataFrame, docs: DataFrame, reps: DataFrame, words: int,
     ids = reps.join(needed, "cls").select("doc_id").distinct()
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
     return written(texts.mapInPandas(lambda it: _sets(words, it), "cls binary, shingles binary").dropDuplicates(["cls"])
-                   .join(needed, "cls", "left_semi"), f"{name}-sets")
+                   .join(needed, "cls", "left_semi"), f"{name}-sets", TEXT_BATCH)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """Pairs of classes whose full sets are alike enough; sizes alone rule out pairs first."""
     known = reps.select("cls", "n")
     near = (pairs.join(known.withColumnsRenamed({"cls": "a", "n": "na"}), "a").join(known.withColumnsRenamed({"cls": "b", "n": "nb"}), "b")
             .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"))
-    near = written(near, f"{name}-near")
-    needed = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct()
-    sets = class_sets(needed, docs, reps, words, name)
     full = (near.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b"))
-    return written(full.select("a", "b", "sa", "sb").mapInPandas(lambda it: _confirmed(percent, it), "a binary, b binary"), f"{name}-links")
+    return written(full.select("a", "b", "sa", "sb").mapInPandas(lambda it: _confirmed(percent, it), "a binary, b binary"), f"{name}-links", TEXT_BATCH)
 
 
-def _differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _differences(percent: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for own, hub in zip(pdf["s"], pdf["sh"]):
-            x, y = np.frombuffer(own, dtype=np.int64), np.frombuffer(hub, dtype=np.int64)
-            out.append(np.concatenate([np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)]))
-        yield pd.DataFrame({"centre": pdf["centre"], "cls": pdf["cls"], "n": pdf["n"], "diff": out})
-
-
-def differences(edges: DataFrame, docs: DataFrame, reps: DataFrame, words: int, name: str) -> DataFrame:
-    """(centre, cls, n, diff): the shingles that only one of the two has, those of
-    ``cls`` in front of those of the centre, each part in ascending order."""
-    needed = edges.select("cls").unionByName(edges.select(F.col("centre").alias("cls"))).distinct()
-    sets = class_sets(needed, docs, reps, words, name)
-    full = (edges.join(sets.withColumnsRenamed({"shingles": "s"}), "cls").join(reps.select("cls", "n"), "cls")
+        for centre, cls, own, hub in zip(pdf["centre"], pdf["cls"], pdf["s"], pdf["sh"]):
+            x, y = np.frombuffer(own, dtype=np.uint64), np.frombuffer(hub, dtype=np.uint64)
+            diff = np.concatenate([np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)])
+            most = (100 - percent) * (len(x) + 100 * len(x) // percent) // (100 + percent)  # shingles that x and a set linked to it may differ in
+            odd = np.bincount((x & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+            out.append((centre, cls, len(x), len(diff), diff[:most + 1].view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)))
+        yield pd.DataFrame(out, columns=["centre", "cls", "n", "d", "first", "parity"])
+
+
+def differences(edges: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """(centre, cls, n, d, first, parity): how many shingles only one of the two
+    has, and the first of them, those of ``cls`` in front of those of the
+    centre, each part in ascending order. Bit k of ``parity`` is whether the
+    set has an odd number of shingles that hash to k: two sets differ in at
+    least as many shingles as their parities differ in bits."""
+    full = (edges.join(sets.withColumnsRenamed({"shingles": "s"}), "cls")
             .join(sets.select(F.col("cls").alias("centre"), F.col("shingles").alias("sh")), "centre"))
-    return written(full.select("centre", "cls", "n", "s", "sh").mapInPandas(_differences, "centre binary, cls binary, n long, diff array<long>"), f"{name}-differences")
+    return written(full.select("centre", "cls", "s", "sh").mapInPandas(
+        lambda it: _differences(percent, it), "centre binary, cls binary, n long, d long, first array<long>, parity array<long>"), f"{name}-differences", TEXT_BATCH)
 
 
-def alike(percent: int) -> Column:
-    """Whether rows with (n, diff) and (n2, diff2), differences from the same
-    centre, are linked: the difference of two sets is that of their differences."""
-    apart = F.size("diff") + F.size("diff2") - 2 * F.size(F.array_intersect("diff", "diff2"))
-    return (100 - percent) * (F.col("n") + F.col("n2")) >= (100 + percent) * apart
+def meeting(left: DataFrame, right: DataFrame, also: Column, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components that meet under a shingle
+    and may be linked: it stands early enough in both, and the parities differ
+    in few enough bits. No linked pair whose first common shingle it is fails."""
+    gap = F.expr(f"({100 - percent} * (n + n2)) div {100 + percent}")
+    placed = (2 * F.col("pos") <= F.col("d") - F.col("d2") + gap) & (2 * F.col("pos2") <= F.col("d2") - F.col("d") + gap)
+    bits = sum((F.bit_count(F.col("parity")[k].bitwiseXOR(F.col("parity2")[k])) for k in range(1, PARITY)), F.bit_count(F.col("parity")[0].bitwiseXOR(F.col("parity2")[0])))
+    pairs = left.join(right, (left["centre"] == right["centre"]) & (left["shingle"] == right["shingle"]) & also & (F.col("root") != F.col("root2"))
+                      & placed & (bits <= gap))
+    return pairs.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
 
 
 def merged_roots(roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -193,7 +202,7 @@ def several_roots(rows: DataFrame) -> DataFrame:
     return rows.join(some, ["centre", "shingle"], "left_semi")
 
 
-def unreached_links(members: DataFrame, docs: DataFrame, classes: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame:
+def unreached_links(members: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """``roots`` after the links between classes of a bucket that its centre doesn't reach.
 
     Let D be a class's difference from the centre. If a isn't linked to the
@@ -201,42 +210,35 @@ def unreached_links(members: DataFrame, docs: DataFrame, classes: DataFrame, roo
     and the first common one stands within the first few of both (prefix
     filter, exact: at most as many shingles may stand before it as the
     threshold lets the two sets differ on that side). So classes meet only
-    under such a shingle, first with one hub each, then those still in
-    different components with each other."""
+    under such a shingle, first each with one hub, then those still in
+    different components with each other; full sets confirm their links."""
     near = rooted(members.where("size > 2 and cls != centre").select("centre", "cls").distinct(), roots)
     hubs = rooted(near.select(F.col("centre").alias("cls")).distinct(), roots).select(F.col("cls").alias("centre"), F.col("root").alias("centre_root"))
     near = written(near.join(hubs, "centre"), "minhash-unreached")
     odd = near.where("root != centre_root").select("centre").distinct()
-    edges = near.join(odd, "centre", "left_semi").select("centre", "cls")
-    diffs = differences(edges, docs, classes, words, "minhash-cross")
-    most = F.expr(f"cast(({100 - percent} * (n + (100 * n) div {percent})) div {100 + percent} + 1 as int)")
-    keyed = diffs.select("centre", "cls", F.posexplode(F.slice("diff", F.lit(1), most)).alias("pos", "shingle"))
+    diffs = differences(near.join(odd, "centre", "left_semi").select("centre", "cls"), sets, percent, "minhash-cross")
+    keyed = diffs.select("centre", "cls", "n", "d", "parity", F.posexplode("first").alias("pos", "shingle"))
     keyed = written(several_roots(rooted(keyed, roots)), "minhash-shingles")
-    # a bucket's hub is its class with the fewest differences from the centre
-    sized = written(keyed.join(diffs, ["centre", "cls"]), "minhash-shingled")
-    hub = sized.groupBy("centre", "shingle").agg(F.min(F.struct(F.size("diff").alias("d"), "cls")).alias("h")).select("centre", "shingle", F.col("h.cls").alias("hub"))
-    hubbed = sized.join(hub, ["centre", "shingle"]).dropDuplicates(["centre", "hub", "cls"])
-    mate = sized.select("centre", F.col("cls").alias("hub"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("diff").alias("diff2")).dropDuplicates(["centre", "hub"])
-    found = written(hubbed.join(mate, ["centre", "hub"]).where((F.col("root") != F.col("root2")) & alike(percent))
-                    .select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct(), "minhash-hub-links")
-    if not found.isEmpty():
-        roots = merged_roots(roots, found, "minhash-hub")
-        sized = written(several_roots(rooted(sized.drop("root"), roots)), "minhash-left")
-    left = sized.withColumn("d", F.size("diff"))
-    right = left.select("centre", "shingle", *[F.col(c).alias(f"{c}2") for c in ("cls", "root", "n", "pos", "d", "diff")])
-    gap = F.expr(f"({100 - percent} * (n + n2)) div {100 + percent}")
-    first = F.col("cls") < F.col("cls2")
-    placed = (2 * F.col("pos") <= F.col("d") - F.col("d2") + gap) & (2 * F.col("pos2") <= F.col("d2") - F.col("d") + gap)
-    pairs = left.join(right, (left["centre"] == right["centre"]) & (left["shingle"] == right["shingle"]) & first & (F.col("root") != F.col("root2"))
-                      & placed & alike(percent))
-    more = written(pairs.select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct(), "minhash-cross-links")
-    return roots if more.isEmpty() else merged_roots(roots, more, "minhash-cross")
+    for step in ("hub", "cross"):
+        right = keyed.select("centre", "shingle", *[F.col(c).alias(f"{c}2") for c in ("cls", "root", "n", "pos", "d", "parity")])
+        if step == "hub":  # the class with the fewest differences from the centre
+            best = F.min(F.struct("d2", "cls2", "root2", "n2", "pos2", "parity2")).alias("h")
+            pairs = meeting(keyed, right.groupBy("centre", "shingle").agg(best).select("centre", "shingle", "h.*"), F.lit(True), percent)
+        else:
+            pairs = meeting(keyed, right, F.col("cls") < F.col("cls2"), percent)
+        links = confirmed(pairs, classes, sets, percent, f"minhash-{step}")
+        if not links.isEmpty():
+            ends = rooted(links.withColumnRenamed("a", "cls"), roots).select(F.col("root").alias("x"), F.col("b").alias("cls"))
+            roots = merged_roots(roots, rooted(ends, roots).select(F.col("x").alias("a"), F.col("root").alias("b")), f"minhash-{step}")
+            if step == "hub":
+                keyed = written(several_roots(rooted(keyed.drop("root"), roots)), "minhash-left")
+    return roots
 
 
 def class_components(docs: DataFrame, percent: int, words: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, cls) of every row, and (cls, root) of the linked classes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketches = written(docs.mapInPandas(lambda it: _sketched(words, bands, rows, it), f"doc_id {kind}, n long, cls binary, bands array<long>"), "minhash-sketches")
+    sketches = written(docs.mapInPandas(lambda it: _sketched(words, bands, rows, it), f"doc_id {kind}, n long, cls binary, bands array<long>"), "minhash-sketches", TEXT_BATCH)
     classes = written(sketches.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "minhash-classes")
     keyed = classes.select("cls", "copies", F.explode("bands").alias("key"))
@@ -244,9 +246,10 @@ def class_components(docs: DataFrame, percent: int, words: int, bands: int, rows
     shared = keyed.groupBy("key").agg(best, F.count("*").alias("size")).where("size > 1").select("key", F.col("best.cls").alias("centre"), "size")
     members = written(keyed.select("cls", "key").join(shared, "key"), "minhash-members")
     star = members.where("cls != centre").select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
-    links = confirmed(star, docs, classes, words, percent, "minhash-star")
+    sets = class_sets(members.select("cls").distinct(), docs, classes, words, "minhash")
+    links = confirmed(star, classes, sets, percent, "minhash-star")
     roots = written(components(links, "a", "b", "minhash-star"), "minhash-roots")
-    return sketches.drop("bands"), unreached_links(members, docs, classes, roots, words, percent)
+    return sketches.drop("bands"), unreached_links(members, classes, sets, roots, percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = 25, rows: int = 5,

@@ -16,14 +16,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage (a lost executor re-reads files instead of recomputing) and
-    fixes values such as monotonically_increasing_id."""
+    fixes values such as monotonically_increasing_id. ``batch_rows`` holds for
+    the write only: rows sent to Python at once, few where rows are long."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if batch_rows:
+            spark.conf.set(key, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
