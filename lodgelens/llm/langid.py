@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodgelens.llm.shared import text_batches, written
+
 SIZES = (3, 4)  # letters of an n-gram, blanks at word ends included
 HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 CHARS = 2_000_000  # of text handled at once in a task
@@ -184,7 +186,6 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_ro
 
 def written_counts(by_gram: DataFrame, languages: list[str]) -> DataFrame:
     """One row per n-gram with a count column per language."""
-    from lodgelens.llm.shared import written
     return written(by_gram.select("gram", *[F.coalesce(F.col("by")[k], F.lit(0)).cast("long").alias(f"n{i}")
                                             for i, k in enumerate(languages)]), "langid-counts")
 
@@ -209,6 +210,7 @@ def decide(model: LanguageModel | None, texts: list[str | None]) -> tuple[list[s
 
 def with_language(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", out_col: str = "language") -> DataFrame:
     """``docs`` with a struct column (lang, score, share)."""
+    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double, share double")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgelens.llm.shared import ordered_positions, written
+from lodgelens.llm.shared import ordered_positions, text_batches, written
 
 
 def windows(words: list[int], least: int) -> list[tuple[int, int]]:
@@ -138,6 +138,7 @@ def later_copies(numbered: DataFrame, least: int) -> DataFrame:
 def dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines of later copies of repeated runs, with two
     more columns: __lines (lines of the text) and __deleted (of them deleted)."""
+    text_batches(docs.sparkSession)
     numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "linededup-docs")
     keyed = numbered.select("__row", F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     later = later_copies(keyed, min_words)

@@ -32,10 +32,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodgelens.llm.shared import components, written
+from lodgelens.llm.shared import components, text_batches, written
 
 CACHE_WORDS = 200_000
-TEXT_BATCH = 1_000  # rows of texts or sets sent to Python at once
 PARITY = 16  # longs of a set's parity bits, a power of two
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -135,7 +134,7 @@ def class_sets(needed: DataFrame, docs: DataFrame, reps: DataFrame, words: int,
     ids = reps.join(needed, "cls").select("doc_id").distinct()
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
     return written(texts.mapInPandas(lambda it: _sets(words, it), "cls binary, shingles binary").dropDuplicates(["cls"])
-                   .join(needed, "cls", "left_semi"), f"{name}-sets", TEXT_BATCH)
+                   .join(needed, "cls", "left_semi"), f"{name}-sets")
 
 
 def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
@@ -145,7 +144,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int,
             .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"))
     full = (near.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b"))
-    return written(full.select("a", "b", "sa", "sb").mapInPandas(lambda it: _confirmed(percent, it), "a binary, b binary"), f"{name}-links", TEXT_BATCH)
+    return written(full.select("a", "b", "sa", "sb").mapInPandas(lambda it: _confirmed(percent, it), "a binary, b binary"), f"{name}-links")
 
 
 def _differences(percent: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,7 +168,7 @@ def differences(edges: DataFrame, sets: DataFrame, percent: int, name: str) -> D
     full = (edges.join(sets.withColumnsRenamed({"shingles": "s"}), "cls")
             .join(sets.select(F.col("cls").alias("centre"), F.col("shingles").alias("sh")), "centre"))
     return written(full.select("centre", "cls", "s", "sh").mapInPandas(
-        lambda it: _differences(percent, it), "centre binary, cls binary, n long, d long, first array<long>, parity array<long>"), f"{name}-differences", TEXT_BATCH)
+        lambda it: _differences(percent, it), "centre binary, cls binary, n long, d long, first array<long>, parity array<long>"), f"{name}-differences")
 
 
 def meeting(left: DataFrame, right: DataFrame, also: Column, percent: int) -> DataFrame:
@@ -237,8 +236,9 @@ def unreached_links(members: DataFrame, classes: DataFrame, sets: DataFrame, roo
 
 def class_components(docs: DataFrame, percent: int, words: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, cls) of every row, and (cls, root) of the linked classes."""
+    text_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketches = written(docs.mapInPandas(lambda it: _sketched(words, bands, rows, it), f"doc_id {kind}, n long, cls binary, bands array<long>"), "minhash-sketches", TEXT_BATCH)
+    sketches = written(docs.mapInPandas(lambda it: _sketched(words, bands, rows, it), f"doc_id {kind}, n long, cls binary, bands array<long>"), "minhash-sketches")
     classes = written(sketches.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "minhash-classes")
     keyed = classes.select("cls", "copies", F.explode("bands").alias("key"))

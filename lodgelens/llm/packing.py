@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodgelens.llm.bpe import WordEncoder
-from lodgelens.llm.shared import written
+from lodgelens.llm.shared import text_batches, written
 
 
 def by_chars(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
@@ -219,6 +219,7 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
     one length) are split over tasks."""
     id_type = docs.schema[id_col].dataType.simpleString()
     spark = docs.sparkSession
+    text_batches(spark)
     tokens = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(
         lambda it: _tokenised(tokenizer_path, seq_len, end_id, it),
         f"doc_id {id_type}, doc_tokens long, start long, length long, crc long, ids binary")

@@ -16,22 +16,24 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+def text_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Send at most ``rows`` rows to Python at once from here on.
+
+    Spark's default of 10,000 whole texts takes hundreds of MB a task in the
+    executor's buffers alone. A session with a setting of its own keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage (a lost executor re-reads files instead of recomputing) and
-    fixes values such as monotonically_increasing_id. ``batch_rows`` holds for
-    the write only: rows sent to Python at once, few where rows are long."""
+    fixes values such as monotonically_increasing_id."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    try:
-        if batch_rows:
-            spark.conf.set(key, str(batch_rows))
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgelens.llm.shared import written
+from lodgelens.llm.shared import text_batches, written
 
 STEMS = (3, 4, 5, 6)  # letters of a word beginning
 SIGNS = "\n\t\r.,;:!?\"'()[]{}<>*/-–—…«»“”¿¡"
@@ -222,6 +222,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, keep, rows: int = 20_000)
 
 
 def with_score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
