@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from lodgelens.llm.bpe import PairTable, merge_rows
 from lodgelens.llm.packing import by_chars
+from lodgelens.llm.shared import text_batches
 
 LONG = 64
 MARK = "▁"
@@ -53,9 +54,32 @@ def _hashes(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-class PieceModel:
+class PieceTexts:
+    """The bytes of each piece, for decoding."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        surface = [bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else names[i].replace(MARK, " ").encode()
+                   for i in range(len(names))]
+        self.sizes = np.array([len(b) for b in surface], dtype=np.int64)
+        self.flat, self.first = np.frombuffer(b"".join(surface), dtype=np.uint8), np.cumsum(self.sizes) - self.sizes
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of ids in a row: pieces' bytes gathered, the first word's blank taken off."""
+        size = self.sizes[ids]
+        stops = np.cumsum(size)
+        raw = self.flat[np.repeat(self.first[ids] - (stops - size), size) + np.arange(stops[-1] if len(stops) else 0)].tobytes()
+        at = np.concatenate([[0], stops])[np.concatenate([[0], ends])]
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        return [t[1:] if t[:1] == " " else t for t in texts]
+
+
+class PieceModel(PieceTexts):
     def __init__(self, path: str, cache_words: int = 200_000, pair_bits: int = 21):
         import sentencepiece
+        super().__init__(path)
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size = sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(size)]
@@ -64,8 +88,6 @@ class PieceModel:
         for i in range(size):
             if sp.is_byte(i):
                 self.byte_ids[int(names[i][3:5], 16)] = i
-        self.surface = [bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else names[i].replace(MARK, " ").encode()
-                        for i in range(size)]
         if any(MARK in names[i].lstrip(MARK) or "\n" in names[i] for i in plain):
             raise ValueError("pieces reach over the start of a word or a line break")
         self.longest = max(len(names[i]) for i in plain)
@@ -244,19 +266,6 @@ class PieceModel:
             return np.concatenate(parts), np.cumsum([len(x) for x in parts])
         return out, ends
 
-    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
-        """Texts of ids in a row: pieces' bytes gathered, the first word's blank taken off."""
-        if not hasattr(self, "_flat"):
-            sizes = np.array([len(b) for b in self.surface], dtype=np.int64)
-            self._flat = np.frombuffer(b"".join(self.surface), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
-        flat, first, sizes = self._flat
-        size = sizes[ids]
-        stops = np.cumsum(size)
-        raw = flat[np.repeat(first[ids] - (stops - size), size) + np.arange(stops[-1] if len(stops) else 0)].tobytes()
-        at = np.concatenate([[0], stops])[np.concatenate([[0], ends])]
-        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-        return [t[1:] if t[:1] == " " else t for t in texts]
-
 
 def _spaced(text: str) -> str:
     """A text whose chunks stand between single blanks: a chunk carries its
@@ -280,13 +289,14 @@ def _encoded(path: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids of every row."""
+    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(
         lambda it: _encoded(path, it), f"doc_id {kind}, ids array<int>")
 
 
 def _decoded(path: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    model = PieceModel(path)
+    model = PieceTexts(path)
     for pdf in batches:
         for lo in range(0, len(pdf), 500):
             part = pdf.iloc[lo:lo + 500]
