@@ -25,6 +25,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -278,8 +279,14 @@ def _spaced(text: str) -> str:
     return text.replace("\n", f" {BARE}\n {BARE}")
 
 
+@functools.lru_cache(maxsize=1)
+def _model(path: str) -> PieceModel:
+    """One model for all tasks of a Python worker, its remembered words included."""
+    return PieceModel(path)
+
+
 def _encoded(path: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    model = PieceModel(path)
+    model = _model(path)
     for pdf in batches:
         for lo, hi in by_chars(pdf["text"].tolist()):
             part = pdf.iloc[lo:hi]
