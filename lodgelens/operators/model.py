@@ -178,8 +178,12 @@ def refit_and_test(train: DataFrame, test: DataFrame, features: list[str], n_tre
     early stopping; metrics on the held-out rows."""
     p = dict(params or {}, n_estimators=max(1, int(n_trees)))
     model = gbt_regressor(p).fit(assemble(train, features))
-    pred = model.transform(assemble(test, features)).withColumn("pred_price", F.expm1("pred_log"))
-    return model, pred
+    return model, predict_price(model, test, features)
+
+
+def predict_price(model, rows: DataFrame, features: list[str]) -> DataFrame:
+    """``rows`` with the model's log price and price."""
+    return model.transform(assemble(rows, features)).withColumn("pred_price", F.expm1("pred_log"))
 
 
 def score_months(model, listings: DataFrame, season: DataFrame, features: list[str],

@@ -20,11 +20,25 @@ from lodgelens.session import ensure_checkpoint_dir
 _DONE: dict[str, str] = {}
 
 
-def materialized(spark: SparkSession, name: str, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
+def _path(spark: SparkSession, name: str, sf_dir: str) -> str:
     app = spark.sparkContext.applicationId
     key = hashlib.sha1(f"{name}|{sf_dir}|{app}".encode()).hexdigest()[:16]
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{key}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{key}"
+
+
+def materialized(spark: SparkSession, name: str, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
+    path = _path(spark, name, sf_dir)
     if path not in _DONE:
         build().write.mode("overwrite").parquet(path)
         _DONE[path] = name
     return spark.read.parquet(path)
+
+
+def fitted(spark: SparkSession, name: str, sf_dir: str, fit: Callable, kind):
+    """A ``spark.ml`` model of class ``kind``, fitted and saved once per
+    application like the tables above, then loaded from the shared folder."""
+    path = _path(spark, name, sf_dir)
+    if path not in _DONE:
+        fit().write().overwrite().save(path)
+        _DONE[path] = name
+    return kind.load(path)
