@@ -217,13 +217,17 @@ def density_clusters(spark, sf):
     return TP.density_clusters(r, "vec_id", "reduced", eps=0.35, min_samples=5, min_cluster_size=10)
 
 
+def in_half(id_col, seed):
+    return F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(2)) == 0
+
+
 @query("fit_sample_assign_all")
 def fit_sample_assign_all(spark, sf):
-    """V5: clusters fitted on a seeded half of the vectors, then every vector
-    (all rows) assigned to the most similar cluster centroid."""
+    """V5: clusters fitted on a seeded half of the vectors (drawn row by row
+    from a hash of the id), then every vector (all rows) assigned to the most
+    similar cluster centroid."""
     r = TP.reduce_dims(table(spark, sf, "embeddings"), "embedding", 5)
-    n = r.count()
-    sample = R.seeded_sample(r, max(1, n // 2), 42, "vec_id")
+    sample = r.filter(in_half("vec_id", 42))
     cl = TP.density_clusters(sample, "vec_id", "reduced", eps=0.35, min_samples=5, min_cluster_size=10)
     fitted = sample.join(cl, "vec_id").withColumnRenamed("cluster", "topic")
     cents = TP.centroids(fitted, "topic", "reduced")
