@@ -295,6 +295,59 @@ def concat_in_order(df: DataFrame, key: str, order: str, text: str, sep: str = "
     return agg.select(key, F.array_join(F.transform("_l", lambda s: s["t"]), sep).alias(out))
 
 
+def concat_chunks(df: DataFrame, key: str, order: str, text: str, sep: str = " ", max_chars: int = 1 << 16) -> DataFrame:
+    """A20 for keys of any size: (key, chunk, n_docs, doc), the joined texts of
+    a key cut between texts.  A chunk holds the texts that start within the
+    same ``max_chars`` of the key's running length, so no row or group grows
+    with the key; chunk numbers rise in order and may leave gaps.  ``doc`` is
+    null where a chunk has no text; the other chunks joined by ``sep`` are the
+    whole document.
+
+    The running length comes from one range sort, sums per (partition, key)
+    and their running sum per key (at most one row per partition and key).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.select(_c(key).alias("_k"), _c(order).alias("_o"), _c(text).alias("_t")).orderBy("_k", "_o", "_t")
+    rows = rows.withColumn("_m", F.monotonically_increasing_id()).checkpoint()
+    rows = rows.withColumns({"_p": F.shiftrightunsigned("_m", 33), "_s": F.coalesce(F.length("_t"), F.lit(0)) + F.length(F.lit(sep)) + 1})
+    earlier = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_k", "_p").agg(F.sum("_s").alias("_n")).select(
+        F.col("_k").alias("_k2"), F.col("_p").alias("_p2"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_p", "_k").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    at = rows.withColumn("_w", F.coalesce(F.sum("_s").over(within), F.lit(0))).join(
+        sums, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_p") == F.col("_p2")))
+    chunk = F.floor((F.col("_before") + F.col("_w")) / max_chars).alias("chunk")
+    parts = at.groupBy("_k", chunk).agg(
+        F.count(F.lit(1)).alias("n_docs"), F.count("_t").alias("_with"),
+        F.array_sort(F.collect_list(F.struct(F.col("_m"), F.col("_t")))).alias("_l"))
+    doc = F.when(F.col("_with") > 0, F.array_join(F.transform("_l", lambda s: s["_t"]), sep))
+    return parts.select(F.col("_k").alias(key), "chunk", "n_docs", doc.alias("doc"))
+
+
+def chunks_digest(chunks: DataFrame, key: str, sep: str = " ", out: str = "digest") -> DataFrame:
+    """MD5 of each key's whole document from its ordered chunks.  The chunks of
+    a key stream through one hash state (MD5 has no other way), a few at a
+    time, so a document is never held in memory."""
+    import hashlib
+
+    def digest(rows):
+        at, state, first = None, None, True
+        for k, doc in rows:
+            if state is None or k != at:
+                if state is not None:
+                    yield at, state.hexdigest()
+                at, state, first = k, hashlib.md5(), True
+            if doc is not None:
+                state.update((doc if first else sep + doc).encode())
+                first = False
+        if state is not None:
+            yield at, state.hexdigest()
+
+    # rows, not Arrow batches: those are bounded by a count of rows, these by bytes
+    rdd = chunks.repartition(key).sortWithinPartitions(key, "chunk").select(key, "doc").rdd.mapPartitions(digest)
+    return chunks.sparkSession.createDataFrame(rdd, f"{key} {chunks.schema[key].dataType.simpleString()}, {out} string")
+
+
 def mode_per_key(df: DataFrame, key: str, value: str, out: str = "mode") -> DataFrame:
     """Most frequent value per key; ties -> the smallest value.
 

@@ -144,10 +144,17 @@ SELECT listing_id, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, '
 """)
 def token_docs(spark, sf):
     """All tokens of a listing in review order, one document per listing."""
-    t = tokenised(spark, sf)
-    g = t.groupBy("listing_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("review_id", "toks"))),
-                                                          lambda s: s["toks"])).alias("t"))
-    return g.select("listing_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
+    n = tokenised(spark, sf).groupBy("listing_id").agg(F.sum(F.size("toks")).cast("int").alias("n_tokens"))
+    d = R.chunks_digest(token_doc_chunks(spark, sf), "listing_id").withColumnRenamed("listing_id", "_id")
+    return n.join(d, F.col("listing_id").eqNullSafe(F.col("_id"))).drop("_id")
+
+
+@query("token_doc_chunks")
+def token_doc_chunks(spark, sf):
+    """The documents themselves, in ordered chunks of bounded size."""
+    t = tokenised(spark, sf).select("listing_id", "review_id",
+                                    F.when(F.size("toks") > 0, F.array_join("toks", " ")).alias("text"))
+    return R.concat_chunks(t, "listing_id", "review_id", "text", " ")
 
 
 @query("concat_docs", """
@@ -156,10 +163,15 @@ FROM fx_comments GROUP BY listing_id
 """)
 def concat_docs(spark, sf):
     """Whole texts of a listing concatenated in order."""
-    c = catalog.fx_comments(spark, sf)
-    d = R.concat_in_order(c, "listing_id", "review_id", "comments", " ")
-    n = c.groupBy("listing_id").agg(F.count(F.lit(1)).alias("n_docs"))
-    return d.join(n, "listing_id").select("listing_id", "n_docs", F.md5("doc").alias("digest"))
+    n = catalog.fx_comments(spark, sf).groupBy("listing_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    d = R.chunks_digest(concat_doc_chunks(spark, sf), "listing_id").withColumnRenamed("listing_id", "_id")
+    return n.join(d, F.col("listing_id").eqNullSafe(F.col("_id"))).drop("_id")
+
+
+@query("concat_doc_chunks")
+def concat_doc_chunks(spark, sf):
+    """The documents themselves, in ordered chunks of bounded size."""
+    return R.concat_chunks(catalog.fx_comments(spark, sf), "listing_id", "review_id", "comments", " ")
 
 
 @query("first_n_docs", """
