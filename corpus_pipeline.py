@@ -62,7 +62,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-ORACLE_SQL = None  # trained models and BPE ids are beyond SQL; tests compare with brute force
+ORACLE_SQL = None  # trained models and BPE ids are beyond SQL; tests compare line_dedup and near_dedup with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,10 @@ In a bucket every class is joined to one centre only (the class with most
 copies), so a bucket of n classes gives n - 1 candidate edges. Edges are
 confirmed on full sets. Classes of a bucket that its centre doesn't reach may
 still be linked to others in there; such links are found exactly, by the
-classes' differences from the centre (``unreached_links``). With 25 bands of
-5 bins a pair at 0.85 shares no band with a chance of about 4e-7.
+classes' differences from the centre (``unreached_links``). The number of
+bands follows from ``percent`` (``bands_for``): 25 of 5 bins at 0.85 and 37 at
+0.80, so that a pair just at the limit shares no band with a chance of about
+4e-7 in both cases.
 
 Defined cases: a null text, an empty one or one without words has an empty
 set and is linked with nothing; fewer words than a shingle are one shingle;
@@ -24,6 +26,7 @@ or kept (``keep_first``).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +78,13 @@ class Shingler:
         return np.unique(mixed(out))
 
 
+def bands_for(percent: int, rows: int, miss: float = 4.4e-7) -> int:
+    """The least number of bands with which a pair at ``percent`` / 100 shares
+    none with a chance of at most ``miss``."""
+    apart = 1 - (percent / 100) ** rows  # chance that one band differs
+    return math.ceil(math.log(miss) / math.log(apart)) if apart > 0 else 1
+
+
 def donors(bins: int) -> np.ndarray:
     """Each bin's own fixed random order of all bins (its first is itself)."""
     order = np.random.default_rng(20240601).random((bins, bins)).argsort(axis=1)
@@ -252,12 +262,12 @@ def class_components(docs: DataFrame, percent: int, words: int, bands: int, rows
     return sketches.drop("bands"), unreached_links(members, classes, sets, roots, percent)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = 25, rows: int = 5,
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: int | None = None, rows: int = 5,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (smallest id of the component), kept
     (id = component_id), for texts linked at ``percent`` / 100 or more."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    grouped = grouped_rows(own, percent, words, bands, rows)
+    grouped = grouped_rows(own, percent, words, bands or bands_for(percent, rows), rows)
     least = grouped.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = grouped.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
@@ -270,13 +280,13 @@ def grouped_rows(own: DataFrame, percent: int, words: int, bands: int, rows: int
     return sketched.join(roots.withColumnsRenamed({"node": "cls"}), "cls", "left").select("doc_id", "n", F.coalesce("root", "cls").alias("root"))
 
 
-def keep_first(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = 25, rows: int = 5,
+def keep_first(docs: DataFrame, percent: int = 80, words: int = 5, bands: int | None = None, rows: int = 5,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates (the smallest
     id; of rows that repeat it, one) and all rows with an empty set."""
     numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "minhash-docs")
     own = numbered.select(F.col("__row").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    roots = grouped_rows(own, percent, words, bands, rows).select(F.col("doc_id").alias("__row"), "root")
+    roots = grouped_rows(own, percent, words, bands or bands_for(percent, rows), rows).select(F.col("doc_id").alias("__row"), "root")
     first = F.min(F.struct(F.col("__id"), F.col("__row"))).alias("first")
     ids = numbered.select("__row", F.col(id_col).alias("__id")).join(roots, "__row")
     stay = (ids.where("root is not null").groupBy("root").agg(first).select(F.col("first.__row").alias("__row"))
