@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgelens.llm import ann, fingerprint, langid, linededup, minhash, packing, pieces, tokencount, toxicity, warc
+from lodgelens.llm import ann, fingerprint, langid, linededup, minhash, mixing, packing, pieces, tokencount, toxicity, warc
 from lodgelens.llm.shared import shared_dir, text_mod, written
 from lodgelens.sources.tables import table
 
@@ -136,6 +136,28 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents")).drop("edits")
 
 
+@query("op13_mixing", oracle="""
+WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+g AS (SELECT source, sum(size)::BIGINT AS z, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s GROUP BY source),
+w AS (SELECT *, [3, 1, 2][place % 3 + 1] AS w, sum(z) OVER () AS total, coalesce(sum(z) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
+c AS (SELECT *, w * (150 * total - 200 * coalesce(sum(z) OVER o, 0)) >= 200 * z * (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS capped
+      FROM w WINDOW o AS (ORDER BY z::DOUBLE / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (150 * total - 200 * coalesce(sum(z) FILTER (WHERE capped) OVER (), 0))::DOUBLE / (100 * sum(w) FILTER (WHERE NOT capped) OVER ())::DOUBLE AS level FROM c),
+t AS (SELECT source, place, z, before, total, CASE WHEN capped THEN 2.0::DOUBLE * z ELSE level * w END AS target FROM l),
+k AS (SELECT doc_id, size, substr(md5('13-' || coalesce(doc_id::VARCHAR, 'null') || '-' || size), 1, 16) AS key, t.* FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, row_number() OVER (ORDER BY place, key, doc_id, size) AS i,
+        coalesce(sum(size) OVER (ORDER BY place, key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - before AS c FROM k),
+r AS (SELECT *, c + z * copy AS a, c + z * copy + size AS b, floor(target) AS f FROM q, (VALUES (0), (1)) v(copy)),
+h AS (SELECT * EXCLUDE (a, b), CASE part WHEN 2 THEN f ELSE a END AS a, CASE part WHEN 1 THEN f ELSE b END AS b
+      FROM (SELECT r.*, x.part FROM r JOIN (VALUES (0), (1), (2)) x(part) ON (a < f AND f < b) = (x.part > 0))),
+m AS (SELECT *, (b - a)::BIGINT AS words, sum(b - a) OVER (ORDER BY CASE WHEN target > 0 THEN b / target ELSE 0 END, place, b, i, part) - (b - a) AS pos FROM h)
+SELECT doc_id, size, z AS source_size, target, sum(least(words, greatest(total * 150 // 100 - pos, 0)))::BIGINT AS taken
+FROM m GROUP BY i, doc_id, size, z, target""")
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.taken_words(table(spark, sf_dir, "documents"), weights=(3, 1, 2), percent=150, repeats=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

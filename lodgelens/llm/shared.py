@@ -57,6 +57,23 @@ def ordered_positions(df: DataFrame, order: list[Column], name: str, pos: str) -
             .withColumn(pos, F.col("__o") + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__p", "__o", "__m"))
 
 
+def running_totals(df: DataFrame, order: list[Column], values: dict[str, Column], name: str) -> DataFrame:
+    """Add for each output name the sum of its (long) value over all rows before this one in the global order.
+
+    Range sort, one sum per partition, then running sums inside each partition
+    on top of the earlier partitions' sums, so no task sees all rows."""
+    from pyspark.sql import Window
+    tagged = written(df.withColumns({f"__v_{k}": v.cast("long") for k, v in values.items()})
+                     .orderBy(*order).withColumn("__m", F.monotonically_increasing_id()), name).withColumn("__p", F.shiftrightunsigned("__m", 33))
+    sums = tagged.groupBy("__p").agg(*[F.sum(f"__v_{k}").alias(f"__s_{k}") for k in values])
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sums.select("__p", *[F.coalesce(F.sum(f"__s_{k}").over(earlier), F.lit(0)).alias(f"__o_{k}") for k in values])
+    inside = Window.partitionBy("__p").orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)
+    out = tagged.join(F.broadcast(offsets), "__p")
+    out = out.withColumns({k: F.col(f"__o_{k}") + F.coalesce(F.sum(f"__v_{k}").over(inside), F.lit(0)) for k in values})
+    return out.drop("__p", "__m", *[f"__v_{k}" for k in values], *[f"__o_{k}" for k in values])
+
+
 def components(links: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """Connected components of undirected ``links``: (node, root), root the
     smallest node of its component.
