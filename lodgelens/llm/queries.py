@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgelens.llm import ann, fingerprint, hardneg, langid, linededup, minhash, mixing, packing, pieces, tokencount, toxicity, warc
+from lodgelens.llm import ann, fingerprint, hardneg, langid, lexical, linededup, minhash, mixing, packing, pieces, tokencount, toxicity, warc
 from lodgelens.llm.shared import shared_dir, text_mod, written
 from lodgelens.sources.tables import table
 
@@ -136,6 +136,24 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents")).drop("edits")
 
 
+@query("op11_lexical", oracle="""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+n AS (SELECT r, doc_id, count(*) AS terms FROM t GROUP BY r, doc_id),
+g AS (SELECT count(*) AS docs, sum(terms)::BIGINT AS words FROM n),
+m AS (SELECT r, doc_id, 100 - 50 + (50 * terms * docs) // words AS m FROM n, g),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+f AS (SELECT r, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), g),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM i JOIN f USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50""")
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, n_docs = lexical.build_index(table(spark, sf_dir, "documents"))
+    return lexical.search(index, n_docs, table(spark, sf_dir, "benchmark"), k=50)
+
+
 @query("op12_hardneg", oracle="""
 WITH e AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::INT AS label,
     [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings

@@ -3,6 +3,7 @@ folders, the contract's row splits, connected components."""
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,18 @@ def text_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Send at most ``rows`` rows to Python at once in the jobs run inside; the session's setting comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
