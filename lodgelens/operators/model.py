@@ -132,50 +132,97 @@ def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(df)
 
 
-def gbt_regressor(params: dict | None = None, label: str = "log_price", validation_col: str | None = None):
+def gbt_regressor(params: dict | None = None, label: str = "log_price"):
     """M4: spark.ml gradient-boosted trees with the original settings mapped
     (n_estimators -> maxIter, learning_rate -> stepSize, max_depth, min
     child weight -> minInstancesPerNode, subsample -> subsamplingRate, column
-    sample -> featureSubsetStrategy per node).  Differences: no L1/L2 terms,
-    column sampling per node instead of per tree, and early stopping is
-    spark.ml's tolerance rule on the validation rows (no patience window)."""
+    sample -> featureSubsetStrategy per node).  Differences: no L1/L2 terms
+    and column sampling per node instead of per tree.  The early stop is
+    ``fit_with_patience``."""
     from pyspark.ml.regression import GBTRegressor
     p = dict(GBT_PARAMS, **(params or {}))
-    g = GBTRegressor(labelCol=label, featuresCol="features", predictionCol="pred_log",
-                     maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"],
-                     minInstancesPerNode=p["min_child_weight"], subsamplingRate=p["subsample"],
-                     featureSubsetStrategy=str(p["colsample_bytree"]), seed=p["random_state"])
-    if validation_col:
-        g = g.setValidationIndicatorCol(validation_col)
-        g = g._set(validationTol=0.0)
-    return g
+    return GBTRegressor(labelCol=label, featuresCol="features", predictionCol="pred_log",
+                        maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"],
+                        minInstancesPerNode=p["min_child_weight"], subsamplingRate=p["subsample"],
+                        featureSubsetStrategy=str(p["colsample_bytree"]), seed=p["random_state"])
+
+
+def best_prefix(errors: list[float], patience: int) -> tuple[int, bool]:
+    """Index of the first smallest error before ``patience`` rounds in a row
+    without a new smallest one, and whether such a row of rounds was seen."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best, True
+    return best, False
+
+
+def fit_with_patience(train: DataFrame, validation: DataFrame, params: dict | None = None):
+    """M4's early stop: boosting ends ``early_stopping_rounds`` trees after the
+    validation error's last improvement, and the best prefix is the model.
+
+    ``evaluateEachIteration`` gives the error of every prefix in one pass (a
+    running sum of weighted tree outputs per row, one aggregate).  As boosting
+    can't be resumed, the ensemble is grown to twice the size while the stop
+    isn't reached; trees are seeded by their number, so a longer run has the
+    shorter one as its prefix.  Returns the model of the best prefix, the
+    0-based best iteration and the validation errors (RMSE) seen."""
+    p = dict(GBT_PARAMS, **(params or {}))
+    patience, most = p["early_stopping_rounds"], p["n_estimators"]
+    size = min(most, 2 * patience)
+    while True:
+        model = gbt_regressor(dict(p, n_estimators=size)).fit(train)
+        errors = [e ** 0.5 for e in model.evaluateEachIteration(validation, "squared")]
+        best, stopped = best_prefix(errors, patience)
+        if stopped or size == most:
+            break
+        size = min(most, 2 * size)
+    seen = errors[:best + patience + 1]
+    if best + 1 < size:
+        model = gbt_regressor(dict(p, n_estimators=best + 1)).fit(train)
+    return model, best, seen
+
+
+FOLD_METRICS = ["fold", "n_trees", "n", "rmse_log", "mae_price", "r2", "mape_pct"]
 
 
 def cross_validate(train: DataFrame, features: list[str], k: int = 5, seed: int = 42,
-                   params: dict | None = None) -> tuple[DataFrame, list[int]]:
-    """M4: k folds by id hash; each fold trains with the fold's rows as the
-    early-stopping validation set and is scored on them.  Returns the fold
-    metric table (one small aggregate per fold, unioned) and tree counts."""
+                   params: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """M4: k folds by id hash; each fold trains on the others, stops early on
+    its own rows and is scored on them.  Folds are fitted side by side.
+
+    Returns the fold metric table (``n_trees`` is the 0-based best iteration)
+    and the validation error of every prefix (fold, iteration, rmse)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
     from lodgelens.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(train.sparkSession)
+    spark = train.sparkSession
+    ensure_checkpoint_dir(spark)
     data = assemble(train, features).withColumn("_fold", fold_of("id", k, seed)).checkpoint()
-    rows, n_trees = [], []
-    for f in range(k):
-        d = data.withColumn("_val", F.col("_fold") == f)
-        model = gbt_regressor(params, validation_col="_val").fit(d)
-        n = len(model.trees)
-        n_trees.append(n)
-        pred = model.transform(d.filter("_val")).withColumn("pred_price", F.expm1("pred_log"))
-        m = regression_metrics(pred, "price_numeric", "pred_price").select(
-            F.lit(f + 1).alias("fold"), F.lit(n).alias("n_trees"), "n", "rmse_log", "mae_price", "r2", "mape_pct")
-        rows.append(m)
-    return reduce(lambda a, b: a.unionByName(b), rows), n_trees
+
+    @inheritable_thread_target(spark)
+    def one(f: int):
+        own = data.filter(F.col("_fold") == f)
+        model, best, errors = fit_with_patience(data.filter(F.col("_fold") != f), own, params)
+        pred = model.transform(own).withColumn("pred_price", F.expm1("pred_log"))
+        m = regression_metrics(pred, "price_numeric", "pred_price")
+        return m.select(F.lit(f + 1).alias("fold"), F.lit(best).alias("n_trees"), *FOLD_METRICS[2:]), [(f + 1, i, e) for i, e in enumerate(errors)]
+
+    with ThreadPoolExecutor(k) as pool:
+        done = list(pool.map(one, range(k)))
+    stages = spark.createDataFrame([s for _, rows in done for s in rows], "fold int, iteration int, rmse double")
+    return reduce(lambda a, b: a.unionByName(b), [m for m, _ in done]), stages
 
 
 def refit_and_test(train: DataFrame, test: DataFrame, features: list[str], n_trees: int,
                    params: dict | None = None):
-    """M5: refit on all training rows with the median fold tree count, no
-    early stopping; metrics on the held-out rows."""
+    """M5: refit on all training rows with the median of the folds' best
+    iterations (at least one tree), no early stopping; the held-out rows'
+    predictions."""
     p = dict(params or {}, n_estimators=max(1, int(n_trees)))
     model = gbt_regressor(p).fit(assemble(train, features))
     return model, predict_price(model, test, features)

@@ -17,8 +17,8 @@ def _leaf(t, x, j=0):
 
 
 def test_months_are_scored_by_the_refit_model(spark, sf):
-    train, _, feats = Q._split(spark, sf)
-    _, counts = M.cross_validate(train, feats, 5, 42)
+    feats = Q._split(spark, sf)[2]
+    counts = [r["n_trees"] for r in Q.train_price_model(spark, sf).collect()]
     model = Q.price_model(spark, sf)
     assert model.getNumTrees == int(statistics.median(counts)) > 1
     assert Q.refit_median_trees(spark, sf).first()["n_trees"] == model.getNumTrees
@@ -32,3 +32,35 @@ def test_months_are_scored_by_the_refit_model(spark, sf):
         x = [float("nan") if row[f] is None else float(row[f]) for f in feats]
         want = np.expm1(sum(w * _leaf(t, x) for t, w in zip(trees, weights)))
         assert abs(r["pred_price"] - want) <= 1e-9 * max(1, abs(want))
+
+
+def test_best_prefix():
+    assert M.best_prefix([3.0, 2.0, 2.0, 2.5, 1.0], 2) == (1, True)  # the later improvement is out of reach
+    assert M.best_prefix([3.0, 2.0, 2.0, 1.5, 1.0], 3) == (4, False)
+    assert M.best_prefix([1.0], 30) == (0, False)
+    assert M.best_prefix([1.0, 1.0, 1.0], 2) == (0, True)
+
+
+def test_fold_table_equals_oracle_over_staged_predictions(spark, sf):
+    """Tree by tree predictions of a longer fit give the errors, the stop and the fold's metrics."""
+    train, _, feats = Q._split(spark, sf)
+    folds = {r["fold"]: r for r in Q.train_price_model(spark, sf).collect()}
+    stages = {}
+    for r in Q.price_fold_stages(spark, sf).collect():
+        stages.setdefault(r["fold"], []).append((r["iteration"], r["rmse"], r["best_so_far"]))
+    assert sorted(folds) == sorted(stages) == [1, 2, 3, 4, 5]
+    for f, rows in stages.items():
+        rows.sort()
+        best = min(range(len(rows)), key=lambda i: rows[i][1])
+        assert folds[f]["n_trees"] == best and len(rows) in (best + 31, 500)
+        assert rows[-1][2] == rows[best][1]
+    data = M.assemble(train, feats).withColumn("_fold", M.fold_of("id", 5, 42)).checkpoint()
+    own = data.filter("_fold = 1").collect()
+    model = M.gbt_regressor({"n_estimators": len(stages[2])}).fit(data.filter("_fold <> 1"))
+    trees, weights = SH.tree_tables(model, spark)
+    out = np.array([[w * _leaf(t, r["features"].toArray()) for t, w in zip(trees, weights)] for r in own]).cumsum(axis=1)
+    y = np.array([r["log_price"] for r in own])[:, None]
+    rmse = np.sqrt(((out - y) ** 2).mean(axis=0))
+    assert np.allclose(rmse, [e for _, e, _ in stages[2]], rtol=1e-9)
+    pred, true = np.expm1(out[:, folds[2]["n_trees"]]), np.array([r["price_numeric"] for r in own])
+    assert abs(np.abs(pred - true).mean() - folds[2]["mae_price"]) < 1e-5
