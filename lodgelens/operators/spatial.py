@@ -1,28 +1,29 @@
 """Spatial joins between point sets (J6-J11) and the density grid (Q15).
 
-No theta join is ever planned: every distance predicate is turned into an
-equi-join on a grid-cell key plus an exact haversine filter.
-
-* Cells are ``dlat`` x ``dlon`` degrees with ``dlat`` = the angular radius and
-  ``dlon`` = the half-width in longitude of a spherical cap of that radius at
-  the highest latitude in the data (padded by 0.1 %).  A reference point is
-  replicated to its 3 x 3 neighbourhood of cells, a probe point looks up its
-  own cell only, so every pair within the radius meets exactly once.
-* Skew: a dense cell (a city centre) could hold a third of all probes.  Cells
-  whose probe count exceeds ``hot_fraction`` of all probes are salted: their
-  probes are spread over ``salt`` sub-keys and their reference rows copied to
-  each sub-key.  The hot-cell list has at most ``1 / hot_fraction`` rows (a
-  proven bound), so it is broadcast.  AQE skew-join splitting stays on as a
-  second guard.
-* Nearest neighbour: expanding rings.  Pairs within radius r are joined;
-  probes with at least one candidate have found their exact nearest point
-  (the nearest is at most as far as any candidate).  The rest are retried
-  with 4r, checkpointed each round, until none are left; the number of rounds
-  is bounded by log4(earth half-circumference / r0).  No cap is placed on
-  candidates and no probe is left unresolved.
-
-Longitude wrap-around at +/-180 and latitudes beyond 85 degrees are out of
-scope (city data) and raise.
+No theta join is ever planned: every distance predicate becomes an equi-join
+on a grid cell plus an exact haversine filter.
+
+* Grid: latitude is cut into bands of equal height, each band into as many
+  equal cells round the globe as fit at its narrower edge, so cells are about
+  square everywhere.  The cells that a circle can touch are enumerated band by
+  band and wrap at +/-180 degrees; near a pole the whole ring of a band is
+  taken.  No bound of the data is needed, so nothing is scanned before the
+  plan exists.
+* Radius counts: cells are a fraction of the radius.  A cell that lies wholly
+  inside a probe's circle (its farthest corner is) adds the cell's total from a
+  (cell, n) table; only cells that the circle's edge crosses are opened to
+  their points.  Both meet in one equi-join on (cell, opened).  Points with the
+  same coordinates are one row with a count, and probes with the same
+  coordinates are one probe, so copies of a place never multiply.
+* Nearest neighbour: reference cells are known at several grid levels, each
+  four times coarser.  A probe's finest level with a point in its
+  neighbourhood (its local density) bounds the nearest distance; the occupied
+  cells of the next finer level within that bound tighten it, and only cells
+  that can still hold the nearest point are opened.  Three equi-joins, no
+  rounds, no cap on candidates, no probe unresolved.
+* Skew: AQE skew-join splitting applies to all of these joins.
+
+Probes with a null coordinate have no partner (count 0, distance null).
 """
 
 from __future__ import annotations
@@ -34,209 +35,238 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgelens.functions.scalar import EARTH_RADIUS_KM, haversine_km
-from lodgelens.session import ensure_checkpoint_dir
-
-MAX_ABS_LAT = 85.0
-
-
-def _max_abs_lat(*dfs_cols) -> float:
-    m = 0.0
-    for df, lat in dfs_cols:
-        v = df.agg(F.max(F.abs(F.col(lat)))).first()[0]
-        if v is not None:
-            m = max(m, float(v))
-    if m > MAX_ABS_LAT:
-        raise ValueError(f"latitude {m} beyond {MAX_ABS_LAT}: polar data is out of scope")
-    return m
-
-
-def cell_size(radius_km: float, max_abs_lat: float) -> tuple[float, float]:
-    """(dlat, dlon) in degrees so that a 3x3 cell block covers the radius."""
-    ang = radius_km / EARTH_RADIUS_KM
-    if ang >= math.pi / 2:
-        return 360.0, 720.0
-    dlat = math.degrees(ang) * 1.001
-    s = math.sin(ang) / math.cos(math.radians(min(max_abs_lat + math.degrees(ang), 89.9)))
-    dlon = 720.0 if s >= 1 else math.degrees(math.asin(s)) * 1.001
-    return dlat, dlon
-
-
-def _cell(lat: str, lon: str, dlat: float, dlon: float) -> tuple[Column, Column]:
-    return F.floor(F.col(lat) / dlat).alias("_gy"), F.floor(F.col(lon) / dlon).alias("_gx")
-
-
-def candidate_pairs(left: DataFrame, right: DataFrame, radius_km: float, *, left_id="id",
-                    lat="latitude", lon="longitude", right_cols: list[str] | None = None,
-                    how: str = "inner", max_abs_lat: float | None = None,
-                    salt: int = 16, hot_fraction: float = 0.01, replicate: str = "auto") -> DataFrame:
-    """All (left, right) pairs within ``radius_km`` (haversine, inclusive).
-
-    ``left`` needs ``left_id, lat, lon``; ``right`` needs ``lat, lon`` plus
-    ``right_cols``.  Output: left columns + ``right_cols`` + ``dist_km``.
-    One side is replicated to the 3x3 cell block (``replicate``: 'left',
-    'right', or 'auto' = the side with fewer rows, decided by two counts);
-    the other stays in its own cell and is the one salted in hot cells.
-    With ``how='left'`` every left row appears at least once (with nulls when
-    it has no partner; when the left side is the replicated one an unmatched
-    row can appear once per cell copy) - callers aggregate per left id.
-    Rows with a null coordinate never match.
-    """
+
+FINEST_KM, STEP = 0.02, 4  # cell side of the finest level of the nearest join, and how much coarser each next one is
+LEVELS = math.ceil(math.log(math.pi * EARTH_RADIUS_KM / FINEST_KM, STEP)) + 1  # the coarsest neighbourhood holds the globe
+FEW = 4  # points up to which a cell is as cheap to open as to total
+
+
+def degrees_of(km: float) -> float:
+    return math.degrees(km / EARTH_RADIUS_KM)
+
+
+# SQL fragments: ``d`` is the band height in degrees, ``y`` a band, ``x`` a cell of it.
+
+def _ring(y: str, d: str) -> str:
+    """Number of cells round the globe in a band."""
+    return f"greatest(1L, cast(floor(360 * cos(radians(least(90D, greatest(abs({y} * {d}), abs(({y} + 1) * {d}))))) / {d}) as bigint))"
+
+
+def _point_cell(d: str, lat: str, lon: str) -> tuple[str, str]:
+    y = f"cast(floor({lat} / {d}) as bigint)"
+    return y, f"pmod(cast(floor(pmod({lon} + 180D, 360D) / 360D * {_ring(y, d)}) as bigint), {_ring(y, d)})"
+
+
+def _cells(d: str, rho: str, lat: str, lon: str) -> str:
+    """Array of the cells (y, x, n = cells in the ring) within ``rho`` degrees
+    of a point; 1e-9 degrees are added for rounding."""
+    w = (f"if(abs({lat}) + {rho} >= 89.999999D, 180D, degrees(asin(least(1D, sin(radians({rho})) / cos(radians({lat}))))) + 1e-9D)")
+    u = f"pmod({lon} + 180D, 360D)"
+    lo, hi = f"cast(floor(({u} - b.w) / 360D * b.n) as bigint)", f"cast(floor(({u} + b.w) / 360D * b.n) as bigint)"
+    bands = f"sequence(cast(floor(greatest(-90D, {lat} - {rho} - 1e-9D) / {d}) as bigint), cast(floor(least(90D, {lat} + {rho} + 1e-9D) / {d}) as bigint))"
+    rings = f"transform({bands}, y -> named_struct('y', y, 'n', {_ring('y', d)}, 'w', {w}))"
+    xs = f"if({hi} - {lo} + 1 >= b.n, sequence(0L, b.n - 1), sequence({lo}, {hi}))"
+    return f"flatten(transform({rings}, b -> transform({xs}, r -> named_struct('y', b.y, 'x', pmod(r, b.n), 'n', b.n))))"
+
+
+def _hav(lat1: str, lat2: str, dlon: str) -> str:
+    a = f"(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({dlon}) / 2), 2))"
+    return f"({EARTH_RADIUS_KM}D * 2 * atan2(sqrt({a}), sqrt(1D - {a})))"
+
+
+def _bounds(d: str, lat: str, lon: str) -> tuple[str, str]:
+    """Lower and upper bound in km of the distance from a point to any point
+    of cell c (y, x, n).  Within 90 degrees of longitude the farthest point is
+    a corner on the farther meridian; beyond, the way over the nearer pole,
+    at most half the globe, is the bound."""
+    apart = f"abs(pmod({lon} + 180D - (c.x + 0.5D) / c.n * 360D + 180D, 360D) - 180D)"
+    far, near = f"({apart} + 180D / c.n)", f"greatest(0D, {apart} - 180D / c.n)"
+    south, north = f"greatest(-90D, c.y * {d})", f"least(90D, (c.y + 1) * {d})"
+    over = f"radians(least(180D, 180D - {lat} - {south}, 180D + {lat} + {north})) * {EARTH_RADIUS_KM}D"
+    high = f"if({far} > 90D, {over}, greatest({_hav(lat, south, far)}, {_hav(lat, north, far)}))"
+    gap = f"radians(greatest(0D, c.y * {d} - {lat}, {lat} - (c.y + 1) * {d}))"
+    side = f"asin(least(1D, cos(radians({lat})) * sin(radians(least(90D, {near})))))"
+    return f"(greatest({gap}, {side}) * {EARTH_RADIUS_KM}D * (1 - 1e-9D) - 1e-9D)", f"({high} * (1 + 1e-9D) + 1e-9D)"
+
+
+def _valid(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    return df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+
+
+def _places(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Distinct coordinates (_plat, _plon) of the probes."""
+    return _valid(df, lat, lon).select(F.col(lat).cast("double").alias("_plat"), F.col(lon).cast("double").alias("_plon")).distinct()
+
+
+def _back(left: DataFrame, found: DataFrame, lat: str, lon: str) -> DataFrame:
+    """The probes with what was found for their coordinates."""
+    on = (F.col(lat).cast("double") == F.col("_plat")) & (F.col(lon).cast("double") == F.col("_plon"))
+    return left.join(found, on, "left").drop("_plat", "_plon")
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, radius_km: float, *, lat="latitude", lon="longitude",
+                    right_cols: list[str] | None = None) -> DataFrame:
+    """All (left, right) pairs within ``radius_km`` (haversine, inclusive):
+    left columns + ``right_cols`` + ``dist_km``.  Left rows go to the cells
+    their circle touches, right rows to their own."""
     right_cols = right_cols or []
     overlap = set(right_cols) & set(left.columns)
     if overlap:
         raise ValueError(f"rename right columns first: {sorted(overlap)}")
-    valid_right = right.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    if max_abs_lat is None:
-        max_abs_lat = _max_abs_lat((left, lat), (valid_right, lat))
-    if replicate == "auto":
-        replicate = "left" if left.count() < valid_right.count() else "right"
-    dlat, dlon = cell_size(radius_km, max_abs_lat)
-    offs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-
-    L = left.select(*left.columns, F.floor(F.col(lat) / dlat).alias("_cy"), F.floor(F.col(lon) / dlon).alias("_cx"))
-    Rt = valid_right.select(F.col(lat).alias("_rlat"), F.col(lon).alias("_rlon"), *right_cols,
-                            F.floor(F.col(lat) / dlat).alias("_cy_r"), F.floor(F.col(lon) / dlon).alias("_cx_r"))
-
-    def blocks(df, cy, cx, gy, gx):
-        return df.select("*", F.explode(offs).alias("_o")).select(
-            *[c for c in df.columns if c not in (cy, cx)],
-            (F.col(cy) + F.col("_o.a")).alias(gy), (F.col(cx) + F.col("_o.b")).alias(gx))
-
-    if replicate == "right":
-        L = L.withColumnRenamed("_cy", "_gy").withColumnRenamed("_cx", "_gx")
-        Rt = blocks(Rt, "_cy_r", "_cx_r", "_gy_r", "_gx_r")
-        stay, stay_keys, stay_hash = "L", ("_gy", "_gx"), F.xxhash64(F.col(left_id))
-    else:
-        L = blocks(L, "_cy", "_cx", "_gy", "_gx")
-        Rt = Rt.withColumnRenamed("_cy_r", "_gy_r").withColumnRenamed("_cx_r", "_gx_r")
-        stay, stay_keys = "R", ("_gy_r", "_gx_r")
-        stay_hash = F.xxhash64(F.col("_rlat"), F.col("_rlon"), *[F.col(c) for c in right_cols])
-
-    keys = [("_gy", "_gy_r"), ("_gx", "_gx_r")]
-    if salt and salt > 1:
-        # hot cells of the non-replicated side: at most 1/hot_fraction exist,
-        # so the list has a proven bound and is broadcast
-        sdf = L if stay == "L" else Rt
-        n_total = sdf.agg(F.count(F.lit(1)).alias("_n"))
-        hot = (sdf.filter(F.col(stay_keys[0]).isNotNull()).groupBy(*stay_keys).agg(F.count(F.lit(1)).alias("_c"))
-               .crossJoin(F.broadcast(n_total)).filter(F.col("_c") > F.col("_n") * hot_fraction)
-               .select(F.col(stay_keys[0]).alias("_hy"), F.col(stay_keys[1]).alias("_hx"), F.lit(True).alias("_hot")))
-
-        def mark(df, ky, kx):
-            return df.join(F.broadcast(hot), (F.col(ky) == F.col("_hy")) & (F.col(kx) == F.col("_hx")), "left") \
-                .drop("_hy", "_hx")
-
-        if stay == "L":
-            L = mark(L, "_gy", "_gx").withColumn(
-                "_salt", F.when(F.col("_hot"), F.pmod(stay_hash, F.lit(salt))).otherwise(F.lit(0)).cast("int")
-            ).drop("_hot")
-            Rt = mark(Rt, "_gy_r", "_gx_r").withColumn(
-                "_salt_r", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt - 1)))
-                                     .otherwise(F.array(F.lit(0))))).drop("_hot")
-        else:
-            Rt = mark(Rt, "_gy_r", "_gx_r").withColumn(
-                "_salt_r", F.when(F.col("_hot"), F.pmod(stay_hash, F.lit(salt))).otherwise(F.lit(0)).cast("int")
-            ).drop("_hot")
-            L = mark(L, "_gy", "_gx").withColumn(
-                "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt - 1)))
-                                   .otherwise(F.array(F.lit(0))))).drop("_hot")
-        keys.append(("_salt", "_salt_r"))
-
+    d, rho = f"{degrees_of(radius_km) * 1.001!r}D", f"{degrees_of(radius_km)!r}D"
+    la, lo = f"cast({lat} as double)", f"cast({lon} as double)"
+    y, x = _point_cell(d, la, lo)
+    L = _valid(left, lat, lon).withColumn("_c", F.expr(f"explode({_cells(d, rho, la, lo)})"))
+    Rt = _valid(right, lat, lon).select(F.col(lat).alias("_rlat"), F.col(lon).alias("_rlon"), *right_cols, F.expr(y).alias("_y"), F.expr(x).alias("_x"))
     dist = haversine_km(F.col(lat), F.col(lon), F.col("_rlat"), F.col("_rlon"))
-    cond = reduce(lambda x, y: x & y, [F.col(a) == F.col(b) for a, b in keys])
-    joined = L.join(Rt, on=cond & (dist <= F.lit(radius_km)), how=how)
-    return joined.select(*left.columns, *right_cols,
-                         F.when(F.col("_rlat").isNotNull(), dist).alias("dist_km"))
-
-
-def radius_counts(left: DataFrame, right: DataFrame, radii: dict[str, float], *, left_id="id",
-                  lat="latitude", lon="longitude", **kw) -> DataFrame:
-    """Per probe, number of reference points within each radius
-    (one join at the largest radius, zero counts kept)."""
-    rmax = max(radii.values())
-    pairs = candidate_pairs(left.select(left_id, lat, lon), right, rmax, left_id=left_id, lat=lat, lon=lon,
-                            right_cols=[], how="left", **kw)
-    aggs = [F.count_if(F.col("dist_km") <= F.lit(r)).cast("int").alias(name) for name, r in radii.items()]
-    return pairs.groupBy(left_id).agg(*aggs)
+    joined = L.join(Rt, (F.col("_c.y") == F.col("_y")) & (F.col("_c.x") == F.col("_x")) & (dist <= F.lit(radius_km)))
+    return joined.select(*left.columns, *right_cols, dist.alias("dist_km"))
+
+
+def _requests(places: DataFrame, d: str, radii: list[float], near_km: float = 0.0) -> DataFrame:
+    """(_plat, _plon, _k, _y, _x, _open, _mind): the cells each circle k can
+    touch, and whether a cell has to be opened: because it isn't wholly inside
+    the circle, or is within ``near_km`` of the probe."""
+    low, high = _bounds(d, "_plat", "_plon")
+    parts = []
+    for k, r in enumerate(radii):
+        opened = f"{high} > {r!r}D" + (f" or {low} < {near_km!r}D" if near_km else "")
+        own = places.withColumn("c", F.expr(f"explode({_cells(d, f'{degrees_of(r)!r}D', '_plat', '_plon')})"))
+        parts.append(own.withColumn("_mind", F.expr(low)).where(F.col("_mind") <= r).select(
+            "_plat", "_plon", F.lit(k).alias("_k"), F.col("c.y").alias("_y"), F.col("c.x").alias("_x"), F.expr(f"cast({opened} as int)").alias("_open"), "_mind"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _in_circle(places: DataFrame, units: DataFrame, d: str, radii: list[float], near_km: float = 0.0) -> DataFrame:
+    """Rows of ``units`` (keyed by _y, _x, _open, with point coordinates where
+    opened) in each circle: the pair table of the radius joins."""
+    q = _requests(places, d, radii, near_km)
+    dist = F.when(F.col("_rlat").isNotNull(), haversine_km(F.col("_plat"), F.col("_plon"), F.col("_rlat"), F.col("_rlon")))
+    limit = F.element_at(F.array(*[F.lit(float(r)) for r in radii]), F.col("_k") + 1)
+    return q.join(units, ["_y", "_x", "_open"]).withColumn("_dist", dist).where((F.col("_open") == 0) | (F.col("_dist") <= limit))
+
+
+def _units(right: DataFrame, d: str, weights: dict[str, Column], lat: str, lon: str, few: int = 0) -> DataFrame:
+    """Points with their own cell to be opened, and one total per cell.  Cells
+    of at most ``few`` places stay points in both."""
+    points = _valid(right, lat, lon).groupBy(F.col(lat).cast("double").alias("_rlat"), F.col(lon).cast("double").alias("_rlon")).agg(
+        *[F.count_if(c).alias(n) for n, c in weights.items()])
+    y, x = _point_cell(d, "_rlat", "_rlon")
+    points = points.withColumns({"_y": F.expr(y), "_x": F.expr(x)})
+    names = [*weights, "_y", "_x"]
+    totals = points.groupBy("_y", "_x").agg(F.count("*").alias("_places"), *[F.sum(n).alias(n) for n in weights])
+    none = F.lit(None).cast("double")
+    whole = totals.where(F.col("_places") > few).select(none.alias("_rlat"), none.alias("_rlon"), *names, F.lit(0).alias("_open"))
+    out = points.select("_rlat", "_rlon", *names, F.lit(1).alias("_open")).unionByName(whole)
+    if few:
+        small = points.join(totals.where(F.col("_places") <= few).select("_y", "_x"), ["_y", "_x"], "left_semi")
+        out = out.unionByName(small.select("_rlat", "_rlon", *names, F.lit(0).alias("_open")))
+    return out
+
+
+def radius_counts(left: DataFrame, right: DataFrame, radii: dict[str, float | tuple[float, Column]], *, left_id="id",
+                  lat="latitude", lon="longitude", fineness: int = 4) -> DataFrame:
+    """Per probe, the number of reference points within each radius,
+    zero counts kept.  A radius may come with a condition on the reference
+    rows; all radii and conditions share one join.  ``fineness``: cells per
+    largest radius; more cells open fewer points and enumerate more cells."""
+    wanted = {n: v if isinstance(v, tuple) else (v, F.lit(True)) for n, v in radii.items()}
+    sizes = sorted({r for r, _ in wanted.values()})
+    d = f"{degrees_of(sizes[-1] / fineness)!r}D"
+    units = _units(right, d, {f"_n_{n}": c for n, (_, c) in wanted.items()}, lat, lon)
+    pairs = _in_circle(_places(left, lat, lon), units, d, sizes)
+    sums = pairs.groupBy("_plat", "_plon").agg(*[F.sum(F.when(F.col("_k") == sizes.index(r), F.col(f"_n_{n}"))).alias(n) for n, (r, _) in wanted.items()])
+    out = _back(left.select(left_id, lat, lon), sums, lat, lon)
+    return out.select(left_id, *[F.coalesce(F.col(n), F.lit(0)).cast("int").alias(n) for n in wanted])
 
 
 def radius_distinct_tokens(left: DataFrame, right: DataFrame, token_col: str, radius_km: float, out: str,
-                           *, left_id="id", lat="latitude", lon="longitude", **kw) -> DataFrame:
+                           *, left_id="id", lat="latitude", lon="longitude", fineness: int = 4) -> DataFrame:
     """Number of distinct whitespace tokens of ``token_col`` over the
-    reference points within the radius (empty and null texts add nothing)."""
-    toks = right.select(lat, lon, F.explode_outer(F.split(F.trim(F.coalesce(F.col(token_col), F.lit(""))), r"\s+"))
-                        .alias("_tok")).withColumn("_tok", F.nullif(F.col("_tok"), F.lit("")))
-    pairs = candidate_pairs(left.select(left_id, lat, lon), toks, radius_km, left_id=left_id, lat=lat, lon=lon,
-                            right_cols=["_tok"], how="left", **kw)
-    return pairs.groupBy(left_id).agg(F.count_distinct("_tok").cast("int").alias(out))
-
-
-def lat_bound(*pairs) -> float:
-    """Largest |latitude| over several (DataFrame, lat column) pairs in one
-    job; pass it as ``max_abs_lat`` to reuse it across joins."""
-    parts = [df.select(F.abs(F.col(c)).alias("_a")) for df, c in pairs]
-    v = reduce(lambda a, b: a.unionByName(b), parts).agg(F.max("_a")).first()[0]
-    m = float(v) if v is not None else 0.0
-    if m > MAX_ABS_LAT:
-        raise ValueError(f"latitude {m} beyond {MAX_ABS_LAT}: polar data is out of scope")
-    return m
+    reference points within the radius (empty and null texts add nothing).
+    Cells inside the circle bring their distinct tokens, not their points."""
+    d = f"{degrees_of(radius_km / fineness)!r}D"
+    toks = _valid(right, lat, lon).select(F.col(lat).cast("double").alias("_rlat"), F.col(lon).cast("double").alias("_rlon"),
+                                          F.explode(F.split(F.trim(F.coalesce(F.col(token_col), F.lit(""))), r"\s+")).alias("_tok"))
+    y, x = _point_cell(d, "_rlat", "_rlon")
+    toks = toks.where("_tok != ''").distinct().withColumns({"_y": F.expr(y), "_x": F.expr(x)})
+    none = F.lit(None).cast("double")
+    whole = toks.select("_y", "_x", "_tok").distinct().select(none.alias("_rlat"), none.alias("_rlon"), "_tok", "_y", "_x", F.lit(0).alias("_open"))
+    pairs = _in_circle(_places(left, lat, lon), toks.withColumn("_open", F.lit(1)).unionByName(whole), d, [radius_km])
+    counts = pairs.groupBy("_plat", "_plon").agg(F.count_distinct("_tok").alias(out))
+    return _back(left.select(left_id, lat, lon), counts, lat, lon).select(left_id, F.coalesce(F.col(out), F.lit(0)).cast("int").alias(out))
+
+
+def _nearest_places(places: DataFrame, right: DataFrame, payload: list[str], lat: str, lon: str) -> DataFrame:
+    """(_plat, _plon, dist_km, payload) of the nearest right row; ties go to
+    the smallest payload."""
+    points = _valid(right, lat, lon).select(F.col(lat).cast("double").alias("_rlat"), F.col(lon).cast("double").alias("_rlon"), *payload)
+    if payload:  # one row per place: its smallest payload
+        points = points.groupBy("_rlat", "_rlon").agg(F.min(F.struct(*payload)).alias("_p"))
+    else:
+        points = points.distinct().withColumn("_p", F.struct(F.lit(0).alias("_")))
+    heights = [degrees_of(FINEST_KM * STEP ** k) for k in range(LEVELS)]
+    height = "element_at(array(" + ", ".join(f"{h!r}D" for h in heights) + "), _l + 1)"
+    levels = points.withColumn("_l", F.explode(F.array(*[F.lit(k) for k in range(LEVELS)]))).withColumn("_d", F.expr(height))
+    y, x = _point_cell("_d", "_rlat", "_rlon")
+    levels = levels.withColumns({"_y": F.expr(y), "_x": F.expr(x)})
+    occupied = levels.select("_l", "_y", "_x").distinct()
+
+    low, high = (F.expr(e) for e in _bounds("_d", "_plat", "_plon"))
+
+    def held(asked: DataFrame) -> DataFrame:
+        """The asked cells (struct c) that hold a point."""
+        keyed = asked.withColumns({"_y": F.col("c.y"), "_x": F.col("c.x")})
+        return keyed.join(occupied, ["_l", "_y", "_x"]).withColumn("_d", F.expr(height))
+
+    around = places.withColumn("_l", F.explode(F.array(*[F.lit(k) for k in range(LEVELS)]))).withColumn("_d", F.expr(height))
+    asked = around.select("_plat", "_plon", "_l", F.expr(f"explode({_cells('_d', '_d', '_plat', '_plon')})").alias("c"))
+    first = held(asked).groupBy("_plat", "_plon").agg(F.min(F.struct("_l", high.alias("high"))).alias("_f"))
+
+    rho = F.least(F.degrees(F.col("_f.high") / EARTH_RADIUS_KM), F.lit(180.0))
+    finer = first.select("_plat", "_plon", F.greatest(F.col("_f._l") - 1, F.lit(0)).alias("_l"), rho.alias("_rho")).withColumn("_d", F.expr(height))
+    asked = finer.select("_plat", "_plon", "_l", F.expr(f"explode({_cells('_d', '_rho', '_plat', '_plon')})").alias("c"))
+    cells = held(asked).withColumns({"_low": low, "_high": high}).groupBy("_plat", "_plon", "_l").agg(
+        F.min("_high").alias("_ub"), F.collect_list(F.struct("_y", "_x", "_low")).alias("_qs"))
+    opened = cells.withColumn("_q", F.explode(F.filter("_qs", lambda q: q["_low"] <= F.col("_ub")))).select("_plat", "_plon", "_l", "_q._y", "_q._x")
+
+    dist = haversine_km(F.col("_plat"), F.col("_plon"), F.col("_rlat"), F.col("_rlon"))
+    best = opened.join(levels.select("_l", "_y", "_x", "_rlat", "_rlon", "_p"), ["_l", "_y", "_x"]).groupBy("_plat", "_plon").agg(
+        F.min(F.struct(dist.alias("d"), "_p")).alias("_b"))
+    return best.select("_plat", "_plon", F.col("_b.d").alias("dist_km"), *[F.col(f"_b._p.{c}").alias(c) for c in payload])
 
 
 def nearest(left: DataFrame, right: DataFrame, *, right_id="ref_id", attrs: list[str] | None = None,
-            left_id="id", lat="latitude", lon="longitude", start_radius_km: float = 0.25,
-            growth: float = 4.0, max_abs_lat: float | None = None, **kw) -> DataFrame:
+            left_id="id", lat="latitude", lon="longitude") -> DataFrame:
     """Distance to, id and attributes of the nearest reference point.
 
-    Ties go to the smallest ``right_id``.  Probes with a null coordinate get
-    nulls.  Each ring round is a grid join on the still-unresolved probes.
-    The first radius is twice the mean spacing of the reference points (from
-    one aggregate over them, at least ``start_radius_km``), so most probes
-    resolve in the first round.
-    """
-    attrs = attrs or []
-    spark = left.sparkSession
-    ensure_checkpoint_dir(spark)
-    probes = left.select(left_id, lat, lon)
-    valid_right = right.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    st = valid_right.agg(F.count(F.lit(1)).alias("n"), F.min(lat).alias("a0"), F.max(lat).alias("a1"),
-                         F.min(lon).alias("o0"), F.max(lon).alias("o1"), F.max(F.abs(F.col(lat))).alias("m")).first()
-    results = []
-    if st["n"]:
-        if max_abs_lat is None:
-            max_abs_lat = max(_max_abs_lat((probes, lat)), float(st["m"]))
-        km_lat = (st["a1"] - st["a0"]) * 111.2
-        km_lon = (st["o1"] - st["o0"]) * 111.2 * math.cos(math.radians(min(float(st["m"]), MAX_ABS_LAT)))
-        area = max(km_lat, 1e-3) * max(km_lon, 1e-3)
-        r = max(start_radius_km, 2.0 * math.sqrt(area / (math.pi * st["n"])))
-        remaining = probes.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-        while True:
-            pairs = candidate_pairs(remaining, valid_right, r, left_id=left_id, lat=lat, lon=lon,
-                                    right_cols=[right_id] + attrs, max_abs_lat=max_abs_lat, **kw)
-            best = pairs.groupBy(left_id).agg(F.min_by(F.struct(F.col("dist_km"), F.col(right_id), *attrs),
-                                                       F.struct(F.col("dist_km"), F.col(right_id))).alias("_b"))
-            best = best.select(left_id, "_b.*")
-            if r >= math.pi * EARTH_RADIUS_KM:
-                results.append(best)
-                break
-            left_over = remaining.join(best.select(left_id), left_id, "left_anti")
-            if left_over.isEmpty():
-                # common case: one ring resolved every probe; stays lazy
-                results.append(best)
-                break
-            # another ring is needed: freeze this round (shared folder) so
-            # the next round does not recompute it
-            results.append(best.checkpoint())
-            remaining = left_over.checkpoint()
-            r *= growth
-    found = None
-    for b in results:
-        found = b if found is None else found.unionByName(b)
-    if found is None:
-        sch = f"{left_id} long, dist_km double, {right_id} long"
-        found = spark.createDataFrame([], sch)
-        for a in attrs:
-            found = found.withColumn(a, F.lit(None).cast(right.schema[a].dataType))
-    return probes.select(left_id).join(found, left_id, "left")
+    Ties go to the smallest ``right_id``; probes with a null coordinate, or
+    all when there is no reference point, get nulls."""
+    found = _nearest_places(_places(left, lat, lon), right, [right_id, *(attrs or [])], lat, lon)
+    return _back(left.select(left_id, lat, lon), found, lat, lon).drop(lat, lon)
+
+
+def nearest_and_count(left: DataFrame, right: DataFrame, radius_km: float, out: str, *, left_id="id",
+                      lat="latitude", lon="longitude", fineness: int = 4) -> DataFrame:
+    """Distance to the nearest point and the number within the radius from
+    one set of candidate cells.  Cells next to the probe are always opened and
+    thinly filled cells come as points, so the nearest distance usually falls
+    out of the count's join; a probe whose nearest point could lie in an
+    unopened cell, or beyond the radius, goes on to the nearest join."""
+    side = radius_km / fineness
+    d = f"{degrees_of(side)!r}D"
+    places = _places(left, lat, lon)
+    units = _units(right, d, {"_n": F.lit(True)}, lat, lon, few=FEW)
+    pairs = _in_circle(places, units, d, [radius_km], near_km=side)
+    # an unopened total hides points from the cell's nearer edge on
+    seen = pairs.groupBy("_plat", "_plon").agg(F.sum("_n").alias(out), F.min("_dist").alias("_own"),
+                                               F.min(F.when(F.col("_dist").isNull(), F.col("_mind"))).alias("_hidden"))
+    sure = F.col("_own").isNotNull() & (F.col("_hidden").isNull() | (F.col("_own") <= F.col("_hidden")))
+    counted = places.join(seen, ["_plat", "_plon"], "left").withColumn("_sure", F.coalesce(sure, F.lit(False)))
+    rest = _nearest_places(counted.where(~F.col("_sure")).select("_plat", "_plon"), right, [], lat, lon)
+    both = counted.join(rest, ["_plat", "_plon"], "left").select(
+        "_plat", "_plon", F.when(F.col("_sure"), F.col("_own")).otherwise(F.col("dist_km")).alias("dist_km"), out)
+    return _back(left.select(left_id, lat, lon), both, lat, lon).select(left_id, "dist_km", F.coalesce(F.col(out), F.lit(0)).cast("int").alias(out))
 
 
 def density_grid(df: DataFrame, value: str, cell_deg: float, lat="latitude", lon="longitude") -> DataFrame:

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from lodgelens.functions import scalar as S
 from lodgelens.operators import relational as R
 from lodgelens.operators import spatial as G
-from lodgelens.session import ensure_checkpoint_dir
 from lodgelens.sources import catalog
 
 REVIEW_COLS = ["review_scores_rating", "review_scores_accuracy", "review_scores_cleanliness",
@@ -40,7 +39,7 @@ MEDIAN_FILL = (["bathrooms", "host_response_rate_f", "host_acceptance_rate_f", "
                + REVIEW_COLS + ["bedrooms", "beds", "reviews_per_month", "estimated_occupancy", "estimated_revenue"])
 META = ["id", "latitude", "longitude", "neighbourhood", "borough"]
 TOURIST_DOMAINS = ["PROMO", "STANDARD"]
-LIRR_FLAG = 1  # fixture: stations with cbd = 1 play the commuter-rail set
+RAIL_FLAG = 1  # fixture: stations with cbd = 1 play the commuter-rail set
 
 
 def col_name(prefix: str, value: str) -> str:
@@ -52,8 +51,9 @@ PROP_COLS = [col_name("prop", p) for p in PROPERTY_SIMPLIFIED]
 ALL_FEATURES = FEATURE_COLS + BORO_COLS + PROP_COLS
 
 
-def encoded_listings(lst: DataFrame) -> DataFrame:
-    """Parse and encode the raw listing fields (F1-F12, R4); short-stay filter."""
+def encoded_listings(lst: DataFrame, boroughs: list[str] = BOROUGHS, property_types: list[str] = PROPERTY_SIMPLIFIED) -> DataFrame:
+    """Parse and encode the raw listing fields (F1-F12, R4); short-stay filter.
+    One 0/1 column per borough and property type named."""
     parsed = lst.withColumn("price_numeric", S.parse_price("price"))
     df = R.short_stay_filter(parsed)
     flags = S.keyword_flags("amenities")
@@ -76,41 +76,26 @@ def encoded_listings(lst: DataFrame) -> DataFrame:
         S.simplify_category("property_type").alias("_prop"),
     )
     df = df.withColumns({c: F.coalesce((F.col("borough") == b).cast("int"), F.lit(0))
-                         for b, c in zip(BOROUGHS, BORO_COLS)})
+                         for b, c in ((b, col_name("boro", b)) for b in boroughs)})
     df = df.withColumns({c: F.coalesce((F.col("_prop") == p).cast("int"), F.lit(0))
-                         for p, c in zip(PROPERTY_SIMPLIFIED, PROP_COLS)})
+                         for p, c in ((p, col_name("prop", p)) for p in property_types)})
     return df.drop("_prop")
 
 
-def spatial_features(probes: DataFrame, stations: DataFrame, points: DataFrame, arrests: DataFrame) -> DataFrame:
-    """J6-J11 for the probe table (id, latitude, longitude).
-
-    The narrow probe table is checkpointed once (it feeds eight grid joins)
-    and the latitude bound is computed once for all joins.
-    """
-    ensure_checkpoint_dir(probes.sparkSession)
-    probes = probes.checkpoint()
-    pts = points.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    lirr = stations.filter(F.col("cbd") == LIRR_FLAG)
-    bound = G.lat_bound((probes, "latitude"), (stations, "latitude"), (pts, "latitude"), (arrests, "latitude"))
-    # replicate the smaller side of each grid join; each table is counted once
-    n_probe = probes.count()
-
-    def side(ref):
-        return "left" if n_probe < ref.count() else "right"
-    st_side, pt_side, ar_side = side(stations), side(pts), side(arrests)
-    kw = {"max_abs_lat": bound}
-    subway = G.nearest(probes, stations, attrs=["cbd", "ada"], replicate=st_side, **kw).select(
+def spatial_features(probes: DataFrame, stations: DataFrame, points: DataFrame, arrests: DataFrame,
+                     tourist_domains: list[str] = TOURIST_DOMAINS, rail_flag: int = RAIL_FLAG) -> DataFrame:
+    """J6-J11 for the probe table (id, latitude, longitude): one candidate
+    join per reference set and distance question, all in one lazy plan."""
+    rail = stations.filter(F.col("cbd") == rail_flag)
+    subway = G.nearest(probes, stations, attrs=["cbd", "ada"]).select(
         "id", F.col("dist_km").alias("dist_subway_km"), F.col("cbd").alias("nearest_subway_cbd"),
         F.col("ada").alias("nearest_subway_ada"))
-    lines = G.radius_distinct_tokens(probes, stations, "routes", 0.5, "subway_lines_500m", replicate=st_side, **kw)
-    lirr_d = G.nearest(probes, lirr, replicate=st_side, **kw).select("id", F.col("dist_km").alias("dist_lirr_km"))
-    lirr_c = G.radius_counts(probes, lirr, {"lirr_count_1mi": 1.60934}, replicate=st_side, **kw)
-    poi = G.radius_counts(probes, pts, {"poi_count_500m": 0.5, "poi_count_1km": 1.0}, replicate=pt_side, **kw)
-    tour = G.radius_counts(probes, pts.filter(F.col("domain").isin(TOURIST_DOMAINS)), {"tourist_poi_500m": 0.5},
-                           replicate=pt_side, **kw)
-    crime = G.radius_counts(probes, arrests, {"crime_count_500m": 0.5}, replicate=ar_side, **kw)
-    out = reduce(lambda a, b: a.join(b, "id"), [subway, lines, lirr_d, lirr_c, poi, tour, crime])
+    lines = G.radius_distinct_tokens(probes, stations, "routes", 0.5, "subway_lines_500m")
+    lirr = G.nearest_and_count(probes, rail, 1.60934, "lirr_count_1mi").withColumnRenamed("dist_km", "dist_lirr_km")
+    tourist = F.coalesce(F.col("domain").isin(tourist_domains), F.lit(False))
+    poi = G.radius_counts(probes, points, {"poi_count_500m": 0.5, "poi_count_1km": 1.0, "tourist_poi_500m": (0.5, tourist)})
+    crime = G.radius_counts(probes, arrests, {"crime_count_500m": 0.5})
+    out = reduce(lambda a, b: a.join(b, "id"), [subway, lines, lirr, poi, crime])
     return out.withColumn("near_subway", (F.col("dist_subway_km") <= 0.5).cast("int"))
 
 
@@ -122,18 +107,26 @@ def median_impute(df: DataFrame, cols: list[str]) -> DataFrame:
         {c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in cols}).drop(*[f"_m_{c}" for c in cols])
 
 
-def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per short-stay listing: meta + features + price targets."""
-    enc = encoded_listings(catalog.fx_listings(spark, sf_dir))
-    probes = enc.select("id", "latitude", "longitude")
-    sp = spatial_features(probes, catalog.fx_stations(spark, sf_dir), catalog.fx_points(spark, sf_dir),
-                          catalog.fx_arrests(spark, sf_dir))
-    df = enc.join(sp, "id")
-    df = median_impute(df, MEDIAN_FILL)
+def build_features(listings: DataFrame, stations: DataFrame, points: DataFrame, arrests: DataFrame, *,
+                   boroughs: list[str] = BOROUGHS, property_types: list[str] = PROPERTY_SIMPLIFIED,
+                   tourist_domains: list[str] = TOURIST_DOMAINS, rail_flag: int = RAIL_FLAG) -> DataFrame:
+    """One row per short-stay listing: meta + features + price targets,
+    from any listing, station, point and incident tables.  Categories and the
+    reference subsets are arguments; the defaults are the fixture's."""
+    enc = encoded_listings(listings, boroughs, property_types)
+    sp = spatial_features(enc.select("id", "latitude", "longitude"), stations, points, arrests, tourist_domains, rail_flag)
+    features = FEATURE_COLS + [col_name("boro", b) for b in boroughs] + [col_name("prop", p) for p in property_types]
+    df = median_impute(enc.join(sp, "id"), MEDIAN_FILL)
     # final sweep: remaining nullable measures (distances when a set is empty)
-    sweep = [c for c in ALL_FEATURES if c not in MEDIAN_FILL and df.schema[c].dataType.typeName() == "double"]
+    sweep = [c for c in features if c not in MEDIAN_FILL and df.schema[c].dataType.typeName() == "double"]
     df = median_impute(df, sweep)
-    return df.select(*META, *ALL_FEATURES, "price_numeric", F.log1p("price_numeric").alias("log_price"))
+    return df.select(*META, *features, "price_numeric", F.log1p("price_numeric").alias("log_price"))
+
+
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E6 over the fixture tables."""
+    return build_features(catalog.fx_listings(spark, sf_dir), catalog.fx_stations(spark, sf_dir),
+                          catalog.fx_points(spark, sf_dir), catalog.fx_arrests(spark, sf_dir))
 
 
 def seasonal_index(reviews: DataFrame, min_year: int, exclude_years: list[int], max_year: int | None = None,

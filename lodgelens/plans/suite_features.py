@@ -65,7 +65,7 @@ ln AS (SELECT e.id, CAST(count(DISTINCT nullif(t.tok, '')) AS INTEGER) AS subway
        FROM fm_encoded e LEFT JOIN (SELECT id, unnest(string_split_regex(trim(coalesce(routes, '')), '\\s+')) AS tok
                                     FROM st WHERE d <= 0.5) t ON e.id = t.id GROUP BY e.id),
 lr AS (SELECT e.id, min(st.d) AS dist_lirr_km, CAST(count_if(st.d <= 1.60934) AS INTEGER) AS lirr_count_1mi
-       FROM fm_encoded e LEFT JOIN st ON e.id = st.id AND st.cbd = {FE.LIRR_FLAG} GROUP BY e.id),
+       FROM fm_encoded e LEFT JOIN st ON e.id = st.id AND st.cbd = {FE.RAIL_FLAG} GROUP BY e.id),
 pt AS (SELECT e.id, p.domain, {hav_sql('e.latitude', 'e.longitude', 'p.latitude', 'p.longitude')} AS d
        FROM fm_encoded e, fx_points p WHERE p.latitude IS NOT NULL AND p.longitude IS NOT NULL),
 po AS (SELECT e.id, CAST(count_if(pt.d <= 0.5) AS INTEGER) AS poi_count_500m,

@@ -36,7 +36,7 @@ WITH p AS ({_PAIRS_ST}) SELECT id, round(min(d), 9) AS dist_subway_km FROM p GRO
 """)
 def nearest_distance(spark, sf):
     """Distance to the nearest station."""
-    n = G.nearest(_probes(spark, sf), catalog.fx_stations(spark, sf), start_radius_km=0.5)
+    n = G.nearest(_probes(spark, sf), catalog.fx_stations(spark, sf))
     return n.select("id", F.round("dist_km", 9).alias("dist_subway_km"))
 
 
@@ -46,7 +46,7 @@ SELECT id, ref_id AS nearest_ref, cbd AS nearest_subway_cbd, ada AS nearest_subw
 """)
 def nearest_attrs(spark, sf):
     """Attributes of the nearest station (ties: smallest id)."""
-    n = G.nearest(_probes(spark, sf), catalog.fx_stations(spark, sf), attrs=["cbd", "ada"], start_radius_km=0.5)
+    n = G.nearest(_probes(spark, sf), catalog.fx_stations(spark, sf), attrs=["cbd", "ada"])
     return n.select("id", F.col("ref_id").alias("nearest_ref"), F.col("cbd").alias("nearest_subway_cbd"),
                     F.col("ada").alias("nearest_subway_ada"))
 
@@ -70,9 +70,8 @@ def nearest_and_count(spark, sf):
     """Nearest distance and 1-mile count from one candidate set."""
     probes = _probes(spark, sf)
     st = catalog.fx_stations(spark, sf)
-    n = G.nearest(probes, st, start_radius_km=1.60934)
-    c = G.radius_counts(probes, st, {"lirr_count_1mi": 1.60934})
-    return n.join(c, "id").select("id", F.round("dist_km", 9).alias("dist_lirr_km"), "lirr_count_1mi")
+    n = G.nearest_and_count(probes, st, 1.60934, "lirr_count_1mi")
+    return n.select("id", F.round("dist_km", 9).alias("dist_lirr_km"), "lirr_count_1mi")
 
 
 @query("radius_distinct", f"""
@@ -108,7 +107,7 @@ WITH p AS ({_PAIRS_ST}) SELECT id, CAST(min(d) <= 0.5 AS INTEGER) AS near_subway
 """)
 def near_flag(spark, sf):
     """P12."""
-    n = G.nearest(_probes(spark, sf), catalog.fx_stations(spark, sf), start_radius_km=0.5)
+    n = G.nearest(_probes(spark, sf), catalog.fx_stations(spark, sf))
     return n.select("id", (F.col("dist_km") <= 0.5).cast("int").alias("near_subway"))
 
 
