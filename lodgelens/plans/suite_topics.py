@@ -217,6 +217,24 @@ def density_clusters(spark, sf):
     return TP.density_clusters(r, "vec_id", "reduced", eps=0.35, min_samples=5, min_cluster_size=10)
 
 
+@query("density_clusters_raw", """
+WITH RECURSIVE x AS (SELECT vec_id AS id, CAST(embedding[1:3] AS DOUBLE[]) AS v FROM embeddings),
+nb AS (SELECT a.id, b.id AS jd FROM x a JOIN x b ON list_sum([(a.v[k] - b.v[k]) * (a.v[k] - b.v[k]) FOR k IN [1, 2, 3]]) <= 0.06 * 0.06::DOUBLE),
+core AS (SELECT id FROM nb GROUP BY id HAVING count(*) >= 6),
+e AS (SELECT id, jd FROM nb WHERE id IN (SELECT id FROM core) AND jd IN (SELECT id FROM core)),
+r(id, lab) AS (SELECT id, id FROM core UNION SELECT e.jd, r.lab FROM r JOIN e ON r.id = e.id),
+c AS (SELECT id, min(lab) AS lab FROM r GROUP BY id),
+l AS (SELECT id, lab FROM c UNION ALL
+      SELECT nb.id, min(c.lab) FROM nb JOIN c ON nb.jd = c.id WHERE nb.id NOT IN (SELECT id FROM core) GROUP BY nb.id),
+k AS (SELECT lab, CAST(row_number() OVER (ORDER BY min(id)) - 1 AS INTEGER) AS cluster FROM l GROUP BY lab HAVING count(*) >= 10)
+SELECT x.id AS vec_id, coalesce(k.cluster, -1) AS cluster FROM x LEFT JOIN l USING (id) LEFT JOIN k USING (lab)
+""")
+def density_clusters_raw(spark, sf):
+    """V4: DBSCAN over the first three vector components, which SQL can follow."""
+    v = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("v"))
+    return TP.density_clusters(v, "vec_id", "v", eps=0.06, min_samples=6, min_cluster_size=10)
+
+
 def in_half(id_col, seed):
     return F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(2)) == 0
 

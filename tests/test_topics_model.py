@@ -40,6 +40,28 @@ def test_dbscan_matches_numpy(spark):
     assert [got[i] for i in range(len(x))] == list(want)
 
 
+def test_dbscan_chains_copies_and_high_dimensions(spark):
+    """Chains through many thin cells, a hot group of copies beside them, five dimensions."""
+    rng = np.random.default_rng(8)
+    t = np.linspace(0, 1, 120)
+    chain = np.stack([np.cos(6 * t), np.sin(6 * t), t, t * 0.5, -t], axis=1) + rng.normal(0, 0.01, (120, 5))
+    copies = np.repeat(np.array([[1.0, 0.0, 0.0, 0.0, 0.1]]), 1500, axis=0)
+    loose = rng.normal(0.5, 0.25, (150, 5))
+    x = np.vstack([chain, copies, loose, rng.uniform(-3, 3, (40, 5))])[rng.permutation(1810)]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>")
+    for eps, least in ((0.18, 4), (0.3, 8)):
+        got = {r["id"]: r["cluster"] for r in TP.density_clusters(df, "id", "v", eps, least, 5).collect()}
+        assert [got[i] for i in range(len(x))] == list(_dbscan(x, eps, least, 5))
+    assert TP.density_clusters(df.limit(0), "id", "v", 0.1, 3, 3).count() == 0
+
+
+def test_components(spark):
+    from lodgelens.operators.graph import components
+    e = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 202), (202, 200)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(e, "a long, b long"), "a", "b").collect()}
+    assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 160)} | {k: 200 for k in (200, 201, 202)}
+
+
 def test_regression_metrics(spark):
     t = np.array([100.0, 200.0, 50.0, 80.0])
     p = np.array([110.0, 190.0, 60.0, 70.0])
