@@ -5,19 +5,21 @@ A document's length enters its score only through the integer normaliser
 term's impact depends on its frequency tf alone; postings are therefore kept
 by tf, and an impact is computed once for each (stratum, tf), not per posting.
 
-Index: documents are counted once (terms, frequencies), then range-sorted by
-(m, a hash), and each task cuts its sorted rows into blocks of one stratum
-with at most ``block_docs`` documents or about ``block_postings`` postings.
-A hot stratum thus becomes many blocks in many tasks. A block is one row: its
+Index: documents are counted once (terms, frequencies), then dealt in ranges
+of (m, a hash) of about ``part_postings`` postings, and each range is cut into
+blocks of one stratum with at most ``block_docs`` documents or about
+``block_postings`` postings. A hot stratum thus becomes many blocks in many
+tasks. A block is one row: its
 document ids, its terms, and per (term, tf) the documents, packed as bytes.
 
 Search, for blocks of items (the stated query set): blocks of the index are
 projected to the items' terms, which also gives the document frequencies. A
 (block, item) pair has the bound sum of w * impact of the block's largest tf.
 Bounds order the visits: each item's ``first`` blocks of highest bound are
-scored first; their k-th score is the item's threshold, and of all other
-blocks exactly those whose bound reaches it are scored. Scores are exact and
-no pair above the threshold is left out.
+scored first, then 16 times as many, at last all that are left; after each
+round the item's k-th score is its threshold, and blocks whose bound doesn't
+reach it are never scored. Scores are exact and no pair at or above the
+threshold is left out.
 
 Scores are integers below 2^53 and are added in 64 bits.
 
@@ -40,12 +42,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodgelens.llm.shared import batches_of, shared_dir, written
+from lodgelens.llm.shared import batches_of, running_totals, shared_dir, written
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LAST = (1 << 63) - 1
 TEXTS, BLOCKS = 500, 16  # rows sent to Python at once
+LAST_ROUND = 4096  # visits an item: from here on a round takes all that is left
 
 
 def terms_of(text: str) -> list[str]:
@@ -75,38 +78,36 @@ class _Block:
     """Documents of one stratum while a block is put together."""
 
     def __init__(self, m: int):
-        self.m, self.docs, self.postings, self.size = m, [], {}, 0
+        self.m, self.docs, self.names, self.tfs, self.size = m, [], [], [], 0
 
     def add(self, doc: int, names: str, tfs: bytes) -> None:
-        at = len(self.docs)
         self.docs.append(doc)
-        for term, tf in zip(names.split(" "), np.frombuffer(tfs, dtype=np.int32).tolist()):
-            self.postings.setdefault(term, []).append((tf, at))
+        self.names.append(names)
+        self.tfs.append(np.frombuffer(tfs, dtype=np.int32))
         self.size += len(tfs) // 4
 
     def row(self, key: str) -> tuple:
-        """Terms in order; per term the ends of its (tf, documents) groups."""
-        terms = sorted(self.postings)
-        per_term, tfs, sizes, docs = [], [], [], []
-        for term in terms:
-            last, groups = None, 0
-            for tf, at in sorted(self.postings[term]):
-                if tf != last:
-                    tfs.append(tf)
-                    sizes.append(0)
-                    last, groups = tf, groups + 1
-                sizes[-1] += 1
-                docs.append(at)
-            per_term.append(groups)
-        pack = lambda v: np.array(v, dtype=np.int32).tobytes()
-        return (key, self.m, np.array(self.docs, dtype=np.int64).tobytes(), " ".join(terms), pack(per_term), pack(tfs), pack(sizes), pack(docs))
+        """Terms in order; per term the sizes of its (tf, documents) groups, tf ascending."""
+        number: dict[str, int] = {}
+        code = np.array([number.setdefault(t, len(number)) for t in " ".join(self.names).split(" ")], dtype=np.int64)
+        terms = sorted(number)
+        rank = np.empty(len(terms), dtype=np.int64)
+        rank[[number[t] for t in terms]] = np.arange(len(terms))
+        term, tf = rank[code], np.concatenate(self.tfs)
+        doc = np.repeat(np.arange(len(self.docs), dtype=np.int32), [len(t) for t in self.tfs])
+        order = np.lexsort((doc, tf, term))
+        term, tf, doc = term[order], tf[order], doc[order]
+        starts = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (tf[1:] != tf[:-1])]))
+        sizes = np.diff(np.append(starts, len(term))).astype(np.int32)
+        groups = np.bincount(term[starts], minlength=len(terms)).astype(np.int32)
+        return (key, self.m, np.array(self.docs, dtype=np.int64).tobytes(), " ".join(terms), groups.tobytes(), tf[starts].tobytes(), sizes.tobytes(), doc.tobytes())
 
 
 INDEX = "block string, m long, ids binary, terms string, groups binary, tfs binary, sizes binary, docs binary"
 COLUMNS = [c.split()[0] for c in INDEX.split(", ")]
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 512, block_postings: int = 200_000) -> tuple[DataFrame, int]:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 512, block_postings: int = 200_000, part_postings: int = 500_000) -> tuple[DataFrame, int]:
     """The written index of all documents (a row per block) and N, the number of documents with a term."""
     spark = docs.sparkSession
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("o"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
@@ -118,13 +119,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     m = F.expr(f"50 + (50L * n * {whole['N']}L) div {whole['L']}L")
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_, n = None, 0
+        open_, n, last = None, 0, None
         for pdf in batches:
             out = []
             for m, doc, names, tfs, part in zip(pdf["m"].tolist(), pdf["o"].tolist(), pdf["terms"].tolist(), pdf["tfs"].tolist(), pdf["part"].tolist()):
-                if open_ is None or open_.m != m or len(open_.docs) >= block_docs or open_.size >= block_postings:
+                if open_ is None or open_.m != m or last != part or len(open_.docs) >= block_docs or open_.size >= block_postings:
                     if open_ is not None:
-                        out.append(open_.row(f"{part}-{n}"))
+                        out.append(open_.row(f"{last}-{n}"))
                     open_, n = _Block(m), n + 1
                 open_.add(doc, names, tfs)
                 last = part
@@ -132,13 +133,27 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if open_ is not None:
             yield pd.DataFrame([open_.row(f"{last}-{n}")], columns=COLUMNS)
 
-    dealt = counted.withColumn("m", m).withColumn("h", F.xxhash64("o", "terms"))
+    dealt = _dealt(counted.withColumn("m", m), part_postings)
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = dealt.repartitionByRange(slots, "m", "h").sortWithinPartitions("m", "h").withColumn("part", F.spark_partition_id())
+    sorted_ = dealt.repartition(slots, "part").sortWithinPartitions("part", "m", "h")
     with batches_of(spark, TEXTS):
         return written(sorted_.select("m", "o", "terms", "tfs", "part").mapInPandas(blocks, INDEX), "lexical-index"), whole["N"]
 
 
+def _dealt(counted: DataFrame, part_postings: int) -> DataFrame:
+    """Add ``h`` and ``part``: ranges of (m, h) with about ``part_postings``
+    postings each, so that long documents, which have strata of their own,
+    don't gather in one task. A stratum's place is the running sum of postings
+    over the (small) table of strata, met by its rows under 8 salts."""
+    keyed = counted.withColumn("postings", F.length("tfs") / 4).withColumn("h", F.pmod(F.xxhash64("o", "terms"), F.lit(1 << 30)))
+    strata = keyed.groupBy("m").agg(F.sum("postings").cast("long").alias("own"))
+    placed = running_totals(strata, [F.col("m")], {"before": F.col("own")}, "lexical-strata")
+    salted = placed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    share = F.col("h") / F.lit(float(1 << 30))
+    return (keyed.withColumn("salt", (F.col("h") % 8).cast("int")).join(salted, ["m", "salt"])
+            .withColumn("part", F.floor((F.col("before") + share * F.col("own")) / part_postings)).drop("salt", "own", "before", "postings"))
+
+
 @dataclass
 class Queries:
     """One block of items: entries sorted by item, terms numbered."""
@@ -196,9 +211,9 @@ def _bounds(q: Queries, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
 
 
 def _scored(q: Queries, k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The best k documents at or above its threshold of each item visiting a block."""
+    """A task's best k documents at or above its threshold for each item visiting its blocks."""
+    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for pdf in batches:
-        out = [np.zeros((3, 0), dtype=np.int64)]
         for r in pdf.itertuples():
             ids = _ints(r.ids, np.int64)
             groups, sizes = _ints(r.groups), _ints(r.sizes)
@@ -214,13 +229,19 @@ def _scored(q: Queries, k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.
                     if p >= 0 and w:
                         s = slice(d_start[p], d_end[p])
                         total[docs[s]] += w * score_of[s]  # a document stands once in a term's postings
+                so_far = best.get(item)
+                if so_far is not None and len(so_far[0]) == k:
+                    floor = max(floor, int(so_far[0][-1]))
                 hit = np.flatnonzero(total >= max(floor, 1))
-                if len(hit) > k:
-                    cut = np.partition(total[hit], len(hit) - k)[len(hit) - k]
-                    hit = hit[total[hit] >= cut]
-                    hit = hit[np.lexsort((ids[hit], -total[hit]))][:k]
-                out.append(np.array([np.full(len(hit), item), ids[hit], total[hit]]))
-        yield pd.DataFrame(np.concatenate(out, axis=1).T, columns=["item", "o", "score"])
+                if not len(hit):
+                    continue
+                score, doc = total[hit], ids[hit]
+                if so_far is not None:
+                    score, doc = np.concatenate([so_far[0], score]), np.concatenate([so_far[1], doc])
+                order = np.lexsort((doc, -score))[:k]
+                best[item] = score[order], doc[order]
+    out = [np.array([np.full(len(score), item), doc, score]) for item, (score, doc) in best.items()]
+    yield pd.DataFrame(np.concatenate([np.zeros((3, 0), dtype=np.int64), *out], axis=1).T, columns=["item", "o", "score"])
 
 
 SCORED = "item long, o long, score long"
@@ -291,12 +312,18 @@ def _answered(index: DataFrame, n_docs: int, q: Queries, k: int, first: int) ->
         lambda it: _scored(sent.value, k, it), SCORED)
     with batches_of(spark, BLOCKS):
         bounds = written(projected.select("block", "m", "term", "groups", "tfs").mapInPandas(lambda it: _bounds(sent.value, it), "block string, item long, bound long"), "lexical-bounds")
-        seeds = written(_best(bounds, "item", [F.desc("bound"), F.col("block")], first).select("block", "item"), "lexical-seeds")
-        visits = seeds.groupBy("block").agg(F.collect_list("item").alias("items")).withColumn("floors", F.transform("items", lambda _: F.lit(1).cast("long")))
-        found = written(score_rows(visits), "lexical-first")
-        floors = _best(found, "item", [F.desc("score"), F.col("o")], k).where(F.col("rank") == k).select("item", F.col("score").alias("floor"))
-        rest = (bounds.join(seeds, ["block", "item"], "left_anti").join(F.broadcast(floors), "item", "left")  # a row per item of the block
-                .withColumn("floor", F.coalesce("floor", F.lit(1).cast("long"))).where("bound >= floor"))
-        visits = rest.groupBy("block").agg(F.collect_list(F.struct("item", "floor")).alias("v")).select("block", F.col("v.item").alias("items"), F.col("v.floor").alias("floors"))
-        found = found.unionByName(written(score_rows(visits), "lexical-rest"))
+        left, found, size = bounds, None, first
+        while not left.isEmpty():
+            now = written(_best(left, "item", [F.desc("bound"), F.col("block")], size).drop("rank"), "lexical-visits") if size < LAST_ROUND else left
+            floors = F.lit(1).cast("long") if found is None else F.coalesce("floor", F.lit(1).cast("long"))
+            visits = now.withColumn("f", floors).groupBy("block").agg(F.collect_list(F.struct("item", "f")).alias("v"))
+            scored = score_rows(visits.select("block", F.col("v.item").alias("items"), F.col("v.f").alias("floors")))
+            scored = written(scored, "lexical-scored")
+            found = scored if found is None else written(_best(found.unionByName(scored), "item", [F.desc("score"), F.col("o")], k).drop("rank"), "lexical-best")
+            if size >= LAST_ROUND:
+                break
+            kth = _best(found, "item", [F.desc("score"), F.col("o")], k).where(F.col("rank") == k).select("item", F.col("score").alias("floor"))
+            left = (left.drop("floor").join(now.select("block", "item"), ["block", "item"], "left_anti").join(F.broadcast(kth), "item", "left")  # a row per item of the block
+                    .where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor"))))
+            left, size = written(left, "lexical-left"), size * 16
     return _best(found, "item", [F.desc("score"), F.col("o")], k)
