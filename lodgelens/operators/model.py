@@ -1,7 +1,7 @@
 """Model preparation, evaluation and explanation.
 
 Evaluation metrics are single aggregates over the prediction table (partial
-aggregation; exact medians).  Training uses ``spark.ml`` gradient-boosted
+aggregation) and exact medians from one range sort.  Training uses ``spark.ml`` gradient-boosted
 trees; contributions are exact TreeSHAP evaluated in ``mapInPandas`` against
 tree tables broadcast from the fitted model.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgelens.functions import scalar as S
+from lodgelens.operators import ranks
 from lodgelens.operators import relational as R
 
 # The original model settings.
@@ -51,7 +52,7 @@ def fold_of(id_col: str, k: int = 5, seed: int = 42) -> Column:
 def regression_metrics(df: DataFrame, true_col: str, pred_col: str, by: list[str] | None = None,
                        log_space: bool = True) -> DataFrame:
     """M6: RMSE and R^2 on log1p scale, MAE, MAPE, MedAE, MdAPE on the price
-    scale; one aggregate (per group)."""
+    scale; one aggregate (per group) and one range sort for both medians."""
     t, p = F.col(true_col), F.col(pred_col)
     yt, yp = (F.log1p(t), F.log1p(p)) if log_space else (t, p)
     err = F.abs(t - p)
@@ -59,10 +60,10 @@ def regression_metrics(df: DataFrame, true_col: str, pred_col: str, by: list[str
             F.round(F.sqrt(F.avg(F.pow(yp - yt, 2))), 6).alias("rmse_log"),
             F.round(F.avg(err), 6).alias("mae_price"),
             F.round(1 - F.sum(F.pow(yt - yp, 2)) / (F.count(F.lit(1)) * F.var_pop(yt)), 6).alias("r2"),
-            F.round(F.avg(err / t) * 100, 6).alias("mape_pct"),
-            F.round(F.median(err), 6).alias("medae"),
-            F.round(F.median(err / t * 100), 6).alias("mdape_pct")]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+            F.round(F.avg(err / t) * 100, 6).alias("mape_pct")]
+    mid = ranks.medians(df, {"_medae": err, "_mdape": err / t * 100}, by or [])
+    found = (df.groupBy(*by).agg(*aggs).join(mid, by, "left") if by else df.agg(*aggs).crossJoin(F.broadcast(mid)))
+    return found.withColumns({"medae": F.round("_medae", 6), "mdape_pct": F.round("_mdape", 6)}).drop("_medae", "_mdape")
 
 
 def cv_summary(per_fold: DataFrame, test: DataFrame, cols: list[str]) -> DataFrame:
@@ -76,7 +77,7 @@ def cv_summary(per_fold: DataFrame, test: DataFrame, cols: list[str]) -> DataFra
 
 def baseline_improvement(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
     """M8: MAE of always predicting the median vs the model's MAE."""
-    t = R.attach_scalars(df, _med=F.median(true_col))
+    t = df.crossJoin(F.broadcast(ranks.medians(df, {"_med": F.col(true_col)})))
     a = t.agg(F.avg(F.abs(F.col(true_col) - F.col("_med"))).alias("baseline_mae"),
               F.avg(F.abs(F.col(true_col) - F.col(pred_col))).alias("model_mae"))
     return a.select(F.round("baseline_mae", 6).alias("baseline_mae"), F.round("model_mae", 6).alias("model_mae"),

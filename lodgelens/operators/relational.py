@@ -4,8 +4,8 @@ All operators are ``DataFrame -> DataFrame`` functions that build a lazy
 plan.  Conventions that hold throughout (decided once, see SURVEY §1.5):
 
 * group keys that are null are dropped before grouping (pandas semantics);
-* ``median``/``percentile`` are exact with linear interpolation;
-  ``exact=False`` switches to ``percentile_approx`` for very large groups;
+* medians and quantiles are exact with linear interpolation, from one range
+  sort of (segment, value) counts (``operators/ranks.py``);
 * order-dependent results always carry an explicit tie-break column;
 * scalar statistics (medians, percentiles, min/max) are computed as a 1-row
   aggregate and attached with a broadcast cross join: the broadcast side has
@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodgelens.operators import ranks
 from lodgelens.session import ensure_checkpoint_dir
 
 
@@ -26,18 +27,6 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def quantile(c, q, exact: bool = True) -> Column:
-    """Linear-interpolated quantile (exact), or approximate for huge groups."""
-    if exact:
-        return F.percentile(_c(c), F.lit(q)) if not isinstance(q, (list, tuple)) else \
-            F.percentile(_c(c), F.array(*[F.lit(x) for x in q]))
-    return F.percentile_approx(_c(c), q if not isinstance(q, (list, tuple)) else list(q), 10000)
-
-
-def median(c, exact: bool = True) -> Column:
-    return F.median(_c(c)) if exact else F.percentile_approx(_c(c), 0.5, 10000)
-
-
 def attach_scalars(df: DataFrame, **aggs: Column) -> DataFrame:
     """Compute 1-row aggregates over ``df`` and attach them to every row.
 
@@ -81,14 +70,9 @@ def price_cap(df: DataFrame, col="price_numeric", cap: float = 2000.0) -> DataFr
     return df.filter((_c(col) > 0) & (_c(col) <= cap))
 
 
-def percentile_cap(df: DataFrame, col: str, q: float = 0.99, keep_below: bool = False,
-                   exact: bool = True) -> DataFrame:
-    """P7 (``<=`` p99) and P16 (``<`` p25, ``keep_below=True``).  The exact
-    quantile is computed by ``exact_quantiles`` (bounded per task)."""
-    if exact:
-        t = df.crossJoin(F.broadcast(exact_quantiles(df, col, [q], "_cap").withColumnRenamed("_cap0", "_cap")))
-    else:
-        t = attach_scalars(df, _cap=quantile(col, q, exact))
+def percentile_cap(df: DataFrame, col: str, q: float = 0.99, keep_below: bool = False) -> DataFrame:
+    """P7 (``<=`` p99) and P16 (``<`` p25, ``keep_below=True``)."""
+    t = df.crossJoin(F.broadcast(exact_quantiles(df, col, [q], "_cap").withColumnRenamed("_cap0", "_cap")))
     cond = (_c(col) < F.col("_cap")) if keep_below else (_c(col) <= F.col("_cap"))
     return t.filter(cond).drop("_cap")
 
@@ -164,9 +148,17 @@ def group_agg(df: DataFrame, keys, *aggs: Column) -> DataFrame:
     return _nonnull_keys(df, keys).groupBy(*keys).agg(*aggs)
 
 
-AGGREGATIONS = {
-    "mean": F.avg, "median": F.median, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max,
-}
+AGGREGATIONS = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+
+
+def aggregate_by(df: DataFrame, key: str, metric: str, aggregation: str, out: str = "value") -> DataFrame:
+    """One of ``AGGREGATIONS`` or the median of a metric per key (null keys dropped)."""
+    if aggregation == "median":
+        groups = _nonnull_keys(df, key).select(key).distinct()
+        return groups.join(ranks.medians(df, {out: F.col(metric)}, key), key, "left")
+    if aggregation not in AGGREGATIONS:
+        raise ValueError(f"Unknown aggregation: {aggregation}")
+    return group_agg(df, key, AGGREGATIONS[aggregation](metric).alias(out))
 
 
 def group_aggregate(df: DataFrame, group_by: str, metric: str, aggregation: str = "mean",
@@ -174,9 +166,7 @@ def group_aggregate(df: DataFrame, group_by: str, metric: str, aggregation: str
     """A3: chosen aggregate of a chosen metric by a chosen dimension."""
     if group_by not in df.columns or metric not in df.columns:
         raise ValueError(f"Unknown column: {group_by} or {metric}")
-    if aggregation not in AGGREGATIONS:
-        raise ValueError(f"Unknown aggregation: {aggregation}")
-    return group_agg(df, group_by, AGGREGATIONS[aggregation](metric).alias(out))
+    return aggregate_by(df, group_by, metric, aggregation, out)
 
 
 def value_counts(df: DataFrame, col: str, top: int | None = None) -> DataFrame:
@@ -208,22 +198,19 @@ def describe(df: DataFrame, col: str, digits: int = 3) -> DataFrame:
 
 
 def describe_table(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
-    """A10 for many columns in one pass: one row per column."""
+    """A10 for many columns: one row per column; the quartiles of all columns
+    come from one range sort."""
     aggs = []
     for c in cols:
         aggs += [F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
                  F.stddev_samp(c).alias(f"{c}__std"), F.min(c).cast("double").alias(f"{c}__min"),
-                 F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}__q"),
                  F.max(c).cast("double").alias(f"{c}__max")]
-    wide = df.agg(*aggs)
+    quarts = ranks.quantiles(df, cols, [0.25, 0.5, 0.75])
+    wide = df.agg(*aggs).crossJoin(F.broadcast(quarts))
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
-                     F.round(F.col(f"{c}__mean"), digits).alias("mean"),
-                     F.round(F.col(f"{c}__std"), digits).alias("std"),
-                     F.round(F.col(f"{c}__min"), digits).alias("min"),
-                     F.round(F.col(f"{c}__q")[0], digits).alias("p25"),
-                     F.round(F.col(f"{c}__q")[1], digits).alias("median"),
-                     F.round(F.col(f"{c}__q")[2], digits).alias("p75"),
-                     F.round(F.col(f"{c}__max"), digits).alias("max")) for c in cols]
+                     *[F.round(F.col(f"{c}{k}"), digits).alias(n) for k, n in (
+                         ("__mean", "mean"), ("__std", "std"), ("__min", "min"), ("_0", "p25"), ("_1", "median"), ("_2", "p75"), ("__max", "max"))])
+            for c in cols]
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
@@ -245,14 +232,13 @@ def null_audit(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def summary_stats(df: DataFrame, price="price_numeric", rating="review_scores_rating",
                   revenue="estimated_revenue") -> DataFrame:
     """N, median/mean price, mean rating, median revenue (2 dp); empty -> n = 0.
-    Medians are exact and bounded per task (``exact_quantiles``)."""
+    Both medians come from one range sort."""
     base = df.agg(F.count(F.lit(1)).alias("count"), F.round(F.avg(price), 2).alias("price_mean"),
                   F.round(F.avg(rating), 2).alias("rating_mean"))
-    mp = exact_quantiles(df, price, [0.5], "_mp")
-    mr = exact_quantiles(df, revenue, [0.5], "_mr")
-    return base.crossJoin(F.broadcast(mp)).crossJoin(F.broadcast(mr)).select(
-        "count", F.round("_mp0", 2).alias("price_median"), "price_mean", "rating_mean",
-        F.round("_mr0", 2).alias("revenue_median"))
+    mid = ranks.medians(df, {"_mp": F.col(price), "_mr": F.col(revenue)})
+    return base.crossJoin(F.broadcast(mid)).select(
+        "count", F.round("_mp", 2).alias("price_median"), "price_mean", "rating_mean",
+        F.round("_mr", 2).alias("revenue_median"))
 
 
 def mean_matrix(df: DataFrame, key: str | None, cols: list[str], digits: int = 6) -> DataFrame:
@@ -390,76 +376,17 @@ def average_rank(df: DataFrame, value: str, out: str = "rank", n_parts: int | No
     return df.join(ranks, value, "left")
 
 
-def _value_positions(df: DataFrame, value: str, n_parts: int | None = None) -> DataFrame:
-    """Distinct values with their count and the number of smaller values
-    (``_before``): distinct counts (partial aggregation, so a hot value is one
-    row), range-partitioned and checkpointed, running sums per partition plus
-    the totals of earlier partitions (one row per partition)."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    ranged = counts.repartitionByRange(n_parts, value).withColumn("_pid", F.spark_partition_id()).checkpoint()
-    tot = ranged.groupBy("_pid").agg(F.sum("_c").alias("_t"))
-    offs = tot.select("_pid", (F.sum("_t").over(Window.orderBy("_pid")) - F.col("_t")).alias("_off"))
-    w = Window.partitionBy("_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumn("_b", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    return local.join(F.broadcast(offs), "_pid").select(value, "_c", (F.col("_off") + F.col("_b")).alias("_before"))
-
-
 def exact_quantiles(df: DataFrame, value: str, qs: list[float], out_prefix: str = "q") -> DataFrame:
-    """Exact linear-interpolated quantiles of a whole column as one row
-    (same definition as ``percentile``), without one task holding every
-    distinct value: only the values at the needed positions are fetched."""
-    pos = _value_positions(df, value)
-    n = pos.agg(F.sum("_c").alias("_n"))
-    j = pos.crossJoin(F.broadcast(n))
-    aggs = []
-    for i, q in enumerate(qs):
-        h = (F.col("_n") - 1) * F.lit(float(q))
-        lo, hi = F.floor(h), F.ceil(h)
-        in_lo = (F.col("_before") <= lo) & (lo < F.col("_before") + F.col("_c"))
-        in_hi = (F.col("_before") <= hi) & (hi < F.col("_before") + F.col("_c"))
-        aggs += [F.max(F.when(in_lo, F.col(value).cast("double"))).alias(f"_lo{i}"),
-                 F.max(F.when(in_hi, F.col(value).cast("double"))).alias(f"_hi{i}"),
-                 F.max(h - lo).alias(f"_f{i}")]
-    a = j.agg(*aggs)
-    return a.select(*[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(
-        f"{out_prefix}{i}") for i in range(len(qs))])
+    """Exact linear-interpolated quantiles of a whole column as one row."""
+    found = ranks.quantiles(df, {"_q": F.col(value)}, qs)
+    return found.select(*[F.col(f"_q_{i}").alias(f"{out_prefix}{i}") for i in range(len(qs))])
 
 
 def group_quantiles(df: DataFrame, keys, value: str, qs: list[float], out_prefix: str = "q") -> DataFrame:
-    """Exact linear-interpolated quantiles per group (null keys dropped), one
-    row per group, without a task holding a hot group's value map: distinct
-    (group, value) counts are range-partitioned on (group, value), ranked
-    with running sums inside each partition plus per-group offsets of earlier
-    partitions, and only the rows at the needed positions are aggregated."""
+    """Exact linear-interpolated quantiles per group (null keys dropped), one row per group."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = _nonnull_keys(df, keys).filter(F.col(value).isNotNull())
-    counts = d.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    ranged = counts.repartitionByRange(n_parts, *keys, value).withColumn("_pid", F.spark_partition_id()).checkpoint()
-    tot = ranged.groupBy(*keys, "_pid").agg(F.sum("_c").alias("_t"))
-    offs = tot.select(*keys, "_pid", (F.sum("_t").over(Window.partitionBy(*keys).orderBy("_pid")) - F.col("_t"))
-                      .alias("_off"))
-    n = tot.groupBy(*keys).agg(F.sum("_t").alias("_n"))
-    w = Window.partitionBy("_pid", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumn("_b", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    pos = local.join(offs, keys + ["_pid"]).join(n, keys).withColumn("_before", F.col("_off") + F.col("_b"))
-    aggs = []
-    for i, q in enumerate(qs):
-        h = (F.col("_n") - 1) * F.lit(float(q))
-        lo, hi = F.floor(h), F.ceil(h)
-        in_lo = (F.col("_before") <= lo) & (lo < F.col("_before") + F.col("_c"))
-        in_hi = (F.col("_before") <= hi) & (hi < F.col("_before") + F.col("_c"))
-        aggs += [F.max(F.when(in_lo, F.col(value).cast("double"))).alias(f"_lo{i}"),
-                 F.max(F.when(in_hi, F.col(value).cast("double"))).alias(f"_hi{i}"),
-                 F.max(h - lo).alias(f"_f{i}")]
-    a = pos.groupBy(*keys).agg(*aggs)
-    return a.select(*keys, *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(
-        f"{out_prefix}{i}") for i in range(len(qs))])
+    found = ranks.quantiles(df, {"_q": F.col(value)}, qs, keys)
+    return found.select(*keys, *[F.col(f"_q_{i}").alias(f"{out_prefix}{i}") for i in range(len(qs))])
 
 
 def median_and_count(df: DataFrame, key: str, value: str, median_col: str = "median",
@@ -470,18 +397,25 @@ def median_and_count(df: DataFrame, key: str, value: str, median_col: str = "med
     return cnt.join(med, key, "left")
 
 
-def pearson_spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+def pearson_spearman(df: DataFrame, a: str, b: str, digits: int | None = 4) -> DataFrame:
     """N, Pearson and Spearman (Pearson of average ranks) of a pair, rows
-    with a null in either column dropped; null coefficients below 3 rows."""
+    with a null in either column dropped; null coefficients below 3 rows.
+    ``digits`` None leaves the coefficients unrounded."""
     sub = df.select(a, b).dropna()
-    # ranks are attached by value, so the pair table is ranked per column
-    ranked = average_rank(average_rank(sub, a, "_ra"), b, "_rb")
-    enough = F.count(F.lit(1)) >= 3
-    return ranked.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.when(enough, F.round(F.corr(a, b), 4)).alias("pearson"),
-        F.when(enough, F.round(F.corr("_ra", "_rb"), 4)).alias("spearman"),
-    )
+    shown = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
+    rho = ranks.spearman(sub, [(a, b)]).agg(F.max("rho").alias("_rho"))
+    base = sub.agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 3, F.corr(a, b)).alias("_r"))
+    return base.crossJoin(F.broadcast(rho)).select(
+        "n", shown(F.col("_r")).alias("pearson"), shown(F.when(F.col("n") >= 3, F.col("_rho"))).alias("spearman"))
+
+
+def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(col_a, col_b, r), Spearman of each pair over its complete
+    rows, all pairs in one rank pass; null without such rows."""
+    spark = df.sparkSession
+    names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, col_a string, col_b string")
+    found = ranks.spearman(df, pairs)
+    return names.join(found, "pair", "left").select("col_a", "col_b", F.col("rho").alias("r"))
 
 
 def top_per_group(df: DataFrame, key, order: list[Column], n: int, rank_col: str = "rank",

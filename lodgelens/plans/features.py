@@ -4,8 +4,7 @@
 joins -> encodings -> median imputation -> log target.  Spatial features are
 computed on the narrow (id, lat, lon) probe table and joined back by id, so
 the wide listing rows never travel through the grid joins.  The medians for
-imputation are one aggregate (exact percentiles), attached as a 1-row
-broadcast.
+imputation come from one range sort, attached as a 1-row broadcast.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodgelens.functions import scalar as S
+from lodgelens.operators import ranks
 from lodgelens.operators import relational as R
 from lodgelens.operators import spatial as G
 from lodgelens.sources import catalog
@@ -101,8 +101,8 @@ def spatial_features(probes: DataFrame, stations: DataFrame, points: DataFrame,
 
 def median_impute(df: DataFrame, cols: list[str]) -> DataFrame:
     """Fill nulls with the median of the non-null values of this
-    table; all medians in one aggregate, attached as one broadcast row."""
-    med = df.agg(*[F.median(c).alias(f"_m_{c}") for c in cols])
+    table; all medians from one range sort, attached as one broadcast row."""
+    med = ranks.medians(df, {f"_m_{c}": F.col(c) for c in cols})
     return df.crossJoin(F.broadcast(med)).withColumns(
         {c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in cols}).drop(*[f"_m_{c}" for c in cols])
 
@@ -116,10 +116,10 @@ def build_features(listings: DataFrame, stations: DataFrame, points: DataFrame,
     enc = encoded_listings(listings, boroughs, property_types)
     sp = spatial_features(enc.select("id", "latitude", "longitude"), stations, points, arrests, tourist_domains, rail_flag)
     features = FEATURE_COLS + [col_name("boro", b) for b in boroughs] + [col_name("prop", p) for p in property_types]
-    df = median_impute(enc.join(sp, "id"), MEDIAN_FILL)
-    # final sweep: remaining nullable measures (distances when a set is empty)
+    df = enc.join(sp, "id")
+    # the listed columns and every other double (distances are null when a set is empty)
     sweep = [c for c in features if c not in MEDIAN_FILL and df.schema[c].dataType.typeName() == "double"]
-    df = median_impute(df, sweep)
+    df = median_impute(df, MEDIAN_FILL + sweep)
     return df.select(*META, *features, "price_numeric", F.log1p("price_numeric").alias("log_price"))
 
 

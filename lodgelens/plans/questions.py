@@ -104,8 +104,14 @@ def seasonal_trend(panel: DataFrame, metric: str, aggregation: str = "mean", bor
     """Q8: a metric per month over the panel, mean or median, 3 dp."""
     _require(panel, metric)
     d = panel.filter(F.col("borough") == borough) if borough else panel
-    agg = R.AGGREGATIONS[aggregation](metric)
-    return R.group_agg(d, "month", F.round(agg, 3).alias("value"))
+    return R.aggregate_by(d, "month", metric, aggregation).withColumn("value", F.round("value", 3))
+
+
+def correlate(df: DataFrame, a: str, b: str, borough=None) -> DataFrame:
+    """Q6: Pearson and Spearman of two columns, of one borough if given."""
+    _require(df, a, b)
+    d = df.filter(F.col("borough") == borough) if borough else df
+    return R.pearson_spearman(d, a, b)
 
 
 def _location_filtered(df: DataFrame, *, max_subway_km=None, min_subway_lines_500m=None, require_ada_subway=False,

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgelens.functions import scalar as S
+from lodgelens.operators import ranks
 from lodgelens.operators import relational as R
 
 
 def kpi_row(preds: DataFrame, season: DataFrame, month: int) -> DataFrame:
     """Q12: n, median listed, median predicted, delta and its label, index."""
-    k = preds.agg(F.count(F.lit(1)).alias("n"), F.median("price_numeric").alias("median_listed"),
-                  F.median("pred_price").alias("median_pred"))
+    mid = ranks.medians(preds, {"median_listed": F.col("price_numeric"), "median_pred": F.col("pred_price")})
+    k = preds.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(mid))
     idx = season.filter(F.col("month") == month).agg(F.max("seasonal_index").alias("seasonal_index"))
     delta = F.col("median_pred") - F.col("median_listed")
     return k.crossJoin(F.broadcast(idx)).select(
@@ -29,8 +30,9 @@ def kpi_row(preds: DataFrame, season: DataFrame, month: int) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     """Q13: fixed-width bins between min and max (last bin closed), with the
     column's mean and median; bins are counted by a partial aggregate."""
-    t = R.attach_scalars(df.filter(F.col(col).isNotNull()), _lo=F.min(col), _hi=F.max(col),
-                         mean=F.avg(col), median=F.median(col))
+    d = df.filter(F.col(col).isNotNull())
+    t = R.attach_scalars(d, _lo=F.min(col), _hi=F.max(col), mean=F.avg(col))
+    t = t.crossJoin(F.broadcast(ranks.medians(d, {"median": F.col(col)})))
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col(col) - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")
@@ -43,10 +45,10 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 
 def box_stats(df: DataFrame, key: str, col: str) -> DataFrame:
     """Q14: quartiles, 1.5 IQR whiskers (most extreme values inside the
-    fences) and outlier counts per category."""
-    d = df.filter(F.col(key).isNotNull() & F.col(col).isNotNull())
-    q = d.groupBy(key).agg(R.quantile(col, [0.25, 0.5, 0.75]).alias("_q"))
-    q = q.select(key, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    fences) and outlier counts per category; rows are counted per distinct
+    value before they meet the quartiles."""
+    d = df.filter(F.col(key).isNotNull() & F.col(col).isNotNull()).groupBy(key, col).agg(F.count(F.lit(1)).alias("_c"))
+    q = ranks.quantiles(df, {"_q": F.col(col)}, [0.25, 0.5, 0.75], key).withColumnsRenamed({"_q_0": "q1", "_q_1": "median", "_q_2": "q3"})
     j = d.join(q, key)
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
@@ -54,7 +56,7 @@ def box_stats(df: DataFrame, key: str, col: str) -> DataFrame:
     out = j.groupBy(key, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(col))).alias("lower_whisker"),
         F.max(F.when(inside, F.col(col))).alias("upper_whisker"),
-        F.count_if(~inside).alias("n_outliers"), F.count(F.lit(1)).alias("n"))
+        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("_c"))).alias("n_outliers"), F.sum("_c").alias("n"))
     return out.select(key, *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3", "lower_whisker", "upper_whisker")],
                       "n_outliers", "n")
 

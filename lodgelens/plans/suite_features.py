@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodgelens.functions import scalar as S
 from lodgelens.operators import relational as R
 from lodgelens.plans import features as FE
+from lodgelens.operators import ranks
 from lodgelens.plans import oracle_views as V
 from lodgelens.plans.registry import query
 from lodgelens.plans.suite_spatial import hav_sql
@@ -181,7 +182,7 @@ def project_price(spark, sf):
     s = season(spark, sf)
     ratio = s.agg((F.max(F.when(F.col("month") == 12, F.col("seasonal_index")))
                    / F.max(F.when(F.col("month") == 11, F.col("seasonal_index")))).alias("adjustment"))
-    med = listing_base(spark, sf).agg(F.median("price_numeric").alias("m"))
+    med = ranks.medians(listing_base(spark, sf), {"m": F.col("price_numeric")})
     return med.crossJoin(ratio).select(F.round(F.col("m") * F.col("adjustment"), 6).alias("projected_median"),
                                        F.round("adjustment", 6).alias("adjustment"))
 
@@ -240,12 +241,14 @@ FROM feature_matrix WHERE borough IS NOT NULL GROUP BY borough
 def listing_summary_by_borough(spark, sf):
     """Flagship: the full feature pipeline summarised by borough."""
     fm = feature_matrix(spark, sf)
-    return R.group_agg(fm, "borough", F.count(F.lit(1)).alias("n"), F.median("price_numeric").alias("median_price"),
+    g = R.group_agg(fm, "borough", F.count(F.lit(1)).alias("n"),
                        F.round(F.avg("review_scores_rating"), 6).alias("mean_rating"),
                        F.round(F.avg("dist_subway_km"), 6).alias("mean_dist_subway_km"),
                        F.round(F.avg("poi_count_500m"), 6).alias("mean_poi_500m"),
                        F.round(F.avg("crime_count_500m"), 6).alias("mean_crime_500m"),
                        F.round(F.avg("subway_lines_500m"), 6).alias("mean_subway_lines"))
+    mid = ranks.medians(fm, {"median_price": F.col("price_numeric")}, "borough")
+    return g.join(mid, "borough").select("borough", "n", "median_price", *g.columns[2:])
 
 
 @query("stack_months", """

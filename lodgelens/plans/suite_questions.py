@@ -343,4 +343,16 @@ SELECT count(*) AS n, round(corr(a, b), 4) AS pearson, round(corr(ra, rb), 4) AS
 """)
 def correlate_tool(spark, sf):
     """Q6: Pearson and Spearman of subway distance and mean price."""
-    return R.pearson_spearman(qbase(spark, sf), "dist_subway_km", "price_numeric")
+    return Qs.correlate(qbase(spark, sf), "dist_subway_km", "price_numeric")
+
+
+@query("correlate_tool_borough", """
+WITH s AS (SELECT crime_count_500m AS a, price_numeric AS b FROM qbase
+           WHERE borough = 'EUROPE' AND crime_count_500m IS NOT NULL AND price_numeric IS NOT NULL),
+     r AS (SELECT a, b, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2E0 AS ra,
+                  rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2E0 AS rb FROM s)
+SELECT count(*) AS n, round(corr(a, b), 4) AS pearson, round(corr(ra, rb), 4) AS spearman FROM r
+""")
+def correlate_tool_borough(spark, sf):
+    """Q6 within one borough."""
+    return Qs.correlate(qbase(spark, sf), "crime_count_500m", "price_numeric", borough="EUROPE")

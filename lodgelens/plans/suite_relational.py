@@ -469,16 +469,8 @@ def _rank_sql(cols, src):
 @query("spearman_matrix", f"WITH rk AS ({_rank_sql(_CORR_COLS, 'listing_base')})\n" + " UNION ALL ".join(f"""
 SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS r FROM rk""" for a, b in _pairs(_CORR_COLS)))
 def spearman_matrix(spark, sf):
-    """A27 Spearman: average ranks per column (distributed), then Pearson."""
-    df = listing_base(spark, sf).select(*_CORR_COLS).withColumn("_row", F.monotonically_increasing_id())
-    ranked = df
-    for c in _CORR_COLS:
-        ranked = R.average_rank(ranked, c, f"_r_{c}")
-    pairs = _pairs(_CORR_COLS)
-    wide = ranked.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"{a}|{b}") for a, b in pairs])
-    long = wide.unpivot([], [f"`{a}|{b}`" for a, b in pairs], "pair", "r")
-    return long.select(F.split("pair", r"\|")[0].alias("col_a"), F.split("pair", r"\|")[1].alias("col_b"),
-                       F.round("r", 6).alias("r"))
+    """A27 Spearman: each pair ranked over its complete rows, one rank pass."""
+    return R.spearman_pairs(listing_base(spark, sf), _pairs(_CORR_COLS)).withColumn("r", F.round("r", 6))
 
 
 _TARGET_COLS = ["accommodates", "amenity_count", "availability_365", "estimated_revenue", "number_of_reviews",
@@ -492,15 +484,28 @@ _TARGET_COLS = ["accommodates", "amenity_count", "availability_365", "estimated_
        + ")\nSELECT feature, round(abs_r, 6) AS abs_r FROM c ORDER BY abs_r DESC, feature LIMIT 20")
 def corr_with_target(spark, sf):
     """|Spearman| of every feature with the target, top 20."""
-    cols = _TARGET_COLS + ["price_numeric"]
-    ranked = listing_base(spark, sf).select(*cols)
-    for c in cols:
-        ranked = R.average_rank(ranked, c, f"_r_{c}")
-    wide = ranked.agg(*[F.abs(F.corr(f"_r_{c}", "_r_price_numeric")).alias(c) for c in _TARGET_COLS])
-    long = wide.unpivot([], _TARGET_COLS, "feature", "abs_r")
+    r = R.spearman_pairs(listing_base(spark, sf), [(c, "price_numeric") for c in _TARGET_COLS])
+    long = r.select(F.col("col_a").alias("feature"), F.abs("r").alias("abs_r"))
     return long.orderBy(F.desc("abs_r"), "feature").limit(20).withColumn("abs_r", F.round("abs_r", 6))
 
 
+_NULL_COLS = ["bathrooms", "review_scores_rating", "host_response_rate_f", "estimated_revenue", "price_numeric"]
+
+
+@query("spearman_complete_pairs", " UNION ALL ".join(f"""
+SELECT '{a}' AS col_a, '{b}' AS col_b, (SELECT count(*) FROM listing_base WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n, round(corr(ra, rb), 6) AS r
+FROM (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2E0 AS ra,
+             rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2E0 AS rb
+      FROM listing_base WHERE {a} IS NOT NULL AND {b} IS NOT NULL)""" for a, b in _pairs(_NULL_COLS)))
+def spearman_complete_pairs(spark, sf):
+    """A27 on columns with nulls: every pair over its own complete rows."""
+    df = listing_base(spark, sf)
+    n = df.agg(*[F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"{a}|{b}") for a, b in _pairs(_NULL_COLS)])
+    n = n.unpivot([], [f"`{a}|{b}`" for a, b in _pairs(_NULL_COLS)], "pair", "n")
+    n = n.select(F.split("pair", r"\|")[0].alias("col_a"), F.split("pair", r"\|")[1].alias("col_b"), "n")
+    return R.spearman_pairs(df, _pairs(_NULL_COLS)).withColumn("r", F.round("r", 6)).join(n, ["col_a", "col_b"]).select("col_a", "col_b", "n", "r")
+
+
 _CONTRIB = ["c_discount", "c_tax", "c_quantity"]
 
 
@@ -591,7 +596,7 @@ WHERE neighbourhood IS NOT NULL GROUP BY neighbourhood ORDER BY median_price DES
 """)
 def top_groups(spark, sf):
     """L2."""
-    g = R.group_agg(listing_base(spark, sf), "neighbourhood", F.median("price_numeric").alias("median_price"))
+    g = R.aggregate_by(listing_base(spark, sf), "neighbourhood", "price_numeric", "median", "median_price")
     return g.orderBy(F.desc("median_price"), "neighbourhood").limit(10)
 
 

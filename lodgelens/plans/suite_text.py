@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodgelens.functions import scalar as S
+from lodgelens.operators import ranks
 from lodgelens.operators import relational as R
 from lodgelens.operators import text as T
 from lodgelens.plans import oracle_views as V
@@ -259,12 +260,12 @@ def listing_sentiment(spark, sf):
     s = R.drop_matching(sentiment(spark, sf), "clean", T.VAGUE_PATTERNS).withColumn(
         "label", S.sentiment_label("sentiment_score"))
     g = R.group_agg(s, "listing_id", F.avg("sentiment_score").alias("mean_sentiment"),
-                    F.median("sentiment_score").alias("median_sentiment"),
                     F.count("sentiment_score").alias("num_reviews"),
                     F.avg((F.col("label") == "positive").cast("int")).alias("positive_ratio"),
                     F.avg((F.col("label") == "negative").cast("int")).alias("negative_ratio"),
                     F.avg((F.col("label") == "neutral").cast("int")).alias("neutral_ratio"))
-    return g.withColumn("segment", S.segment_listing("positive_ratio"))
+    mid = ranks.medians(s, {"median_sentiment": F.col("sentiment_score")}, "listing_id")
+    return g.join(mid, "listing_id", "left").withColumn("segment", S.segment_listing("positive_ratio"))
 
 
 V.register("txt_listing_sentiment", """

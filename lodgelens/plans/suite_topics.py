@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodgelens.operators import ranks
 from lodgelens.operators import relational as R
 from lodgelens.operators import topics as TP
 from lodgelens.plans import oracle_views as V
@@ -148,8 +149,7 @@ FROM listing_base l JOIN topic_mix_v m ON l.id = m.listing_id WHERE m.dominant_t
 """)
 def topic_price(spark, sf):
     """Price by dominant topic (outliers excluded)."""
-    return R.group_agg(_topic_listings(spark, sf), "dominant_topic", F.count(F.lit(1)).alias("n"),
-                       F.median("price_numeric").alias("median_price"))
+    return R.median_and_count(_topic_listings(spark, sf), "dominant_topic", "price_numeric", "median_price", "n")
 
 
 _SC = ["review_scores_rating", "review_scores_cleanliness", "review_scores_location"]
@@ -195,10 +195,11 @@ def topic_confidence(spark, sf):
     m = topic_mix_df(spark, sf).filter(F.col("dominant_topic") != -1).select(
         F.greatest(*cols).alias("top_prob"), S.row_count_above(cols, 0.05).alias("n_above"),
         S.row_sum(cols).alias("mass"))
-    return m.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("top_prob"), 9).alias("mean_top_prob"),
-                 F.round(F.median("top_prob"), 9).alias("median_top_prob"),
+    mid = ranks.medians(m, {"_mid": F.col("top_prob")})
+    all_ = m.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("top_prob"), 9).alias("mean_top_prob"),
                  F.round(F.avg((F.col("mass") > 0.8).cast("int")), 9).alias("share_mass_above_80"),
                  F.round(F.avg("n_above"), 9).alias("mean_topics_above_5pct"))
+    return all_.crossJoin(F.broadcast(mid)).withColumn("median_top_prob", F.round("_mid", 9)).drop("_mid")
 
 
 @query("reduce_dims")
