@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodgelens.operators import quality as Q
+from lodgelens.operators import relational as R
 from lodgelens.plans import features as FE
 from lodgelens.plans.listing_tables import listing_base
 from lodgelens.plans.registry import query
@@ -129,19 +130,40 @@ def scan_csv(spark, sf):
     """Gzip CSV with quoted newlines, read back with a declared schema."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     path = io.scratch_path(spark, "documents_csv")
-    (docs.write.mode("overwrite").option("header", True).option("escape", '"').option("compression", "gzip")
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
-    return io.scan_csv(spark, path, "doc_id long, text string, lang string")
+    io.write_csv(docs, path, compression="gzip")
+    return io.scan_csv(spark, path, "doc_id long, text string, lang string", multiline=True)
+
+
+@query("scan_csv_plain", "SELECT id, borough, room_type, neighbourhood, price_numeric, review_scores_rating FROM listing_base")
+def scan_csv_plain(spark, sf):
+    """Plain CSV, split among tasks, read back with a declared schema."""
+    cols = listing_base(spark, sf).select("id", "borough", "room_type", "neighbourhood", "price_numeric", "review_scores_rating")
+    path = io.write_csv(cols, io.scratch_path(spark, "listings_csv"))
+    return io.scan_csv(spark, path, cols.schema)
+
+
+_EXPORT = ["id", "borough", "room_type", "neighbourhood", "price_numeric", "accommodates", "bedrooms", "review_scores_rating"]
+
+
+@query("export_csv", f"""
+SELECT {", ".join(_EXPORT)} FROM listing_base
+WHERE borough IN ('ASIA', 'EUROPE') AND room_type IN ('Private room', 'Entire home/apt') AND price_numeric <= 1500
+""")
+def export_csv(spark, sf):
+    """The filtered selection's shown columns written as CSV for download, read back."""
+    d = R.common_filters(listing_base(spark, sf), price_max=1500).filter(
+        F.col("borough").isin("ASIA", "EUROPE") & F.col("room_type").isin("Private room", "Entire home/apt")).select(*_EXPORT)
+    return io.scan_csv(spark, io.write_csv(d, io.scratch_path(spark, "export_csv")), d.schema)
 
 
 @query("scan_snapshots", "SELECT snapshot, count(*) AS n FROM fx_snapshots GROUP BY snapshot")
 def scan_snapshots(spark, sf):
-    """Several snapshot files read in one scan; the snapshot date comes
+    """Several gzip snapshot files read in one scan; the snapshot date comes
     from each file's name and must equal the snapshot it was written from."""
     snaps = catalog.fx_snapshots(spark, sf).withColumn("d", F.date_format("snapshot", "yyyy-MM-dd"))
     base = io.scratch_path(spark, "snapshots")
-    (snaps.drop("snapshot").write.mode("overwrite").option("header", True).partitionBy("d").csv(base))
-    df = io.scan_snapshots(spark, f"{base}/d=*/*.csv", "id long, price_numeric double, minimum_nights int")
+    io.write_csv(snaps.drop("snapshot"), base, partition_by=["d"], compression="gzip")
+    df = io.scan_snapshots(spark, f"{base}/d=*/*.csv.gz", "id long, price_numeric double, minimum_nights int")
     return df.groupBy("snapshot").agg(F.count(F.lit(1)).alias("n"))
 
 

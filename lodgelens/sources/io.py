@@ -1,7 +1,8 @@
 """File scans and sinks.
 
-CSV is read with an explicit schema (no inference pass), ``multiLine`` for
-quoted newlines, and gzip is handled by the codec from the file extension.
+CSV is read with an explicit schema (no inference pass); gzip is handled by the
+codec from the file extension.  Plain files are split among tasks; only files
+with quoted line breaks need ``multiline``, which reads a file in one task.
 Sinks write Parquet (or CSV) with ``mode('overwrite')``; written tables live
 under the shared folder named by ``spark.checkpoint.dir``, never a
 machine-local temp folder.
@@ -25,7 +26,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def scan_csv(spark: SparkSession, path, schema: StructType | str, header: bool = True,
-             multiline: bool = True) -> DataFrame:
+             multiline: bool = False) -> DataFrame:
     """CSV (optionally .gz) with a declared schema."""
     return (spark.read.schema(schema).option("header", header).option("multiLine", multiline)
             .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
@@ -48,15 +49,35 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     return path
 
 
-def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    """CSV sink with a header, no index column."""
-    w = df.write.mode("overwrite").option("header", True)
+def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None, compression: str | None = None) -> str:
+    """CSV sink with a header, no index column, quotes doubled as
+    ``scan_csv`` reads them."""
+    w = (df.write.mode("overwrite").option("header", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    if compression:
+        w = w.option("compression", compression)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
     return path
 
 
+def sources_present(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """G1: (source, present) for named Parquet sources.  Only their schema is
+    looked up; any other failure than a missing path is raised."""
+    from pyspark.errors import AnalysisException
+
+    def there(path: str) -> bool:
+        try:
+            spark.read.parquet(path).schema
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+        return True
+    return spark.createDataFrame([(n, there(p)) for n, p in paths.items()], "source string, present boolean")
+
+
 def decode_list_text(c) -> "F.Column":
     """Python-literal list text "['a', 'b']" -> array<string>; null or
     unparsable -> empty array."""

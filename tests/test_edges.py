@@ -40,3 +40,9 @@ def test_cluster_without_shared_folder(monkeypatch):
         conf = {}
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Session())
+
+
+def test_sources_present(spark, sf):
+    from lodgelens.sources import io
+    got = {r["source"]: r["present"] for r in io.sources_present(spark, {"a": f"{sf}/orders.parquet", "b": f"{sf}/none.parquet"}).collect()}
+    assert got == {"a": True, "b": False}
