@@ -18,7 +18,7 @@ Re-aimed parts (the original used external libraries):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -282,3 +282,81 @@ def npmi_coherence(dt: DataFrame, doc: str, n_docs: DataFrame, topic_words: Data
     npmi = F.when(p12 == 0, F.lit(-1.0)).when(p12 == 1, F.lit(1.0)).otherwise(
         F.log(p12 / (pa * pb)) / (-F.log(p12)))
     return j.groupBy(topic).agg(F.avg(npmi).alias("coherence"), F.count(F.lit(1)).alias("n_pairs"))
+
+
+def window_islands(df: DataFrame, doc: str, tok_col: str, words: DataFrame, window: int, block: int = 1024) -> DataFrame:
+    """(doc, block, term, lo, hi): the starts of sliding windows that hold a
+    term, as disjoint ranges, for the terms of ``words``.
+
+    A document of n tokens has max(1, n - window + 1) windows; an occurrence
+    at p lies in those starting from p - window + 1 to p.  Overlapping ranges
+    are merged, then cut at multiples of ``block`` starts, so that a long
+    document's ranges meet few others.  Nothing is stored per window."""
+    long = df.select(doc, F.size(tok_col).alias("_n"), F.posexplode_outer(tok_col).alias("_p", "term")).where(F.col("term").isNotNull())
+    hits = long.join(words.select("term").distinct(), "term", "left_semi")
+    last = F.greatest(F.col("_n") - window, F.lit(0))
+    spans = hits.select(doc, "term", F.greatest(F.col("_p") - window + 1, F.lit(0)).alias("_s"), F.least(F.col("_p"), last).alias("_e"))
+    order = Window.partitionBy(doc, "term").orderBy("_s", "_e")  # one document's occurrences of one term
+    fresh = F.col("_s") > F.coalesce(F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(-1))
+    marked = spans.withColumn("_i", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = marked.groupBy(doc, "term", "_i").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
+    cut = merged.withColumn("block", F.explode(F.sequence(F.floor(F.col("_s") / block), F.floor(F.col("_e") / block))))
+    return cut.select(doc, "block", "term", F.greatest("_s", F.col("block") * block).alias("lo"),
+                      F.least("_e", (F.col("block") + 1) * block - 1).alias("hi"))
+
+
+def cv_coherence(df: DataFrame, doc: str, tok_col: str, topic_words: DataFrame, topic: str, window: int = 110, eps: float = 1e-12) -> DataFrame:
+    """X18 (c_v, Roeder et al. 2015): per topic the mean cosine between each
+    top word's context vector and the topic's.  A word's context vector holds
+    its NPMI with every top word of the topic, the topic's is the sum of them;
+    probabilities are shares of boolean sliding windows over the whole corpus.
+
+    Windows are counted as ranges (``window_islands``) that meet only within
+    the same document, block and topic; everything after the counts is as
+    small as the topic-word table."""
+    words = topic_words.select(F.col(topic).alias("_t"), "term")
+    total = df.where(F.size(tok_col) > 0).agg(F.sum(F.greatest(F.size(tok_col) - window + 1, F.lit(1))).cast("double").alias("_all"))
+    spans = window_islands(df, doc, tok_col, words, window)
+    single = spans.groupBy("term").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("_n"))
+    own = spans.join(words, "term")
+    a, b = own.alias("a"), own.alias("b")
+    overlap = F.least("a.hi", "b.hi") - F.greatest("a.lo", "b.lo") + 1
+    met = a.join(b, (F.col(f"a.{doc}") == F.col(f"b.{doc}")) & (F.col("a.block") == F.col("b.block")) & (F.col("a._t") == F.col("b._t"))
+                 & (F.col("a.term") < F.col("b.term"))).where(overlap > 0)
+    both = met.groupBy(F.col("a._t").alias("_t"), F.col("a.term").alias("wi"), F.col("b.term").alias("wj")).agg(F.sum(overlap).alias("_nij"))
+    both = both.unionByName(both.select("_t", F.col("wj").alias("wi"), F.col("wi").alias("wj"), "_nij"))
+    both = both.unionByName(words.join(single, "term").select("_t", F.col("term").alias("wi"), F.col("term").alias("wj"), F.col("_n").alias("_nij")))
+    x, y = words.alias("x"), words.alias("y")
+    cells = x.join(y, F.col("x._t") == F.col("y._t")).select(F.col("x._t").alias("_t"), F.col("x.term").alias("wi"), F.col("y.term").alias("wj"))
+    cells = cells.join(both, ["_t", "wi", "wj"], "left")
+    for w, n in (("wi", "_ni"), ("wj", "_nj")):
+        cells = cells.join(single.select(F.col("term").alias(w), F.col("_n").alias(n)), w)
+    cells = cells.crossJoin(F.broadcast(total))
+    pij = F.coalesce(F.col("_nij"), F.lit(0)) / F.col("_all") + eps
+    npmi = F.log(pij / (F.col("_ni") / F.col("_all") * F.col("_nj") / F.col("_all"))) / -F.log(pij)
+    cells = cells.select("_t", "wi", "wj", F.when(pij < 1, npmi).otherwise(F.lit(1.0)).alias("v"))
+    whole = cells.groupBy("_t", "wj").agg(F.sum("v").alias("w"))
+    cos = cells.join(whole, ["_t", "wj"]).groupBy("_t", "wi").agg(
+        (F.sum(F.col("v") * F.col("w")) / F.sqrt(F.sum(F.col("v") * F.col("v")) * F.sum(F.col("w") * F.col("w")))).alias("cos"))
+    return cos.groupBy(F.col("_t").alias(topic)).agg(F.avg("cos").alias("coherence"), F.count(F.lit(1)).alias("n_words"))
+
+
+def hashed_vectors(dt: DataFrame, doc: str, dims: int = 64) -> DataFrame:
+    """V1: (doc, pos, value), the non-zero cells of document vectors of
+    ``dims`` dimensions: every term's weight (count x inverse document
+    frequency) is added to one dimension with one sign, both from a digest of
+    the term.  The projection keeps inner products on average, needs no
+    vocabulary and no dense row of the vocabulary's width."""
+    n = dt.select(doc).distinct().agg(F.count(F.lit(1)).cast("double").alias("_docs"))
+    idf = dt.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(n)).select(
+        "term", F.log((F.col("_docs") + 1) / (F.col("_df") + 1)).alias("_idf"))
+    digest = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long")
+    sign = F.when(F.conv(F.substring(F.md5("term"), 9, 1), 16, 10).cast("int") < 8, F.lit(1.0)).otherwise(F.lit(-1.0))
+    idf = idf.select("term", "_idf", (digest % dims).cast("int").alias("pos"), sign.alias("_sign"))
+    return dt.join(idf, "term").groupBy(doc, "pos").agg(F.sum(F.col("n") * F.col("_idf") * F.col("_sign")).alias("value"))
+
+
+def dense_vectors(cells: DataFrame, doc: str, dims: int, out: str = "vector") -> DataFrame:
+    """(doc, array<double>) from (doc, pos, value) cells, as V2 to V10 take them."""
+    m = cells.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("_m"))
+    return m.select(doc, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias(out))

@@ -399,6 +399,29 @@ def topic_coherence(spark, sf):
     return co.withColumn("coherence", F.round("coherence", 9))
 
 
+@query("topic_coherence_cv", """
+WITH d AS (SELECT review_id, toks, len(toks) AS n FROM txt_tokens WHERE len(toks) > 0),
+a AS (SELECT sum(greatest(n - 109, 1))::DOUBLE AS total FROM d),
+o AS (SELECT review_id, n, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS p FROM d),
+h AS (SELECT * FROM o WHERE term IN (SELECT term FROM txt_ctfidf)),
+w AS (SELECT DISTINCT review_id, term, unnest(range(greatest(p - 109, 0), least(p, greatest(n - 110, 0)) + 1)) AS s FROM h),
+c1 AS (SELECT term, count(*) AS n FROM w GROUP BY term),
+wt AS (SELECT w.*, k.cls FROM w JOIN txt_ctfidf k USING (term)),
+c2 AS (SELECT x.cls, x.term AS wi, y.term AS wj, count(*) AS n FROM wt x JOIN wt y ON x.cls = y.cls AND x.review_id = y.review_id AND x.s = y.s GROUP BY ALL),
+g AS (SELECT x.cls, x.term AS wi, y.term AS wj, coalesce(c2.n, 0) / a.total + 1e-12 AS pij, i.n / a.total AS pi, j.n / a.total AS pj
+      FROM txt_ctfidf x JOIN txt_ctfidf y ON x.cls = y.cls LEFT JOIN c2 ON c2.cls = x.cls AND c2.wi = x.term AND c2.wj = y.term
+      JOIN c1 i ON i.term = x.term JOIN c1 j ON j.term = y.term, a),
+v AS (SELECT cls, wi, wj, CASE WHEN pij < 1 THEN ln(pij / (pi * pj)) / -ln(pij) ELSE 1.0 END AS v FROM g),
+t AS (SELECT cls, wj, sum(v) AS w FROM v GROUP BY cls, wj),
+s AS (SELECT v.cls, v.wi, sum(v * w) / sqrt(sum(v * v) * sum(w * w)) AS cos FROM v JOIN t ON v.cls = t.cls AND v.wj = t.wj GROUP BY v.cls, v.wi)
+SELECT cls, round(avg(cos), 6) AS coherence, count(*) AS n_words FROM s GROUP BY cls
+""")
+def topic_coherence_cv(spark, sf):
+    """Window-based c_v coherence of each class's top words."""
+    co = T.cv_coherence(tokenised(spark, sf), "review_id", "toks", ctfidf_table(spark, sf), "cls")
+    return co.withColumn("coherence", F.round("coherence", 6))
+
+
 @query("listing_sentiment", "SELECT listing_id, num_reviews, segment, " + ", ".join(
     f"round({c}, 9) AS {c}" for c in _LS_COLS) + " FROM txt_listing_sentiment")
 def listing_sentiment_q(spark, sf):

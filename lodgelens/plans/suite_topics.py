@@ -94,6 +94,38 @@ def topic_info(spark, sf):
     return counts.join(rep, "topic", "left")
 
 
+V.register("topic_terms", """
+WITH e AS (SELECT m.topic, unnest(t.toks) AS term FROM txt_tokens t JOIN emb_topics m ON t.review_id = m.vec_id),
+tf AS (SELECT topic, term, count(*) AS tf FROM e GROUP BY ALL),
+f AS (SELECT term, sum(tf) AS f FROM tf GROUP BY term),
+a AS (SELECT avg(w) AS A FROM (SELECT topic, sum(tf) AS w FROM tf GROUP BY topic)),
+w AS (SELECT tf.topic, tf.term, tf.tf * ln(1 + a.A / f.f) AS weight FROM tf JOIN f ON tf.term = f.term, a)
+SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM w QUALIFY rank <= 10
+""")
+
+
+@query("topic_table", """
+WITH c AS (SELECT topic, count(*) AS count FROM emb_topics GROUP BY topic),
+k AS (SELECT e.topic, e.vec_id, row_number() OVER (PARTITION BY e.topic ORDER BY list_dot_product(e.embedding, c.centroid)
+        / (sqrt(list_dot_product(e.embedding, e.embedding)) * sqrt(list_dot_product(c.centroid, c.centroid))) DESC, e.vec_id) AS rank
+      FROM emb_topics e JOIN emb_centroids c ON e.topic = c.topic),
+rep AS (SELECT topic, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY rank) AS representative FROM k WHERE rank <= 3 GROUP BY topic),
+w AS (SELECT topic, string_agg(term, ', ' ORDER BY rank) AS words, string_agg(term, '_' ORDER BY rank) FILTER (WHERE rank <= 4) AS first4
+      FROM topic_terms GROUP BY topic)
+SELECT c.topic, c.count, concat_ws('_', CAST(c.topic AS VARCHAR), w.first4) AS name, w.words, rep.representative
+FROM c LEFT JOIN w ON c.topic = w.topic LEFT JOIN rep ON c.topic = rep.topic
+""")
+def topic_table(spark, sf):
+    """Topic table with count, name, words and representatives; a
+    comment's topic is that of the vector with its id."""
+    from lodgelens.operators import text as T
+    from lodgelens.plans.suite_text import doc_terms
+    e = emb_topics(spark, sf)
+    counts = e.groupBy("topic").agg(F.count(F.lit(1)).alias("count"))
+    dt = doc_terms(spark, sf).join(e.select(F.col("vec_id").alias("review_id"), "topic"), "review_id")
+    return TP.topic_table(counts, T.ctfidf(dt, "topic", 10), TP.representatives(e, "vec_id", "topic", "embedding", 3), "topic", "vec_id")
+
+
 @query("outlier_share", """
 SELECT CAST(count_if(topic = -1) AS BIGINT) AS n_outliers, count(*) AS n,
        round(count_if(topic = -1) * 100E0 / count(*), 6) AS pct_outliers FROM emb_topics
@@ -179,12 +211,39 @@ def topic_borough(spark, sf):
     return ct.select("dominant_topic", *[F.round(n, 9).alias(n) for n in _BN])
 
 
+@query("topic_correlation", " UNION ALL ".join(
+    f"SELECT CAST({a} AS INTEGER) AS topic_a, CAST({b} AS INTEGER) AS topic_b, round(corr(p{a}, p{b}), 6) AS r FROM topic_mix_v"
+    for a in range(4) for b in range(a + 1, 4)))
+def topic_correlation(spark, sf):
+    """Which topics occur together: correlation of topic shares over listings."""
+    ct = catalog.fx_comment_topics(spark, sf)
+    n = ct.groupBy("listing_id").agg(F.count(F.lit(1)).alias("_n"))
+    shares = ct.groupBy("listing_id", "topic").agg(F.count(F.lit(1)).alias("n")).join(n, "listing_id").select(
+        "listing_id", "topic", (F.col("n") / F.col("_n")).alias("share"))
+    r = TP.topic_correlations(shares, "listing_id", "topic", "share").where("topic_a >= 0 AND topic_b <= 3")
+    return r.select(F.col("topic_a").cast("int").alias("topic_a"), F.col("topic_b").cast("int").alias("topic_b"), F.round("r", 6).alias("r"))
+
+
+_ROOMS = {"entire_home": "Entire home/apt", "hotel_room": "Hotel room", "private_room": "Private room", "shared_room": "Shared room"}
+
+
+@query("topic_room", "SELECT m.dominant_topic, " + ", ".join(
+    f"round(count(*) FILTER (WHERE l.room_type = '{r}') / count(*) FILTER (WHERE l.room_type IN ({', '.join(repr(x) for x in _ROOMS.values())})), 9) AS {n}"
+    for n, r in _ROOMS.items())
+    + " FROM listing_base l JOIN topic_mix_v m ON l.id = m.listing_id WHERE m.dominant_topic <> -1 GROUP BY m.dominant_topic")
+def topic_room(spark, sf):
+    """Topic x room type, row-normalised."""
+    ct = R.crosstab_share(_topic_listings(spark, sf), "dominant_topic", "room_type", list(_ROOMS.values()))
+    return ct.select("dominant_topic", *[F.round(F.col(f"`{r}`"), 9).alias(n) for n, r in _ROOMS.items()])
+
+
 @query("topic_confidence", """
 WITH w AS (SELECT listing_id, greatest(p0, p1, p2, p3) AS top_prob,
                   (p0 > 0.05)::INTEGER + (p1 > 0.05)::INTEGER + (p2 > 0.05)::INTEGER + (p3 > 0.05)::INTEGER AS n_above,
                   p0 + p1 + p2 + p3 AS mass
            FROM topic_mix_v WHERE dominant_topic <> -1)
-SELECT count(*) AS n, round(avg(top_prob), 9) AS mean_top_prob, round(quantile_cont(top_prob, 0.5), 9) AS median_top_prob,
+SELECT count(*) AS n, round(min(top_prob), 9) AS min_top_prob, round(max(top_prob), 9) AS max_top_prob,
+       round(avg(top_prob), 9) AS mean_top_prob, round(quantile_cont(top_prob, 0.5), 9) AS median_top_prob,
        round(avg(CAST(mass > 0.8 AS INTEGER)), 9) AS share_mass_above_80, round(avg(n_above), 9) AS mean_topics_above_5pct
 FROM w
 """)
@@ -196,7 +255,8 @@ def topic_confidence(spark, sf):
         F.greatest(*cols).alias("top_prob"), S.row_count_above(cols, 0.05).alias("n_above"),
         S.row_sum(cols).alias("mass"))
     mid = ranks.medians(m, {"_mid": F.col("top_prob")})
-    all_ = m.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("top_prob"), 9).alias("mean_top_prob"),
+    all_ = m.agg(F.count(F.lit(1)).alias("n"), F.round(F.min("top_prob"), 9).alias("min_top_prob"),
+                 F.round(F.max("top_prob"), 9).alias("max_top_prob"), F.round(F.avg("top_prob"), 9).alias("mean_top_prob"),
                  F.round(F.avg((F.col("mass") > 0.8).cast("int")), 9).alias("share_mass_above_80"),
                  F.round(F.avg("n_above"), 9).alias("mean_topics_above_5pct"))
     return all_.crossJoin(F.broadcast(mid)).withColumn("median_top_prob", F.round("_mid", 9)).drop("_mid")
