@@ -157,6 +157,7 @@ def dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col
                 rows.append(_cut([(r["start"], r["n"]) for r in found], text))
         return pd.DataFrame(rows, columns=["text", "lines", "deleted"])
 
+    cut = cut.asNondeterministic()  # so that a caller's filter on the result isn't pushed below it and cuts every text again
     done = joined.withColumn("__cut", cut(F.col(text_col).cast("string"), "__ranges"))
     out = [F.when(F.col("__cut.deleted") > 0, F.col("__cut.text")).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c)
            for c in docs.columns]
