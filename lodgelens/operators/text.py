@@ -13,11 +13,13 @@ Re-aimed parts (the original used external libraries):
   (word, polarity); negators flip and damp (x -0.5), intensifiers scale the
   next word, the document score is the mean over matched words, clipped to
   [-1, 1], 0 when nothing matches;
-* lemma and part of speech: an optional caller-supplied (form, lemma) table.
+* lemma and part of speech: an optional caller-supplied (form, lemma, pos) table.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,14 +84,45 @@ def explode_terms(arr, alias: str = "term"):
     return F.explode_outer(arr).alias(alias)
 
 
-def lemmatise(df: DataFrame, doc: str, tok_col: str, lemmas: DataFrame | None) -> DataFrame:
-    """Optional lemma mapping from a caller-supplied (form, lemma) table."""
-    if lemmas is None:
-        return df
-    ex = df.select(doc, F.posexplode(tok_col).alias("pos", "form"))
-    m = ex.join(lemmas, "form", "left").select(doc, "pos", F.coalesce("lemma", "form").alias("t"))
-    return m.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))),
-                                          lambda s: s["t"]).alias(tok_col))
+MAX_LIST_ROWS = 500_000  # word-list rows sent to every task; longer lists are shuffled to the tokens
+
+
+def _word_list(df: DataFrame) -> DataFrame:
+    """A word list with a broadcast hint only when its counted size allows."""
+    return F.broadcast(df) if df.count() <= MAX_LIST_ROWS else df
+
+
+def union_stops(*lists: DataFrame) -> DataFrame:
+    """One stop list (word) from several."""
+    return reduce(lambda a, b: a.unionByName(b), [x.select(F.lower("word").alias("word")) for x in lists]).distinct()
+
+
+def normalise_tokens(df: DataFrame, doc: str, text, stops: DataFrame | None = None, lemmas: DataFrame | None = None,
+                     keep_pos: list[str] | None = None, min_len: int = 3, out: str = "toks") -> DataFrame:
+    """X5/X6 with word lists as tables: (doc, tokens in order).
+
+    ``lemmas`` holds (form, lemma, pos), one row per form; a form that it lacks
+    is its own lemma and of any part of speech.  A token stays when its part of
+    speech is in ``keep_pos``, neither its form nor its lemma is in ``stops``
+    (word) and its lemma has ``min_len`` letters.  Texts without such tokens
+    give an empty array.  Tokens meet the lists in joins; a list is broadcast
+    only when its counted size allows."""
+    raw = F.regexp_extract_all(F.lower(_c(text)), F.lit("[a-z]+"), 0)
+    long = df.select(doc, F.posexplode_outer(raw).alias("_p", "form"))
+    if lemmas is not None:
+        long = long.join(_word_list(lemmas.select("form", "lemma", "pos")), "form", "left")
+        long = long.withColumn("lemma", F.lower(F.coalesce("lemma", "form")))
+        if keep_pos is not None:
+            long = long.where(F.col("form").isNull() | F.col("pos").isNull() | F.col("pos").isin(keep_pos))
+    else:
+        long = long.withColumn("lemma", F.col("form"))
+    if stops is not None:
+        listed = _word_list(stops.select(F.lower("word").alias("_w")).distinct())
+        for c in ("form", "lemma"):
+            long = long.join(listed, F.col(c) == F.col("_w"), "left_anti")
+    kept = long.where(F.length("lemma") >= min_len).groupBy(doc).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_p", "lemma"))), lambda x: x["lemma"]).alias(out))
+    return df.select(doc).join(kept, doc, "left").select(doc, F.coalesce(F.col(out), F.array().cast("array<string>")).alias(out))
 
 
 def bigrams(tok: Column) -> Column:

@@ -4,6 +4,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from lodgelens.functions import scalar as S
@@ -138,6 +140,80 @@ def ngram_counts(spark, sf):
     return T.vocabulary_from(T.doc_terms(d, "review_id", "g"), "review_id", 5, 0.5)
 
 
+# Word lists as tables.  The fixture derives them by rule from the English
+# vocabulary: lemmas drop a final s, ed or ing, parts of speech follow the
+# length, names end in n, and the most frequent words stand for the generic list.
+_LEMMA_SQL = "regexp_replace(term, '(ing|ed|s)$', '')"
+V.register("txt_lemmas", f"""
+SELECT term AS form, CASE WHEN length({_LEMMA_SQL}) >= 2 THEN {_LEMMA_SQL} ELSE term END AS lemma,
+       CASE length(term) % 4 WHEN 0 THEN 'NOUN' WHEN 1 THEN 'VERB' WHEN 2 THEN 'ADJ' ELSE 'DET' END AS pos FROM txt_vocab
+""")
+V.register("txt_stops", "SELECT 'custom' AS list, unnest(" + _STOPS_SQL + """) AS word
+UNION ALL SELECT 'names', term FROM txt_vocab WHERE length(term) = 5 AND term LIKE '%n'
+UNION ALL SELECT 'generic', term FROM (SELECT term FROM txt_vocab ORDER BY cf DESC, term LIMIT 25)
+""")
+V.register("txt_raw", """
+SELECT review_id, language, regexp_extract_all(clean, '[a-z]+') AS toks FROM txt_clean
+""")
+KEEP_POS = ["NOUN", "VERB", "ADJ"]
+
+
+def lemma_table(spark, sf):
+    """Fixture (form, lemma, pos) by rule over the English vocabulary."""
+    cut = F.regexp_replace("term", "(ing|ed|s)$", "")
+    n = F.length("term") % 4
+    pos = F.when(n == 0, "NOUN").when(n == 1, "VERB").when(n == 2, "ADJ").otherwise("DET")
+    return vocab(spark, sf).select(F.col("term").alias("form"), F.when(F.length(cut) >= 2, cut).otherwise(F.col("term")).alias("lemma"), pos.alias("pos"))
+
+
+def stop_lists(spark, sf):
+    """Fixture stop lists: the project's own, names and generic words."""
+    v = vocab(spark, sf)
+    return {"custom": spark.createDataFrame([(w,) for w in T.CUSTOM_STOPS], "word string"),
+            "names": v.where("length(term) = 5 AND term LIKE '%n'").select(F.col("term").alias("word")),
+            "generic": v.orderBy(F.desc("cf"), "term").limit(25).select(F.col("term").alias("word"))}
+
+
+@query("tokenize_lemmas", """
+WITH e AS (SELECT review_id, unnest(toks) AS form, generate_subscripts(toks, 1) AS p FROM txt_raw),
+j AS (SELECT e.review_id, e.form, e.p, coalesce(l.lemma, e.form) AS lemma, l.pos FROM e LEFT JOIN txt_lemmas l ON e.form = l.form),
+k AS (SELECT * FROM j WHERE (pos IS NULL OR pos IN ('NOUN', 'VERB', 'ADJ')) AND length(lemma) >= 3
+      AND form NOT IN (SELECT word FROM txt_stops) AND lemma NOT IN (SELECT word FROM txt_stops))
+SELECT r.review_id, CAST(count(k.lemma) AS INTEGER) AS n_tokens, coalesce(string_agg(k.lemma, ' ' ORDER BY k.p), '') AS tokens
+FROM txt_raw r LEFT JOIN k ON r.review_id = k.review_id GROUP BY r.review_id
+""")
+def tokenize_lemmas(spark, sf):
+    """Lemmas of the kept parts of speech without the three lists' words."""
+    t = T.normalise_tokens(cleaned(spark, sf), "review_id", "clean", T.union_stops(*stop_lists(spark, sf).values()),
+                           lemma_table(spark, sf), KEEP_POS)
+    return t.select("review_id", F.size("toks").alias("n_tokens"), F.array_join("toks", " ").alias("tokens"))
+
+
+_STOP_SETS = {"names": "list = 'names'", "generic": "list = 'generic'", "union": "true"}
+
+
+@query("ngram_counts_stops", "\nUNION ALL\n".join(f"""
+SELECT '{n}' AS stops, term, df, cf FROM (
+  WITH s AS (SELECT list(word) AS ws FROM txt_stops WHERE {w}),
+  t AS (SELECT review_id, [x FOR x IN toks IF length(x) >= 3 AND NOT list_contains(ws, x)] AS toks FROM txt_raw, s WHERE language = 'en'),
+  d AS (SELECT review_id, list_concat(toks, CASE WHEN len(toks) >= 2 THEN {_BIGRAM_SQL.format(t='toks')} ELSE []::VARCHAR[] END) AS g FROM t WHERE len(toks) > 0),
+  e AS (SELECT review_id, unnest(g) AS term FROM d),
+  p AS (SELECT review_id, term, count(*) AS n FROM e GROUP BY ALL)
+  SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS cf FROM p GROUP BY term
+  HAVING count(*) >= 5 AND count(*) <= (SELECT count(*) FROM d) * 0.5)""" for n, w in _STOP_SETS.items()))
+def ngram_counts_stops(spark, sf):
+    """X11 with the name list, the generic list and the union of all three."""
+    lists = stop_lists(spark, sf)
+    sets = {"names": lists["names"], "generic": lists["generic"], "union": T.union_stops(*lists.values())}
+    en = cleaned(spark, sf).filter(F.col("language") == "en")
+    out = []
+    for name, stops in sets.items():
+        g = T.normalise_tokens(en, "review_id", "clean", stops).select("review_id", T.ngrams_1_2(F.col("toks")).alias("g"))
+        counts = T.vocabulary_from(T.doc_terms(g, "review_id", "g"), "review_id", 5, 0.5)
+        out.append(counts.select(F.lit(name).alias("stops"), "term", "df", "cf"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 @query("token_docs", """
 WITH o AS (SELECT listing_id, review_id, toks FROM txt_tokens),
 a AS (SELECT listing_id, flatten(list(toks ORDER BY review_id)) AS t FROM o GROUP BY listing_id)
