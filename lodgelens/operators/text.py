@@ -187,21 +187,20 @@ def char_trigrams(c) -> Column:
     return F.regexp_extract_all(t, F.lit("(?s)(?=(.{3}))"), 1)
 
 
-def trigram_counts(df: DataFrame, doc: str, text: str, lang: str) -> DataFrame:
-    """(doc, lang, trigram, n) - the one pass over the text that both
-    training and scoring use."""
-    tri = df.select(doc, lang, explode_terms(char_trigrams(text), "tri")).filter(F.col("tri").isNotNull())
-    return tri.groupBy(doc, lang, "tri").agg(F.count(F.lit(1)).alias("n"))
+def trigram_rows(df: DataFrame, cols: list[str], text: str) -> DataFrame:
+    """(cols, tri): a row per trigram of each text."""
+    return df.select(*cols, explode_terms(char_trigrams(text), "tri")).filter(F.col("tri").isNotNull())
 
 
-def language_profiles(per: DataFrame, docs: DataFrame, lang: str, text: str) -> DataFrame:
+def language_profiles(labelled: DataFrame, lang: str, text: str) -> DataFrame:
     """X3 training: Laplace-smoothed log P(trigram | language) (as the gain
-    over the unseen floor), the floor itself and the log prior."""
-    counts = per.filter(F.col(lang).isNotNull()).groupBy(lang, "tri").agg(F.sum("n").alias("c"))
+    over the unseen floor), the floor itself and the log prior.  Trigrams are
+    counted per language within each task before anything is shuffled."""
+    labelled = labelled.filter(F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0))
+    counts = trigram_rows(labelled, [lang], text).groupBy(lang, "tri").agg(F.count(F.lit(1)).alias("c")).checkpoint()
     per_lang = counts.groupBy(lang).agg(F.sum("c").alias("n_lang"))
     vocab = counts.agg(F.count_distinct("tri").alias("v"))
-    lab = docs.filter(F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0))
-    dcount = lab.groupBy(lang).agg(F.count(F.lit(1)).alias("d"))
+    dcount = labelled.groupBy(lang).agg(F.count(F.lit(1)).alias("d"))
     tot = dcount.agg(F.sum("d").alias("dt"))
     pl = (per_lang.join(dcount, lang).crossJoin(F.broadcast(vocab)).crossJoin(F.broadcast(tot))
           .select(lang, "n_lang", "v", F.log(F.col("d") / F.col("dt")).alias("log_prior")))
@@ -211,61 +210,58 @@ def language_profiles(per: DataFrame, docs: DataFrame, lang: str, text: str) ->
         F.log(1 / (F.col("n_lang") + F.col("v"))).alias("unseen"), "log_prior")
 
 
-def score_languages(per: DataFrame, docs: DataFrame, doc: str, profiles: DataFrame, lang: str = "lang",
-                    out: str = "language") -> DataFrame:
+def score_languages(docs: DataFrame, doc: str, text: str, profiles: DataFrame, lang: str = "lang", out: str = "language") -> DataFrame:
     """X3 scoring: per document, the language with the highest
     log prior + sum of trigram log-probabilities (unseen trigrams get the
     smoothed floor); only languages sharing at least one trigram with the
     document compete; documents with none -> 'unknown'.  Ties -> smallest
     language.
 
-    The profile is pivoted to one row per trigram with a gain column per
-    language (the language list is the label set, bounded metadata), so each
-    (document, trigram) row joins once instead of once per language.
+    The profile has one row per trigram with a gain per language (the language
+    list is the label set, bounded metadata) and is sent to the texts when its
+    counted size allows; gains are then looked up and summed where the text
+    is, and only one row of sums per document is shuffled.
     """
-    langs = sorted(r[0] for r in profiles.select(lang).distinct().collect())
-    if not langs:
+    consts = sorted((r[lang], r["unseen"], r["lp"]) for r in
+                    profiles.groupBy(lang).agg(F.first("unseen").alias("unseen"), F.first("log_prior").alias("lp")).collect())
+    if not consts:
         return docs.select(doc, F.lit("unknown").alias(out))
-    wide = profiles.groupBy("tri").pivot(lang, langs).agg(F.first("gain"))
-    consts = profiles.groupBy(lang).agg(F.first("unseen").alias("unseen"), F.first("log_prior").alias("lp")).collect()
-    cmap = {r[lang]: (r["unseen"], r["lp"]) for r in consts}
-    # (doc, tri) is unique in ``per`` (one language tag per document)
-    p = per.select(doc, "tri", "n")
-    j = p.join(wide, "tri", "left")
-    aggs = [F.sum("n").alias("_ntri")]
+    langs = [c[0] for c in consts]
+    wide = profiles.groupBy("tri").pivot(lang, langs).agg(F.first("gain")).checkpoint()
+    j = trigram_rows(docs, [doc], text).join(_word_list(wide), "tri", "left")
+    aggs = [F.count(F.lit(1)).alias("_ntri")]
     for i, l in enumerate(langs):
-        aggs += [F.sum(F.col("n") * F.col(f"`{l}`")).alias(f"_g{i}"), F.count(F.col(f"`{l}`")).alias(f"_c{i}")]
+        aggs += [F.sum(F.col(f"`{l}`")).alias(f"_g{i}"), F.count(F.col(f"`{l}`")).alias(f"_c{i}")]
     g = j.groupBy(doc).agg(*aggs)
     cands = F.array(*[F.when(F.col(f"_c{i}") > 0, F.struct(
-        (-(F.lit(cmap[l][1]) + F.col("_ntri") * F.lit(cmap[l][0]) + F.col(f"_g{i}"))).alias("neg"),
-        F.lit(l).alias("l"))) for i, l in enumerate(langs)])
+        (-(F.lit(lp) + F.col("_ntri") * F.lit(unseen) + F.col(f"_g{i}"))).alias("neg"),
+        F.lit(l).alias("l"))) for i, (l, unseen, lp) in enumerate(consts)])
     best = g.select(doc, F.array_sort(F.array_compact(cands))[0]["l"].alias(out))
     return docs.select(doc).join(best, doc, "left").select(doc, F.coalesce(F.col(out), F.lit("unknown")).alias(out))
 
 
-def detect_languages(docs: DataFrame, doc: str, text: str, lang: str = "lang", out: str = "language") -> DataFrame:
-    """X3 end to end: train on the labelled rows, score every row, one
-    trigram pass shared by both."""
+def detect_languages(docs: DataFrame, doc: str, text: str, lang: str = "lang", out: str = "language",
+                     train: Column | None = None) -> DataFrame:
+    """X3 end to end: train on the labelled rows (those for which ``train``
+    holds, if given), score every row."""
     from lodgelens.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(docs.sparkSession)
-    # the one expensive pass over the text, written once to the shared folder
-    per = trigram_counts(docs, doc, text, lang).checkpoint()
-    prof = language_profiles(per, docs, lang, text).checkpoint()
-    return score_languages(per, docs, doc, prof, lang, out)
+    labelled = docs if train is None else docs.filter(train)
+    prof = language_profiles(labelled, lang, text).checkpoint()
+    return score_languages(docs, doc, text, prof, lang, out)
 
 
 def sentiment_scores(df: DataFrame, doc: str, text: str, lexicon: DataFrame) -> DataFrame:
     """Lexicon polarity per document in [-1, 1]; empty -> 0.
 
-    The previous token is read from the same array (no window), the lexicon
-    join is an equi-join on the word, the mean is a partial aggregate.
+    Each word is paired with the one before it inside the array, so a row
+    carries two words and never the text; the lexicon join is an equi-join on
+    the word, the mean is a partial aggregate.
     """
     toks = F.filter(F.split(_c(text), " "), lambda t: t != "")
-    d = df.select(doc, toks.alias("_t"))
-    ex = d.select(doc, F.posexplode_outer("_t").alias("pos", "word"),
-                  F.col("_t")).select(doc, "pos", "word",
-                                      F.when(F.col("pos") > 0, F.element_at("_t", F.col("pos"))).alias("prev")
-                                      ).filter(F.col("word").isNotNull())
+    shifted = F.concat(F.array(F.lit(None).cast("string")), toks)
+    pairs = F.zip_with(toks, shifted, lambda w, p: F.struct(w.alias("word"), p.alias("prev")))
+    ex = df.select(doc, F.explode_outer(pairs).alias("_x")).select(doc, "_x.word", "_x.prev").filter(F.col("word").isNotNull())
     inten = F.create_map(*[F.lit(x) for kv in INTENSIFIERS.items() for x in kv])
     hit = ex.join(lexicon.select(F.col("word"), F.col("polarity")), "word")
     adj = F.col("polarity") * F.when(F.col("prev").isin(NEGATORS), F.lit(-0.5)).otherwise(

@@ -298,6 +298,23 @@ def detect_language(spark, sf):
     return docs.select("doc_id", "lang").join(pred, "doc_id")
 
 
+_HELD = "('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 4))::BIGINT % 4 = 0"
+
+
+@query("detect_language_heldout", _TRI_SQL.replace("WHERE lang IS NOT NULL", f"WHERE lang IS NOT NULL AND NOT ({_HELD})") + f"""
+SELECT d.doc_id, {_HELD} AS held_out, d.lang, CASE WHEN length(trim(regexp_replace(lower(coalesce(d.text, '')), '\\s+', ' ', 'g'))) = 0
+       THEN 'unknown' ELSE coalesce(best.language, 'unknown') END AS language
+FROM documents d LEFT JOIN best ON d.doc_id = best.doc_id
+""".replace("d.doc_id, ('0x' || substr(md5(CAST(doc_id", "d.doc_id, ('0x' || substr(md5(CAST(d.doc_id"))
+def detect_language_heldout(spark, sf):
+    """X3 with the tags of a quarter of the documents (by a digest of the id)
+    hidden from training, so that their predictions are honest."""
+    docs = spread(table(spark, sf, "documents"))
+    held = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 4), 16, 10).cast("long") % 4 == 0
+    pred = T.detect_languages(docs, "doc_id", "text", "lang", train=~held)
+    return docs.select("doc_id", held.alias("held_out"), "lang").join(pred, "doc_id")
+
+
 def sentiment(spark, sf):
     from lodgelens.plans.materialize import materialized
     c = materialized(spark, "clean_en", sf, lambda: cleaned(spark, sf).filter(F.col("language") == "en"))
