@@ -1,20 +1,26 @@
-"""Exact tree contributions (M11): TreeSHAP for spark.ml tree ensembles.
+"""Exact tree contributions (M11) for spark.ml tree ensembles.
 
-Path-dependent TreeSHAP (Lundberg, Erion & Lee 2018, "Consistent
-individualized feature attribution for tree ensembles", Algorithm 2): for
-every row the contributions of all features over all trees, weighted by the
-ensemble's tree weights, plus a base value, so that
+Path-dependent Shapley values of tree ensembles (Lundberg, Erion & Lee 2018):
+for every row the contributions of all features over all trees, weighted by
+the ensemble's tree weights, plus a base value, so that
 ``base + sum(contributions) == prediction`` (checked in the tests).
 
-The tree tables come from the saved model's ``data`` Parquet (node id,
-children, split feature and threshold, prediction, training count as
-cover).  They are model metadata - trees x nodes, independent of the data
-size - and are broadcast once; rows are explained in Arrow batches by
-``mapInPandas``, so the scoring work is partitioned like any other scan.
+A tree is taken as its leaves.  A leaf sees of a row only which of its path's
+features lie inside its intervals, so its contributions are looked up in a
+table of at most 2 ** depth patterns; a batch of rows goes through a tree in a
+few array operations.
+
+The leaves come from the saved model's ``data`` Parquet (node id, children,
+split feature and threshold, prediction, training count as cover).  They are
+model metadata - trees x nodes, independent of the data size - and are
+broadcast once; rows are explained in Arrow batches by ``mapInPandas``, so the
+scoring work is partitioned like any other scan.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,94 +54,83 @@ def tree_tables(model, spark) -> tuple[list[dict], list[float]]:
     return trees, list(model.treeWeights)
 
 
-def _expected(t: dict, j: int = 0) -> float:
-    if t["left"][j] < 0:
-        return t["value"][j]
-    a, b = t["left"][j], t["right"][j]
-    return (t["cover"][a] * _expected(t, a) + t["cover"][b] * _expected(t, b)) / t["cover"][j]
-
-
-def _tree_shap(x: np.ndarray, t: dict, phi: np.ndarray, scale: float) -> None:
-    left, right, feat, thr, val, cov = t["left"], t["right"], t["feature"], t["threshold"], t["value"], t["cover"]
-
-    def extend(d, z, o, w, pz, po, pi):
-        d, z, o, w = d + [pi], z + [pz], o + [po], w + [1.0 if not d else 0.0]
-        ln = len(d) - 1
-        for i in range(ln - 1, -1, -1):
-            w[i + 1] += po * w[i] * (i + 1) / (ln + 1)
-            w[i] = pz * w[i] * (ln - i) / (ln + 1)
-        return d, z, o, w
-
-    def unwound_sum(z, o, w, i):
-        ln = len(w) - 1
-        n = w[ln]
-        total = 0.0
-        zi, oi = z[i], o[i]
-        for j in range(ln - 1, -1, -1):
-            if oi != 0:
-                tmp = n * (ln + 1) / ((j + 1) * oi)
-                total += tmp
-                n = w[j] - tmp * zi * (ln - j) / (ln + 1)
-            else:
-                total += (w[j] * (ln + 1)) / (zi * (ln - j))
-        return total
-
-    def unwind(d, z, o, w, i):
-        ln = len(w) - 1
-        n = w[ln]
-        w2 = w[:ln]
-        zi, oi = z[i], o[i]
-        for j in range(ln - 1, -1, -1):
-            if oi != 0:
-                tmp = w2[j]
-                w2[j] = n * (ln + 1) / ((j + 1) * oi)
-                n = tmp - w2[j] * zi * (ln - j) / (ln + 1)
-            else:
-                w2[j] = (w2[j] * (ln + 1)) / (zi * (ln - j))
-        return d[:i] + d[i + 1:], z[:i] + z[i + 1:], o[:i] + o[i + 1:], w2
-
-    def recurse(j, d, z, o, w, pz, po, pi):
-        d, z, o, w = extend(d, z, o, w, pz, po, pi)
-        if left[j] < 0:
-            for i in range(1, len(d)):
-                phi[d[i]] += scale * unwound_sum(z, o, w, i) * (o[i] - z[i]) * val[j]
-            return
-        f = feat[j]
-        hot, cold = (left[j], right[j]) if x[f] <= thr[j] else (right[j], left[j])
-        iz = io = 1.0
-        k = next((i for i in range(1, len(d)) if d[i] == f), None)
-        if k is not None:
-            iz, io = z[k], o[k]
-            d, z, o, w = unwind(d, z, o, w, k)
-        recurse(hot, d, z, o, w, iz * cov[hot] / cov[j], io, f)
-        recurse(cold, d, z, o, w, iz * cov[cold] / cov[j], 0.0, f)
-
-    recurse(0, [], [], [], [], 1.0, 1.0, -1)
-
-
-def contributions(df: DataFrame, model, features: list[str], id_cols: list[str]) -> DataFrame:
+def leaf_paths(t: dict) -> tuple[np.ndarray, ...]:
+    """A tree as its leaves: value [leaf], and per leaf and distinct feature
+    on its path (slot) the feature, the interval (lo, hi] that leads there and
+    the share z of training rows that go on.  Slots that a leaf lacks hold a
+    feature without effect (always inside, z = 1)."""
+    leaves, todo = [], [(0, {})]
+    while todo:
+        j, path = todo.pop()
+        if t["left"][j] < 0:
+            leaves.append((t["value"][j], path))
+            continue
+        f = int(t["feature"][j])
+        lo, hi, z = path.get(f, (-np.inf, np.inf, 1.0))
+        for child, inside in ((t["left"][j], (lo, min(hi, t["threshold"][j]))), (t["right"][j], (max(lo, t["threshold"][j]), hi))):
+            todo.append((child, path | {f: (*inside, z * t["cover"][child] / t["cover"][j])}))
+    slots = max(1, max(len(p) for _, p in leaves))
+    padded = [[(f, *v) for f, v in p.items()] + [(0, -np.inf, np.inf, 1.0)] * (slots - len(p)) for _, p in leaves]
+    f, lo, hi, z = np.moveaxis(np.array(padded), 2, 0)
+    return np.array([v for v, _ in leaves]), f.astype(np.int64), lo, hi, z
+
+
+def pattern_table(value: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """[leaf, pattern, slot]: a leaf's Shapley contribution to each slot's
+    feature when the row is inside the slots whose bits the pattern has.
+
+    Whether a row is inside is all that a leaf knows of it, so 2 ** slots
+    patterns cover every row.  For slot i the polynomial over the other slots
+    collects, by the number k of features known, the product of "inside" for
+    those known and z for the rest; k known of d weigh k! (d - 1 - k)! / d!."""
+    d = z.shape[1]
+    bits = (np.arange(1 << d)[:, None] >> np.arange(d)) & 1
+    weight = np.array([math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)])
+    out = np.zeros((len(z), 1 << d, d))
+    for i in range(d):
+        known = np.zeros((len(z), 1 << d, d))
+        known[:, :, 0] = 1
+        for j in range(d):
+            if j != i:
+                more = np.roll(known, 1, axis=2)
+                more[:, :, 0] = 0
+                known = known * z[:, None, j, None] + more * bits[None, :, j, None]
+        out[:, :, i] = value[:, None] * (bits[None, :, i] - z[:, None, i]) * (known @ weight)
+    return out
+
+
+def tree_contributions(x: np.ndarray, paths: tuple[np.ndarray, ...]) -> np.ndarray:
+    """[row, feature] contributions of one tree to a batch of rows."""
+    value, f, lo, hi, z = paths
+    at = x[:, f]  # row, leaf, slot
+    inside = ~(at <= lo) & (np.isinf(hi) | (at <= hi))  # a missing value goes right
+    pattern = (inside << np.arange(f.shape[1])).sum(axis=2)
+    c = pattern_table(value, z)[np.arange(len(value)), pattern]
+    onto = np.zeros((f.size, x.shape[1]))
+    onto[np.arange(f.size), f.ravel()] = 1
+    return c.reshape(len(x), -1) @ onto
+
+
+def contributions(df: DataFrame, model, features: list[str], id_cols: list[str], rows: int = 512) -> DataFrame:
     """One row per input row: ids, base value, prediction and one
-    contribution column per feature (``c_<feature>``)."""
+    contribution column per feature (``c_<feature>``).  Whole batches go
+    through a tree at once; ``rows`` bounds what a tree's patterns take."""
     spark = df.sparkSession
     trees, weights = tree_tables(model, spark)
-    base = float(sum(w * _expected(t) for t, w in zip(trees, weights)))
-    bc = spark.sparkContext.broadcast((trees, weights))
-    nf = len(features)
+    paths = [leaf_paths(t) for t in trees]
+    base = float(sum(w * (value * z.prod(axis=1)).sum() for w, (value, _, _, _, z) in zip(weights, paths)))
+    held = spark.sparkContext.broadcast((paths, weights))  # as large as the model
     out_cols = [f"c_{f}" for f in features]
 
     def explain(batches):
-        trees_, weights_ = bc.value
-        for pdf in batches:
-            x = pdf[features].to_numpy(dtype=float)
-            phi = np.zeros((len(pdf), nf))
-            for r in range(len(pdf)):
-                for t, w in zip(trees_, weights_):
-                    _tree_shap(x[r], t, phi[r], w)
-            res = pdf[id_cols].copy()
-            res["base_value"] = base
-            res["prediction"] = base + phi.sum(axis=1)
-            res[out_cols] = pd.DataFrame(phi, index=pdf.index)
-            yield res
+        for whole in batches:
+            for start in range(0, len(whole), rows):
+                pdf = whole.iloc[start:start + rows]
+                x = pdf[features].to_numpy(dtype=float)
+                phi = sum((w * tree_contributions(x, p) for p, w in zip(*held.value)), np.zeros((len(x), len(features))))
+                yield pd.concat([pdf[id_cols].reset_index(drop=True),
+                                 pd.DataFrame({"base_value": base, "prediction": base + phi.sum(axis=1)}),
+                                 pd.DataFrame(phi, columns=out_cols)], axis=1)
 
     schema = ", ".join([f"`{c}` {t}" for c, t in df.select(*id_cols).dtypes]
                        + ["base_value double", "prediction double"] + [f"`{c}` double" for c in out_cols])

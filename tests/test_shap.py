@@ -47,3 +47,29 @@ def test_tree_shap(spark):
                     for t, w in zip(trees, weights):
                         phi += wgt * w * (_cond_value(t, xr, s | {fi}) - _cond_value(t, xr, s))
             assert abs(phi - contrib.loc[rid, f"c_{feats[fi]}"]) < 1e-9
+
+
+def test_deep_trees_missing_values_and_batches(spark):
+    """Features repeated on a path, missing values, several batches: sums equal the model's predictions."""
+    rng = np.random.default_rng(3)
+    n = 400
+    x = np.round(rng.normal(size=(n, 4)), 1)
+    y = np.sin(2 * x[:, 0]) + x[:, 1] * (x[:, 0] > 0) + 0.1 * rng.normal(size=n)
+    kind, feats = "id long, a double, b double, c double, d double, log_price double", ["a", "b", "c", "d"]
+    whole = spark.createDataFrame([(i, *map(float, x[i]), float(y[i])) for i in range(n)], kind)
+    model = M.gbt_regressor({"n_estimators": 12, "max_depth": 6, "min_child_weight": 2}).fit(M.assemble(whole, feats))
+    x[rng.random((n, 4)) < 0.1] = np.nan
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in x[i]], float(y[i])) for i in range(n)], kind)
+    got = SH.contributions(df, model, feats, ["id"], rows=64).toPandas().set_index("id")
+    pred = model.transform(M.assemble(df, feats)).select("id", "pred_log").toPandas().set_index("id")
+    assert len(got) == n
+    assert np.allclose((got["base_value"] + got[[f"c_{f}" for f in feats]].sum(axis=1)).loc[pred.index], pred["pred_log"], atol=1e-9)
+
+
+def test_contributions_by_category(spark, sf):
+    from lodgelens.plans import suite_ml as Q
+    rows = Q.contribution_categories(spark, sf).collect()
+    feats = Q._split(spark, sf)[2]
+    table = Q.contributions_table(spark, sf).toPandas()
+    assert sum(r["n_features"] for r in rows) == len(feats) and abs(sum(r["share"] for r in rows) - 1) < 1e-6
+    assert abs(sum(r["total"] for r in rows) - table[[f"c_{f}" for f in feats]].abs().mean().sum()) < 1e-6
