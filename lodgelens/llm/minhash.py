@@ -214,7 +214,8 @@ def several_roots(rows: DataFrame) -> DataFrame:
 def unreached_links(members: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """``roots`` after the links between classes of a bucket that its centre doesn't reach.
 
-    Let D be a class's difference from the centre. If a isn't linked to the
+    Let D be a class's difference from the centre, or from any other set that
+    stands for it. If a isn't linked to the
     centre, then any b of the bucket linked to a has a shingle of D(a) in D(b),
     and the first common one stands within the first few of both (prefix
     filter, exact: at most as many shingles may stand before it as the
@@ -223,7 +224,10 @@ def unreached_links(members: DataFrame, classes: DataFrame, sets: DataFrame, roo
     different components with each other; full sets confirm their links."""
     near = rooted(members.where("size > 2 and cls != centre").select("centre", "cls").distinct(), roots)
     hubs = rooted(near.select(F.col("centre").alias("cls")).distinct(), roots).select(F.col("cls").alias("centre"), F.col("root").alias("centre_root"))
-    near = written(near.join(hubs, "centre"), "minhash-unreached")
+    # centres of one component are alike: the one with most classes stands for them all, so that a class meets a component once, not once a bucket
+    met = near.join(hubs, "centre")
+    popular = met.groupBy("centre_root", "centre").agg(F.count("*").alias("met")).groupBy("centre_root").agg(F.max_by("centre", F.struct("met", "centre")).alias("hub"))
+    near = written(met.join(popular, "centre_root").where("cls != hub").select(F.col("hub").alias("centre"), "cls", "root", "centre_root").distinct(), "minhash-unreached")
     odd = near.where("root != centre_root").select("centre").distinct()
     diffs = differences(near.join(odd, "centre", "left_semi").select("centre", "cls"), sets, percent, "minhash-cross")
     keyed = diffs.select("centre", "cls", "n", "d", "parity", F.posexplode("first").alias("pos", "shingle"))
