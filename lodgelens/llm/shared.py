@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import contextlib
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,10 +48,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     fixes values such as monotonically_increasing_id."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    for tables in _RECORDERS:
+        tables.append((path, df.schema))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_RECORDERS: list[list] = []
+
+
+@contextlib.contextmanager
+def recorded():
+    """The list of tables (path, schema) that ``written`` makes inside."""
+    tables: list = []
+    _RECORDERS.append(tables)
+    try:
+        yield tables
+    finally:
+        _RECORDERS[:] = [t for t in _RECORDERS if t is not tables]
+
+
+def emptied(spark: SparkSession, tables: list, kept: DataFrame | None = None) -> list:
+    """Overwrite recorded tables with no rows, which frees their space; those
+    that ``kept`` still reads stay and are returned. Call it only when nothing
+    else needs the tables any more."""
+    read = "\n".join(kept.inputFiles()) if kept is not None else ""
+    stay = [t for t in tables if t[0].rsplit("/", 1)[-1] in read]
+
+    def empty(table) -> None:
+        spark.createDataFrame([], table[1]).coalesce(1).write.mode("overwrite").parquet(table[0])
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(inheritable_thread_target(spark)(empty), [t for t in tables if t not in stay]))
+    return stay
+
+
 def text_mod(id_col: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m (null ids count as the empty text)."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % m
