@@ -47,7 +47,7 @@ from lodgelens.llm.shared import batches_of, running_totals, shared_dir, written
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LAST = (1 << 63) - 1
-TEXTS, BLOCKS = 500, 16  # rows sent to Python at once
+TEXTS, BLOCKS = 200, 8  # rows sent to Python at once
 LAST_ROUND = 4096  # visits an item: from here on a round takes all that is left
 
 

@@ -37,6 +37,8 @@ def _written(uri: str, tokenizer_path: str, end_id: int, width: str, batches: It
             for lo, hi in by_chars(pdf["text"].tolist()):
                 part = pdf.iloc[lo:hi]
                 ids, ends = enc.encode_all([t or "" for t in part["text"]])
+                if len(ids) and int(ids.max()) > np.iinfo(width).max:
+                    raise ValueError(f"id {int(ids.max())} doesn't fit into {width}; choose a wider one")
                 raw, at = ids.astype(width), 0
                 for stop in ends.tolist():
                     out.write(raw[at:stop].tobytes() + end)
@@ -48,8 +50,11 @@ def _written(uri: str, tokenizer_path: str, end_id: int, width: str, batches: It
 def write_files(docs: DataFrame, uri: str, tokenizer_path: str, end_id: int, width: str = "<u2",
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write one token file per task; (doc_id, file, ordinal) says which document is where.
+    Ids beyond ``width`` raise ValueError, the end id's at once.
 
     Lazy: the files are written as the returned rows are computed."""
+    if not 0 <= end_id <= np.iinfo(width).max:
+        raise ValueError(f"end id {end_id} doesn't fit into {width}")
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(
         lambda it: _written(uri, tokenizer_path, end_id, width, it), f"doc_id {kind}, file string, ordinal long")

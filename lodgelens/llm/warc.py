@@ -94,10 +94,23 @@ def _write(uri: str, file_bytes: int, level: int, batches: Iterator[pd.DataFrame
         yield close()
 
 
+def inflated(content: bytes) -> bytes:
+    """The bytes of all gzip members of a file, one after another. A file that
+    ends inside a member, or goes on with something else, raises."""
+    parts = []
+    while content:
+        stream = zlib.decompressobj(31)
+        parts.append(stream.decompress(content) + stream.flush())
+        if not stream.eof:
+            raise zlib.error("gzip file ends inside a member")
+        content = stream.unused_data
+    return b"".join(parts)
+
+
 def _normalise(uri: str, level: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
-            data = zlib.decompress(content, 31)  # one member: the whole file is one stream
+            data = inflated(content)  # usually one member: the whole file is one stream
             members, index, at = [], [], 0
             for start, end in split_records(data):
                 member = _gzip(data[start:end], level)

@@ -209,3 +209,30 @@ def test_queries_return_the_contract_columns(spark, sf):
     for name, kind in want.items():
         df = queries.QUERIES[name](spark, sf)
         assert ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) == kind
+
+
+# ---- earlier operators: nothing is lost or wrapped without a word
+
+def test_all_gzip_members_are_read():
+    import gzip
+    import zlib
+
+    from lodgelens.llm import warc
+    parts = [b"first", b"", b"x" * 100_000]
+    whole = b"".join(map(gzip.compress, parts))
+    assert warc.inflated(whole) == b"".join(parts) and warc.inflated(b"") == b""
+    for broken in (whole[:-5], whole + b"rest"):
+        with pytest.raises(zlib.error):
+            warc.inflated(broken)
+
+
+def test_ids_beyond_the_width_raise(spark, tmp_path, monkeypatch):
+    import public_tokenizers
+
+    from lodgelens.llm import tokencount
+    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with pytest.raises(ValueError):
+        tokencount.write_files(docs, f"file://{tmp_path}/a", path, 70000)
+    with pytest.raises(Exception, match="doesn't fit"):
+        tokencount.write_files(docs, f"file://{tmp_path}/b", path, 7, width="<u1").collect()
