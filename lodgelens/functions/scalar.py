@@ -267,7 +267,7 @@ def row_count_above(cols: list, t: float) -> Column:
 def first_max_label(cols: list, labels: list | None = None) -> Column:
     """Label of the first column holding the row maximum."""
     labels = labels or cols
-    g = F.greatest(*[_c(x) for x in cols])
+    g = F.greatest(*[_c(x) for x in cols]) if len(cols) > 1 else _c(cols[0])
     out = None
     for col, lab in zip(cols, labels):
         cond = _c(col) == g

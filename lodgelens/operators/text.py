@@ -164,21 +164,11 @@ def vocabulary_from(dt: DataFrame, doc: str, no_below: int, no_above: float) ->
         (F.col("df") >= no_below) & (F.col("df") <= F.col("_nd") * no_above)).drop("_nd")
 
 
-def vocabulary(df: DataFrame, doc: str, terms: str, no_below: int, no_above: float) -> DataFrame:
-    """X9 from a table of term arrays."""
-    return vocabulary_from(doc_terms(df, doc, terms), doc, no_below, no_above)
-
-
 def bag_of_words_from(dt: DataFrame, doc: str, vocab: DataFrame) -> DataFrame:
     """(doc, term, count) over the vocabulary; empty documents drop out."""
     return dt.join(vocab.select("term"), "term", "left_semi").select(doc, "term", F.col("n").alias("count"))
 
 
-def bag_of_words(df: DataFrame, doc: str, terms: str, vocab: DataFrame) -> DataFrame:
-    """X10 from a table of term arrays."""
-    return bag_of_words_from(doc_terms(df, doc, terms), doc, vocab)
-
-
 def char_trigrams(c) -> Column:
     """Character trigrams of the lower-cased, space-padded, whitespace-collapsed
     text: every overlapping 3-character window, found in one regex pass (a
@@ -343,9 +333,11 @@ def cv_coherence(df: DataFrame, doc: str, tok_col: str, topic_words: DataFrame,
     Windows are counted as ranges (``window_islands``) that meet only within
     the same document, block and topic; everything after the counts is as
     small as the topic-word table."""
-    words = topic_words.select(F.col(topic).alias("_t"), "term")
+    from lodgelens.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    words = topic_words.select(F.col(topic).alias("_t"), "term").checkpoint()
     total = df.where(F.size(tok_col) > 0).agg(F.sum(F.greatest(F.size(tok_col) - window + 1, F.lit(1))).cast("double").alias("_all"))
-    spans = window_islands(df, doc, tok_col, words, window)
+    spans = window_islands(df, doc, tok_col, words, window).checkpoint()  # read by singles and pairs
     single = spans.groupBy("term").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("_n"))
     own = spans.join(words, "term")
     a, b = own.alias("a"), own.alias("b")

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from lodgelens.functions import scalar as S
 from lodgelens.operators import relational as R
-from lodgelens.plans import features as FE
 
 PRICE, RATING, REVENUE, OCCUPANCY = "price_numeric", "review_scores_rating", "estimated_revenue", "estimated_occupancy"
 
@@ -22,8 +21,7 @@ PRICE, RATING, REVENUE, OCCUPANCY = "price_numeric", "review_scores_rating", "es
 def decode_panel(df: DataFrame) -> DataFrame:
     """Q11: borough and property type from their one-hot columns (first
     maximal column, prefix stripped), room label from the room code."""
-    boro = [c for c in FE.BORO_COLS if c in df.columns]
-    prop = [c for c in FE.PROP_COLS if c in df.columns]
+    boro, prop = R.prefix_columns(df, "boro_"), R.prefix_columns(df, "prop_")
     return df.withColumns({
         "borough": S.strip_prefix(S.first_max_label(boro), "boro_"),
         "property_type": S.strip_prefix(S.first_max_label(prop), "prop_"),
