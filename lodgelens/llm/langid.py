@@ -34,7 +34,7 @@ from lodgelens.llm.shared import text_batches, written
 
 SIZES = (3, 4)  # letters of an n-gram, blanks at word ends included
 HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-CHARS = 2_000_000  # of text handled at once in a task
+CHARS = 500_000  # of text handled at once in a task
 
 _letters: np.ndarray | None = None
 

@@ -38,7 +38,7 @@ from lodgelens.llm.shared import text_batches, written
 
 STEMS = (3, 4, 5, 6)  # letters of a word beginning
 SIGNS = "\n\t\r.,;:!?\"'()[]{}<>*/-–—…«»“”¿¡"
-CHARS = 4_000_000
+CHARS = 1_000_000
 
 
 def plain(text: str | None) -> str:
