@@ -26,17 +26,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodgelens.llm import langid, linededup, minhash, packing, toxicity
-from lodgelens.llm.shared import emptied, recorded, text_mod, written
+from lodgelens.llm.shared import emptied, recorded, text_batches, text_mod, written
 from lodgelens.sources.tables import table
 
 _LEFT: list = []  # tables of the stage before
 
 
+TEXTS = 250  # whole texts sent to Python at once, where the session has no setting of its own
+
+
 def tidy(stage):
-    """A stage that first empties what the stage before it left."""
+    """A stage that first empties what the stage before it left. Stages are
+    lazy, so the batch size stays set for the session until they have run."""
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         _LEFT[:] = emptied(spark, _LEFT, docs)
+        text_batches(spark, TEXTS)
         with recorded() as tables:
             out = stage(spark, docs, sf_dir)
         _LEFT.extend(tables)
