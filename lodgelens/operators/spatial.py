@@ -22,6 +22,11 @@ on a grid cell plus an exact haversine filter.
   that can still hold the nearest point are opened.  Three equi-joins, no
   rounds, no cap on candidates, no probe unresolved.
 * Skew: AQE skew-join splitting applies to all of these joins.
+* Driver: every join is a sort-merge join by hint.  Reference tables compress
+  to files far smaller than their rows, so Spark's own choice would build their
+  hash tables on the driver.
+* Tasks: probes are few bytes but much work each, so they are dealt over a
+  fixed number of tasks instead of the few that their bytes would give.
 
 Probes with a null coordinate have no partner (count 0, distance null).
 """
@@ -94,14 +99,21 @@ def _valid(df: DataFrame, lat: str, lon: str) -> DataFrame:
 
 
 def _places(df: DataFrame, lat: str, lon: str) -> DataFrame:
-    """Distinct coordinates (_plat, _plon) of the probes."""
-    return _valid(df, lat, lon).select(F.col(lat).cast("double").alias("_plat"), F.col(lon).cast("double").alias("_plon")).distinct()
+    """Distinct coordinates (_plat, _plon) of the probes, dealt over the tasks."""
+    return _dealt(_valid(df, lat, lon).select(F.col(lat).cast("double").alias("_plat"), F.col(lon).cast("double").alias("_plon")).distinct())
+
+
+def _dealt(places: DataFrame) -> DataFrame:
+    """Places over a fixed number of tasks: what follows is much work for few
+    bytes.  Dealt by a hash, as Spark drops a repartition by keys that the rows
+    are already grouped by and merges the tasks again."""
+    return places.repartition(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("_plat", "_plon"))
 
 
 def _back(left: DataFrame, found: DataFrame, lat: str, lon: str) -> DataFrame:
     """The probes with what was found for their coordinates."""
     on = (F.col(lat).cast("double") == F.col("_plat")) & (F.col(lon).cast("double") == F.col("_plon"))
-    return left.join(found, on, "left").drop("_plat", "_plon")
+    return left.join(found.hint("merge"), on, "left").drop("_plat", "_plon")
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, radius_km: float, *, lat="latitude", lon="longitude",
@@ -119,10 +131,22 @@ def candidate_pairs(left: DataFrame, right: DataFrame, radius_km: float, *, lat=
     L = _valid(left, lat, lon).withColumn("_c", F.expr(f"explode({_cells(d, rho, la, lo)})"))
     Rt = _valid(right, lat, lon).select(F.col(lat).alias("_rlat"), F.col(lon).alias("_rlon"), *right_cols, F.expr(y).alias("_y"), F.expr(x).alias("_x"))
     dist = haversine_km(F.col(lat), F.col(lon), F.col("_rlat"), F.col("_rlon"))
-    joined = L.join(Rt, (F.col("_c.y") == F.col("_y")) & (F.col("_c.x") == F.col("_x")) & (dist <= F.lit(radius_km)))
+    joined = L.join(Rt.hint("merge"), (F.col("_c.y") == F.col("_y")) & (F.col("_c.x") == F.col("_x")) & (dist <= F.lit(radius_km)))
     return joined.select(*left.columns, *right_cols, dist.alias("dist_km"))
 
 
+def _within(radius_km: float) -> Column:
+    """Whether (_rlat, _rlon) is within the radius of (_plat, _plon).  The
+    haversine's inner term decides, which takes two sines; only where it is
+    within 1e-9 of the limit the distance itself is compared."""
+    half = math.pi / 360
+    north, east = F.sin((F.col("_rlat") - F.col("_plat")) * half), F.sin((F.col("_rlon") - F.col("_plon")) * half)
+    a = north * north + F.col("_pcos") * F.col("_rcos") * east * east
+    limit = math.sin(min(radius_km / (2 * EARTH_RADIUS_KM), math.pi / 2)) ** 2
+    dist = haversine_km(F.col("_plat"), F.col("_plon"), F.col("_rlat"), F.col("_rlon"))
+    return F.when(a > limit * (1 + 1e-9) + 1e-24, False).when(a < limit * (1 - 1e-9) - 1e-24, True).otherwise(dist <= radius_km)
+
+
 def _requests(places: DataFrame, d: str, radii: list[float], near_km: float = 0.0) -> DataFrame:
     """(_plat, _plon, _k, _y, _x, _open, _mind): the cells each circle k can
     touch, and whether a cell has to be opened: because it isn't wholly inside
@@ -133,7 +157,7 @@ def _requests(places: DataFrame, d: str, radii: list[float], near_km: float = 0.
         opened = f"{high} > {r!r}D" + (f" or {low} < {near_km!r}D" if near_km else "")
         own = places.withColumn("c", F.expr(f"explode({_cells(d, f'{degrees_of(r)!r}D', '_plat', '_plon')})"))
         parts.append(own.withColumn("_mind", F.expr(low)).where(F.col("_mind") <= r).select(
-            "_plat", "_plon", F.lit(k).alias("_k"), F.col("c.y").alias("_y"), F.col("c.x").alias("_x"), F.expr(f"cast({opened} as int)").alias("_open"), "_mind"))
+            "_plat", "_plon", F.cos(F.radians("_plat")).alias("_pcos"), F.lit(k).alias("_k"), F.col("c.y").alias("_y"), F.col("c.x").alias("_x"), F.expr(f"cast({opened} as int)").alias("_open"), "_mind"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -142,8 +166,10 @@ def _in_circle(places: DataFrame, units: DataFrame, d: str, radii: list[float],
     opened) in each circle: the pair table of the radius joins."""
     q = _requests(places, d, radii, near_km)
     dist = F.when(F.col("_rlat").isNotNull(), haversine_km(F.col("_plat"), F.col("_plon"), F.col("_rlat"), F.col("_rlon")))
-    limit = F.element_at(F.array(*[F.lit(float(r)) for r in radii]), F.col("_k") + 1)
-    return q.join(units, ["_y", "_x", "_open"]).withColumn("_dist", dist).where((F.col("_open") == 0) | (F.col("_dist") <= limit))
+    inside = F.lit(False)
+    for k, r in enumerate(radii):
+        inside = F.when(F.col("_k") == k, _within(r)).otherwise(inside)
+    return q.join(units.hint("merge"), ["_y", "_x", "_open"]).where((F.col("_open") == 0) | inside).withColumn("_dist", dist)
 
 
 def _units(right: DataFrame, d: str, weights: dict[str, Column], lat: str, lon: str, few: int = 0) -> DataFrame:
@@ -152,15 +178,15 @@ def _units(right: DataFrame, d: str, weights: dict[str, Column], lat: str, lon:
     points = _valid(right, lat, lon).groupBy(F.col(lat).cast("double").alias("_rlat"), F.col(lon).cast("double").alias("_rlon")).agg(
         *[F.count_if(c).alias(n) for n, c in weights.items()])
     y, x = _point_cell(d, "_rlat", "_rlon")
-    points = points.withColumns({"_y": F.expr(y), "_x": F.expr(x)})
+    points = points.withColumns({"_y": F.expr(y), "_x": F.expr(x), "_rcos": F.cos(F.radians("_rlat"))})
     names = [*weights, "_y", "_x"]
     totals = points.groupBy("_y", "_x").agg(F.count("*").alias("_places"), *[F.sum(n).alias(n) for n in weights])
     none = F.lit(None).cast("double")
-    whole = totals.where(F.col("_places") > few).select(none.alias("_rlat"), none.alias("_rlon"), *names, F.lit(0).alias("_open"))
-    out = points.select("_rlat", "_rlon", *names, F.lit(1).alias("_open")).unionByName(whole)
+    whole = totals.where(F.col("_places") > few).select(none.alias("_rlat"), none.alias("_rlon"), none.alias("_rcos"), *names, F.lit(0).alias("_open"))
+    out = points.select("_rlat", "_rlon", "_rcos", *names, F.lit(1).alias("_open")).unionByName(whole)
     if few:
-        small = points.join(totals.where(F.col("_places") <= few).select("_y", "_x"), ["_y", "_x"], "left_semi")
-        out = out.unionByName(small.select("_rlat", "_rlon", *names, F.lit(0).alias("_open")))
+        small = points.join(totals.where(F.col("_places") <= few).select("_y", "_x").hint("merge"), ["_y", "_x"], "left_semi")
+        out = out.unionByName(small.select("_rlat", "_rlon", "_rcos", *names, F.lit(0).alias("_open")))
     return out
 
 
@@ -184,17 +210,39 @@ def radius_distinct_tokens(left: DataFrame, right: DataFrame, token_col: str, ra
                            *, left_id="id", lat="latitude", lon="longitude", fineness: int = 4) -> DataFrame:
     """Number of distinct whitespace tokens of ``token_col`` over the
     reference points within the radius (empty and null texts add nothing).
-    Cells inside the circle bring their distinct tokens, not their points."""
+
+    Probes of a cell are looked at together first: a token of a cell that lies
+    within the radius of the whole probe cell is known for all its probes.
+    Points are only opened for tokens that a probe cell doesn't know yet, so
+    in a dense city hardly any are."""
     d = f"{degrees_of(radius_km / fineness)!r}D"
     toks = _valid(right, lat, lon).select(F.col(lat).cast("double").alias("_rlat"), F.col(lon).cast("double").alias("_rlon"),
                                           F.explode(F.split(F.trim(F.coalesce(F.col(token_col), F.lit(""))), r"\s+")).alias("_tok"))
     y, x = _point_cell(d, "_rlat", "_rlon")
-    toks = toks.where("_tok != ''").distinct().withColumns({"_y": F.expr(y), "_x": F.expr(x)})
-    none = F.lit(None).cast("double")
-    whole = toks.select("_y", "_x", "_tok").distinct().select(none.alias("_rlat"), none.alias("_rlon"), "_tok", "_y", "_x", F.lit(0).alias("_open"))
-    pairs = _in_circle(_places(left, lat, lon), toks.withColumn("_open", F.lit(1)).unionByName(whole), d, [radius_km])
-    counts = pairs.groupBy("_plat", "_plon").agg(F.count_distinct("_tok").alias(out))
-    return _back(left.select(left_id, lat, lon), counts, lat, lon).select(left_id, F.coalesce(F.col(out), F.lit(0)).cast("int").alias(out))
+    toks = toks.where("_tok != ''").distinct().withColumns({"_y": F.expr(y), "_x": F.expr(x), "_rcos": F.cos(F.radians("_rlat"))})
+    y, x = _point_cell(d, "_plat", "_plon")
+    places = _places(left, lat, lon).withColumns({"_cy": F.expr(y), "_cx": F.expr(x), "_pcos": F.cos(F.radians("_plat"))})
+
+    # probe cells by their middle and the distance _m from it to their farthest point
+    n = F.expr(_ring("_cy", d))
+    mids = places.select("_cy", "_cx").distinct().select(
+        "_cy", "_cx", F.expr(f"greatest(-90D, least(90D, (_cy + 0.5D) * {d}))").alias("_mlat"),
+        ((F.col("_cx") + 0.5) / n * 360 - 180).alias("_mlon"), F.struct(F.col("_cy").alias("y"), F.col("_cx").alias("x"), n.alias("n")).alias("c"))
+    low, high = _bounds(d, "_mlat", "_mlon")
+    mids = mids.select("_cy", "_cx", "_mlat", "_mlon", F.expr(high).alias("_m"))
+    rho = F.least(F.degrees((F.col("_m") + radius_km) / EARTH_RADIUS_KM), F.lit(180.0))
+    near = mids.withColumn("_rho", rho).withColumn("c", F.expr(f"explode({_cells(d, '_rho', '_mlat', '_mlon')})"))
+    near = near.where(F.expr(low) - F.col("_m") <= radius_km).select(
+        "_cy", "_cx", F.col("c.y").alias("_y"), F.col("c.x").alias("_x"), (F.expr(high) + F.col("_m") <= radius_km).alias("_sure"))
+    met = near.join(toks.select("_y", "_x", "_tok").distinct().hint("merge"), ["_y", "_x"])
+    known = met.where("_sure").select("_cy", "_cx", "_tok").distinct()
+    unknown = met.where("not _sure").join(known.hint("merge"), ["_cy", "_cx", "_tok"], "left_anti").select("_cy", "_cx", "_y", "_x", "_tok")
+    opened = places.join(unknown.hint("merge"), ["_cy", "_cx"]).join(toks.hint("merge"), ["_y", "_x", "_tok"]).where(_within(radius_km))
+    more = opened.groupBy("_plat", "_plon").agg(F.count_distinct("_tok").alias("_more"))
+    sums = places.join(known.groupBy("_cy", "_cx").agg(F.count("*").alias("_known")).hint("merge"), ["_cy", "_cx"], "left")
+    sums = sums.join(more.hint("merge"), ["_plat", "_plon"], "left").select(
+        "_plat", "_plon", (F.coalesce("_known", F.lit(0)) + F.coalesce("_more", F.lit(0))).alias(out))
+    return _back(left.select(left_id, lat, lon), sums, lat, lon).select(left_id, F.coalesce(F.col(out), F.lit(0)).cast("int").alias(out))
 
 
 def _nearest_places(places: DataFrame, right: DataFrame, payload: list[str], lat: str, lon: str) -> DataFrame:
@@ -217,21 +265,21 @@ def _nearest_places(places: DataFrame, right: DataFrame, payload: list[str], lat
     def held(asked: DataFrame) -> DataFrame:
         """The asked cells (struct c) that hold a point."""
         keyed = asked.withColumns({"_y": F.col("c.y"), "_x": F.col("c.x")})
-        return keyed.join(occupied, ["_l", "_y", "_x"]).withColumn("_d", F.expr(height))
+        return keyed.join(occupied.hint("merge"), ["_l", "_y", "_x"]).withColumn("_d", F.expr(height))
 
-    around = places.withColumn("_l", F.explode(F.array(*[F.lit(k) for k in range(LEVELS)]))).withColumn("_d", F.expr(height))
+    around = _dealt(places).withColumn("_l", F.explode(F.array(*[F.lit(k) for k in range(LEVELS)]))).withColumn("_d", F.expr(height))
     asked = around.select("_plat", "_plon", "_l", F.expr(f"explode({_cells('_d', '_d', '_plat', '_plon')})").alias("c"))
     first = held(asked).groupBy("_plat", "_plon").agg(F.min(F.struct("_l", high.alias("high"))).alias("_f"))
 
     rho = F.least(F.degrees(F.col("_f.high") / EARTH_RADIUS_KM), F.lit(180.0))
-    finer = first.select("_plat", "_plon", F.greatest(F.col("_f._l") - 1, F.lit(0)).alias("_l"), rho.alias("_rho")).withColumn("_d", F.expr(height))
+    finer = _dealt(first).select("_plat", "_plon", F.greatest(F.col("_f._l") - 1, F.lit(0)).alias("_l"), rho.alias("_rho")).withColumn("_d", F.expr(height))
     asked = finer.select("_plat", "_plon", "_l", F.expr(f"explode({_cells('_d', '_rho', '_plat', '_plon')})").alias("c"))
     cells = held(asked).withColumns({"_low": low, "_high": high}).groupBy("_plat", "_plon", "_l").agg(
         F.min("_high").alias("_ub"), F.collect_list(F.struct("_y", "_x", "_low")).alias("_qs"))
     opened = cells.withColumn("_q", F.explode(F.filter("_qs", lambda q: q["_low"] <= F.col("_ub")))).select("_plat", "_plon", "_l", "_q._y", "_q._x")
 
     dist = haversine_km(F.col("_plat"), F.col("_plon"), F.col("_rlat"), F.col("_rlon"))
-    best = opened.join(levels.select("_l", "_y", "_x", "_rlat", "_rlon", "_p"), ["_l", "_y", "_x"]).groupBy("_plat", "_plon").agg(
+    best = opened.join(levels.select("_l", "_y", "_x", "_rlat", "_rlon", "_p").hint("merge"), ["_l", "_y", "_x"]).groupBy("_plat", "_plon").agg(
         F.min(F.struct(dist.alias("d"), "_p")).alias("_b"))
     return best.select("_plat", "_plon", F.col("_b.d").alias("dist_km"), *[F.col(f"_b._p.{c}").alias(c) for c in payload])
 
@@ -262,9 +310,9 @@ def nearest_and_count(left: DataFrame, right: DataFrame, radius_km: float, out:
     seen = pairs.groupBy("_plat", "_plon").agg(F.sum("_n").alias(out), F.min("_dist").alias("_own"),
                                                F.min(F.when(F.col("_dist").isNull(), F.col("_mind"))).alias("_hidden"))
     sure = F.col("_own").isNotNull() & (F.col("_hidden").isNull() | (F.col("_own") <= F.col("_hidden")))
-    counted = places.join(seen, ["_plat", "_plon"], "left").withColumn("_sure", F.coalesce(sure, F.lit(False)))
+    counted = places.join(seen.hint("merge"), ["_plat", "_plon"], "left").withColumn("_sure", F.coalesce(sure, F.lit(False)))
     rest = _nearest_places(counted.where(~F.col("_sure")).select("_plat", "_plon"), right, [], lat, lon)
-    both = counted.join(rest, ["_plat", "_plon"], "left").select(
+    both = counted.join(rest.hint("merge"), ["_plat", "_plon"], "left").select(
         "_plat", "_plon", F.when(F.col("_sure"), F.col("_own")).otherwise(F.col("dist_km")).alias("dist_km"), out)
     return _back(left.select(left_id, lat, lon), both, lat, lon).select(left_id, "dist_km", F.coalesce(F.col(out), F.lit(0)).cast("int").alias(out))
 

@@ -1,6 +1,7 @@
 """Grid joins equal brute force, including a hot cell that is salted."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodgelens.operators import spatial as G
 
@@ -108,3 +109,30 @@ def test_no_reference_points(spark):
     assert G.nearest(L, R.limit(0)).collect()[0]["ref_id"] is None
     row = G.nearest_and_count(L, R.limit(0), 1.0, "n").collect()[0]
     assert row["dist_km"] is None and row["n"] == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reference_tables_stay_off_the_driver(spark):
+    """Small files may hold many rows: no reference table is broadcast, and probes are dealt over a fixed number of tasks."""
+    left, right = _frames(spark, [(40.5, -74.0), (40.6, -74.1)], [(40.5, -74.0), (40.61, -74.1)])
+    right = right.withColumn("routes", F.lit("A C"))
+    found = [G.radius_counts(left, right, {"n": 1.0}), G.nearest(left, right), G.nearest_and_count(left, right, 1.0, "n"),
+             G.radius_distinct_tokens(left, right, "routes", 1.0, "n")]
+    for df in found:
+        assert "BroadcastExchange" not in _plan(df) and "REPARTITION_BY_NUM" in _plan(df)
+
+
+def test_distinct_tokens_at_the_edge(spark):
+    """Rare tokens near the circle's edge are found by each probe alone, common ones by whole probe cells."""
+    rng = np.random.default_rng(8)
+    left, right = rng.random((300, 2)) * 0.06 + [40.5, -74.0], rng.random((900, 2)) * 0.06 + [40.5, -74.0]
+    words = [f"{'common' if i % 3 else ''} t{i % 60}" for i in range(len(right))]
+    probes, points = _frames(spark, left, right)
+    points = points.join(spark.createDataFrame(list(enumerate(words)), "ref_id long, routes string"), "ref_id")
+    d = _hav(left[:, None, 0], left[:, None, 1], right[None, :, 0], right[None, :, 1])
+    for r in (0.3, 1.5):
+        got = {x["id"]: x["n"] for x in G.radius_distinct_tokens(probes, points, "routes", r, "n").collect()}
+        assert got == {i: len({w for j in np.where(d[i] <= r)[0] for w in words[j].split()}) for i in range(len(left))}
