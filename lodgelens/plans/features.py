@@ -1,7 +1,7 @@
 """Feature, season and panel jobs.
 
-``feature_matrix`` is one lazy plan: parse -> short-stay filter -> spatial
-joins -> encodings -> median imputation -> log target.  Spatial features are
+``feature_matrix``: parse -> short-stay filter -> encodings -> spatial joins
+(a checkpoint each) -> median imputation -> log target.  Spatial features are
 computed on the narrow (id, lat, lon) probe table and joined back by id, so
 the wide listing rows never travel through the grid joins.  The medians for
 imputation come from one range sort, attached as a 1-row broadcast.
@@ -18,6 +18,7 @@ from lodgelens.functions import scalar as S
 from lodgelens.operators import ranks
 from lodgelens.operators import relational as R
 from lodgelens.operators import spatial as G
+from lodgelens.session import ensure_checkpoint_dir
 from lodgelens.sources import catalog
 
 REVIEW_COLS = ["review_scores_rating", "review_scores_accuracy", "review_scores_cleanliness",
@@ -85,7 +86,11 @@ def encoded_listings(lst: DataFrame, boroughs: list[str] = BOROUGHS, property_ty
 def spatial_features(probes: DataFrame, stations: DataFrame, points: DataFrame, arrests: DataFrame,
                      tourist_domains: list[str] = TOURIST_DOMAINS, rail_flag: int = RAIL_FLAG) -> DataFrame:
     """J6-J11 for the probe table (id, latitude, longitude): one candidate
-    join per reference set and distance question, all in one lazy plan."""
+    join per reference set and distance question.  Each question's table is
+    checkpointed, one after the other, so that no plan holds all the joins and
+    the driver plans one at a time."""
+    ensure_checkpoint_dir(probes.sparkSession)
+    probes = probes.checkpoint()
     rail = stations.filter(F.col("cbd") == rail_flag)
     subway = G.nearest(probes, stations, attrs=["cbd", "ada"]).select(
         "id", F.col("dist_km").alias("dist_subway_km"), F.col("cbd").alias("nearest_subway_cbd"),
@@ -95,7 +100,8 @@ def spatial_features(probes: DataFrame, stations: DataFrame, points: DataFrame,
     tourist = F.coalesce(F.col("domain").isin(tourist_domains), F.lit(False))
     poi = G.radius_counts(probes, points, {"poi_count_500m": 0.5, "poi_count_1km": 1.0, "tourist_poi_500m": (0.5, tourist)})
     crime = G.radius_counts(probes, arrests, {"crime_count_500m": 0.5})
-    out = reduce(lambda a, b: a.join(b, "id"), [subway, lines, lirr, poi, crime])
+    parts = [p.checkpoint() for p in (subway, lines, lirr, poi, crime)]
+    out = reduce(lambda a, b: a.join(b.hint("merge"), "id"), parts)
     return out.withColumn("near_subway", (F.col("dist_subway_km") <= 0.5).cast("int"))
 
 
@@ -116,7 +122,7 @@ def build_features(listings: DataFrame, stations: DataFrame, points: DataFrame,
     enc = encoded_listings(listings, boroughs, property_types)
     sp = spatial_features(enc.select("id", "latitude", "longitude"), stations, points, arrests, tourist_domains, rail_flag)
     features = FEATURE_COLS + [col_name("boro", b) for b in boroughs] + [col_name("prop", p) for p in property_types]
-    df = enc.join(sp, "id")
+    df = enc.join(sp.hint("merge"), "id").checkpoint()  # read by the medians and the fill
     # the listed columns and every other double (distances are null when a set is empty)
     sweep = [c for c in features if c not in MEDIAN_FILL and df.schema[c].dataType.typeName() == "double"]
     df = median_impute(df, MEDIAN_FILL + sweep)
@@ -164,7 +170,7 @@ def stack_months(features: DataFrame, prices: DataFrame, season: DataFrame, mont
     base = features.drop(*[c for c in drop if c in features.columns])
     p = prices.filter(F.col("month").between(*months) & F.col("price_numeric").isNotNull())
     p = R.price_cap(p, "price_numeric", cap)
-    stacked = base.join(p, "id").join(F.broadcast(season.select("month", "seasonal_index")), "month")
+    stacked = base.join(p.hint("merge"), "id").join(F.broadcast(season.select("month", "seasonal_index")), "month")
     return stacked.withColumn("log_price", F.log1p("price_numeric"))
 
 
