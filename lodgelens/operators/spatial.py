@@ -25,6 +25,11 @@ on a grid cell plus an exact haversine filter.
 * Driver: every join is a sort-merge join by hint.  Reference tables compress
   to files far smaller than their rows, so Spark's own choice would build their
   hash tables on the driver.
+* Plans: the bounds of a cell are made by a one-element explode, over which
+  Spark moves no filter, so their long expressions stand once in a plan and are
+  computed once.  Every plan is written out whenever a stage of it ends; a job
+  that asks several questions gives ``stage`` (say, a checkpoint), which is put
+  on the tables between the joins, and so has several small plans of each.
 * Tasks: probes are few bytes but much work each, so they are dealt over a
   fixed number of tasks instead of the few that their bytes would give.
 
@@ -34,7 +39,7 @@ Probes with a null coordinate have no partner (count 0, distance null).
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +50,12 @@ FINEST_KM, STEP = 0.02, 4  # cell side of the finest level of the nearest join,
 LEVELS = math.ceil(math.log(math.pi * EARTH_RADIUS_KM / FINEST_KM, STEP)) + 1  # the coarsest neighbourhood holds the globe
 FEW = 4  # points up to which a cell is as cheap to open as to total
 
+Stage = Callable[[DataFrame], DataFrame]
+
+
+def _lazy(df: DataFrame) -> DataFrame:
+    return df
+
 
 def degrees_of(km: float) -> float:
     return math.degrees(km / EARTH_RADIUS_KM)
@@ -94,6 +105,12 @@ def _bounds(d: str, lat: str, lon: str) -> tuple[str, str]:
     return f"(greatest({gap}, {side}) * {EARTH_RADIUS_KM}D * (1 - 1e-9D) - 1e-9D)", f"({high} * (1 + 1e-9D) + 1e-9D)"
 
 
+def _bounded(df: DataFrame, d: str, lat: str, lon: str) -> DataFrame:
+    """With ``_b`` (low, high), the bounds of the distance to cell c."""
+    low, high = _bounds(d, lat, lon)
+    return df.withColumn("_b", F.expr(f"explode(array(named_struct('low', {low}, 'high', {high})))"))
+
+
 def _valid(df: DataFrame, lat: str, lon: str) -> DataFrame:
     return df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
 
@@ -151,14 +168,12 @@ def _requests(places: DataFrame, d: str, radii: list[float], near_km: float = 0.
     """(_plat, _plon, _k, _y, _x, _open, _mind): the cells each circle k can
     touch, and whether a cell has to be opened: because it isn't wholly inside
     the circle, or is within ``near_km`` of the probe."""
-    low, high = _bounds(d, "_plat", "_plon")
-    parts = []
-    for k, r in enumerate(radii):
-        opened = f"{high} > {r!r}D" + (f" or {low} < {near_km!r}D" if near_km else "")
-        own = places.withColumn("c", F.expr(f"explode({_cells(d, f'{degrees_of(r)!r}D', '_plat', '_plon')})"))
-        parts.append(own.withColumn("_mind", F.expr(low)).where(F.col("_mind") <= r).select(
-            "_plat", "_plon", F.cos(F.radians("_plat")).alias("_pcos"), F.lit(k).alias("_k"), F.col("c.y").alias("_y"), F.col("c.x").alias("_x"), F.expr(f"cast({opened} as int)").alias("_open"), "_mind"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    circles = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(r)).alias("r"), F.lit(degrees_of(r)).alias("rho")) for k, r in enumerate(radii)])
+    asked = places.withColumn("_q", F.explode(circles)).withColumn("c", F.expr(f"explode({_cells(d, '_q.rho', '_plat', '_plon')})"))
+    opened = "_b.high > _q.r" + (f" or _b.low < {near_km!r}D" if near_km else "")
+    return _bounded(asked, d, "_plat", "_plon").where("_b.low <= _q.r").select(
+        "_plat", "_plon", F.cos(F.radians("_plat")).alias("_pcos"), F.col("_q.k").alias("_k"), F.col("c.y").alias("_y"), F.col("c.x").alias("_x"),
+        F.expr(f"cast({opened} as int)").alias("_open"), F.col("_b.low").alias("_mind"))
 
 
 def _in_circle(places: DataFrame, units: DataFrame, d: str, radii: list[float], near_km: float = 0.0) -> DataFrame:
@@ -191,7 +206,7 @@ def _units(right: DataFrame, d: str, weights: dict[str, Column], lat: str, lon:
 
 
 def radius_counts(left: DataFrame, right: DataFrame, radii: dict[str, float | tuple[float, Column]], *, left_id="id",
-                  lat="latitude", lon="longitude", fineness: int = 4) -> DataFrame:
+                  lat="latitude", lon="longitude", fineness: int = 4, stage: Stage = _lazy) -> DataFrame:
     """Per probe, the number of reference points within each radius,
     zero counts kept.  A radius may come with a condition on the reference
     rows; all radii and conditions share one join.  ``fineness``: cells per
@@ -200,14 +215,14 @@ def radius_counts(left: DataFrame, right: DataFrame, radii: dict[str, float | tu
     sizes = sorted({r for r, _ in wanted.values()})
     d = f"{degrees_of(sizes[-1] / fineness)!r}D"
     units = _units(right, d, {f"_n_{n}": c for n, (_, c) in wanted.items()}, lat, lon)
-    pairs = _in_circle(_places(left, lat, lon), units, d, sizes)
-    sums = pairs.groupBy("_plat", "_plon").agg(*[F.sum(F.when(F.col("_k") == sizes.index(r), F.col(f"_n_{n}"))).alias(n) for n, (r, _) in wanted.items()])
+    pairs = _in_circle(stage(_places(left, lat, lon)), units, d, sizes)
+    sums = stage(pairs.groupBy("_plat", "_plon").agg(*[F.sum(F.when(F.col("_k") == sizes.index(r), F.col(f"_n_{n}"))).alias(n) for n, (r, _) in wanted.items()]))
     out = _back(left.select(left_id, lat, lon), sums, lat, lon)
     return out.select(left_id, *[F.coalesce(F.col(n), F.lit(0)).cast("int").alias(n) for n in wanted])
 
 
 def radius_distinct_tokens(left: DataFrame, right: DataFrame, token_col: str, radius_km: float, out: str,
-                           *, left_id="id", lat="latitude", lon="longitude", fineness: int = 4) -> DataFrame:
+                           *, left_id="id", lat="latitude", lon="longitude", fineness: int = 4, stage: Stage = _lazy) -> DataFrame:
     """Number of distinct whitespace tokens of ``token_col`` over the
     reference points within the radius (empty and null texts add nothing).
 
@@ -219,33 +234,32 @@ def radius_distinct_tokens(left: DataFrame, right: DataFrame, token_col: str, ra
     toks = _valid(right, lat, lon).select(F.col(lat).cast("double").alias("_rlat"), F.col(lon).cast("double").alias("_rlon"),
                                           F.explode(F.split(F.trim(F.coalesce(F.col(token_col), F.lit(""))), r"\s+")).alias("_tok"))
     y, x = _point_cell(d, "_rlat", "_rlon")
-    toks = toks.where("_tok != ''").distinct().withColumns({"_y": F.expr(y), "_x": F.expr(x), "_rcos": F.cos(F.radians("_rlat"))})
+    toks = stage(toks.where("_tok != ''").distinct().withColumns({"_y": F.expr(y), "_x": F.expr(x), "_rcos": F.cos(F.radians("_rlat"))}))
     y, x = _point_cell(d, "_plat", "_plon")
-    places = _places(left, lat, lon).withColumns({"_cy": F.expr(y), "_cx": F.expr(x), "_pcos": F.cos(F.radians("_plat"))})
+    places = stage(_places(left, lat, lon).withColumns({"_cy": F.expr(y), "_cx": F.expr(x), "_pcos": F.cos(F.radians("_plat"))}))
 
     # probe cells by their middle and the distance _m from it to their farthest point
     n = F.expr(_ring("_cy", d))
     mids = places.select("_cy", "_cx").distinct().select(
         "_cy", "_cx", F.expr(f"greatest(-90D, least(90D, (_cy + 0.5D) * {d}))").alias("_mlat"),
         ((F.col("_cx") + 0.5) / n * 360 - 180).alias("_mlon"), F.struct(F.col("_cy").alias("y"), F.col("_cx").alias("x"), n.alias("n")).alias("c"))
-    low, high = _bounds(d, "_mlat", "_mlon")
-    mids = mids.select("_cy", "_cx", "_mlat", "_mlon", F.expr(high).alias("_m"))
+    mids = stage(_bounded(mids, d, "_mlat", "_mlon").select("_cy", "_cx", "_mlat", "_mlon", F.col("_b.high").alias("_m")))
     rho = F.least(F.degrees((F.col("_m") + radius_km) / EARTH_RADIUS_KM), F.lit(180.0))
     near = mids.withColumn("_rho", rho).withColumn("c", F.expr(f"explode({_cells(d, '_rho', '_mlat', '_mlon')})"))
-    near = near.where(F.expr(low) - F.col("_m") <= radius_km).select(
-        "_cy", "_cx", F.col("c.y").alias("_y"), F.col("c.x").alias("_x"), (F.expr(high) + F.col("_m") <= radius_km).alias("_sure"))
+    near = _bounded(near, d, "_mlat", "_mlon").where(F.col("_b.low") - F.col("_m") <= radius_km).select(
+        "_cy", "_cx", F.col("c.y").alias("_y"), F.col("c.x").alias("_x"), (F.col("_b.high") + F.col("_m") <= radius_km).alias("_sure"))
     met = near.join(toks.select("_y", "_x", "_tok").distinct().hint("merge"), ["_y", "_x"])
-    known = met.where("_sure").select("_cy", "_cx", "_tok").distinct()
+    known = stage(met.where("_sure").select("_cy", "_cx", "_tok").distinct())
     unknown = met.where("not _sure").join(known.hint("merge"), ["_cy", "_cx", "_tok"], "left_anti").select("_cy", "_cx", "_y", "_x", "_tok")
     opened = places.join(unknown.hint("merge"), ["_cy", "_cx"]).join(toks.hint("merge"), ["_y", "_x", "_tok"]).where(_within(radius_km))
-    more = opened.groupBy("_plat", "_plon").agg(F.count_distinct("_tok").alias("_more"))
+    more = stage(opened.groupBy("_plat", "_plon").agg(F.count_distinct("_tok").alias("_more")))
     sums = places.join(known.groupBy("_cy", "_cx").agg(F.count("*").alias("_known")).hint("merge"), ["_cy", "_cx"], "left")
     sums = sums.join(more.hint("merge"), ["_plat", "_plon"], "left").select(
         "_plat", "_plon", (F.coalesce("_known", F.lit(0)) + F.coalesce("_more", F.lit(0))).alias(out))
     return _back(left.select(left_id, lat, lon), sums, lat, lon).select(left_id, F.coalesce(F.col(out), F.lit(0)).cast("int").alias(out))
 
 
-def _nearest_places(places: DataFrame, right: DataFrame, payload: list[str], lat: str, lon: str) -> DataFrame:
+def _nearest_places(places: DataFrame, right: DataFrame, payload: list[str], lat: str, lon: str, stage: Stage = _lazy) -> DataFrame:
     """(_plat, _plon, dist_km, payload) of the nearest right row; ties go to
     the smallest payload."""
     points = _valid(right, lat, lon).select(F.col(lat).cast("double").alias("_rlat"), F.col(lon).cast("double").alias("_rlon"), *payload)
@@ -253,30 +267,30 @@ def _nearest_places(places: DataFrame, right: DataFrame, payload: list[str], lat
         points = points.groupBy("_rlat", "_rlon").agg(F.min(F.struct(*payload)).alias("_p"))
     else:
         points = points.distinct().withColumn("_p", F.struct(F.lit(0).alias("_")))
+    points = stage(points)
     heights = [degrees_of(FINEST_KM * STEP ** k) for k in range(LEVELS)]
     height = "element_at(array(" + ", ".join(f"{h!r}D" for h in heights) + "), _l + 1)"
-    levels = points.withColumn("_l", F.explode(F.array(*[F.lit(k) for k in range(LEVELS)]))).withColumn("_d", F.expr(height))
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("_l"), F.lit(h).alias("_d")) for k, h in enumerate(heights)]))
+    levels = points.withColumn("_v", every).select("*", "_v.*")
     y, x = _point_cell("_d", "_rlat", "_rlon")
     levels = levels.withColumns({"_y": F.expr(y), "_x": F.expr(x)})
     occupied = levels.select("_l", "_y", "_x").distinct()
 
-    low, high = (F.expr(e) for e in _bounds("_d", "_plat", "_plon"))
-
     def held(asked: DataFrame) -> DataFrame:
-        """The asked cells (struct c) that hold a point."""
+        """The asked cells (struct c) that hold a point, with their bounds."""
         keyed = asked.withColumns({"_y": F.col("c.y"), "_x": F.col("c.x")})
-        return keyed.join(occupied.hint("merge"), ["_l", "_y", "_x"]).withColumn("_d", F.expr(height))
+        return _bounded(keyed.join(occupied.hint("merge"), ["_l", "_y", "_x"]).withColumn("_d", F.expr(height)), "_d", "_plat", "_plon")
 
-    around = _dealt(places).withColumn("_l", F.explode(F.array(*[F.lit(k) for k in range(LEVELS)]))).withColumn("_d", F.expr(height))
+    around = _dealt(places).withColumn("_v", every).select("_plat", "_plon", "_v.*")
     asked = around.select("_plat", "_plon", "_l", F.expr(f"explode({_cells('_d', '_d', '_plat', '_plon')})").alias("c"))
-    first = held(asked).groupBy("_plat", "_plon").agg(F.min(F.struct("_l", high.alias("high"))).alias("_f"))
+    first = stage(held(asked).groupBy("_plat", "_plon").agg(F.min(F.struct("_l", "_b.high")).alias("_f")))
 
     rho = F.least(F.degrees(F.col("_f.high") / EARTH_RADIUS_KM), F.lit(180.0))
     finer = _dealt(first).select("_plat", "_plon", F.greatest(F.col("_f._l") - 1, F.lit(0)).alias("_l"), rho.alias("_rho")).withColumn("_d", F.expr(height))
     asked = finer.select("_plat", "_plon", "_l", F.expr(f"explode({_cells('_d', '_rho', '_plat', '_plon')})").alias("c"))
-    cells = held(asked).withColumns({"_low": low, "_high": high}).groupBy("_plat", "_plon", "_l").agg(
-        F.min("_high").alias("_ub"), F.collect_list(F.struct("_y", "_x", "_low")).alias("_qs"))
-    opened = cells.withColumn("_q", F.explode(F.filter("_qs", lambda q: q["_low"] <= F.col("_ub")))).select("_plat", "_plon", "_l", "_q._y", "_q._x")
+    cells = held(asked).groupBy("_plat", "_plon", "_l").agg(
+        F.min("_b.high").alias("_ub"), F.collect_list(F.struct("_y", "_x", "_b.low")).alias("_qs"))
+    opened = cells.withColumn("_q", F.explode(F.filter("_qs", lambda q: q["low"] <= F.col("_ub")))).select("_plat", "_plon", "_l", "_q._y", "_q._x")
 
     dist = haversine_km(F.col("_plat"), F.col("_plon"), F.col("_rlat"), F.col("_rlon"))
     best = opened.join(levels.select("_l", "_y", "_x", "_rlat", "_rlon", "_p").hint("merge"), ["_l", "_y", "_x"]).groupBy("_plat", "_plon").agg(
@@ -285,17 +299,17 @@ def _nearest_places(places: DataFrame, right: DataFrame, payload: list[str], lat
 
 
 def nearest(left: DataFrame, right: DataFrame, *, right_id="ref_id", attrs: list[str] | None = None,
-            left_id="id", lat="latitude", lon="longitude") -> DataFrame:
+            left_id="id", lat="latitude", lon="longitude", stage: Stage = _lazy) -> DataFrame:
     """Distance to, id and attributes of the nearest reference point.
 
     Ties go to the smallest ``right_id``; probes with a null coordinate, or
     all when there is no reference point, get nulls."""
-    found = _nearest_places(_places(left, lat, lon), right, [right_id, *(attrs or [])], lat, lon)
+    found = stage(_nearest_places(stage(_places(left, lat, lon)), right, [right_id, *(attrs or [])], lat, lon, stage))
     return _back(left.select(left_id, lat, lon), found, lat, lon).drop(lat, lon)
 
 
 def nearest_and_count(left: DataFrame, right: DataFrame, radius_km: float, out: str, *, left_id="id",
-                      lat="latitude", lon="longitude", fineness: int = 4) -> DataFrame:
+                      lat="latitude", lon="longitude", fineness: int = 4, stage: Stage = _lazy) -> DataFrame:
     """Distance to the nearest point and the number within the radius from
     one set of candidate cells.  Cells next to the probe are always opened and
     thinly filled cells come as points, so the nearest distance usually falls
@@ -303,15 +317,15 @@ def nearest_and_count(left: DataFrame, right: DataFrame, radius_km: float, out:
     unopened cell, or beyond the radius, goes on to the nearest join."""
     side = radius_km / fineness
     d = f"{degrees_of(side)!r}D"
-    places = _places(left, lat, lon)
+    places = stage(_places(left, lat, lon))
     units = _units(right, d, {"_n": F.lit(True)}, lat, lon, few=FEW)
     pairs = _in_circle(places, units, d, [radius_km], near_km=side)
     # an unopened total hides points from the cell's nearer edge on
     seen = pairs.groupBy("_plat", "_plon").agg(F.sum("_n").alias(out), F.min("_dist").alias("_own"),
                                                F.min(F.when(F.col("_dist").isNull(), F.col("_mind"))).alias("_hidden"))
     sure = F.col("_own").isNotNull() & (F.col("_hidden").isNull() | (F.col("_own") <= F.col("_hidden")))
-    counted = places.join(seen.hint("merge"), ["_plat", "_plon"], "left").withColumn("_sure", F.coalesce(sure, F.lit(False)))
-    rest = _nearest_places(counted.where(~F.col("_sure")).select("_plat", "_plon"), right, [], lat, lon)
+    counted = stage(places.join(seen.hint("merge"), ["_plat", "_plon"], "left").withColumn("_sure", F.coalesce(sure, F.lit(False))))
+    rest = stage(_nearest_places(counted.where(~F.col("_sure")).select("_plat", "_plon"), right, [], lat, lon, stage))
     both = counted.join(rest.hint("merge"), ["_plat", "_plon"], "left").select(
         "_plat", "_plon", F.when(F.col("_sure"), F.col("_own")).otherwise(F.col("dist_km")).alias("dist_km"), out)
     return _back(left.select(left_id, lat, lon), both, lat, lon).select(left_id, "dist_km", F.coalesce(F.col(out), F.lit(0)).cast("int").alias(out))

@@ -86,20 +86,23 @@ def encoded_listings(lst: DataFrame, boroughs: list[str] = BOROUGHS, property_ty
 def spatial_features(probes: DataFrame, stations: DataFrame, points: DataFrame, arrests: DataFrame,
                      tourist_domains: list[str] = TOURIST_DOMAINS, rail_flag: int = RAIL_FLAG) -> DataFrame:
     """J6-J11 for the probe table (id, latitude, longitude): one candidate
-    join per reference set and distance question.  Each question's table is
-    checkpointed, one after the other, so that no plan holds all the joins and
-    the driver plans one at a time."""
+    join per reference set and distance question.  Each question's table and
+    the tables between its joins are checkpointed, one after the other: the
+    driver plans a join at a time and never writes out a long plan."""
     ensure_checkpoint_dir(probes.sparkSession)
-    probes = probes.checkpoint()
+
+    def step(df: DataFrame) -> DataFrame:
+        return df.checkpoint()
+    probes = step(probes)
     rail = stations.filter(F.col("cbd") == rail_flag)
-    subway = G.nearest(probes, stations, attrs=["cbd", "ada"]).select(
+    subway = G.nearest(probes, stations, attrs=["cbd", "ada"], stage=step).select(
         "id", F.col("dist_km").alias("dist_subway_km"), F.col("cbd").alias("nearest_subway_cbd"),
         F.col("ada").alias("nearest_subway_ada"))
-    lines = G.radius_distinct_tokens(probes, stations, "routes", 0.5, "subway_lines_500m")
-    lirr = G.nearest_and_count(probes, rail, 1.60934, "lirr_count_1mi").withColumnRenamed("dist_km", "dist_lirr_km")
+    lines = G.radius_distinct_tokens(probes, stations, "routes", 0.5, "subway_lines_500m", stage=step)
+    lirr = G.nearest_and_count(probes, rail, 1.60934, "lirr_count_1mi", stage=step).withColumnRenamed("dist_km", "dist_lirr_km")
     tourist = F.coalesce(F.col("domain").isin(tourist_domains), F.lit(False))
-    poi = G.radius_counts(probes, points, {"poi_count_500m": 0.5, "poi_count_1km": 1.0, "tourist_poi_500m": (0.5, tourist)})
-    crime = G.radius_counts(probes, arrests, {"crime_count_500m": 0.5})
+    poi = G.radius_counts(probes, points, {"poi_count_500m": 0.5, "poi_count_1km": 1.0, "tourist_poi_500m": (0.5, tourist)}, stage=step)
+    crime = G.radius_counts(probes, arrests, {"crime_count_500m": 0.5}, stage=step)
     parts = [p.checkpoint() for p in (subway, lines, lirr, poi, crime)]
     out = reduce(lambda a, b: a.join(b.hint("merge"), "id"), parts)
     return out.withColumn("near_subway", (F.col("dist_subway_km") <= 0.5).cast("int"))
