@@ -187,22 +187,29 @@ def _in_circle(places: DataFrame, units: DataFrame, d: str, radii: list[float],
     return q.join(units.hint("merge"), ["_y", "_x", "_open"]).where((F.col("_open") == 0) | inside).withColumn("_dist", dist)
 
 
-def _units(right: DataFrame, d: str, weights: dict[str, Column], lat: str, lon: str, few: int = 0) -> DataFrame:
-    """Points with their own cell to be opened, and one total per cell.  Cells
-    of at most ``few`` places stay points in both."""
-    points = _valid(right, lat, lon).groupBy(F.col(lat).cast("double").alias("_rlat"), F.col(lon).cast("double").alias("_rlon")).agg(
-        *[F.count_if(c).alias(n) for n, c in weights.items()])
+def _units(right: DataFrame, d: str, weights: dict[str, Column], lat: str, lon: str) -> DataFrame:
+    """Points with their own cell to be opened, and one total per cell, from
+    one pass over the rows (two grouping sets)."""
     y, x = _point_cell(d, "_rlat", "_rlon")
-    points = points.withColumns({"_y": F.expr(y), "_x": F.expr(x), "_rcos": F.cos(F.radians("_rlat"))})
-    names = [*weights, "_y", "_x"]
-    totals = points.groupBy("_y", "_x").agg(F.count("*").alias("_places"), *[F.sum(n).alias(n) for n in weights])
+    rows = _valid(right, lat, lon).select(F.col(lat).cast("double").alias("_rlat"), F.col(lon).cast("double").alias("_rlon"),
+                                          *[c.alias(n) for n, c in weights.items()]).withColumns({"_y": F.expr(y), "_x": F.expr(x)})
+    units = rows.groupingSets([["_y", "_x", "_rlat", "_rlon"], ["_y", "_x"]], "_y", "_x", "_rlat", "_rlon").agg(
+        *[F.count_if(n).alias(n) for n in weights], F.grouping("_rlat").alias("_whole"))
+    return units.select("_rlat", "_rlon", F.cos(F.radians("_rlat")).alias("_rcos"), *weights, "_y", "_x", (1 - F.col("_whole")).alias("_open"))
+
+
+def _units_few(right: DataFrame, d: str, out: str, lat: str, lon: str, few: int, stage: Stage = _lazy) -> DataFrame:
+    """The same units, where cells of at most ``few`` places stay points in
+    both.  The points are read three times, so they are put on ``stage``."""
+    points = _valid(right, lat, lon).groupBy(F.col(lat).cast("double").alias("_rlat"), F.col(lon).cast("double").alias("_rlon")).agg(F.count("*").alias(out))
+    y, x = _point_cell(d, "_rlat", "_rlon")
+    points = stage(points.withColumns({"_y": F.expr(y), "_x": F.expr(x), "_rcos": F.cos(F.radians("_rlat"))}))
+    totals = points.groupBy("_y", "_x").agg(F.count("*").alias("_places"), F.sum(out).alias(out))
     none = F.lit(None).cast("double")
-    whole = totals.where(F.col("_places") > few).select(none.alias("_rlat"), none.alias("_rlon"), none.alias("_rcos"), *names, F.lit(0).alias("_open"))
-    out = points.select("_rlat", "_rlon", "_rcos", *names, F.lit(1).alias("_open")).unionByName(whole)
-    if few:
-        small = points.join(totals.where(F.col("_places") <= few).select("_y", "_x").hint("merge"), ["_y", "_x"], "left_semi")
-        out = out.unionByName(small.select("_rlat", "_rlon", "_rcos", *names, F.lit(0).alias("_open")))
-    return out
+    whole = totals.where(F.col("_places") > few).select(none.alias("_rlat"), none.alias("_rlon"), none.alias("_rcos"), out, "_y", "_x", F.lit(0).alias("_open"))
+    small = points.join(totals.where(F.col("_places") <= few).select("_y", "_x").hint("merge"), ["_y", "_x"], "left_semi")
+    cols = ["_rlat", "_rlon", "_rcos", out, "_y", "_x"]
+    return stage(points.select(*cols, F.lit(1).alias("_open")).unionByName(whole).unionByName(small.select(*cols, F.lit(0).alias("_open"))))
 
 
 def radius_counts(left: DataFrame, right: DataFrame, radii: dict[str, float | tuple[float, Column]], *, left_id="id",
@@ -318,7 +325,7 @@ def nearest_and_count(left: DataFrame, right: DataFrame, radius_km: float, out:
     side = radius_km / fineness
     d = f"{degrees_of(side)!r}D"
     places = stage(_places(left, lat, lon))
-    units = _units(right, d, {"_n": F.lit(True)}, lat, lon, few=FEW)
+    units = _units_few(right, d, "_n", lat, lon, FEW, stage)
     pairs = _in_circle(places, units, d, [radius_km], near_km=side)
     # an unopened total hides points from the cell's nearer edge on
     seen = pairs.groupBy("_plat", "_plon").agg(F.sum("_n").alias(out), F.min("_dist").alias("_own"),

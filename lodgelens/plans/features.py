@@ -179,8 +179,10 @@ def stack_months(features: DataFrame, prices: DataFrame, season: DataFrame, mont
 
 def listing_level(panel: DataFrame) -> DataFrame:
     """One row per listing: mean price and log price over months, other
-    columns from the earliest month (``min_by``: a partial aggregate)."""
+    columns from the earliest month (``min_by``: a partial aggregate).  A
+    ``min_by`` for each column, as Spark drops those that aren't asked for;
+    all of them see the same rows, so a tie gives one row's values."""
     others = [c for c in panel.columns if c not in ("id", "price_numeric", "log_price", "month", "seasonal_index")]
     return panel.groupBy("id").agg(
         F.avg("price_numeric").alias("price_numeric"), F.avg("log_price").alias("log_price"),
-        F.min_by(F.struct(*others), F.col("month")).alias("_f")).select("id", "price_numeric", "log_price", "_f.*")
+        *[F.min_by(c, "month").alias(c) for c in others])

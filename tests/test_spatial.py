@@ -136,3 +136,24 @@ def test_distinct_tokens_at_the_edge(spark):
     for r in (0.3, 1.5):
         got = {x["id"]: x["n"] for x in G.radius_distinct_tokens(probes, points, "routes", r, "n").collect()}
         assert got == {i: len({w for j in np.where(d[i] <= r)[0] for w in words[j].split()}) for i in range(len(left))}
+
+
+def test_staged_plans_of_nearest_and_count_stay_short(spark):
+    """With ``stage`` no plan reads the points three times over: the longest stays under half of what it was (81 KB)."""
+    left, right = _frames(spark, [(40.5, -74.0), (40.6, -74.1)], [(40.5, -74.0), (40.61, -74.1)])
+    texts = []
+
+    def step(df):
+        texts.append(_plan(df))
+        return df.checkpoint()
+    rows = G.nearest_and_count(left, right, 1.0, "n", stage=step).collect()
+    assert len(rows) == 2 and max(len(t) for t in texts) < 40_000
+
+
+def test_units_come_from_one_scan(spark):
+    """Points and cell totals are two grouping sets of one pass."""
+    _, right = _frames(spark, [(40.5, -74.0)], [(40.5, -74.0), (40.5, -74.0), (40.5001, -74.0), (41.0, -75.0)])
+    units = G._units(right, "0.01D", {"_n": F.col("ref_id") > 0}, "latitude", "longitude")
+    got = sorted((r["_open"], r["_rlat"] or 0.0, r["_n"]) for r in units.collect())
+    assert got == [(0, 0.0, 1), (0, 0.0, 2), (1, 40.5, 1), (1, 40.5001, 1), (1, 41.0, 1)]
+    assert _plan(units).count("Expand") == 1 and "Union" not in _plan(units)
