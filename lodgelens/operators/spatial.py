@@ -9,19 +9,24 @@ on a grid cell plus an exact haversine filter.
   band and wrap at +/-180 degrees; near a pole the whole ring of a band is
   taken.  No bound of the data is needed, so nothing is scanned before the
   plan exists.
-* Radius counts: cells are a fraction of the radius.  A cell that lies wholly
-  inside a probe's circle (its farthest corner is) adds the cell's total from a
-  (cell, n) table; only cells that the circle's edge crosses are opened to
-  their points.  Both meet in one equi-join on (cell, opened).  Points with the
-  same coordinates are one row with a count, and probes with the same
-  coordinates are one probe, so copies of a place never multiply.
-* Nearest neighbour: reference cells are known at several grid levels, each
-  four times coarser.  A probe's finest level with a point in its
+* Radius counts: probes go to the tiles that their circle touches, points to
+  their own, and a task goes through its tiles one after the other (``tiles``):
+  in stripes of latitude, points surely inside are counted by binary searches,
+  and only those at the circle's edge are looked at.  A circle's cost grows
+  with the root of the points in it.  Probes with the same coordinates are one
+  probe.
+* Nearest neighbour: the nearest point of a probe's own tile bounds the
+  distance, and the tiles within that bound are looked at next.  Probes of a
+  tile without points go by levels: reference cells are known at several grid
+  levels, each four times coarser.  A probe's finest level with a point in its
   neighbourhood (its local density) bounds the nearest distance; the occupied
   cells of the next finer level within that bound tighten it, and only cells
-  that can still hold the nearest point are opened.  Three equi-joins, no
-  rounds, no cap on candidates, no probe unresolved.
-* Skew: AQE skew-join splitting applies to all of these joins.
+  that can still hold the nearest point are opened.  Equi-joins, no rounds, no
+  cap on candidates, no probe unresolved.
+* Exactness: tasks give back pairs that rounding could decide, and all but
+  equal nearest points; Spark's own haversine decides.
+* Skew: AQE skew-join splitting applies to the joins; a dense tile's points come
+  to its task in parts of bounded size.
 * Driver: every join is a sort-merge join by hint.  Reference tables compress
   to files far smaller than their rows, so Spark's own choice would build their
   hash tables on the driver.
@@ -43,12 +48,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodgelens.functions.scalar import EARTH_RADIUS_KM, haversine_km
+from lodgelens.operators import tiles
 
 FINEST_KM, STEP = 0.02, 4  # cell side of the finest level of the nearest join, and how much coarser each next one is
 LEVELS = math.ceil(math.log(math.pi * EARTH_RADIUS_KM / FINEST_KM, STEP)) + 1  # the coarsest neighbourhood holds the globe
-FEW = 4  # points up to which a cell is as cheap to open as to total
+TILE_LEVEL = 4  # the level of the nearest join's tiles: 5 km
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -164,29 +172,6 @@ def _within(radius_km: float) -> Column:
     return F.when(a > limit * (1 + 1e-9) + 1e-24, False).when(a < limit * (1 - 1e-9) - 1e-24, True).otherwise(dist <= radius_km)
 
 
-def _requests(places: DataFrame, d: str, radii: list[float], near_km: float = 0.0) -> DataFrame:
-    """(_plat, _plon, _k, _y, _x, _open, _mind): the cells each circle k can
-    touch, and whether a cell has to be opened: because it isn't wholly inside
-    the circle, or is within ``near_km`` of the probe."""
-    circles = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(r)).alias("r"), F.lit(degrees_of(r)).alias("rho")) for k, r in enumerate(radii)])
-    asked = places.withColumn("_q", F.explode(circles)).withColumn("c", F.expr(f"explode({_cells(d, '_q.rho', '_plat', '_plon')})"))
-    opened = "_b.high > _q.r" + (f" or _b.low < {near_km!r}D" if near_km else "")
-    return _bounded(asked, d, "_plat", "_plon").where("_b.low <= _q.r").select(
-        "_plat", "_plon", F.cos(F.radians("_plat")).alias("_pcos"), F.col("_q.k").alias("_k"), F.col("c.y").alias("_y"), F.col("c.x").alias("_x"),
-        F.expr(f"cast({opened} as int)").alias("_open"), F.col("_b.low").alias("_mind"))
-
-
-def _in_circle(places: DataFrame, units: DataFrame, d: str, radii: list[float], near_km: float = 0.0) -> DataFrame:
-    """Rows of ``units`` (keyed by _y, _x, _open, with point coordinates where
-    opened) in each circle: the pair table of the radius joins."""
-    q = _requests(places, d, radii, near_km)
-    dist = F.when(F.col("_rlat").isNotNull(), haversine_km(F.col("_plat"), F.col("_plon"), F.col("_rlat"), F.col("_rlon")))
-    inside = F.lit(False)
-    for k, r in enumerate(radii):
-        inside = F.when(F.col("_k") == k, _within(r)).otherwise(inside)
-    return q.join(units.hint("merge"), ["_y", "_x", "_open"]).where((F.col("_open") == 0) | inside).withColumn("_dist", dist)
-
-
 def _units(right: DataFrame, d: str, weights: dict[str, Column], lat: str, lon: str) -> DataFrame:
     """Points with their own cell to be opened, and one total per cell, from
     one pass over the rows (two grouping sets)."""
@@ -198,32 +183,54 @@ def _units(right: DataFrame, d: str, weights: dict[str, Column], lat: str, lon:
     return units.select("_rlat", "_rlon", F.cos(F.radians("_rlat")).alias("_rcos"), *weights, "_y", "_x", (1 - F.col("_whole")).alias("_open"))
 
 
-def _units_few(right: DataFrame, d: str, out: str, lat: str, lon: str, few: int, stage: Stage = _lazy) -> DataFrame:
-    """The same units, where cells of at most ``few`` places stay points in
-    both.  The points are read three times, so they are put on ``stage``."""
-    points = _valid(right, lat, lon).groupBy(F.col(lat).cast("double").alias("_rlat"), F.col(lon).cast("double").alias("_rlon")).agg(F.count("*").alias(out))
-    y, x = _point_cell(d, "_rlat", "_rlon")
-    points = stage(points.withColumns({"_y": F.expr(y), "_x": F.expr(x), "_rcos": F.cos(F.radians("_rlat"))}))
-    totals = points.groupBy("_y", "_x").agg(F.count("*").alias("_places"), F.sum(out).alias(out))
-    none = F.lit(None).cast("double")
-    whole = totals.where(F.col("_places") > few).select(none.alias("_rlat"), none.alias("_rlon"), none.alias("_rcos"), out, "_y", "_x", F.lit(0).alias("_open"))
-    small = points.join(totals.where(F.col("_places") <= few).select("_y", "_x").hint("merge"), ["_y", "_x"], "left_semi")
-    cols = ["_rlat", "_rlon", "_rcos", out, "_y", "_x"]
-    return stage(points.select(*cols, F.lit(1).alias("_open")).unionByName(whole).unionByName(small.select(*cols, F.lit(0).alias("_open"))))
+def _tile(d: str, lat: str, lon: str) -> str:
+    """The number of a point's tile."""
+    y, x = _point_cell(d, lat, lon)
+    return f"({y} * {1 << tiles.ROW_BITS}L + {x})"
+
+
+def _reached(d: str, rho: str, lat: str, lon: str) -> str:
+    """Array of the tiles within ``rho`` degrees of a point."""
+    return f"transform({_cells(d, rho, lat, lon)}, c -> c.y * {1 << tiles.ROW_BITS}L + c.x)"
+
+
+def _in_tiles(probes: DataFrame, points: DataFrame, kernel, schema: T.StructType) -> DataFrame:
+    """The kernel's rows for probes and points (_tile, _lat, _lon, ...) that
+    meet in a tile.  Rows are dealt by tile and sorted by one number, so a
+    task reads tile after tile."""
+    both = probes.withColumn("_t", F.col("_tile") * 2).unionByName(points.withColumn("_t", F.col("_tile") * 2 + 1), allowMissingColumns=True)
+    dealt = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("_tile"))
+    return dealt.drop("_tile").sortWithinPartitions("_t").mapInArrow(kernel, schema)
+
+
+def _counts(places: DataFrame, right: DataFrame, wanted: dict[str, tuple[float, Column | None]], lat: str, lon: str, fineness: int) -> DataFrame:
+    """(_plat, _plon, counts) for the places that have points in a circle."""
+    sizes = sorted({r for r, _ in wanted.values()})
+    side = degrees_of(sizes[-1] * 8 / fineness)
+    d, rho = f"{side!r}D", f"{degrees_of(sizes[-1])!r}D"
+    asked = places.select(F.explode(F.expr(_reached(d, rho, "_plat", "_plon"))).alias("_tile"), F.col("_plat").alias("_lat"), F.col("_plon").alias("_lon"))
+    weighed = {n: f"_w{i}" for i, (n, (_, c)) in enumerate(wanted.items()) if c is not None}
+    held = _valid(right, lat, lon).select(F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon"), *[
+        F.coalesce(wanted[n][1], F.lit(False)).cast("tinyint").alias(w) for n, w in weighed.items()])
+    held = held.select(F.expr(_tile(d, "_lat", "_lon")).alias("_tile"), "*")
+    schema = T.StructType([T.StructField(n, t) for n, t in (("_plat", T.DoubleType()), ("_plon", T.DoubleType()), ("_k", T.IntegerType()), ("_rlat", T.DoubleType()),
+                                                            ("_rlon", T.DoubleType()), *[(n, T.LongType()) for n in wanted])])
+    kernel = tiles.counts(side, sizes, {n: sizes.index(r) for n, (r, _) in wanted.items()}, weighed, to_arrow_schema(schema))
+    radius = F.element_at(F.array(*[F.lit(float(r)) for r in sizes]), F.col("_k") + 1)
+    dist = haversine_km(F.col("_plat"), F.col("_plon"), F.col("_rlat"), F.col("_rlon"))
+    sure = _in_tiles(asked, held, kernel, schema).where(F.col("_k").isNull() | (dist <= radius))
+    return sure.groupBy("_plat", "_plon").agg(*[F.sum(n).alias(n) for n in wanted])
 
 
 def radius_counts(left: DataFrame, right: DataFrame, radii: dict[str, float | tuple[float, Column]], *, left_id="id",
                   lat="latitude", lon="longitude", fineness: int = 4, stage: Stage = _lazy) -> DataFrame:
     """Per probe, the number of reference points within each radius,
     zero counts kept.  A radius may come with a condition on the reference
-    rows; all radii and conditions share one join.  ``fineness``: cells per
-    largest radius; more cells open fewer points and enumerate more cells."""
-    wanted = {n: v if isinstance(v, tuple) else (v, F.lit(True)) for n, v in radii.items()}
-    sizes = sorted({r for r, _ in wanted.values()})
-    d = f"{degrees_of(sizes[-1] / fineness)!r}D"
-    units = _units(right, d, {f"_n_{n}": c for n, (_, c) in wanted.items()}, lat, lon)
-    pairs = _in_circle(stage(_places(left, lat, lon)), units, d, sizes)
-    sums = stage(pairs.groupBy("_plat", "_plon").agg(*[F.sum(F.when(F.col("_k") == sizes.index(r), F.col(f"_n_{n}"))).alias(n) for n, (r, _) in wanted.items()]))
+    rows; all radii and conditions share one pass over the tiles.
+    ``fineness``: tiles per eight of the largest radius; more tiles are smaller
+    tasks and get a probe's circle more often."""
+    wanted = {n: v if isinstance(v, tuple) else (v, None) for n, v in radii.items()}
+    sums = stage(_counts(stage(_places(left, lat, lon)), right, wanted, lat, lon, fineness))
     out = _back(left.select(left_id, lat, lon), sums, lat, lon)
     return out.select(left_id, *[F.coalesce(F.col(n), F.lit(0)).cast("int").alias(n) for n in wanted])
 
@@ -247,7 +254,8 @@ def radius_distinct_tokens(left: DataFrame, right: DataFrame, token_col: str, ra
 
     # probe cells by their middle and the distance _m from it to their farthest point
     n = F.expr(_ring("_cy", d))
-    mids = places.select("_cy", "_cx").distinct().select(
+    cells = places.select("_cy", "_cx").distinct().repartition(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("_cy", "_cx"))
+    mids = cells.select(
         "_cy", "_cx", F.expr(f"greatest(-90D, least(90D, (_cy + 0.5D) * {d}))").alias("_mlat"),
         ((F.col("_cx") + 0.5) / n * 360 - 180).alias("_mlon"), F.struct(F.col("_cy").alias("y"), F.col("_cx").alias("x"), n.alias("n")).alias("c"))
     mids = stage(_bounded(mids, d, "_mlat", "_mlon").select("_cy", "_cx", "_mlat", "_mlon", F.col("_b.high").alias("_m")))
@@ -275,6 +283,35 @@ def _nearest_places(places: DataFrame, right: DataFrame, payload: list[str], lat
     else:
         points = points.distinct().withColumn("_p", F.struct(F.lit(0).alias("_")))
     points = stage(points)
+    near = stage(_nearest_in_tiles(places, points, stage))
+    rest = stage(places.select("_plat", "_plon").join(near.hint("merge"), ["_plat", "_plon"], "left_anti"))
+    best = near.unionByName(_nearest_by_levels(rest, points, stage))
+    return best.select("_plat", "_plon", F.col("_b.d").alias("dist_km"), *[F.col(f"_b._p.{c}").alias(c) for c in payload])
+
+
+def _nearest_in_tiles(places: DataFrame, points: DataFrame, stage: Stage) -> DataFrame:
+    """(_plat, _plon, _b (d, _p)) for the places whose own tile has a point:
+    the nearest there bounds the distance, and only the other tiles within that
+    bound are looked at."""
+    side = degrees_of(FINEST_KM * STEP ** TILE_LEVEL)
+    d = f"{side!r}D"
+    held = points.select(F.expr(_tile(d, "_rlat", "_rlon")).alias("_tile"), F.col("_rlat").alias("_lat"), F.col("_rlon").alias("_lon"), "_p")
+    schema = T.StructType([*[T.StructField(n, T.DoubleType()) for n in ("_plat", "_plon", "_rlat", "_rlon")], T.StructField("_p", points.schema["_p"].dataType)])
+    dist = haversine_km(F.col("_plat"), F.col("_plon"), F.col("_rlat"), F.col("_rlon"))
+
+    def met(asked: DataFrame, bound: str | None = None) -> DataFrame:
+        found = _in_tiles(asked.withColumnsRenamed({"_plat": "_lat", "_plon": "_lon"}), held, tiles.nearest(side, bound), schema)
+        return found.select("_plat", "_plon", F.struct(dist.alias("d"), "_p").alias("_b"))
+    own = F.expr(_tile(d, "_plat", "_plon"))
+    first = stage(met(places.select("_plat", "_plon", own.alias("_tile"))).groupBy("_plat", "_plon").agg(F.min("_b").alias("_b")))
+    rho = F.degrees(F.col("_b.d") / EARTH_RADIUS_KM)
+    asked = first.select("_plat", "_plon", F.col("_b.d").alias("_ub"), rho.alias("_rho"), own.alias("_own")).withColumn("_tile", F.explode(F.expr(_reached(d, "_rho", "_plat", "_plon"))))
+    more = met(asked.where("_tile != _own").select("_plat", "_plon", "_tile", "_ub"), "_ub")
+    return first.unionByName(more).groupBy("_plat", "_plon").agg(F.min("_b").alias("_b"))
+
+
+def _nearest_by_levels(places: DataFrame, points: DataFrame, stage: Stage) -> DataFrame:
+    """The same for any place, however far its nearest point, by grid levels."""
     heights = [degrees_of(FINEST_KM * STEP ** k) for k in range(LEVELS)]
     height = "element_at(array(" + ", ".join(f"{h!r}D" for h in heights) + "), _l + 1)"
     every = F.explode(F.array(*[F.struct(F.lit(k).alias("_l"), F.lit(h).alias("_d")) for k, h in enumerate(heights)]))
@@ -300,9 +337,8 @@ def _nearest_places(places: DataFrame, right: DataFrame, payload: list[str], lat
     opened = cells.withColumn("_q", F.explode(F.filter("_qs", lambda q: q["low"] <= F.col("_ub")))).select("_plat", "_plon", "_l", "_q._y", "_q._x")
 
     dist = haversine_km(F.col("_plat"), F.col("_plon"), F.col("_rlat"), F.col("_rlon"))
-    best = opened.join(levels.select("_l", "_y", "_x", "_rlat", "_rlon", "_p").hint("merge"), ["_l", "_y", "_x"]).groupBy("_plat", "_plon").agg(
+    return opened.join(levels.select("_l", "_y", "_x", "_rlat", "_rlon", "_p").hint("merge"), ["_l", "_y", "_x"]).groupBy("_plat", "_plon").agg(
         F.min(F.struct(dist.alias("d"), "_p")).alias("_b"))
-    return best.select("_plat", "_plon", F.col("_b.d").alias("dist_km"), *[F.col(f"_b._p.{c}").alias(c) for c in payload])
 
 
 def nearest(left: DataFrame, right: DataFrame, *, right_id="ref_id", attrs: list[str] | None = None,
@@ -317,24 +353,11 @@ def nearest(left: DataFrame, right: DataFrame, *, right_id="ref_id", attrs: list
 
 def nearest_and_count(left: DataFrame, right: DataFrame, radius_km: float, out: str, *, left_id="id",
                       lat="latitude", lon="longitude", fineness: int = 4, stage: Stage = _lazy) -> DataFrame:
-    """Distance to the nearest point and the number within the radius from
-    one set of candidate cells.  Cells next to the probe are always opened and
-    thinly filled cells come as points, so the nearest distance usually falls
-    out of the count's join; a probe whose nearest point could lie in an
-    unopened cell, or beyond the radius, goes on to the nearest join."""
-    side = radius_km / fineness
-    d = f"{degrees_of(side)!r}D"
+    """Distance to the nearest point and the number within the radius."""
     places = stage(_places(left, lat, lon))
-    units = _units_few(right, d, "_n", lat, lon, FEW, stage)
-    pairs = _in_circle(places, units, d, [radius_km], near_km=side)
-    # an unopened total hides points from the cell's nearer edge on
-    seen = pairs.groupBy("_plat", "_plon").agg(F.sum("_n").alias(out), F.min("_dist").alias("_own"),
-                                               F.min(F.when(F.col("_dist").isNull(), F.col("_mind"))).alias("_hidden"))
-    sure = F.col("_own").isNotNull() & (F.col("_hidden").isNull() | (F.col("_own") <= F.col("_hidden")))
-    counted = stage(places.join(seen.hint("merge"), ["_plat", "_plon"], "left").withColumn("_sure", F.coalesce(sure, F.lit(False))))
-    rest = stage(_nearest_places(counted.where(~F.col("_sure")).select("_plat", "_plon"), right, [], lat, lon, stage))
-    both = counted.join(rest.hint("merge"), ["_plat", "_plon"], "left").select(
-        "_plat", "_plon", F.when(F.col("_sure"), F.col("_own")).otherwise(F.col("dist_km")).alias("dist_km"), out)
+    counted = stage(_counts(places, right, {out: (radius_km, None)}, lat, lon, fineness))
+    found = stage(_nearest_places(places, right, [], lat, lon, stage))
+    both = found.join(counted.hint("merge"), ["_plat", "_plon"], "left")
     return _back(left.select(left_id, lat, lon), both, lat, lon).select(left_id, "dist_km", F.coalesce(F.col(out), F.lit(0)).cast("int").alias(out))
 
 
