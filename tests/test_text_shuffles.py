@@ -41,3 +41,20 @@ def test_lexicon_is_sent_to_the_words(spark):
         assert {r["id"]: round(r["sentiment_score"], 6) for r in s.collect()} == {1: 0.2, 2: -0.5, 3: 0.0}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_ngrams_are_shuffled_only_as_counts(spark):
+    """Tokens are made once and their n-grams meet as counts of terms: repeated, null and empty documents count as before."""
+    rows = [(1, "aaa bbb aaa bbb"), (1, "ccc bbb"), (2, "aaa bbb"), (3, ""), (None, "ddd eee"), (4, "bbb stop aaa"), (5, None)]
+    df = spark.createDataFrame(rows, "review_id long, clean string")
+    stops = spark.createDataFrame([("stop",)], "word string")
+    t = T.normalise_tokens(df, "review_id", "clean", stops)
+    kept = t.checkpoint()
+    old = T.vocabulary_from(T.doc_terms(kept.select("review_id", T.ngrams_1_2(F.col("toks")).alias("g")), "review_id", "g"), "review_id", 1, 0.7,
+                            kept.where(F.size("toks") > 0))
+    new = T.ngram_vocabulary(t, "review_id", "toks", 1, 0.7)
+    assert sorted(map(tuple, new.collect())) == sorted(map(tuple, old.collect())) != []
+    plan = new._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("== Initial Plan ==")[0]
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "ReusedExchange" not in x]
+    assert sum("hashpartitioning(term" in x for x in dealt) == 1 and "ReusedExchange" in plan
+    assert not any("REPARTITION" in x for x in dealt[:1])  # what is nearest to the result are the counts of terms
