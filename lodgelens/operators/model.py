@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodgelens.functions import scalar as S
@@ -168,7 +168,8 @@ def fit_with_patience(train: DataFrame, validation: DataFrame, params: dict | No
     running sum of weighted tree outputs per row, one aggregate).  As boosting
     can't be resumed, the ensemble is grown to twice the size while the stop
     isn't reached; trees are seeded by their number, so a longer run has the
-    shorter one as its prefix.  Returns the model of the best prefix, the
+    shorter one as its prefix.  That goes for the best prefix too, so it is cut
+    from the ensemble and not fitted again.  Returns the model of the best prefix, the
     0-based best iteration and the validation errors (RMSE) seen."""
     p = dict(GBT_PARAMS, **(params or {}))
     patience, most = p["early_stopping_rounds"], p["n_estimators"]
@@ -180,10 +181,24 @@ def fit_with_patience(train: DataFrame, validation: DataFrame, params: dict | No
         if stopped or size == most:
             break
         size = min(most, 2 * size)
-    seen = errors[:best + patience + 1]
-    if best + 1 < size:
-        model = gbt_regressor(dict(p, n_estimators=best + 1)).fit(train)
-    return model, best, seen
+    return prefix_model(model, best + 1), best, errors[:best + patience + 1]
+
+
+def prefix_model(model, n: int):
+    """The model of an ensemble's first ``n`` trees: what a fit of ``n`` trees gives."""
+    from pyspark.ml.regression import GBTRegressionModel
+    if n >= model.getNumTrees:
+        return model
+    java = model._java_obj
+    gateway = SparkSession.active().sparkContext._gateway
+    ml = gateway.jvm.org.apache.spark.ml
+    trees, weights = gateway.new_array(ml.regression.DecisionTreeRegressionModel, n), gateway.new_array(gateway.jvm.double, n)
+    all_trees, all_weights = java.trees(), java.treeWeights()
+    for i in range(n):
+        trees[i], weights[i] = all_trees[i], all_weights[i]
+    cut = GBTRegressionModel(java.copyValues(ml.regression.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures()), ml.param.ParamMap()))
+    cut._transfer_params_from_java()
+    return cut
 
 
 FOLD_METRICS = ["fold", "n_trees", "n", "rmse_log", "mae_price", "r2", "mape_pct"]

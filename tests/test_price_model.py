@@ -64,3 +64,21 @@ def test_fold_table_equals_oracle_over_staged_predictions(spark, sf):
     assert np.allclose(rmse, [e for _, e, _ in stages[2]], rtol=1e-9)
     pred, true = np.expm1(out[:, folds[2]["n_trees"]]), np.array([r["price_numeric"] for r in own])
     assert abs(np.abs(pred - true).mean() - folds[2]["mae_price"]) < 1e-5
+
+
+def test_best_prefix_is_cut_and_not_fitted_again(spark, monkeypatch):
+    """One fit while the first ensemble shows the stop; the cut model is the one that a fit of that many trees gives."""
+    from pyspark.ml.regression import GBTRegressor
+    rng = np.random.default_rng(4)
+    rows = [(i, *map(float, x), float(x[0] * 3 + rng.normal())) for i, x in enumerate(rng.random((600, 3)))]
+    df = M.assemble(spark.createDataFrame(rows, "id int, a double, b double, c double, log_price double"), ["a", "b", "c"]).checkpoint()
+    train, own = df.filter("id % 3 > 0"), df.filter("id % 3 = 0")
+    sizes, fit = [], GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, *a: sizes.append(self.getMaxIter()) or fit(self, *a))
+    params = {"early_stopping_rounds": 8, "learning_rate": 0.3, "max_depth": 4}
+    model, best, errors = M.fit_with_patience(train, own, params)
+    assert sizes == [16] and model.getNumTrees == best + 1 < 16 and len(errors) == best + 9
+    again = fit(M.gbt_regressor(params | {"n_estimators": best + 1}), train)
+    assert model.toDebugString.split("\n")[1:] == again.toDebugString.split("\n")[1:]
+    assert model.treeWeights == again.treeWeights and model.getPredictionCol() == "pred_log"
+    assert [r["pred_log"] for r in model.transform(own).collect()] == [r["pred_log"] for r in again.transform(own).collect()]
