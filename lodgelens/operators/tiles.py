@@ -28,8 +28,8 @@ import pyarrow as pa
 
 EARTH_RADIUS_KM = 6371.0
 ROW_BITS = 30  # of a tile's number: its place in the ring
-CHUNK = 1 << 19  # rows of a chunk
-BLOCK = 1 << 16  # (probe, stripe) pairs looked at together
+CHUNK = 1 << 18  # rows of a chunk
+BLOCK = 1 << 15  # (probe, stripe) pairs looked at together
 PER_STRIPE = 6.5  # points a square of a stripe's height holds: a binary search costs as much as some 13 pairs
 SLACK = 1e-6  # degrees; the sorted keys are exact to 1e-7
 BAND = 1024.0  # a stripe's share of the sorted keys, more than all longitudes
